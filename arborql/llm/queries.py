@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arborql.llm import bpe
+from arborql.llm import bpe, chat, embedding_dedup, html_extract, line_dedup, minhash, mixing, quality, secrets, url_filter
+from arborql.llm.common import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,6 +25,55 @@ def default_vocab() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Tables(spark))
+
+
+@query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_vocab())
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return quality.judge(docs, Tables(spark)).select(quality.RESULT)
+
+
+@query
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_extract.extract(pages, keep=["page_id", "url"]).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = minhash.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark), size=4, percent=80)
+    return c.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark))
+    return m.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.recover(spark.read.parquet(f"{sf_dir}/conversations.parquet"), Tables(spark))
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), Tables(spark))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark))
