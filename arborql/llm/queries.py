@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from arborql.llm import bpe, chat, embedding_dedup, html_extract, line_dedup, minhash, mixing, quality, secrets, url_filter
 from arborql.llm.common import Tables
+from arborql.llm.oracles import ORACLE_SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
