@@ -11,10 +11,10 @@ LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP1 = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
 ), ok AS (
   SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
-  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9
@@ -43,7 +43,7 @@ def _op4() -> str:
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents
 ), w AS (
-  SELECT row, regexp_extract_all(text, '{WORD}') AS ws, list_filter(string_split(text, chr(10)), x -> length(trim(x, {SPACES})) > 0) AS ls FROM d
+  SELECT row, regexp_extract_all(text, '{WORD}') AS ws, list_filter(string_split(text, chr(10)), lambda x: length(trim(x, {SPACES})) > 0) AS ls FROM d
 ), p AS (
   SELECT row, unnest(ws) AS w0, unnest(range(len(ws))) AS i FROM w
 ), tri AS (
@@ -79,11 +79,11 @@ WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '{WORD}') AS w FROM documents
 ), s AS (
   SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END)) AS sh FROM d
-), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), both AS (
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS sh FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), shared AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL
 ), half AS (
-  SELECT a, b FROM both JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)
+  SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)
 ), links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half), reach AS (
   SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
 ), comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
@@ -145,8 +145,8 @@ WITH RECURSIVE a AS (SELECT page_id, html, {_REST.format(u="url")} AS rest FROM
 ), c AS (SELECT *, {rule} AS rule, {verdict} AS ruled, {_KEY.format(h="host", p="path")} AS key FROM b),
 tags AS (
   SELECT key, unnest(list_concat(
-    list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), x -> regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
-    list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), x -> regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)))) AS u FROM c
+    list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)))) AS u FROM c
 ), t AS (SELECT key, {_REST.format(u="u")} AS rest FROM tags WHERE contains(u, '://')), t2 AS (SELECT key, {host} AS h, {path} AS p FROM t),
 half AS (SELECT key, {_KEY.format(h="h", p="p")} AS other FROM t2), links AS (
   SELECT key AS a, other AS b FROM half WHERE key IS NOT NULL AND other IS NOT NULL UNION SELECT other, key FROM half WHERE key IS NOT NULL AND other IS NOT NULL
