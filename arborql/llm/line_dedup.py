@@ -108,8 +108,9 @@ def keep_bitmaps(df: DataFrame, tables, least_chars: int = 20, least_docs: int =
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", F.col("doc").desc(), "th", "pos")
     seen = tables.write(dealt.mapInArrow(_stream(least_docs), STREAM))
+    # two rows a partition at most, so a very common line need not be dealt by its key again
     sums = seen.where("kind = 'sum'").groupBy("h1", "h2").agg(F.sum("docs").alias("n"), F.max("doc").alias("top"))
-    edges = seen.where("kind = 'edge'").drop("docs").join(sums, ["h1", "h2"]).where((F.col("n") >= least_docs) & (F.col("doc") != F.col("top")))
+    edges = seen.where("kind = 'edge'").drop("docs").join(F.broadcast(sums), ["h1", "h2"]).where((F.col("n") >= least_docs) & (F.col("doc") != F.col("top")))
     drops = seen.where("kind = 'drop'").select("doc", "th", "pos").union(edges.select("doc", "th", "pos"))
     per = drops.groupBy("doc", "th").agg(F.collect_list("pos").alias("places"))
 
