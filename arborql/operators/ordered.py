@@ -33,14 +33,6 @@ def consume_once(matches: DataFrame, item: list[str], order: list[str]) -> DataF
     return first_wins(matches, item, order)
 
 
-def consume_both(matches: DataFrame, left: list[str], right: list[str], order: list[str]) -> DataFrame:
-    """One-use on both sides: the i-th claim of a name takes its i-th holder. matches holds one row per left and
-    right row that share a key, whose ordinals are ``left`` and ``right``."""
-    l = F.dense_rank().over(W.partitionBy(*order).orderBy(*left))
-    r = F.dense_rank().over(W.partitionBy(*order).orderBy(*right))
-    return matches.withColumns({"__l": l, "__r": r}).where("__l = __r").drop("__l", "__r")
-
-
 def ordered_lookup(candidates: DataFrame, names: DataFrame, on: list[str], query: list[str], priority: str, target: str) -> DataFrame:
     """JN10: of a query's candidates that name something, the one with the least priority. candidates holds
     query, on and priority; names holds on and target. Queries without a hit are absent."""
@@ -97,3 +89,11 @@ def first_duplicate(df: DataFrame, key: str, order: str) -> DataFrame:
 def multiset_minus(a: Column, b: Column) -> Column:
     """SET2: a without b's values; repeats and order stay."""
     return F.filter(a, lambda x: ~F.array_contains(b, x))
+
+
+def numbered_match(left: DataFrame, right: DataFrame, on: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
+    """One-use on both sides by key: the i-th left row of a key takes the i-th right one. Rows are numbered first, so
+    the join is one to one and no key's pairs are ever made."""
+    l = left.withColumn("__n", F.row_number().over(W.partitionBy(*on).orderBy(*left_order)))
+    r = right.withColumn("__n", F.row_number().over(W.partitionBy(*on).orderBy(*right_order)))
+    return l.join(r, [*on, "__n"]).drop("__n")
