@@ -1,53 +1,16 @@
-"""Shared pieces: written tables that cut lineage, and distributed connected components."""
+"""Shared pieces: ASCII white space, and distributed connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborql.tables import Tables
+
 #: ASCII white space of the word definition, as a Java/RE2 character class body and as characters.
 WS_CLASS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a private one only where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    global _own_dir
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="arborql-", dir="/tmp")
-    return _own_dir
-
-
-class Tables:
-    """Intermediate Parquet tables in the shared folder. A written table survives lost executors and
-    stops recomputation; ``drop`` frees one that no later plan reads."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.top = spark, f"{shared_dir(spark)}/arborql-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def write(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.top}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._arborql_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._arborql_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def connected_components(edges: DataFrame, tables: Tables, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: (node, component), component being the least node.
 
