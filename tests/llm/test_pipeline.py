@@ -2,7 +2,7 @@
 
 import brute
 import pytest
-from test_operators import DOCS, corpus
+from test_llm_operators import DOCS, corpus
 
 import corpus_pipeline
 from arborql.llm import mixing, quality
