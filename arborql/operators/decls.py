@@ -9,6 +9,7 @@ import xml.etree.ElementTree as ET
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arborql.model import CALLOUTS, DOCC_CALLOUTS, OBJC, SWIFT
 
@@ -119,7 +120,7 @@ def swift_declaration(annotated: Column, parsed: Column, attributes: Column, own
 def objc_declaration(text: Column) -> Column:
     """PRJ17: struct<text, deprecated>: attributes and macros off, white space collapsed, deprecation message kept."""
     message = F.regexp_extract(text, r'(?:deprecated|API_DEPRECATED|DEPRECATED_MSG_ATTRIBUTE)\s*\(\s*@?"([^"]*)"', 1)
-    bare = F.regexp_replace(text, r"\s*(?:__attribute__\s*\(\(.*?\)\)|(?:API|NS|DEPRECATED|SWIFT)_[A-Z_]+(?:\([^)]*\))?)", "")
+    bare = F.regexp_replace(text, r"\s*(?:__attribute__\s*\(\((?:[^()]|\([^()]*\))*\)\)|(?:API|NS|DEPRECATED|SWIFT)_[A-Z_]+(?:\([^)]*\))?)", "")
     return F.struct(F.regexp_replace(F.trim(F.regexp_replace(bare, r"\s+", " ")), r"\s+;", ";").alias("text"), F.when(message != "", message).alias("deprecated"))
 
 
@@ -297,8 +298,12 @@ def parse_xml_docs(xml: str | None, brief: bool = False) -> dict | None:
             "returns": many(root.find(".//ResultDiscussion")), "throws": many(root.find(".//ThrowsDiscussion")), "localization_key": None, "parameters": params}
 
 
-_DOC = "abstract string, discussion string, returns string, throws string, localization_key string, parameters array<struct<name:string,description:string>>"
+_STRINGS = T.ArrayType(T.StringType())
 _DOC_KEYS = ["abstract", "discussion", "returns", "throws", "localization_key", "parameters"]
+_PARAMETERS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("description", T.StringType())]))
+_DOC = T.StructType([T.StructField(k, _PARAMETERS if k == "parameters" else T.StringType()) for k in _DOC_KEYS])
+_AVAILABILITY = T.StructType([T.StructField("available", _STRINGS), T.StructField("deprecated", T.StringType()), T.StructField("unavailable", T.StringType())])
+_PIECES = T.ArrayType(T.StructType([T.StructField("is_name", T.BooleanType()), T.StructField("text", T.StringType())]))
 
 
 def _frame(rows: list[dict | None], keys: list[str]) -> pd.DataFrame:
@@ -315,12 +320,12 @@ def xml_docs(s: pd.Series) -> pd.DataFrame:
     return _frame([parse_xml_docs(x) for x in s], _DOC_KEYS)
 
 
-@F.pandas_udf("available array<string>, deprecated string, unavailable string")
+@F.pandas_udf(_AVAILABILITY)
 def availability(s: pd.Series) -> pd.DataFrame:
     return _frame([parse_availability(x) for x in s], ["available", "deprecated", "unavailable"])
 
 
-@F.pandas_udf("array<struct<is_name:boolean,text:string>>")
+@F.pandas_udf(_PIECES)
 def pieces(s: pd.Series) -> pd.Series:
     return s.map(name_pieces)
 
@@ -388,6 +393,6 @@ def markdown_html(text: str | None, code_language: str = "swift") -> str | None:
     return "\n".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_html(s: pd.Series) -> pd.Series:
     return s.map(markdown_html)
