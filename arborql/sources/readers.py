@@ -13,13 +13,13 @@ from arborql.functions.text import re_escape, version_at_most
 from arborql.model import SYMBOL_GRAPH
 from arborql.operators.ordered import first_wins, islands, last_wins
 
-_PATH = F.col("_metadata.file_path")
+_PATH = "_metadata.file_path"
 
 
 def whole_files(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
     """(file, text) of files, optionally those whose name fits a glob (SRC18)."""
     r = spark.read.option("wholetext", True)
-    return (r.option("pathGlobFilter", pattern) if pattern else r).text(paths).select(_PATH.alias("file"), F.col("value").alias("text"))
+    return (r.option("pathGlobFilter", pattern) if pattern else r).text(paths).select(F.col(_PATH).alias("file"), F.col("value").alias("text"))
 
 
 def raw_symbols(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -70,7 +70,7 @@ def import_filter(df: DataFrame, module: str | None = None, pass_index: int | No
 def symbol_graphs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """SRC4, SRC5: (file_ord, module_name, fixed schema). The module is the file's, an extension file 'A@B' is of A
     about B."""
-    g = spark.read.schema(SYMBOL_GRAPH).option("multiLine", True).option("mode", "PERMISSIVE").json(paths).select("*", _PATH.alias("file_ord"))
+    g = spark.read.schema(SYMBOL_GRAPH).option("multiLine", True).option("mode", "PERMISSIVE").json(paths).select("*", F.col(_PATH).alias("file_ord"))
     name = F.regexp_extract("file_ord", r"([^/]*)\.symbols\.json$", 1)
     return g.where("metadata is not null").select("file_ord", F.regexp_extract(name, r"^([^@]*)", 1).alias("module_name"), F.nullif(F.regexp_extract(name, r"@(.*)$", 1), F.lit("")).alias("about_module"), "symbols", "relationships")
 
