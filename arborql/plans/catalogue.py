@@ -382,3 +382,6 @@ def q30_unevaluated(spark, sf_dir):
     h = hierarchy(spark, sf_dir)
     bad = (F.size("path") == 3) & (F.get("path", F.lit(2)) % 7 == 0)
     return tree.unevaluated(h, bad).groupBy(F.size("path").cast("long").alias("depth")).agg(F.count("*").alias("unevaluated"))
+
+
+from arborql.plans import more  # noqa: E402, F401  (adds to QUERIES)
