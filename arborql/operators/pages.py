@@ -54,15 +54,15 @@ def linear(pages: DataFrame, group: str | None = None) -> DataFrame:
     """WIN3: prev_url and next_url over rows with render_as_page in path order; the readme closes the ring: its next
     is the first page and its previous the last. ``group`` bounds the order to one corpus, site or module, so
     that a window never holds everything."""
-    part = [group] if group else []
     base = pages.where("render_as_page")
+    part = [group or "__all"]
+    base = base if group else base.withColumn("__all", F.lit(0))
     body = base.where("item_type <> 'readme'")
     w = W.partitionBy(*part).orderBy("path")
     out = body.withColumns({"prev_url": F.lag("url_path").over(w), "next_url": F.lead("url_path").over(w)})
     ends = body.groupBy(*part).agg(F.min_by("url_path", "path").alias("next_url"), F.max_by("url_path", "path").alias("prev_url"))
     readme = base.where("item_type = 'readme'")
-    readme = readme.join(ends, part, "left") if part else readme.crossJoin(F.broadcast(ends))  # one row
-    return out.unionByName(readme)
+    return out.unionByName(readme.join(ends, part, "left")).drop("__all")
 
 
 def breadcrumbs(items: DataFrame, title: str = "name") -> DataFrame:
