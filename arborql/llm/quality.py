@@ -23,7 +23,7 @@ MAX_REPEAT_PERCENT = 50
 METRICS = {
     "symbol_rate": ("n_symbols", "n_words", 200),
     "dup_line_rate": ("n_dup_lines", "n_lines", 600),
-    "repeat_rate": ("n_repeat_words", "n_words", 300),
+    "repeat_rate": ("n_repeat_words", "n_words", 450),
     "shout_rate": ("n_shout", "word_chars", 100),
     "word_length": ("word_chars", "n_words", 15000),
 }
