@@ -172,3 +172,28 @@ def toc_order(source_order: Column, title: Column, in_custom_group: Column) -> l
 
 def exact_pattern(name: str) -> str:
     return "^" + re_escape(name) + "$"
+
+
+def guide_titles(guides: DataFrame, titles: DataFrame) -> DataFrame:
+    """JN7: guides(name) with the title that titles(name, title) gives them, else their name."""
+    return guides.join(titles, "name", "left").withColumn("title", F.coalesce("title", "name"))
+
+
+def unused_titles(guides: DataFrame, titles: DataFrame) -> DataFrame:
+    """JN7, SET5"""
+    return titles.join(guides, "name", "left_anti")
+
+
+def listed_guides(claims: DataFrame, have_custom_groups: bool) -> DataFrame:
+    """GRP7: with custom groups and their setting, guides that no rule takes are left out."""
+    return claims.where(F.col("rule_ord").isNotNull() | (F.col("item_type") != "guide")) if have_custom_groups else claims
+
+
+def with_modules(items: DataFrame, modules: DataFrame) -> DataFrame:
+    """JN8: every item's module row; an item of an unknown module is an error that shows as a null policy."""
+    return items.join(modules, "module_name", "left")
+
+
+def by_depth(paths: DataFrame, column: str = "dir") -> DataFrame:
+    """OR5, SET4: distinct directories, the least nested first."""
+    return paths.select(column).distinct().orderBy(F.size(F.split(column, "/")), column)

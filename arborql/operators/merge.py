@@ -107,3 +107,18 @@ def notes_joined(notes: Column, order: list[str]) -> Column:
 def last_pass(passes: DataFrame) -> DataFrame:
     """AGG16: a row per module, of its last pass, by name."""
     return first_wins(passes, ["module_name"], ["pass_index"], last=True).orderBy("module_name")
+
+
+def with_other_language(defs: DataFrame, info: DataFrame) -> DataFrame:
+    """JN5, PRJ18: Swift definitions with the Objective-C name and declaration of their usr, where there are both."""
+    i = info.where("name is not null and declaration is not null").select("usr", F.struct("name", "declaration").alias("other"))
+    return defs.join(i, "usr", "left")
+
+
+def generic_parameters(rows: DataFrame) -> DataFrame:
+    """PRJ9: generic parameters leave the children and become a sorted set on their parent; children of Objective-C
+    typedefs go. rows(path, parent_path, kind, parent_kind, name)."""
+    is_param = F.col("kind").endswith("generic_type_param")
+    g = rows.where(is_param).groupBy(F.col("parent_path").alias("path")).agg(F.array_sort(F.collect_set("name")).alias("generic_params"))
+    kept = rows.where(~is_param & ~F.coalesce(F.col("parent_kind").endswith("objc.decl.typedef"), F.lit(False)))
+    return kept.join(g, "path", "left").withColumn("generic_params", F.coalesce("generic_params", F.array().cast("array<string>")))

@@ -97,3 +97,21 @@ def numbered_match(left: DataFrame, right: DataFrame, on: list[str], left_order:
     l = left.withColumn("__n", F.row_number().over(W.partitionBy(*on).orderBy(*left_order)))
     r = right.withColumn("__n", F.row_number().over(W.partitionBy(*on).orderBy(*right_order)))
     return l.join(r, [*on, "__n"]).drop("__n")
+
+
+def set_minus(a: Column, b: Column) -> Column:
+    """SET3: what a has and b has not, each once."""
+    return F.array_except(a, b)
+
+
+def set_meets(a: Column, b: Column) -> Column:
+    """SET3: whether both share a value."""
+    return F.arrays_overlap(a, b)
+
+
+def union_distinct(*frames: DataFrame) -> DataFrame:
+    """SET4"""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out.distinct()

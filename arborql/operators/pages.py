@@ -119,3 +119,32 @@ def code_host_url(prefix: Column, file: Column, source_dir: Column, first: Colum
     two = {"github": F.concat(F.lit("#L"), n(first), F.lit("-L"), n(last)), "gitlab": F.concat(F.lit("#L"), n(first), F.lit("-"), n(last)), "bitbucket": F.concat(F.lit("#lines-"), n(first), F.lit(":"), n(last))}[style]
     line = F.when(first.isNull(), F.lit("")).when(last.isNull() | (first == last), one).otherwise(two)
     return F.when(F.startswith(file, root), F.concat(prefix, F.lit("/"), tail, line))
+
+
+def assemble(items: DataFrame) -> DataFrame:
+    """LNK14: a row per page of items(path, item_type, name, url_path, url_hash, topic_id, topic_title, abstract): title,
+    breadcrumbs, previous and next page, and topics as array<struct<title, anchor, items>>. What a page shows is
+    bounded by what its parent item holds."""
+    kids = items.where(F.size("path") > 1).select(F.slice("path", F.lit(1), F.size("path") - 1).alias("parent"), F.element_at("path", -1).alias("ord"), "name", "url_path", "url_hash", "topic_id", "topic_title")
+    runs = islands(kids, ["topic_id"], ["parent"], ["ord"])
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("ord", "name", "url_path", "url_hash"))), lambda x: F.struct(x["name"].alias("name"), x["url_path"].alias("url_path"), x["url_hash"].alias("url_hash")))
+    t = runs.groupBy("parent", "island").agg(F.min_by("topic_title", "ord").alias("title"), shown.alias("items"))
+    t = t.withColumn("anchor", unique_names(F.concat(F.lit("tpc-"), slugged(F.coalesce("title", F.lit("")))), ["parent"], ["island"]))
+    t = t.groupBy("parent").agg(F.transform(F.array_sort(F.collect_list(F.struct("island", "title", "anchor", "items"))), lambda x: F.struct(x["title"].alias("title"), x["anchor"].alias("anchor"), x["items"].alias("items"))).alias("topics"))
+    own = breadcrumbs(items).where("url_hash is null").withColumn("render_as_page", F.lit(True))
+    p = linear(own).join(t.withColumnRenamed("parent", "path"), "path", "left")
+    return p.select("path", "item_type", F.col("name").alias("title"), "url_path", "abstract", "breadcrumbs", "prev_url", "next_url", "topics")
+
+
+def page_dictionaries(assembled: DataFrame, languages_: list[str], globals_: dict[str, str]) -> DataFrame:
+    """SNK4, SNK5, LNK16: the values that a page template or docs-json gets, a JSON text per page and language: the
+    page's over the global ones."""
+    common = [F.lit(v).alias(k) for k, v in sorted(globals_.items()) if k not in assembled.columns and k != "language"]
+    p = page_languages(assembled, languages_)
+    return p.withColumn("json", F.to_json(F.struct(*common, "language", "title", "url_path", "abstract", "breadcrumbs", "prev_url", "next_url", "topics"))).select("path", "language", "url_path", "json")
+
+
+def menu(groups: DataFrame) -> DataFrame:
+    """LNK16: the legacy menu: a title and links per group, in order. groups(group_title, group_rank, name, url_path)."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("name", "url_path"))), lambda x: F.struct(x["name"].alias("name"), x["url_path"].alias("url")))
+    return groups.groupBy("group_rank", "group_title").agg(rows.alias("children")).orderBy("group_rank")

@@ -279,3 +279,30 @@ def test_declaration_columns(spark):
 def test_markdown():
     h = decls.markdown_html("# Title `x`\n\nA *b* <c>\n- one\n- two\n\n```\ncode <\n```\n![i|50%](p.png)")
     assert '<h1 id="title-x">Title <code>x</code></h1>' in h and "<p>A <em>b</em> &lt;c&gt;</p>" in h and "<ul><li>one</li><li>two</li></ul>" in h and 'class="language-swift">code &lt;' in h and "width: 50%" in h
+
+
+def test_page_assembly(spark):
+    items = frame(spark, [([0], "group", "Types", "types.html", None, None, None, None), ([0, 0], "def", "A", "types/a.html", None, "t1", "One", "about"), ([0, 0, 0], "def", "x", "types/a.html", "/x", "t1", "One", None), ([0, 0, 1], "def", "y", "types/a.html", "/y", "t2", "One", None)],
+                  "path array<int>, item_type string, name string, url_path string, url_hash string, topic_id string, topic_title string, abstract string")
+    r = {x.title: x for x in pages.assemble(items).collect()}
+    assert set(r) == {"Types", "A"} and r["A"].breadcrumbs == ["Types", "A"] and (r["A"].prev_url, r["Types"].next_url) == ("types.html", "types/a.html")
+    assert [(t.title, t.anchor, [i.name for i in t["items"]]) for t in r["A"].topics] == [("One", "tpc-one", ["x"]), ("One", "tpc-one1", ["y"])]
+    d = pages.page_dictionaries(pages.assemble(items), ["en", "fr"], {"copyright": "c", "title": "never"}).collect()
+    assert len(d) == 4 and json.loads(d[0].json)["copyright"] == "c" and {json.loads(x.json)["title"] for x in d} == {"Types", "A"}
+    m = pages.menu(frame(spark, [("G", 1, "b", "u2"), ("G", 1, "a", "u1"), ("H", 0, "c", "u3")], "group_title string, group_rank int, name string, url_path string")).collect()
+    assert [(x.group_title, [c.name for c in x.children]) for x in m] == [("H", ["c"]), ("G", ["a", "b"])]
+
+
+def test_small_joins_and_sets(spark):
+    g = frame(spark, [("One",), ("Two",)], "name string")
+    t = frame(spark, [("One", "First"), ("No", "x")], "name string, title string")
+    assert {r.name: r.title for r in group.guide_titles(g, t).collect()} == {"One": "First", "Two": "Two"} and [r.name for r in group.unused_titles(g, t).collect()] == ["No"]
+    c = frame(spark, [("a", "guide", None), ("b", "guide", 1), ("c", "def", None)], "name string, item_type string, rule_ord int")
+    assert {r.name for r in group.listed_guides(c, True).collect()} == {"b", "c"} and group.listed_guides(c, False).count() == 3
+    assert [r.dir for r in group.by_depth(frame(spark, [("a/b",), ("c",), ("a/b",)], "dir string")).collect()] == ["c", "a/b"]
+    s = spark.createDataFrame([(["a", "b", "a"], ["b"])], "a array<string>, b array<string>").select(ordered.set_minus(F.col("a"), F.col("b")).alias("m"), ordered.set_meets(F.col("a"), F.col("b")).alias("o"), ordered.multiset_minus(F.col("a"), F.col("b")).alias("x")).first()
+    assert s.m == ["a"] and s.o and s.x == ["a", "a"] and ordered.union_distinct(g, g).count() == 2
+    o = merge.with_other_language(frame(spark, [("u",), ("v",)], "usr string"), frame(spark, [("u", "n", "d"), ("v", None, "d")], "usr string, name string, declaration string"))
+    assert {r.usr: r.other and r.other.name for r in o.collect()} == {"u": "n", "v": None}
+    p = frame(spark, [([0], None, "x.class", None, "C"), ([0, 0], [0], "x.generic_type_param", "x.class", "T"), ([0, 1], [0], "x.method", "x.class", "m"), ([1, 0], [1], "x.field", "sourcekitten.source.lang.objc.decl.typedef", "f")], "path array<int>, parent_path array<int>, kind string, parent_kind string, name string")
+    assert {r.name: r.generic_params for r in merge.generic_parameters(p).collect()} == {"C": ["T"], "m": []}
