@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,17 @@ from arborql.tables import Tables
 WS_CLASS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
+
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system: workers live on between tasks, beside
+    those of other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def connected_components(edges: DataFrame, tables: Tables, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: (node, component), component being the least node.
 
@@ -24,13 +38,17 @@ def connected_components(edges: DataFrame, tables: Tables, max_rounds: int = 60)
         .distinct()
     )
     e = tables.write(e)
-    mark = None
+
+    def fingerprint(d: DataFrame):
+        return d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    mark = fingerprint(e)
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = (
             both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v").distinct()
+            .where("u <> v")
         )
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -40,7 +58,7 @@ def connected_components(edges: DataFrame, tables: Tables, max_rounds: int = 60)
             .select("s.*").where("u <> v").distinct()
         )
         new = tables.write(small)
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = fingerprint(new)
         tables.drop(e)
         e = new
         if now == mark:
