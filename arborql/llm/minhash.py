@@ -4,13 +4,13 @@ Each of PERMUTATIONS hashes of a document's shingles gives two signature values,
 both match with probability equal to the Jaccard similarity, so half the hash evaluations do for a signature,
 and the two are less than independently spread. Documents of equal sets are merged first.
 
-Candidates share a band. Their links are confirmed on full sets, but not pair by pair within a band's bucket:
-1. every member with the leader (least member) of the bucket that it shares most bands with;
-2. of what is still in different components, every member with its best partner in each other component;
-3. every other pair in different components.
-A pair within one component need not be confirmed, since only components are asked for. Rounds 2 and 3 read
-buckets in tiles and pass over pairs whose signatures agree in so few places (five standard deviations below
-the threshold) that they cannot be links. With 32 bands of 4 values, a pair at similarity 0.8 shares no band
+Candidates share a band. Their links are confirmed on full sets, but pairs are never written out:
+1. every member is confirmed with the leader (least member) of the bucket that it shares most bands with;
+2. buckets that still hold several components make up families (what buckets join); a family's rows are cut
+   into tiles, and two tiles meet in one task, which returns a forest of confirmed links.
+A pair within one component need not be confirmed, since only components are asked for. Step 2 passes over
+pairs whose signatures agree in so few places (five standard deviations below the threshold) that they cannot
+be links; full sets come only for rows with a pair left. With 32 bands of 4 values, a pair at similarity 0.8 shares no band
 once in 20 million times."""
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborql.llm.common import connected_components
+from arborql.llm.common import connected_components, release
 from arborql.llm.tiles import block_pairs
 
 PERMUTATIONS, BAND = 64, 4
@@ -31,7 +31,9 @@ VALUES = 2 * PERMUTATIONS
 BANDS = VALUES // BAND
 SEED = 20240901
 #: Words whose hashes a worker keeps, and rows of a bucket's tile.
-WORDS_KEPT, ROWS_A_TILE = 400_000, 1024
+WORDS_KEPT, ROWS_A_TILE = 150_000, 256
+#: Shingles whose hashes under all permutations are made at once, to stay in a core's cache.
+HASHES_AT_ONCE = 512
 #: Members that are compared with one leader in one task.
 MEMBERS_A_TASK = 512
 
@@ -82,14 +84,16 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
 
 
 _A, _B = _permutations()
-#: The values that a band takes are dealt out so that a permutation's two values are in one band.
+
 def signature(s: np.ndarray) -> np.ndarray:
-    """VALUES 32-bit values: minimum and maximum of each permutation."""
-    low, high = np.empty(PERMUTATIONS, np.uint64), np.empty(PERMUTATIONS, np.uint64)
-    for k in range(PERMUTATIONS):
-        v = s * _A[k] + _B[k]
+    """VALUES 32-bit values: minimum and maximum of each permutation, side by side, so in one band."""
+    low, high = np.full(PERMUTATIONS, ~np.uint64(0)), np.zeros(PERMUTATIONS, np.uint64)
+    for k in range(0, len(s), HASHES_AT_ONCE):
+        v = s[None, k:k + HASHES_AT_ONCE] * _A[:, None]
+        v += _B[:, None]
         v ^= v >> np.uint64(29)
-        low[k], high[k] = v.min(), v.max()
+        np.minimum(low, v.min(axis=1), out=low)
+        np.maximum(high, v.max(axis=1), out=high)
     out = np.empty(VALUES, np.uint64)
     out[0::2], out[1::2] = low, high
     return (_mix(out) >> np.uint64(32)).astype("<u4")
@@ -125,6 +129,8 @@ def sketch(df: DataFrame, size: int, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())],
                 ["doc_id", "th", "n_shingles", "f1", "f2", "sig"])
+        _hashes.clear()
+        release()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t")).mapInArrow(run, SKETCH)
@@ -152,53 +158,84 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                     a_out.append(a)
                     b_out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+        _hashes.clear()
+        release()
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def _agreeing(least: int, best: bool):
-    """Of two tiles of a bucket: pairs in different components whose signatures agree in ``least`` places; with
-    best, only each row's best partner in each other component."""
+def _crossing(tile, comp, n, sig, i: int, j: int, least: int, percent: int):
+    """(rows, partners, agreement) of the pairs between tiles i and j that are in different components and may be
+    similar by their set sizes and signatures."""
+    xi = np.flatnonzero(tile == i)
+    yi = xi if i == j else np.flatnonzero(tile == j)
+    a, b, m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x in xi:
+        y = yi[(comp[yi] != comp[x]) & (100 * np.minimum(n[yi], n[x]) >= percent * np.maximum(n[yi], n[x]))]
+        if i == j:
+            y = y[y > x]
+        if len(y):
+            same = (sig[y] == sig[x]).sum(axis=1)
+            y, same = y[same >= least], same[same >= least]
+            a.append(np.full(len(y), x))
+            b.append(y)
+            m.append(same)
+    return np.concatenate(a), np.concatenate(b), np.concatenate(m)
+
+
+def _columns(t, *names):
+    return [t.column(c).to_numpy() for c in names]
+
+
+def _signatures(t):
+    return np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(t.num_rows, -1)
+
+
+def _involved(least: int, percent: int):
+    """Of two tiles of a family: the rows that have a pair to confirm."""
+
+    def run(key, t):
+        _, i, j = (k.as_py() for k in key)
+        a, b, _ = _crossing(*_columns(t, "tile", "comp", "n_shingles"), _signatures(t), i, j, least, percent)
+        return t.take(pa.array(np.unique(np.concatenate([a, b]))))
+
+    return run
+
+
+def _joined(least: int, size: int, percent: int):
+    """Of two tiles: links between components that are confirmed on the full sets. The pairs most alike come
+    first, and a pair that links have joined by then is passed over, so what leaves is a forest."""
 
     def run(key, t):
         _, i, j = (k.as_py() for k in key)
-        tile, node, comp, n = (t.column(c).to_numpy() for c in ("tile", "node", "comp", "n_shingles"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(len(node), -1)
-        xi = np.flatnonzero(tile == i)
-        yi = xi if i == j else np.flatnonzero(tile == j)
-        out_a, out_b, out_m = [], [], []
-        for x in xi:
-            other = yi[comp[yi] != comp[x]]
-            if i == j:
-                other = other[other > x]
-            if not len(other):
-                continue
-            m = (sig[other] == sig[x]).sum(axis=1)
-            ok = m >= least
-            out_a.append(np.full(ok.sum(), x))
-            out_b.append(other[ok])
-            out_m.append(m[ok])
-        a = np.concatenate([*out_a, np.zeros(0, np.int64)]).astype(np.int64)
-        b = np.concatenate([*out_b, np.zeros(0, np.int64)]).astype(np.int64)
-        m = np.concatenate([*out_m, np.zeros(0, np.int64)]).astype(np.int64)
-        if best and len(a):
-            keep = np.zeros(len(a), bool)
-            for one, two in ((a, b), (b, a)):
-                order = np.lexsort((node[two], -m, comp[two], one))
-                o1, o2 = one[order], comp[two][order]
-                new = np.ones(len(order), bool)
-                new[1:] = (o1[1:] != o1[:-1]) | (o2[1:] != o2[:-1])
-                keep[order[new]] = True
-            a, b = a[keep], b[keep]
-        na, nb = node[a], node[b]
-        return pa.table({"a": np.minimum(na, nb), "b": np.maximum(na, nb)})
+        node, comp = _columns(t, "node", "comp")
+        a, b, m = _crossing(*_columns(t, "tile", "comp", "n_shingles"), _signatures(t), i, j, least, percent)
+        sets = [shingles(x, size) for x in t.column("text").to_pylist()]
+        up: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (above := up.get(c, c)) != c:
+                up[c] = up.get(above, above)
+                c = above
+            return c
+
+        one, two = [], []
+        for k in np.argsort(-m, kind="stable"):
+            x, y = a[k], b[k]
+            p, q = find(int(comp[x])), find(int(comp[y]))
+            if p != q and similar(sets[x], sets[y], percent):
+                up[max(p, q)] = min(p, q)
+                one.append(node[x])
+                two.append(node[y])
+        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
 
     return run
 
 
 def classes(df: DataFrame, tables, size: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id (least doc_id reachable by links, itself
-    included), kept (doc_id = component_id) for every row of df.
+    included), kept (doc_id = component_id), and group (a number of the component, null without words) for every
+    row of df.
 
     A-Z count as a-z; words are stretches without ASCII white space. Null and empty texts and texts without
     words have an empty set, link with nothing, and are their own component. Repeated rows and equal sets are
@@ -226,38 +263,37 @@ def classes(df: DataFrame, tables, size: int = 5, percent: int = 80, text_col: s
 
     star = members.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
     star = star.groupBy("node").agg(F.max_by("leader", F.struct(F.col("n").alias("n"), (-F.col("leader")).alias("l"))).alias("leader"))
-    tried = tables.write(fitting(star.select(F.col("leader").alias("a"), F.col("node").alias("b"))))
-    links = tables.write(confirm(tried, texts, size, percent))
+    star = fitting(star.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    links = tables.write(confirm(star, texts, size, percent))
+    groups = connected_components(links, tables)
+    m = tables.write(members.join(groups, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp")))
+    mixed = m.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("node").alias("first")).where("c1 <> c2")
+    open_ = tables.write(m.join(mixed.select("band", "first"), "band").select("node", "comp", "first").distinct())
+    family = connected_components(open_.select(F.col("node").alias("a"), F.col("first").alias("b")), tables).withColumnRenamed("component", "family")
+    rows = open_.select("node", "comp").distinct().join(family, "node")
+    tiles = rows.groupBy("family").agg(F.expr(f"cast((count(*) + {ROWS_A_TILE - 1}) div {ROWS_A_TILE} as int)").alias("tiles"))
+    rows = rows.join(tiles, "family").join(reps.select("node", "sig", "n_shingles"), "node")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    rows = rows.select("family", "node", "comp", "n_shingles", "sig", "tile", F.explode(block_pairs(F.col("tile"), F.col("tiles"))).alias("p"))
+    rows = rows.select("family", "p.i", "p.j", "node", "comp", "n_shingles", "sig", "tile")
     p = percent / 100
     least = math.floor(VALUES * p - 5 * math.sqrt(VALUES * p * (1 - p)))
-    groups = connected_components(links, tables)
-    for best in (True, False):
-        m = members.join(groups, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
-        mixed = m.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 <> c2")
-        mixed = mixed.select("band", F.expr(f"(n + {ROWS_A_TILE - 1}) div {ROWS_A_TILE}").alias("tiles"))
-        m = m.join(mixed, "band").join(reps.select("node", "sig", "n_shingles"), "node")
-        m = m.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        m = m.select("*", F.explode(block_pairs(F.col("tile"), F.col("tiles"))).alias("p"))
-        found = m.select("band", "node", "comp", "n_shingles", "sig", "tile", "p.i", "p.j").groupBy("band", "i", "j").applyInArrow(_agreeing(least, best), "a long, b long")
-        fresh = fitting(found.distinct().join(tried, ["a", "b"], "left_anti"))
-        fresh = tables.write(fresh)
-        more = tables.write(confirm(fresh, texts, size, percent))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            groups = connected_components(links, tables)
-        tried = tried.unionByName(fresh)
+    some = tables.write(rows.groupBy("family", "i", "j").applyInArrow(_involved(least, percent), rows.schema))
+    more = some.join(texts, "node").groupBy("family", "i", "j").applyInArrow(_joined(least, size, percent), "a long, b long")
+    groups = connected_components(links.unionByName(tables.write(more)), tables)
     r = reps.select("f1", "f2", "low", "node").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
     low = r.groupBy("c").agg(F.min("low").alias("least"))
-    r = r.join(low, "c").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "least")
+    r = r.join(low, "c").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "least", F.col("c").alias("group"))
     j = docs.drop("sig").join(r, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") > 0), "left")
     comp = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return j.select("doc_id", "th", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
+    return j.select("doc_id", "th", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"), "group")
 
 
 def dedup(df: DataFrame, tables, size: int = 5, percent: int = 80) -> DataFrame:
-    """df's rows, one of each group of near copies: the one with the least doc_id, repeated rows once. Rows
-    without words are kept."""
-    c = classes(df, tables, size, percent).where("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    """df's rows, one of each group of near copies: the one with the least doc_id, repeated rows once; a group
+    that has null doc_ids only keeps one row too. Rows without words are kept."""
+    c = classes(df, tables, size, percent).where("kept or component_id is null")
+    c = c.groupBy(F.col("doc_id").alias("__id"), "group").agg(F.min("th").alias("__th"))
     src = df.withColumn("__h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    j = src.join(c, (src["doc_id"] == c["__id"]) & (src["__h"] == c["__th"]), "left_semi")
-    return j.dropDuplicates(["doc_id"]).select(df.columns)
+    j = src.join(c, src["doc_id"].eqNullSafe(c["__id"]) & (src["__h"] == c["__th"]), "left_semi")
+    return j.dropDuplicates(["doc_id", "__h"]).select(df.columns)
