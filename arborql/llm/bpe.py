@@ -12,7 +12,9 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import regex
@@ -20,14 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arborql.llm.common import release
+
 #: The pre-tokenizer's pattern, and Unicode's White_Space characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = r"[\t-\r \x85\xa0  -     　]+"
 
 #: Words whose ids a worker keeps; beyond it the store starts anew, so memory is bounded.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 240_000
 #: Text characters handled and sent back at once by a worker.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 2_000_000
 
 
 def printable_bytes() -> list[str]:
@@ -71,9 +75,8 @@ class Codec:
         self.strings = [""] * (max([*ids.values(), *self.special.values()]) + 1)
         for s, i in [*ids.items(), *self.special.items()]:
             self.strings[i] = s
-        #: ids of words met lately, in two generations, and of their pieces
-        self.kept: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        #: ids of words met lately, and of their pieces
+        self.kept = Kept(self.word_ids)
         self.pieces: dict[str, list[int]] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
@@ -136,42 +139,53 @@ class Codec:
             self.pieces = {}
         return out
 
-    def plain(self, text: str, out: list[int]) -> None:
-        kept, older = self.kept, self.older
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        for w in self.space.split(text) if odd else text.split():
-            found = kept.get(w)
-            if found is None:
-                found = older.get(w)
-                if found is None:
-                    found = self.word_ids(w)
-                if len(kept) >= WORDS_KEPT // 2:
-                    self.older = older = kept
-                    self.kept = kept = {}
-                if len(w) <= 200:
-                    kept[w] = found
-            out += found
-
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def parts(self, text: str | None) -> list[list[int]]:
+        """Ids of a text, in lists that follow one another."""
         if not text:
-            return out
+            return []
         if self.by_special is None or not any(m in text for m in self.marks):
-            self.plain(text, out)
-            return out
+            return self.plain(text)
+        out: list[list[int]] = []
         for k, part in enumerate(self.by_special.split(text)):
             if k % 2:
-                out.append(self.special[part])
+                out.append([self.special[part]])
             elif part:
-                self.plain(part, out)
+                out += self.plain(part)
         return out
 
+    def plain(self, text: str) -> list[list[int]]:
+        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
+        return list(map(self.kept.__getitem__, filter(None, self.space.split(text)) if odd else text.split()))
+
+    def encode(self, text: str | None) -> list[int]:
+        return list(chain.from_iterable(self.parts(text)))
+
     def decode(self, ids) -> str:
         """Vocabulary strings joined; this file names no decoder, so they stand with a space between."""
         strings = self.strings
         return " ".join([strings[i] for i in ids])
 
 
+class Kept(dict):
+    """Ids of words met lately: a missing word is encoded; when half the bound is reached, the words met since
+    become the older generation, from which a word met again comes back."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, word: str) -> list[int]:
+        found = self.older.get(word)
+        if found is None:
+            found = self.encode(word)
+        if len(self) >= WORDS_KEPT // 2:
+            self.older = dict(self)
+            self.clear()
+        if len(word) <= 200:
+            self[word] = found
+        return found
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -211,15 +225,13 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", out_col: str
         for whole in batches:
             sizes = [0 if n is None else n for n in pa.compute.binary_length(whole.column(0)).to_pylist()]
             for b in _parts(whole, sizes):
-                flat: list[int] = []
-                ends = [0]
-                for t in b.column(0).to_pylist():
-                    flat += c.encode(t)
-                    ends.append(len(flat))
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                texts = [c.parts(t) for t in b.column(0).to_pylist()]
+                ends = np.cumsum([0, *[sum(map(len, x)) for x in texts]])
+                flat = np.fromiter(chain.from_iterable(chain.from_iterable(texts)), np.int32, ends[-1])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], ids], [*keep, out_col])
-
-
+                texts = flat = ids = None
+        release()
 
     src = df.select(F.col(text_col).alias("__text"), *[F.col(k) for k in keep])
     return src.mapInArrow(run, T.StructType([*fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
@@ -233,14 +245,19 @@ def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str =
     def run(batches):
         c = codec(vocab_path)
         at = names.index(ids_col)
+        vocabulary = pa.array(c.strings, pa.string())
         for whole in batches:
             sizes = [4 * (n or 0) for n in pa.compute.list_value_length(whole.column(at)).to_pylist()]
             for b in _parts(whole, sizes):
+                # the vocabulary's strings are taken and joined by Arrow, a list at a time
                 ids = b.column(at)
-                texts = [c.decode(x) if x else "" for x in ids.to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, out_col])
-
-
+                ends = ids.offsets.to_numpy()
+                own = vocabulary.take(ids.values.slice(ends[0], ends[-1] - ends[0]))
+                texts = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), own), " ")
+                texts = pa.compute.if_else(ids.is_null(), "", texts)
+                yield pa.RecordBatch.from_arrays([*b.columns, texts], [*names, out_col])
+                own = texts = ids = None
+        release()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
 
