@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 POINTS, GOLDEN = 1 << 31, 1327217885
 #: Slots ranked together before the ranks of earlier chunks are added.
 CHUNK = 1 << 16
+#: Even blocks: the least number of blocks of a source that has as many words.
+LEAST_BLOCKS = 64
 
 
 @dataclass(frozen=True)
@@ -93,6 +95,25 @@ def schedule(spark: SparkSession, shares: DataFrame, slots: int) -> DataFrame:
     return ranked.join(per, ["sid", "chunk"]).select("slot", "sid", (F.col("base") + F.col("r")).alias("rank"))
 
 
+def blocked(shares: DataFrame, block: int, even: bool) -> DataFrame:
+    """shares plus n_blocks, and base and rem: a source's first rem blocks have base + 1 words, the others base.
+    Blocks of ``block`` words leave the source's last one short; even blocks differ by a word at most."""
+    whole = f"(source_size + {block - 1}) div {block}"
+    if not even:
+        return shares.withColumns({"n_blocks": F.expr(whole), "base": F.lit(block).cast("long"), "rem": F.lit(0).cast("long")})
+    s = shares.withColumn("n_blocks", F.expr(f"greatest(1, {whole}, least(source_size, {LEAST_BLOCKS}))"))
+    return s.withColumns({"base": F.expr("greatest(1, source_size div n_blocks)"), "rem": F.expr("source_size % n_blocks")})
+
+
+def by_blocks(shares: DataFrame) -> DataFrame:
+    """shares with tn, upto and all_tn in a source's own blocks in place of words, so that a slot is one block of
+    whatever size."""
+    d38 = "decimal(38,0)"
+    n = F.floor(F.col("tn").cast("double") * 1000 * F.col("n_blocks") / F.greatest("source_size", F.lit(1))).cast(d38)
+    s = shares.withColumn("tn", F.when(F.col("n_blocks") == F.col("source_size"), F.col("tn") * 1000).otherwise(n).cast(d38))
+    return s.withColumns({"all_tn": F.sum("tn").over(W.partitionBy()).cast(d38), "upto": F.sum("tn").over(W.orderBy("sid")).cast(d38)})
+
+
 def places(docs: DataFrame) -> DataFrame:
     """docs plus a: the words of its source's stream before it. Sums within hashed buckets, then over buckets."""
     b = docs.withColumn("bucket", F.substring("h", 1, 3))
@@ -103,29 +124,38 @@ def places(docs: DataFrame) -> DataFrame:
     return b.join(per, ["sid", "bucket"]).select(*docs.columns, (F.col("base") + F.col("within")).alias("a"))
 
 
-def mix(df: DataFrame, tables, how: Mix = Mix(), text_col: str = "text") -> DataFrame:
+def mix(df: DataFrame, tables, how: Mix = Mix(), text_col: str = "text", even: bool = False) -> DataFrame:
     """A row per row of df: doc_id, source, size, source_size, target, taken (words, repeats counted).
 
     Null and empty texts have size 0 and nothing taken; a null source is a source, the last. Repeated rows are
     rows of their own. An empty table gives an empty result. A slot beyond most_times passes takes nothing, so
-    no document exceeds most_times its size; each source's taken words miss its target by a few blocks."""
+    no document exceeds most_times its size; each source's taken words miss its target by a few blocks.
+
+    Without ``even`` every slot counts as a full block, as in the SQL of op7_mixing, so a source of few blocks falls
+    short by what its last block lacks. With it a source's blocks are equal and slots are dealt by their number."""
     spark = df.sparkSession
     docs = tables.write(sized(df, how, text_col))
     shares = tables.write(targets(docs, how))
     total = shares.agg(F.sum("source_size")).first()[0] or 0
     words = total * how.share_percent // 100
     block = max(1, min(how.most_block, words // how.blocks))
+    shares = blocked(shares, block, even)
     slots = -(-words // block)
+    if even:
+        shares = tables.write(by_blocks(shares))
+        asked = shares.where("source_size > 0").agg(F.sum(F.col("target") * F.col("n_blocks") / F.col("source_size"))).first()[0] or 0
+        slots = int(asked + 1e-6)
     own = docs.join(shares, docs["source"].eqNullSafe(shares["source"])).select(
         "doc_id", docs["source"], "size", "h", "sid", "source_size", "target")
-    plan = schedule(spark, shares, slots).join(shares.select("sid", "source_size"), "sid")
-    plan = plan.withColumn("n_blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
+    plan = schedule(spark, shares, slots).join(shares.select("sid", "n_blocks"), "sid")
     takes = plan.where(F.col("rank") < how.most_times * F.col("n_blocks")).groupBy(
         "sid", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("times"))
     placed = tables.write(places(own).withColumn("row", F.monotonically_increasing_id()))
-    cut = placed.where("size > 0").select(
-        "row", "sid", "a", "size", F.explode(F.expr(f"sequence(a div {block}, (a + size - 1) div {block})")).alias("block"))
-    over = F.least(F.col("a") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("a"), F.col("block") * block)
+    at = lambda w: f"if({w} < rem * (base + 1), ({w}) div (base + 1), rem + ({w} - rem * (base + 1)) div base)"
+    begin = lambda b: b * F.col("base") + F.least(b, F.col("rem"))
+    cut = placed.where("size > 0").join(shares.select("sid", "base", "rem"), "sid").select(
+        "row", "sid", "a", "size", "base", "rem", F.explode(F.expr(f"sequence({at('a')}, {at('a + size - 1')})")).alias("block"))
+    over = F.least(F.col("a") + F.col("size"), begin(F.col("block") + 1)) - F.greatest(F.col("a"), begin(F.col("block")))
     taken = cut.join(takes, ["sid", "block"]).groupBy("row").agg(F.sum(over * F.col("times")).alias("taken"))
     return placed.join(taken, "row", "left").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -135,7 +165,7 @@ def repeats(df: DataFrame, tables, how: Mix = Mix()) -> DataFrame:
     """df's rows as the mix takes them: each as often as its taken words fill it, to the nearest whole (0 to
     most_times). Only the document at a source's end is cut by a block, so a source keeps its words within one
     document. Rows of one doc_id share their mean."""
-    m = mix(df.select("doc_id", "source", "text"), tables, how).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("n"))
+    m = mix(df.select("doc_id", "source", "text"), tables, how, even=True).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("n"))
     m = m.select(F.col("doc_id").alias("__id"), F.round(F.try_divide("t", "n")).cast("int").alias("__times")).where("__times > 0")
     j = df.join(m, df["doc_id"].eqNullSafe(m["__id"]))
     return j.select(*[df[c] for c in df.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__k")).drop("__k")
