@@ -24,12 +24,17 @@ TRAIN_STEPS = 250
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object textarea title select canvas".split())
+#: Elements whose content is no markup up to their end tag, or the page's end.
+RAW = frozenset("script style iframe textarea title".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
-    "form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section summary table "
+    "form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table "
     "tbody td tfoot th thead tr ul".split())
-CLOSES_P = BLOCK - {"body", "html", "head", "label", "option", "button"}
+CLOSES_P = BLOCK - {"body", "html", "head", "label", "optgroup", "option", "select", "button"}
+#: Drawings and formulas: their tags may close themselves, and a start tag of text ends an unclosed one, unless it
+#: is in an element of the second kind.
+FOREIGN, HOLDS_TEXT = ("svg", "math"), frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+ENDS_FOREIGN = (CLOSES_P - {"select"}) | frozenset("b big br code em embed i img p s small span strike strong sub sup tt u var".split())
 #: A start tag that ends an open element of the same kind, unless one of the second kind is opened in between.
 SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "option": {"select"}}
 
@@ -50,6 +55,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]
     parts: list[str] = []
     at: tuple = ()
     linked = 0
+    shut = True  # whether a template's end tag may follow
 
     def flush() -> None:
         nonlocal linked
@@ -105,11 +111,22 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
                 pos = end.end() if end else n
             continue
+        if tag == "template" and shut:  # never shown; an unclosed one is like any other element
+            end = re.compile(r"</template\b[^>]*>", re.I).search(page, pos)
+            if end:
+                pos = end.end()
+                continue
+            shut = False
+        if tag in ENDS_FOREIGN:
+            for f in FOREIGN:
+                close(f, HOLDS_TEXT)
+        if tag in CLOSES_P:
+            close("select", BLOCK - {"select", "option", "optgroup"})
         if tag in BLOCK:
             flush()
         if tag == "br":
             parts and parts.append(" ")
-        if tag in VOID:
+        if tag in VOID or attrs.endswith("/") and (tag in FOREIGN or any(t in FOREIGN for t, _ in stack)):
             continue
         if tag in CLOSES_P:
             close("p", BLOCK - {"p"})
@@ -172,10 +189,12 @@ AROUND = {
 }
 MAIN = ["content", "article", "post", "entry", "main", "story", "body", "text", "page"]
 
+WORDS = "ab cdo efi gha ijke lmno pqre stu vwxa yzé elan oriv sunte marlo dekin fabru hostel quibe tarn vilto".split()
+
 
 def labelled_pages(n: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> list[tuple[str, list[str]]]:
     """n pages with the texts of their main blocks."""
-    r = random.Random(seed)
+    r, more = random.Random(seed), random.Random(f"{seed} embedded")
     letters = "abcdefghijklmnopqrstuvwxyzéèäößñ"
     word = lambda: "".join(r.choice(letters) for _ in range(r.randint(2, 9)))
     said = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
@@ -205,6 +224,20 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> list[tuple[s
             return named(kind, ["aside", "aside", "div"], f"<h3>{said(1, 3)}</h3>" + r.choice([f"<p>{sentence(5, 50)}</p>", "<ul>" + "".join(f"<li><a href=x>{said(2, 6)}</a></li>" for _ in range(4)) + "</ul>"]))
         return named(kind, ["div", "section", "p"] if kind != "notice" else ["div", "dialog", "section"], r.choice([sentence(4, 60), f"<p>{sentence(4, 40)}</p>" if kind != "advert" else sentence(2, 30)]))
 
+    def embedded(keep) -> str:
+        """Content that other elements than those of plain text hold: all main text but the choices of a select, and
+        comments below the text as the contrast."""
+        some = lambda: " ".join(more.choice(WORDS) for _ in range(more.randint(3, 25))).capitalize() + more.choice([".", ".", ""])
+        t = more.choice(["object", "canvas", "noscript", "math", "svg", "select", "select", "comments", "comments"])
+        if t == "select":
+            return "<select name=s>" + "".join(f"<option>{' '.join(more.sample(WORDS, more.randint(1, 3)))}</option>" for _ in range(more.randint(2, 5))) + "</select>"
+        if t == "comments":
+            return f"<div class='comments'><p>{some()}</p></div>"
+        if t in FOREIGN:
+            inner = keep(some())
+            return f"<p><math><mtext>{inner}</mtext></math></p>" if t == "math" else f"<figure><svg><path d='M0 0'/><text>{inner}</text></svg></figure>"
+        return f"<{t}>" + "".join(f"<p>{keep(some())}</p>" for _ in range(more.randint(1, 3))) + f"</{t}>"
+
     out = []
     for _ in range(n):
         main: list[str] = []
@@ -234,6 +267,8 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> list[tuple[s
                 body.append(f"<table><tr><td>{keep(said(1, 4))}</td><td>{keep(said(1, 4))}</td></tr></table>")
             else:
                 body.append(boiler(r.choice(["advert", "share", "sidebar", "form", "notice"])))
+        for _ in range(more.choice([0, 0, 1, 2])):
+            body.insert(more.randint(1, len(body)), embedded(keep))
         inner = "".join(body)
         x = r.random()
         if x < 0.5:

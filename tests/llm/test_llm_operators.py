@@ -186,6 +186,24 @@ def test_html(spark):
         html_extract.extract(df.withColumn("text", F.lit("")))
 
 
+EMBEDDED = [
+    *[(f"<article><h1>The title here</h1><p>First paragraph of text.</p><{t}><p>Second paragraph of text.</p><p>Third paragraph of text.</p></article>",
+       "The title here\nFirst paragraph of text.\nSecond paragraph of text.\nThird paragraph of text.") for t in ("svg", "math", "object", "canvas", "noscript", "template", "select", "select><option")],
+    *[(f"<article><p>First paragraph of text.</p><{t}><p>Inner paragraph of text.</p></{t}><p>Last paragraph of text.</p></article>",
+       "First paragraph of text.\nInner paragraph of text.\nLast paragraph of text.") for t in ("object", "canvas", "noscript")],
+    ("<article><p>The sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> is known.</p><p>Last paragraph of text.</p></article>", "The sum x+y is known.\nLast paragraph of text."),
+    ("<article><p>First paragraph of text.</p><svg/><p>See <svg><title>icon</title><path d='M0'/></svg> here.</p><template><p>Never shown.</p></template></article>", "First paragraph of text.\nSee here."),
+    ("<article><p>First paragraph of text.</p><form><select><option>Red</option><option>Blue</option></select></form><p>Last paragraph of text.</p></article>", "First paragraph of text.\nLast paragraph of text."),
+    ("<article><p>First paragraph of text.</p><script>var x = '<p>no</p>'", "First paragraph of text."),
+]
+
+
+def test_html_embedded_and_unclosed_elements():
+    model = html_extract.default_model()
+    for page, want in EMBEDDED:
+        assert html_extract.main_text(page, model) == want, page
+
+
 def test_html_held_out_accuracy():
     model, right, n = html_extract.default_model(), 0, 0
     for page, main in html_extract.labelled_pages(150, seed=12345):
