@@ -105,6 +105,16 @@ def test_secrets(spark):
     assert secrets.redact(df.where("doc_id = 0")).first().text == "[SECRET] x"
 
 
+def test_entropy_classes_and_allowed_parts(spark):
+    lower, upper, mixed, hexa = "q7x2m9kd4wz8rt1vb6ncy3hs", "Q7X2M6KD4WZ5RT3VB6NCYJHS", "4fG7kQz91LmXw02RtYb8uVn3Pq5sJc6D", "04dbebab91ab85687d33"
+    found = [lower, upper, f"id {upper}====", f"path/{lower}/x", f"example_key={mixed}", f"/example/{lower}", f"example_key={hexa}", mixed + "=" * 12 + mixed[::-1], f"EXAMPLE{upper}"]
+    left = ["example_key=" + mixed[:10], "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "onlylowercaselettershereinalongrun", "x" * 50_000, "1" * 30 + "a",
+            "550e8400-e29b-41d4-a716-446655440000", "word-by-word-slug-of-2024", "aaabbbaaabbb111222aaabbb111"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(found + left)], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.digests(df).collect()}
+    assert [t for i, t in enumerate(found + left) if ("entropy" in spans[i]) != (i < len(found))] == []
+
+
 def test_window_entropy(spark):
     r = random.Random(1)
     alphabet = "0123456789abcdef"
