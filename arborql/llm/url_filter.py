@@ -46,16 +46,48 @@ def alias_key(host: Column, path: Column) -> Column:
     return F.when(host != "", F.concat(h, F.lit("|"), p))
 
 
-def link_targets(html: Column) -> Column:
-    """array of absolute URLs that canonical links and refresh redirects name."""
-    links = F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0))
+def without_dots(path: Column) -> Column:
+    """A path from the root with its . and .. segments worked off."""
+    parts = F.slice(F.split(path, "/", -1), F.lit(2), F.greatest(F.lit(0), F.size(F.split(path, "/", -1)) - 1))
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, x: Column) -> Column:
+        up = F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
+        return F.when(x == "..", up).when(x == ".", acc).otherwise(F.array_append(acc, x))
+
+    ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+    return F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(parts, none, step), ended), "/"))
+
+
+def resolved(u: Column, url: Column) -> Column:
+    """The absolute URL that u means on the page of ``url``; null for other schemes and on pages without a host.
+    Queries and fragments of relative ones are left out, as addresses have none."""
+    host, path = host_path(url)
+    scheme = F.substring_index(url, "://", 1)
+    ref = F.regexp_extract(u, r"^[^?#]*", 0)
+    folder = F.when(path.startswith("/"), F.regexp_extract(path, r"(?s)^.*/", 0)).otherwise(F.lit("/"))
+    there = F.when(ref == "", path).when(ref.startswith("/"), without_dots(ref)).otherwise(without_dots(F.concat(folder, ref)))
+    local = F.when(host != "", F.concat(scheme, F.lit("://"), host, there))
+    return (
+        F.when(u.rlike(r"^[^/?#]*://"), u)
+        .when(u.startswith("//"), F.when(host != "", F.concat(scheme, F.lit(":"), u)))
+        .when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .otherwise(local)
+    )
+
+
+def link_targets(html: Column, url: Column) -> Column:
+    """array of absolute URLs that canonical links and refresh redirects of the page at ``url`` name."""
+    rel = r"(?:[\"']?canonical\b|\"[^\">]*\scanonical(?=[\s\"])|'[^'>]*\scanonical(?=[\s']))"
+    links = F.regexp_extract_all(html, F.lit(rf"(?is)<link\b[^>]*\brel\s*=\s*{rel}[^>]*>"), F.lit(0))
     metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0))
     urls = F.concat(
         F.transform(links, lambda x: F.regexp_extract(x, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)),
         F.transform(metas, lambda x: F.regexp_extract(x, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)),
     )
     none = F.array().cast("array<string>")
-    return F.when(html.rlike(r"(?i)canonical|http-equiv"), F.filter(urls, lambda u: F.contains(u, F.lit("://")))).otherwise(none)
+    named = F.transform(F.filter(urls, lambda u: u != ""), lambda u: resolved(u, url))
+    return F.when(html.rlike(r"(?i)canonical|http-equiv"), F.filter(named, lambda u: u.isNotNull())).otherwise(none)
 
 
 def judge(pages: DataFrame, tables, rules=RULES) -> DataFrame:
@@ -65,7 +97,7 @@ def judge(pages: DataFrame, tables, rules=RULES) -> DataFrame:
     host, path = host_path(F.col("url"))
     p = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
     p = p.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("r"),
-                 alias_key(F.col("host"), F.col("path")).alias("key"), F.coalesce(link_targets(F.col("html")), F.array().cast("array<string>")).alias("to"))
+                 alias_key(F.col("host"), F.col("path")).alias("key"), F.coalesce(link_targets(F.col("html"), F.col("url")), F.array().cast("array<string>")).alias("to"))
     p = tables.write(p)
     th, tp = host_path(F.col("u"))
     links = p.where(F.size("to") > 0).select("key", F.explode("to").alias("u")).select("key", alias_key(th, tp).alias("other"))

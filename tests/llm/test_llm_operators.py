@@ -392,6 +392,22 @@ def test_urls(spark, tables):
     assert url_filter.judge(df.limit(0), tables).count() == 0
 
 
+def test_relative_links(spark, tables):
+    canonical, refresh = '<link rel="{}" href="{}">', '<meta http-equiv="refresh" content="0;url={}">'
+    pages = [
+        ("http://bad.org/x", refresh.format("/es/page")), ("http://a.dev/p", canonical.format("canonical", "//bad.org/es/y")), ("http://bad.org/es2/a/b", refresh.format("../../es/page2")),
+        ("http://bad.org/q/w", refresh.format("./z?u=http://fine.dev/")), ("http://bad.org/q/z", canonical.format("canonical", "/es/z#top")), ("http://bad.org/v/", canonical.format("nofollow Canonical", "http://bad.org/es/v")),
+        ("http://bad.org", canonical.format("canonical", "es/root")),
+        ("http://bad.org/mail", refresh.format("mailto:es@bad.org")), ("http://bad.org/self", canonical.format("canonical", "?es=1")), ("http://bad.org/not", canonical.format("x-not-canonical2", "/es/n")), (None, refresh.format("/es/page")),
+    ] + [(f"http://bad.org/es/{x}", "") for x in ("page", "page2", "z", "v", "root", "n")] + [("http://bad.org/es/y", None), ("http://fine.dev/", "")]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    out = got(url_filter.judge(df, tables), "page_id", "rule", "verdict")
+    assert [out[i] for i in range(11)] == [(None, "block")] * 7 + [(None, "allow")] * 4
+    assert out[18] == (None, "allow")
+    dots = spark.createDataFrame([(x,) for x in ("/", "/a/../b", "/a/.", "/a/b/..", "/../a", "/a//b/./c", "/a/")], "p string")
+    assert [r.d for r in dots.select(url_filter.without_dots(F.col("p")).alias("d")).collect()] == ["/", "/b", "/a/", "/a/", "/a", "/a//b/c", "/a/"]
+
+
 def test_lines(spark, tables, docs, rows):
     out = got(line_dedup.dedup(docs, tables), "doc_id", "n_lines", "n_dropped", "text")
     assert out == brute.lines([r[:2] for r in rows])
