@@ -117,19 +117,20 @@ def flags(e: DataFrame) -> DataFrame:
     return ok.groupBy(F.col("source").alias("usr")).agg(F.bool_or(F.col("kind") == "overrides").alias("is_override"), F.min(F.when(F.col("kind") == "inheritsFrom", F.col("target_name"))).alias("superclass"))
 
 
-def rebuild(vertex: DataFrame, members: DataFrame, tables, max_depth: int = 64) -> DataFrame:
+def rebuild(vertex: DataFrame, members: DataFrame, tables) -> DataFrame:
     """GR5: depth and root_usr of every vertex: roots have no parent, then one equi-join per level."""
     up = members.where("into_target").groupBy(F.col("source").alias("usr")).agg(F.min_by("target", "ord").alias("parent_usr"))
     v = vertex.join(up, "usr", "left")
     level = tables.write(v.where("parent_usr is null").withColumns({"depth": F.lit(0), "root_usr": F.col("usr")}))
-    out = level
-    for _ in range(max_depth):
+    out, depth = level, 0
+    while True:  # a vertex has one parent at most, so levels end
         p = level.select(F.col("usr").alias("parent_usr"), (F.col("depth") + 1).alias("depth"), "root_usr")
         level = tables.write(v.join(p, "parent_usr").select(*v.columns, "depth", "root_usr"))
         if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+            return out
+        out, depth = out.unionByName(level), depth + 1
+        if depth % 50 == 0:
+            out = tables.write(out)
 
 
 def symbol_order() -> list[Column]:

@@ -79,7 +79,7 @@ def resolve_builtin(refs: DataFrame, db: DataFrame) -> DataFrame:
 def parent_fixpoint(entries: DataFrame, tables, max_rounds: int = 64) -> DataFrame:
     """JN13: search entries(url, name, parent_name) to full names: rows under an 'extensions' part go; roots have no
     parent and the last of a name wins; then whatever's parent is placed is placed, the first wins, until a
-    round places nothing. Callables get an elided name too."""
+    round places nothing. Callables get an elided name too. Names still placed after max_rounds are an error."""
     e = tables.write(entries.where(~F.col("url").rlike(r"(^|/)[Ee]xtensions/")))
     level = tables.write(last_wins(e.where("parent_name is null").select(F.col("name").alias("full_name"), "url", "name"), ["full_name"], ["url"]))
     done, rest = level, tables.write(e.where("parent_name is not null"))
@@ -91,6 +91,8 @@ def parent_fixpoint(entries: DataFrame, tables, max_rounds: int = 64) -> DataFra
         if level.isEmpty():
             break
         done = done.unionByName(level)
+    else:
+        raise RuntimeError(f"names deeper than {max_rounds} parents")
     more = done.select(elided(F.col("full_name")).alias("full_name"), "url", "name").where("full_name is not null")
     more = first_wins(more.join(done.select("full_name"), "full_name", "left_anti"), ["full_name"], ["url"])
     return done.unionByName(more)

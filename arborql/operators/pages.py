@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ def embedded(style: str, has_children: Column, show_in_toc: Column) -> Column:
     return F.lit(False)
 
 
-def urls(items: DataFrame, tables, style: str = "nested", multi_module: bool = False, max_depth: int = 64) -> DataFrame:
+def urls(items: DataFrame, tables, style: str = "nested", multi_module: bool = False) -> DataFrame:
     """LNK10: url_path and url_hash of items(path, item_type, name, meta_kind, module_name, show_in_toc). A nested
     item's URL is made of its parent's, so levels are done in turn, each by one equi-join."""
     kids = items.select(F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).distinct().withColumn("has_children", F.lit(True))
@@ -33,7 +35,7 @@ def urls(items: DataFrame, tables, style: str = "nested", multi_module: bool = F
     top = F.concat_ws("/", F.when(F.lit(multi_module), slugged(F.col("module_name"))), kind_names[F.col("meta_kind")], "slug")
     page = lambda stem: F.concat(url_path_encoded(stem), F.lit(".html"))
     done, level = None, None
-    for d in range(1, max_depth + 1):
+    for d in count(1):
         own = it.where(F.size("path") == d)
         if level is None:
             stem = F.when(F.col("item_type") == "guide", F.concat(F.lit("guides/"), "slug")).when(F.col("item_type") == "readme", F.lit("index")).otherwise(F.col("slug"))
@@ -47,6 +49,8 @@ def urls(items: DataFrame, tables, style: str = "nested", multi_module: bool = F
         if level.isEmpty():
             break
         done = level if done is None else done.unionByName(level)
+        if d % 50 == 0:
+            done = tables.write(done)
     return done.withColumn("url_path", page(F.col("page_stem"))).drop("stem")
 
 

@@ -11,25 +11,26 @@ from pyspark.sql import functions as F
 CHILDREN = "key.substructure"
 
 
-def flatten_variant(spark: SparkSession, view: str, child_key: str = CHILDREN, max_depth: int = 100) -> DataFrame:
+def flatten_variant(spark: SparkSession, view: str, child_key: str = CHILDREN, max_depth: int = 1000) -> DataFrame:
     """PRJ4: the rows of recursive JSON. The view has (root columns.., v VARIANT); the result has them plus
-    path ARRAY<INT> and v, one row a node, by one recursive query without Python."""
+    path ARRAY<INT> and v, one row a node, by one recursive query without Python. Nodes below max_depth are an error."""
     cols = [c for c in spark.table(view).columns if c != "v"]
     keys = ", ".join(cols) + (", " if cols else "")
     kept = ", ".join(f"t.{c}" for c in cols) + (", " if cols else "")
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_depth))
     return spark.sql(f"""
         WITH RECURSIVE t({keys}path, v, depth) AS (
           SELECT {keys}array(0), v, 0 FROM {view}
           UNION ALL
           SELECT {kept}array_append(t.path, c.pos), c.value, t.depth + 1
-          FROM t, LATERAL variant_explode(try_variant_get(t.v, '$["{child_key}"]', 'variant')) c
-          WHERE t.depth < {max_depth})
+          FROM t, LATERAL variant_explode(try_variant_get(t.v, '$["{child_key}"]', 'variant')) c)
         SELECT {keys}path, v FROM t""")
 
 
-def paths_from_parents(df: DataFrame, tables, id_col: str, parent_col: str, order: str, max_depth: int = 64) -> DataFrame:
-    """path ARRAY<STRUCT<ord,id>> of every row reachable from a root (null parent), one equi-join per level."""
+def paths_from_parents(df: DataFrame, tables, id_col: str, parent_col: str, order: str, max_depth: int = 1000) -> DataFrame:
+    """path ARRAY<STRUCT<ord,id>> of every row reachable from a root (null parent), one equi-join per level. Rows below
+    max_depth levels, as repeated ids in a ring have, are an error."""
     step = F.struct(F.col(order).alias("ord"), F.col(id_col).alias("id"))
     level = tables.write(df.where(F.col(parent_col).isNull()).withColumn("path", F.array(step)))
     found = [level]
@@ -39,6 +40,10 @@ def paths_from_parents(df: DataFrame, tables, id_col: str, parent_col: str, orde
         if level.isEmpty():
             break
         found.append(level)
+        if len(found) == 50:  # so that the plan of a deep tree stays small
+            found = [tables.write(reduce(DataFrame.unionByName, found))]
+    else:
+        raise RuntimeError(f"rows below {max_depth} levels")
     return reduce(DataFrame.unionByName, found)
 
 
@@ -80,17 +85,16 @@ def unevaluated(df: DataFrame, dropped: Column, root: list[str] | None = None) -
     return df.join(asks.join(bad, [*root, "__bad"], "left_semi").select(*root, "path").distinct(), [*root, "path"], "left_semi")
 
 
-def prune_childless(df: DataFrame, needs_child: Column, tables, root: list[str] | None = None, max_depth: int = 64) -> DataFrame:
+def prune_childless(df: DataFrame, needs_child: Column, tables, root: list[str] | None = None) -> DataFrame:
     """FLT11: rows where needs_child holds and no child is left go, from the leaves up."""
     root = root or []
     df = tables.write(df)
-    for _ in range(max_depth):
+    while True:  # a round takes a row at least
         kids = df.select(*root, F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).distinct()
         bare = df.where(needs_child).join(kids, [*root, "path"], "left_anti")
         if bare.isEmpty():
             return df
         df = tables.write(df.join(bare.select(*root, "path"), [*root, "path"], "left_anti"))
-    return df
 
 
 def unwrap(df: DataFrame, wrapper: Column, root: list[str] | None = None) -> DataFrame:

@@ -92,6 +92,40 @@ def test_tree(spark, tables):
     assert [json.loads(r.json) for r in j] == [{"id": 1, "children": [{"id": 3, "children": [{"id": 4}]}, {"id": 2}]}, {"id": 5}]
 
 
+def test_deep_trees(spark, tables):
+    """Below 64 levels (100 of JSON) nothing is lost, and a guard that is reached is an error."""
+    n = 67
+    t = frame(spark, [(k, k - 1 if k else None, 0) for k in range(n)], "id int, parent int, ord int").coalesce(1).cache()
+    p = tree.paths_from_parents(t, tables, "id", "parent", "ord")
+    assert {r.id: len(r.path) for r in p.collect()} == {k: k + 1 for k in range(n)}
+    x = tables.write(p.select("id", F.transform("path", lambda s: s["ord"]).alias("path")).coalesce(1))
+    assert [r.id for r in tree.prune_childless(x, F.col("id") > 0, tables).collect()] == [0]
+    with pytest.raises(RuntimeError):
+        tree.paths_from_parents(t, tables, "id", "parent", "ord", max_depth=3)
+    m = t.where("id > 0").select(F.lit(True).alias("into_target"), F.col("id").alias("source"), F.col("parent").alias("target"), "ord")
+    assert {r.usr: r.depth for r in graph.rebuild(t.select(F.col("id").alias("usr")), m, tables).collect()} == {k: k for k in range(n)}
+    e = frame(spark, [("A.html", f"n{k}", f"n{k - 1}" if k else None) for k in range(5)], "url string, name string, parent_name string")
+    with pytest.raises(RuntimeError):
+        links.parent_fixpoint(e, tables, max_rounds=3)
+
+
+def test_deep_urls(spark, tables):
+    n = 66
+    items = frame(spark, [([0] * (k + 1), "def" if k else "group", f"x{k}", "type", "M", "yes", "swift", None) for k in range(n)],
+                  "path array<int>, item_type string, name string, meta_kind string, module_name string, show_in_toc string, primary_language string, secondary_language string").coalesce(1)
+    assert pages.urls(items, tables, "separate").count() == n
+
+
+def test_deep_variant(spark):
+    doc = {"key.name": "x"}
+    for _ in range(109):
+        doc = {"key.substructure": [doc]}
+    spark.createDataFrame([("f", json.dumps(doc))], "file string, j string").select("file", F.parse_json("j").alias("v")).createOrReplaceTempView("deep")
+    assert tree.flatten_variant(spark, "deep").count() == 110
+    with pytest.raises(Exception, match="RECURSION"):
+        tree.flatten_variant(spark, "deep", max_depth=20).count()
+
+
 def test_variant_flatten(spark):
     doc = {"key.name": "A", "key.substructure": [{"key.name": "B", "key.substructure": [{"key.name": "C"}]}, {"key.name": 5}]}
     spark.createDataFrame([("f", json.dumps(doc))], "file string, j string").select("file", F.parse_json("j").alias("v")).createOrReplaceTempView("vv")
