@@ -1,9 +1,10 @@
 """Secret scans with built-in functions only: fixed patterns, and sliding-window Shannon entropy.
 
 Spans are code points, end exclusive. Base kinds are fixed patterns whose leftmost non-overlapping matches
-are kept if long enough. The method adds kind ``entropy``: stretches of token characters in which some
-window of WINDOW characters reaches a class's entropy, computed by adding the entering and removing the
-leaving character's count. Windows that touch what the allow list names do not count."""
+are kept if long enough. The method adds kind ``entropy``: stretches of token characters are cut where the
+allow list names something, and in each piece left the windows of WINDOW characters that reach a class's
+entropy are found, by adding the entering and removing the leaving character's count. The span runs from the
+first such window of a piece to its last."""
 
 from __future__ import annotations
 
@@ -23,8 +24,8 @@ FAST = {"access": r"(AKIA[A-Z0-9]{16,})", "hex": r"([0-9a-f]{24,})"}
 CANDIDATE = r"([A-Za-z0-9+/_=-]{20,})"
 WINDOW = 20
 #: class name, its characters, least entropy in bits, and what a run of them must hold besides. ``mixed`` is tried on
-#: what the allow list leaves of a stretch, the others on its runs of those characters between others than letters and
-#: digits. The limits of lower and upper letters with digits are passed by about 99 of 100 random windows.
+#: whole pieces, the others on a piece's runs of those characters between others than letters and digits. The limits
+#: of lower and upper letters with digits are passed by about 99 of 100 random windows.
 CLASSES = [
     ("hex", "0123456789abcdef", 3.0, r"^(?=.*[0-9])(?=.*[a-f])"),
     ("upper_hex", "0123456789ABCDEF", 3.0, r"^(?=.*[0-9])(?=.*[A-F])"),
@@ -32,8 +33,19 @@ CLASSES = [
     ("upper_digit", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.35, r"^(?=.*[0-9])(?=.*[A-Z])"),
     ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7, r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"),
 ]
-#: Windows that touch these do not count: UUIDs, alphabet and digit runs, and stated placeholders.
-ALLOW = r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$|0123456789abcdef|abcdefghijklmnopqrstuvwxyz|example|placeholder|xxxxxxxx|(.)\1{9,}"
+#: A word as paths, slugs and identifiers have it: humps of letters and a short number, or either. Bounded and
+#: possessive, so that no text makes the matcher go back or down far.
+_PART = r"(?:(?:[A-Z]?[a-z]++){1,40}+[0-9]{0,4}|[A-Z]++[0-9]{0,4}|[0-9]{1,8})"
+#: Windows that touch these do not count: UUIDs, alphabet and digit runs, stated placeholders, paths and slugs whose
+#: parts are all such words, and identifiers of three humps or more.
+ALLOW = "|".join([
+    r"^(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})$", r"(?i:0123456789abcdef|abcdefghijklmnopqrstuvwxyz|example|placeholder|xxxxxxxx)", r"(?i:(.)\1{9,})",
+    rf"(?<![A-Za-z0-9+]){_PART}(?:[/_-]{{1,3}}{_PART}){{1,60}}(?![A-Za-z0-9+])",
+    r"(?<![A-Za-z0-9])(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,4}(?=[A-Z][a-z])){3,40}+[0-9]{0,4}(?![A-Za-z0-9])",
+])
+SPAN = "struct<s:int,o:int,e:int,k:string,body:string>"
+#: Counts of a window are held in so many bits, so many to a long.
+COUNT_BITS, COUNTS = 5, 12
 
 
 def _let(value: Column, body) -> Column:
@@ -41,90 +53,132 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _spans(text: Column, pattern: str, kind: str, order: int, least: int, group: int) -> Column:
-    """array<struct<start,ord,end,kind,body>> of the kept matches. The gaps that split() gives between the
-    matches and the matches themselves sum up to the places."""
-    # gap k precedes match k; the gap after the last match has none and goes
+def running(a: Column) -> Column:
+    """The sums of an array of numbers up to each place, by doubling: after k rounds a place holds the sum of the last
+    2^k, so n places take n log n steps."""
+    rounds = F.when(F.size(a) > 1, F.sequence(F.lit(0), F.length(F.bin((F.size(a) - 1).cast("long"))) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, a, lambda acc, k: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))))
+
+
+def _matches(text: Column, pattern: Column, body) -> Column:
+    """body(ends, matches): the places after each match, from the gaps that split() leaves, and the matches themselves.
+    One more end, the text's, stands after the last."""
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group > 1 else None
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,o:int,e:int,k:string,body:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["m"])
-        span = F.struct(start.alias("s"), F.lit(order).alias("o"), end.alias("e"), F.lit(kind).alias("k"), x["c"].alias("body"))
-        return F.struct(end.alias("at"), F.when(F.char_length(x["c"]) >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def placed(m: Column) -> Column:
+        steps = F.zip_with(gaps, m, lambda g, x: g + F.coalesce(F.char_length(x), F.lit(0)))
+        return _let(running(steps), lambda ends: body(ends, m))
 
-    def joined(m: Column) -> Column:
-        rows = F.zip_with(gaps, m, lambda g, y: F.struct(g.alias("gap"), y.alias("m"), y.alias("c")))
-        if counted is not None:
-            rows = F.zip_with(rows, counted, lambda r, c: F.struct(r["gap"].alias("gap"), r["m"].alias("m"), c.alias("c")))
-        return F.aggregate(F.filter(rows, lambda r: r["m"].isNotNull()), first, step, lambda acc: acc["out"])
+    return _let(found, placed)
 
-    none = F.array().cast("array<struct<s:int,o:int,e:int,k:string,body:string>>")
-    return F.when(text.rlike(pattern), _let(found, joined)).otherwise(none)
 
+def _none() -> Column:
+    return F.array().cast(f"array<{SPAN}>")
 
-def window_entropy(body: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The most bits of any window of ``window`` characters, by counts kept over the sliding window: with S
-    the sum of c*log2(c), the window's entropy is log2(w) - S/w, and a character's coming or going changes
-    one term. Characters outside the alphabet share one count. Null for a shorter text."""
-    terms = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    size = len(alphabet) + 1
-    chars = F.split(body, "")
 
-    def at(c: Column) -> Column:
-        return F.instr(F.lit(alphabet), c)
+def _spans(text: Column, pattern: str | Column, kind: str, order: int, least: int, group: int = 1) -> Column:
+    """array<SPAN> of the matches whose group is long enough (1: the whole match)."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+
+    def rows(counted: Column, ends: Column, m: Column) -> Column:
+        every = F.transform(m, lambda x, i: F.struct((F.get(ends, i) - F.char_length(x)).alias("s"), F.lit(order).alias("o"), F.get(ends, i).alias("e"),
+                                                     F.lit(kind).alias("k"), F.get(counted, i).alias("body")))
+        return F.filter(every, lambda r: F.char_length(r["body"]) >= least)
+
+    def body(ends: Column, m: Column) -> Column:
+        if group == 1:
+            return rows(m, ends, m)
+        return _let(F.regexp_extract_all(text, pattern, F.lit(group)), lambda c: rows(c, ends, m))
+
+    return F.when(F.regexp_like(text, pattern), _matches(text, pattern, body)).otherwise(_none())
+
+
+def high_windows(body: Column, alphabet: Column, bits: Column, window: int = WINDOW) -> Column:
+    """struct<first, last, best>: the last places of the first and the last window of ``window`` characters that reach
+    ``bits`` (null if none does), and the most bits of any, null for a shorter text.
+
+    With S the sum of c*log2(c) over the counts, a window's entropy is log2(w) - S/w; a character's coming or going
+    changes one count and one term. Counts stand twelve to a long; characters outside the alphabet share one."""
+    terms = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
+    longs = -(-(max(len(c) for _, c, *_ in CLASSES) + 1) // COUNTS)
+    ids = F.transform(F.split(body, ""), lambda c: F.instr(alphabet, c))
+    shift = lambda c: (c % COUNTS) * COUNT_BITS
+    one = lambda k, c: F.when(k == F.floor(c / COUNTS), F.call_function("shiftleft", F.lit(1).cast("long"), shift(c))).otherwise(0)
+    count = lambda n, c: F.call_function("shiftright", F.get(n, F.floor(c / COUNTS).cast("int")), shift(c)).bitwiseAND((1 << COUNT_BITS) - 1).cast("int")
+    more = lambda c: F.get(terms, c + 1) - F.get(terms, c)
 
     def run(ids: Column) -> Column:
-        start = F.struct(F.array_repeat(F.lit(0), size).alias("n"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("best"), F.lit(0).alias("i"))
+        none = F.lit(None).cast("int")
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), longs).alias("n"), F.lit(0.0).alias("sum"), none.alias("first"), none.alias("last"), F.lit(None).cast("double").alias("best"), F.lit(0).alias("i"))
 
         def step(acc: Column, come: Column) -> Column:
-            going = F.when(acc["i"] >= window, F.get(ids, acc["i"] - window))
-            c_in = F.get(acc["n"], come)
+            i, n = acc["i"], acc["n"]
+            going = F.when(i >= window, F.get(ids, i - window))
+            less = F.coalesce(more(count(n, going) - F.when(going == come, 0).otherwise(1)), F.lit(0.0))
+            counts = F.transform(n, lambda v, k: v + one(k, come) - one(k, going))
+            now = F.struct(i.alias("i"), (acc["sum"] + more(count(n, come)) - less).alias("sum"), counts.alias("n"))
 
-            def after(n1: Column) -> Column:
-                c_out = F.get(n1, going)
-                total = (acc["sum"] + F.get(terms, c_in + 1) - F.get(terms, c_in)
-                         + F.when(going.isNull(), 0.0).otherwise(F.get(terms, c_out - 1) - F.get(terms, c_out)))
-                counts = F.when(going.isNull(), n1).otherwise(F.transform(n1, lambda v, k: F.when(k == going, v - 1).otherwise(v)))
-                full = acc["i"] >= window - 1
-                bits = F.when(full, F.lit(math.log2(window)) - total / window)
-                return F.struct(counts.alias("n"), total.alias("sum"), F.greatest(acc["best"], bits).alias("best"), (acc["i"] + 1).alias("i"))
+            def out(x: Column) -> Column:
+                level = F.when(x["i"] >= window - 1, F.lit(math.log2(window)) - x["sum"] / window)
+                high = level >= bits
+                return F.struct(x["n"].alias("n"), x["sum"].alias("sum"), F.coalesce(acc["first"], F.when(high, x["i"])).alias("first"), F.when(high, x["i"]).otherwise(acc["last"]).alias("last"),
+                                F.greatest(acc["best"], level).alias("best"), (x["i"] + 1).alias("i"))
 
-            return _let(F.transform(acc["n"], lambda v, k: F.when(k == come, v + 1).otherwise(v)), after)
+            return _let(now, out)
 
-        return F.aggregate(ids, start, step, lambda acc: acc["best"])
+        return F.aggregate(ids, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last"), acc["best"].alias("best")))
 
-    return _let(F.transform(chars, at), run)
+    return _let(ids, run)
 
 
-def _entropy_spans(text: Column) -> Column:
-    rows = _spans(text, CANDIDATE, "entropy", len(BASE), WINDOW, 1)
+def window_entropy(body: Column, alphabet: str, window: int = WINDOW) -> Column:
+    """The most bits of any window, null for a text shorter than one."""
+    return F.when(F.char_length(body) >= window, high_windows(body, F.lit(alphabet), F.lit(0.0), window)["best"])
+
+
+def _pieces(text: Column) -> Column:
+    """array<struct<s, body>> of what the allow list leaves of the stretches of token characters, if a window fits in."""
+
+    def of_stretch(r: Column) -> Column:
+        gaps = F.split(r["body"], ALLOW, -1)
+        starts = lambda ends, _: F.transform(gaps, lambda p, i: F.struct((r["s"] + F.coalesce(F.get(ends, i - 1), F.lit(0))).alias("s"), p.alias("body")))
+        return _matches(r["body"], F.lit(ALLOW), starts)
+
+    every = F.flatten(F.transform(_spans(text, CANDIDATE, "", 0, WINDOW), of_stretch))
+    return F.filter(every, lambda p: F.char_length(p["body"]) >= WINDOW)
 
-    def tested(x: Column, name: str, chars: str, bits: float, must: str) -> Column:
-        high = lambda run: run.rlike(must) & (window_entropy(run, chars) >= bits)
-        if name == "mixed":
-            return high(x)
-        runs = rf"(?<![A-Za-z0-9])[{chars}]{{{WINDOW},}}(?![A-Za-z0-9])"
-        return F.exists(F.regexp_extract_all(x, F.lit(runs), F.lit(0)), high)
 
-    def secret(x: Column) -> Column:
-        hits = F.lit(False)
-        for c in CLASSES:
-            hits = hits | tested(x, *c)
-        return (F.char_length(x) >= WINDOW) & hits
+def _runs(p: Column) -> Column:
+    """array<struct<s, body, chars, bits>> of a piece's runs of each class that hold what they must."""
+    one = lambda name, chars, bits, must: F.struct(
+        F.lit(None if name == "mixed" else rf"(?<![A-Za-z0-9])[{chars}]{{{WINDOW},}}(?![A-Za-z0-9])").cast("string").alias("runs"),
+        F.lit(chars).alias("chars"), F.lit(bits).alias("bits"), F.lit(must).alias("must"))
+
+    def of_class(c: Column) -> Column:
+        runs = F.transform(_spans(p["body"], c["runs"], "", 0, WINDOW), lambda r: F.struct((p["s"] + r["s"]).alias("s"), r["body"].alias("body")))
+        runs = F.filter(F.when(c["runs"].isNull(), F.array(p)).otherwise(runs), lambda r: F.regexp_like(r["body"], c["must"]))
+        return F.transform(runs, lambda r: F.struct(r["s"].alias("s"), r["body"].alias("body"), c["chars"].alias("chars"), c["bits"].alias("bits")))
+
+    return F.flatten(F.transform(F.array(*[one(*c) for c in CLASSES]), of_class))
+
+
+def _entropy_spans(text: Column) -> Column:
+    def places(runs: Column) -> Column:
+        return F.transform(runs, lambda r: _let(high_windows(r["body"], r["chars"], r["bits"]), lambda w: F.struct(
+            (r["s"] + w["first"] - WINDOW + 1).alias("s"), (r["s"] + w["last"] + 1).alias("e"))))
 
-    def high(r: Column) -> Column:
-        return F.exists(F.split(r["body"], ALLOW, -1), secret)
+    def of_piece(p: Column) -> Column:
+        s, e = lambda f: F.array_min(F.transform(f, lambda x: x["s"])), lambda f: F.array_max(F.transform(f, lambda x: x["e"]))
+        body = lambda f: F.substring(p["body"], s(f) - p["s"] + 1, e(f) - s(f))
+        return _let(places(_runs(p)), lambda f: F.struct(s(f).alias("s"), F.lit(len(BASE)).alias("o"), e(f).alias("e"), F.lit("entropy").alias("k"), body(f).alias("body")))
 
-    return F.filter(rows, high)
+    return F.filter(F.transform(_pieces(text), of_piece), lambda x: x["s"].isNotNull())
 
 
 def scan(df: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
     """All columns plus ``out_col``: array<struct<s,o,e,k,body>> of base and entropy spans by start, then
-    kind, body being the span's counted characters. Null and empty texts have none; repeated rows give
+    kind, body being the span's counted characters. Work grows with the text, and with n log n in its matches. Null and empty texts have none; repeated rows give
     equal spans; an empty table gives an empty one; a clashing out_col is refused."""
     if out_col.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"column {out_col} exists already; pass another out_col")

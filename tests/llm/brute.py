@@ -51,8 +51,7 @@ def embeddings(rows, threshold=0.9):
     return {i: (n[i], comp[i], comp[i] == i) for i, _ in rows}
 
 
-def secrets(text: str | None):
-    text = text or ""
+def base_secrets(text: str) -> list[tuple]:
     spans = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
         if len(m[2]) >= 6:
@@ -63,7 +62,41 @@ def secrets(text: str | None):
     for m in re.finditer(r"[0-9a-f]+", text):
         if len(m[0]) >= 24:
             spans.append((m.start(), 2, "hex", m.end()))
-    spans.sort()
+    return sorted(spans)
+
+
+WORD = r"(?:(?:[A-Z]?[a-z]+){1,40}[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]{1,8})"
+ALLOWED = re.compile(
+    r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z|(?i:0123456789abcdef|abcdefghijklmnopqrstuvwxyz|example|placeholder|xxxxxxxx|(.)\1{9,})"
+    rf"|(?<![A-Za-z0-9+]){WORD}(?:[/_-]{{1,3}}{WORD}){{1,60}}(?![A-Za-z0-9+])|(?<![A-Za-z0-9])(?:[A-Z]?[a-z]{{2,}}+|[A-Z]{{2,4}}(?=[A-Z][a-z])){{3,40}}[0-9]{{0,4}}(?![A-Za-z0-9])")
+KINDS = [("[0-9a-f]", 3.0, "[0-9]", "[a-f]"), ("[0-9A-F]", 3.0, "[0-9]", "[A-F]"), ("[a-z0-9]", 3.4, "[0-9]", "[a-z]"), ("[A-Z0-9]", 3.35, "[0-9]", "[A-Z]")]
+
+
+def entropy_secrets(text: str) -> list[tuple]:
+    """A piece's first to last window of 20 characters that reaches a class's entropy, each counted anew."""
+    out = []
+    for stretch in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        body, at = stretch[0], 0
+        cuts = [m.span() for m in ALLOWED.finditer(body)] + [(len(body), len(body))]
+        for a, b in cuts:
+            piece, begin, at = body[at:a], stretch.start() + at, b
+            tries = [(begin, piece, 3.7, ("[0-9]", "[a-z]", "[A-Z]"))]
+            for chars, bits, *must in KINDS:
+                tries += [(begin + m.start(), m[0], bits, must) for m in re.finditer(rf"(?<![A-Za-z0-9]){chars}{{20,}}(?![A-Za-z0-9])", piece)]
+            hits = [(s + i, s + i + 20) for s, run, bits, must in tries if all(re.search(x, run) for x in must)
+                    for i in range(len(run) - 19) if (entropy(run[i:i + 20]) or 0.0) >= bits]
+            if hits:
+                out.append((min(hits)[0], 3, "entropy", max(e for _, e in hits)))
+    return out
+
+
+def secret_spans(text: str | None) -> str:
+    spans = sorted(base_secrets(text or "") + entropy_secrets(text or ""))
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in spans)
+
+
+def secrets(text: str | None):
+    spans = base_secrets(text or "")
     n = Counter(s[2] for s in spans)
     return n["assign"], n["access"], n["hex"], sha(",".join(f"{k}:{s}:{e}" for s, _, k, e in spans))
 
