@@ -3,8 +3,6 @@
 Without SQL: op2 (places of matches and sliding entropies), op3 (byte-pair merges), op5 (a trained model),
 op8 (Viterbi). Their tests hold them against plain Python."""
 
-from arborql.llm import quality
-
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -26,19 +24,25 @@ FROM v JOIN comp ON comp.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
 
+#: What the query states on its own: metric, events, and of what they are counted, all per 1000.
+_OP4_RATES = {
+    "symbol_rate": ("n_symbols", "n_words"), "dup_line_rate": ("n_dup_lines", "n_lines"), "repeat_rate": ("n_repeat_words", "n_words"),
+    "shout_rate": ("n_shout", "word_chars"), "word_length": ("word_chars", "n_words"),
+}
+
+
 def _op4() -> str:
-    rates = ", ".join(f"coalesce(1000 * {a} // nullif({b}, 0), 0) AS {m}" for m, (a, b, _) in quality.METRICS.items())
-    rows = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM r" for m in quality.METRICS)
-    least = " ".join(f"WHEN '{m}' THEN {low}" for m, (_, _, low) in quality.METRICS.items())
+    rates = ", ".join(f"coalesce(1000 * {a} // nullif({b}, 0), 0) AS {m}" for m, (a, b) in _OP4_RATES.items())
+    rows = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM r WHERE NOT base_failed" for m in _OP4_RATES)
 
     def fence(name: str, keys: str) -> str:
         return f"""
-{name}_c AS (SELECT {keys}, metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
+{name}_c AS (SELECT {keys}, metric, bucket, width, sum(n) AS n FROM sketch GROUP BY ALL),
 {name}_u AS (SELECT *, sum(n) OVER (PARTITION BY {keys}, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}, metric) AS total FROM {name}_c),
-{name}_q AS (SELECT {keys}, metric, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3 FROM {name}_u GROUP BY ALL),
-{name} AS (SELECT {keys}, metric, greatest(CASE metric {least} END, q3 + {quality.FENCE} * (q3 - q1)) AS most FROM {name}_q)"""
+{name}_q AS (SELECT {keys}, metric, any_value(total)::BIGINT AS n, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket + width) FILTER (4 * upto >= 3 * total) AS q3 FROM {name}_u GROUP BY {keys}, metric),
+{name} AS (SELECT {keys}, metric, n, (q1 - 3 * (q3 - q1))::BIGINT AS low, (q3 + 3 * (q3 - q1))::BIGINT AS high FROM {name}_q)"""
 
-    within = " AND ".join(f"bool_and(metric <> '{m}' OR {m} <= most)" for m in quality.METRICS)
+    wide = ", ".join(f"max(low) FILTER (metric = '{m}') AS low_{m}, max(high) FILTER (metric = '{m}') AS high_{m}" for m in _OP4_RATES)
     return rf"""
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents
@@ -58,19 +62,21 @@ WITH d AS (
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_rep.n, 0)::BIGINT AS n_repeat_words,
     (length(text) - length(regexp_replace(text, '[!?]', '', 'g')))::BIGINT AS n_shout
   FROM d JOIN w USING (row) LEFT JOIN n_rep USING (row)
-), r AS (SELECT *, {rates} FROM m), vals AS ({rows}), s AS (
-  SELECT *, greatest(0, length(bin(v)) - {quality.BITS}) AS shift FROM vals
-), sketch AS (SELECT lang, source, metric, (v >> shift) << shift AS bucket, count(*) AS n FROM s GROUP BY ALL),
+), r AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {rates} FROM m
+), vals AS ({rows}), s AS (SELECT *, (1::BIGINT << greatest(0, length(bin(v)) - 6)) AS width FROM vals),
+sketch AS (SELECT lang, source, metric, v // width * width AS bucket, width, count(*) AS n FROM s GROUP BY ALL),
 {fence("own", "lang, source")},{fence("whole", "lang")},
-lim AS (
-  SELECT o.lang, o.source, o.metric, least(o.most, l.most) AS most FROM own o JOIN whole l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric
-), ok AS (
-  SELECT r.row, {within} AS ok FROM r JOIN lim ON r.lang IS NOT DISTINCT FROM lim.lang AND r.source IS NOT DISTINCT FROM lim.source GROUP BY r.row
-)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
-  NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AND ok AS kept
-FROM r JOIN ok USING (row)
+blend AS (
+  SELECT o.lang, o.source, o.metric, (o.n * o.low + 8 * w.low) // (o.n + 8) AS low, (o.n * o.high + 8 * w.high) // (o.n + 8) AS high
+  FROM own o JOIN whole w ON o.lang IS NOT DISTINCT FROM w.lang AND o.metric = w.metric
+), lim AS (SELECT lang, source, {wide} FROM blend GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  coalesce(NOT base_failed AND word_length BETWEEN low_word_length AND high_word_length
+    AND 1000 * (n_symbols - 3) <= high_symbol_rate * n_words AND 1000 * (n_shout - 3) <= high_shout_rate * word_chars
+    AND 1000 * (n_dup_lines - 3) <= high_dup_line_rate * n_lines
+    AND 1000 * (n_repeat_words * n_lines - 3 * n_words) <= high_repeat_rate * n_words * n_lines, false) AS kept
+FROM r LEFT JOIN lim ON r.lang IS NOT DISTINCT FROM lim.lang AND r.source IS NOT DISTINCT FROM lim.source
 """
 
 

@@ -1,7 +1,7 @@
 """Quality rules with built-in functions only: base rules, and adaptive limits per language and source.
 
 The limits come from mergeable quantile sketches: each metric is an integer, a value falls into a bucket that
-keeps its leading bits, and a sketch is the counts of its buckets. Sketches merge by adding counts, so the
+keeps its leading bits, and a sketch is the counts of its buckets, from which quartile fences are read. Sketches merge by adding counts, so the
 counts of (language, source) groups are pre-aggregated where the rows are, and a language's sketch is the sum
 of its sources'. Unlike sampled sketches they give the same limits however the rows are dealt out."""
 
@@ -18,18 +18,22 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: metric -> (numerator per 1000 of, least limit): no limit falls below it, so a clean group loses nothing
-#: for being uniform. Upper limits are quartile fences: Q3 + FENCE * (Q3 - Q1).
+#: metric -> (events, what they are counted in), per 1000.
 METRICS = {
-    "symbol_rate": ("n_symbols", "n_words", 200),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 600),
-    "repeat_rate": ("n_repeat_words", "n_words", 450),
-    "shout_rate": ("n_shout", "word_chars", 100),
-    "word_length": ("word_chars", "n_words", 15000),
+    "symbol_rate": ("n_symbols", "n_words"),
+    "dup_line_rate": ("n_dup_lines", "n_lines"),
+    "repeat_rate": ("n_repeat_words", "n_words"),
+    "shout_rate": ("n_shout", "word_chars"),
+    "word_length": ("word_chars", "n_words"),
 }
+#: A fence is FENCE times the spread between the quartiles away from them. Events up to FENCE are no evidence: so many
+#: symbols, marks, lines, or lines' worth of repeated words (a mean line of the text).
 FENCE = 3
 #: The leading bits that a bucket keeps: smaller values have buckets of their own.
 BITS = 6
+#: The documents that a language's limits weigh as in those of a source: a source of few documents leans on its
+#: language, one of many stands for itself.
+PRIOR = 8
 
 
 def _let(value: Column, body) -> Column:
@@ -91,46 +95,63 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.select(*df.columns, m.alias("__m"))
 
 
+def width(name: str) -> Column:
+    """The width of the bucket of column ``name`` (not negative): 2 to the number of its bits after the leading ones."""
+    return F.expr(f"shiftleft(1L, greatest(0, length(bin({name})) - {BITS}))")
+
+
 def bucket(name: str) -> Column:
-    """The least value of the bucket of column ``name`` (not negative): all but its leading bits cleared."""
-    shift = f"greatest(0, length(bin({name})) - {BITS})"
-    return F.expr(f"shiftleft(shiftright({name}, {shift}), {shift})")
+    """The least value of the bucket of column ``name``."""
+    return F.col(name) - F.col(name) % width(name)
 
 
 def rate(metric: str) -> Column:
-    a, b, _ = METRICS[metric]
+    a, b = METRICS[metric]
     return F.coalesce(F.try_divide(F.lit(1000) * F.col(f"__m.{a}"), F.col(f"__m.{b}")).cast("long"), F.lit(0)).cast("long")
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, metric, bucket, n): one mergeable sketch for each group and metric."""
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), bucket(k).alias("bucket")) for k in METRICS]))
-    rated = measured.select("lang", "source", *[rate(k).alias(k) for k in METRICS])
-    return rated.select("lang", "source", rows.alias("r")).groupBy("lang", "source", "r.metric", "r.bucket").agg(F.count("*").alias("n"))
+    """(lang, source, metric, bucket, width, n): one mergeable sketch for each group and metric, of the documents that
+    the base rules leave."""
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), bucket(k).alias("bucket"), width(k).alias("width")) for k in METRICS]))
+    rated = measured.where(~base_fails()).select("lang", "source", *[rate(k).alias(k) for k in METRICS])
+    return rated.select("lang", "source", rows.alias("r")).groupBy("lang", "source", "r.metric", "r.bucket", "r.width").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The fence of each group and metric from the cumulative counts of its buckets."""
+def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric, n, low, high: the fences of each group and metric from the cumulative counts of its buckets. The
+    quartiles are the outer edges of their buckets, so a group of equal values has the width of one as its spread."""
     w = W.partitionBy(*keys, "metric")
-    c = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n")).select(
-        *keys, "metric", "bucket", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("total"))
-    least = F.lit(0)
-    for m, (_, _, low) in METRICS.items():
-        least = F.when(F.col("metric") == m, F.lit(low)).otherwise(least)
+    c = sketch.groupBy(*keys, "metric", "bucket", "width").agg(F.sum("n").alias("n")).select(
+        *keys, "metric", "bucket", "width", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("total"))
     q = c.groupBy(*keys, "metric").agg(
+        F.max("total").alias("n"),
         F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"),
+        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket") + F.col("width"))).alias("q3"),
     )
-    return q.select(*keys, "metric", F.greatest(least, F.col("q3") + FENCE * (F.col("q3") - F.col("q1"))).cast("long").alias(name))
+    spread = FENCE * (F.col("q3") - F.col("q1"))
+    return q.select(*keys, "metric", "n", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """(lang, source, one column a metric): the lower of the group's fence and its language's, so that a source
-    that is mostly junk is held to its language."""
-    own, lang = fences(sketch, ["lang", "source"], "own"), fences(sketch, ["lang"], "whole")
+    """(lang, source, low_<metric>, high_<metric> ..): the group's fences, and its language's at the weight of PRIOR
+    documents."""
+    own, lang = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"])
     both = own.alias("o").join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.metric") == F.col("l.metric")))
-    both = both.select("o.lang", "o.source", "o.metric", F.least("own", "whole").alias("most"))
-    return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col("most"))).alias(f"max_{m}") for m in METRICS])
+    mean = lambda c: F.expr(f"(o.n * o.{c} + {PRIOR} * l.{c}) div (o.n + {PRIOR})").alias(c)
+    both = both.select("o.lang", "o.source", "o.metric", mean("low"), mean("high"))
+    return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}") for m in METRICS for c in ("low", "high")])
+
+
+def within() -> Column:
+    """Whether a row of measures meets its group's limits."""
+    m = lambda f: F.col(f"__m.{f}")
+    ok = rate("word_length").between(F.col("low_word_length"), F.col("high_word_length"))
+    for k in ("symbol_rate", "shout_rate", "dup_line_rate"):
+        a, b = METRICS[k]
+        ok = ok & (1000 * (m(a) - FENCE) <= F.col(f"high_{k}") * m(b))
+    lines = m("n_repeat_words") * m("n_lines") - FENCE * m("n_words")
+    return ok & (1000 * lines <= F.col("high_repeat_rate") * m("n_words") * m("n_lines"))
 
 
 def base_fails() -> Column:
@@ -138,30 +159,32 @@ def base_fails() -> Column:
 
 
 def _verdicts(m: DataFrame) -> DataFrame:
-    """m (with __m, lang, source) plus __kept, by the limits that all of m gives."""
-    most = limits(sketches(m)).withColumnsRenamed({"lang": "__lang", "source": "__source"})
-    ok = F.lit(True)
-    for k in METRICS:
-        ok = ok & (rate(k) <= F.col(f"max_{k}"))
-    j = m.join(most, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")))
-    return j.select(*m.columns, (~base_fails() & ok).alias("__kept"))
+    """m (with __m, and lang and source as __a and __b) plus __kept, by the limits that all of m gives. The limits are a
+    row a group, so the join leaves the order of rows to the planner."""
+    most = limits(sketches(m.select("__m", F.col("__a").alias("lang"), F.col("__b").alias("source"))))
+    most = most.withColumnsRenamed({"lang": "__lang", "source": "__source"})
+    j = m.join(most, F.col("__a").eqNullSafe(F.col("__lang")) & F.col("__b").eqNullSafe(F.col("__source")), "left")
+    return j.select(*m.columns, (~base_fails() & F.coalesce(within(), F.lit(False))).alias("__kept"))
 
 
 def judge(df: DataFrame, tables, text_col: str = "text") -> DataFrame:
     """A row per row of df: doc_id, lang, source, FIELDS, base_failed, and kept: base rules first, then every
-    metric within the limit of the row's language and source (null is a language or source of its own).
+    metric within the limits of the row's language and source (null is a language or source of its own).
 
     Empty and null texts fail the base rules. Repeated rows are judged alike. Extra columns are not looked at,
     whatever their names; an empty table gives an empty result."""
-    src = df.select("doc_id", "lang", "source", F.col(text_col).alias("__text"))
+    src = df.select("doc_id", F.col("lang").alias("__a"), F.col("source").alias("__b"), F.col(text_col).alias("__text"))
     m = tables.write(measures(src, "__text").drop("__text"))
-    return _verdicts(m).select("doc_id", "lang", "source", *[f"__m.{f}" for f in FIELDS], base_fails().alias("base_failed"), F.col("__kept").alias("kept"))
+    return _verdicts(m).select("doc_id", F.col("__a").alias("lang"), F.col("__b").alias("source"), *[f"__m.{f}" for f in FIELDS],
+                               base_fails().alias("base_failed"), F.col("__kept").alias("kept"))
 
 
 def keep(df: DataFrame, tables, text_col: str = "text") -> DataFrame:
-    """df's rows that ``judge`` keeps, with all columns."""
-    m = tables.write(measures(df, text_col))
-    return _verdicts(m).where("__kept").select(df.columns)
+    """df's rows that ``judge`` keeps, with all columns, whatever their names: they travel in a struct."""
+    row = F.struct(*df.columns).alias("__row")
+    src = df.select(row, F.col("lang").alias("__a"), F.col("source").alias("__b"), F.col(text_col).alias("__text"))
+    m = tables.write(measures(src, "__text").drop("__text"))
+    return _verdicts(m).where("__kept").select("__row.*")
 
 
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

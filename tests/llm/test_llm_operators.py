@@ -115,6 +115,29 @@ def test_entropy_classes_and_allowed_parts(spark):
     assert [t for i, t in enumerate(found + left) if ("entropy" in spans[i]) != (i < len(found))] == []
 
 
+def test_secret_spans_by_brute_force(spark):
+    """All spans of random stretches of secrets, paths, identifiers and slugs, and of a text of 50,000 matches."""
+    r = random.Random(12)
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    parts = [lambda: pick(alnum, r.randint(5, 45)), lambda: pick("0123456789abcdef", r.randint(10, 50)), lambda: pick(alnum[26:], r.randint(15, 40)), lambda: pick("ABCDEF0123456789", 24),
+             lambda: "/usr/local/lib/Python3/site-packages", lambda: "AbstractProxyFactoryBean2", lambda: "word-by-word-slug", lambda: "example", lambda: "password=" + pick(alnum, 9), lambda: "x" * 12, lambda: "é😀", lambda: " ", lambda: "\n"]
+    texts = ["".join(r.choice(parts)() + r.choice(["", "", " ", "/", "=", "_", "-", "+"]) for _ in range(r.randint(1, 12))) for _ in range(150)]
+    texts += ["https://docs.site.org/en/latest/user_guide/IO_tools-v2/index.html", "/usr/local/lib/Python3/site-packages/numpy/core", "class AbstractSingletonProxyFactoryBean2(Base)", "aB" * 5000, "token=abc123 " * 50_000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    out = {r.doc_id: r.spans for r in secrets.digests(df).collect()}
+    for k, t in enumerate(texts):
+        assert out[k] == brute.secret_spans(t), (t or "")[:300]
+    assert sum("entropy" in x for x in out.values()) > 50 and out[150] == out[151] == out[152] == ""
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 2, 3, 8, 9, 1000):
+        a = list(range(1, n + 1))
+        got_ = spark.createDataFrame([(a,)], "a array<int>").select(secrets.running(F.col("a")).alias("s")).first().s
+        assert got_ == [x * (x + 1) // 2 for x in a]
+
+
 def test_window_entropy(spark):
     r = random.Random(1)
     alphabet = "0123456789abcdef"
@@ -162,12 +185,27 @@ def test_quality(spark, tables, docs, rows):
     assert quality.keep(docs, tables).columns == docs.columns
 
 
-def test_quality_limits_adapt(spark, tables):
-    clean = [(k, " ".join(prose(k, 120, 500)), "en", "a", 1) for k in range(60)]
-    junk = [(100 + k, " ".join(x + "%%%" for x in prose(500 + k, 120, 500)), "en", "a", 1) for k in range(12)]
-    mostly_junk = [(200 + k, " ".join(x + "%%%" for x in prose(600 + k, 120, 500)), "en", "b", 1) for k in range(9)]
-    kept = {r.doc_id for r in quality.judge(spark.createDataFrame(clean + junk + mostly_junk, DOCS), tables).where("kept").collect()}
-    assert kept == set(range(60))
+def test_quality_limits_differ_by_group(spark, tables):
+    """Prose and code of one language: the same rate of symbols passes in the source where it is usual, and only there.
+    A source of few documents, all junk, leans on its language."""
+    marked = lambda seed, every: " ".join(x + "#" * (k % 100 < every) for k, x in enumerate(prose(seed, 200, 900)))
+    clean = [(k, marked(k, 0), "en", "prose", 1) for k in range(60)]
+    code = [(100 + k, marked(k, 40 + k % 20), "en", "code", 1) for k in range(60)]
+    probes = [(200, marked(300, 45), "en", "prose", 1), (201, marked(300, 45), "en", "code", 1), (202, marked(301, 1), "en", "prose", 1)]
+    junk = [(300 + k, " ".join(x + "%%%" for x in prose(500 + k, 120, 500)), "en", "few", 1) for k in range(9)] + [(400, " ".join(x + "%%%" for x in prose(600, 120, 500)), "en", "code", 1)]
+    df = spark.createDataFrame(clean + code + probes + junk, DOCS)
+    kept = {r.doc_id for r in quality.judge(df, tables).where("kept").collect()}
+    assert kept == {*range(60), *range(100, 160), 201, 202}
+    lim = {r.source: r.high_symbol_rate for r in quality.limits(quality.sketches(quality.measures(df))).collect()}
+    assert lim["prose"] < 400 < 500 < lim["code"] < 1500
+
+
+def test_quality_copies_leave_a_spread(spark, tables):
+    """A group of equal documents still has the width of a bucket as its spread; clashing names stay as they are."""
+    rows = [(k, " ".join(prose(1, 120, 500)), "en", "a", 7, "mine") for k in range(80)] + [(100, " ".join(prose(2, 120, 500)), "en", "a", 7, "mine")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __w int, __m string")
+    out = quality.keep(df, tables)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == sorted(rows)
 
 
 def test_sketches_merge(spark):
