@@ -136,9 +136,9 @@ def glob_match(s: Column, glob: str) -> Column:
 
 
 def link_name(s: Column) -> Column:
-    """ST15: a written reference as a dotted name: <doc:X> unwrapped, a trailing -hash and '@' gone, '/' as '.'."""
+    """ST15: a written reference as a dotted name: <doc:X> unwrapped, what follows a '-' and '@' gone, '/' as '.'."""
     s = F.regexp_replace(s, r"^<doc:(.*)>$", "$1")
-    s = F.regexp_replace(s, r"-[0-9a-z]{4,6}$", "")
+    s = F.regexp_replace(s, r"(?<!^)-.+$", "")
     return F.replace(F.regexp_replace(s, r"^@", ""), F.lit("/"), F.lit("."))
 
 
@@ -148,9 +148,9 @@ def display_tail(name: Column) -> Column:
 
 
 def objc_key(name: Column) -> Column:
-    """ST16: '-[Class method:]' or '+[Class(Cat) m]' as 'Class.method:'; other names as they are."""
-    p = r"^[-+]\[(\w+)(?:\(\w*\))?\s+([^\]]+)\]$"
-    return F.when(name.rlike(p), F.concat(F.regexp_extract(name, p, 1), F.lit("."), F.regexp_extract(name, p, 2))).otherwise(name)
+    """ST16: '-[Class method:]' or '+[Class(Cat) m]' as 'Class.-method:' or 'Class.+m'; other names as they are."""
+    p = r"^([+-])\s*\[(\w+)(?: ?\(\w+\))? ([\w:]+)\]$"
+    return F.when(name.rlike(p), F.concat(F.regexp_extract(name, p, 2), F.lit("."), F.regexp_extract(name, p, 1), F.regexp_extract(name, p, 3))).otherwise(name)
 
 
 def version_at_most(a: Column, b: Column) -> Column:

@@ -5,43 +5,87 @@ finds which exist, and the least priority wins."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arborql.functions.text import link_name, re_matches, slugged
-from arborql.operators.ordered import first_wins, last_wins, ordered_lookup
+from arborql.functions.text import html_escaped, link_name, objc_key, re_matches, slugged
+from arborql.operators.ordered import first_wins, last_wins, numbered
 
 
 def elided(name: Column) -> Column:
-    """'f(a:b:)' as 'f(...)'; null for names without arguments."""
-    return F.when(name.rlike(r"\([^)]+\)"), F.regexp_replace(name, r"\([^)]+\)", "(...)"))
+    """'f(a:b:)' and 'f()' as 'f(...)'; null for names without parentheses."""
+    return F.when(F.contains(name, F.lit("(")), F.regexp_replace(name, r"\(.*\)", "(...)"))
 
 
 def name_index(items: DataFrame, first: bool = False) -> DataFrame:
-    """LNK1: (language, key, item_id) of items(item_id, path, language, full_name, module_name): the full name, with
-    its module, and both with arguments elided; the last in pre-order wins (or the first)."""
-    keys = F.array("full_name", F.concat_ws(".", "module_name", "full_name"), elided(F.col("full_name")), elided(F.concat_ws(".", "module_name", "full_name")))
+    """LNK1: (language, key, item_id) of items(item_id, path, language, full_name, module_name): a Swift item's full name,
+    the same with its module, and both with arguments elided; an Objective-C item's full name. The last in pre-order wins
+    (or the first)."""
+    swift = F.array("full_name", F.concat_ws(".", "module_name", "full_name"), elided(F.col("full_name")), F.concat(F.col("module_name"), F.lit("."), elided(F.col("full_name"))))
+    keys = F.when(F.col("language") == "objc", F.array("full_name")).otherwise(swift)
     e = items.select("language", F.explode(F.array_distinct(F.array_compact(keys))).alias("key"), "item_id", "path")
     return first_wins(e, ["language", "key"], ["path"], last=not first).drop("path")
 
 
 def scope_candidates(refs: DataFrame, languages: list[str]) -> DataFrame:
-    """JN10: refs(ref_id, name, scopes) -> (ref_id, language, key, priority), scopes being the names of the enclosing
-    items, outermost first: each enclosing prefix from the longest, then the name alone, then under the context."""
-    n = F.size("scopes")
-    prefixes = F.when(n > 0, F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda k: F.concat_ws(".", F.array_join(F.slice("scopes", F.lit(1), k), "."), "name"))).otherwise(F.array().cast("array<string>"))
-    keys = F.concat(prefixes, F.array(F.col("name")), F.when(n > 0, F.array(F.concat_ws(".", F.element_at("scopes", -1), "name"))).otherwise(F.array().cast("array<string>")))
-    out = refs.select("ref_id", F.posexplode(keys).alias("at", "key"))
-    langs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("language")) for k, x in enumerate(languages)])).alias("l")
-    return out.select("ref_id", "key", "at", langs).select("ref_id", "key", F.col("l.language").alias("language"), (F.col("l.k") * 10_000 + F.col("at")).alias("priority"))
+    """JN10: refs(ref_id, name, scopes, context) -> (ref_id, language, key, priority). scopes are the names of the items
+    around the one that refers, outermost first (``scopes_<language>`` where names differ), context is its own name, null
+    for items that are no definitions.
+
+    The order is that of phases, then languages: the name under each enclosing prefix, from the longest, in every
+    language; then the name alone, hierarchical; then the name under the context."""
+    none = F.array().cast("array<string>")
+    out = None
+    for k, lang in enumerate(languages):
+        scopes = F.col(f"scopes_{lang}" if f"scopes_{lang}" in refs.columns else "scopes")
+        n = F.size(scopes)
+        prefixes = F.when((n > 0) & F.col("context").isNotNull(), F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda d: F.concat_ws(".", F.array_join(F.slice(scopes, F.lit(1), d), "."), "name"))).otherwise(none)  # noqa: B023
+        at = lambda phase, place: F.struct(F.lit(phase).alias("phase"), F.lit(k).alias("language"), place.alias("place"))  # noqa: E731, B023
+        rows = F.concat(
+            F.transform(prefixes, lambda x, i: F.struct(x.alias("key"), at(0, i).alias("priority"))),
+            F.array(F.struct(objc_key(F.col("name")).alias("key"), at(1, F.lit(0)).alias("priority"))),
+            F.array(F.struct(F.concat("context", F.lit("."), "name").alias("key"), at(2, F.lit(0)).alias("priority"))))
+        one = refs.select("ref_id", F.lit(lang).alias("language"), F.explode(rows).alias("r")).select("ref_id", "language", "r.key", "r.priority").where("key is not null")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def resolve_local(refs: DataFrame, index: DataFrame, languages: list[str]) -> DataFrame:
-    """JN10: refs with item_id of what they mean, null if nothing; each distinct name and scope is looked up once."""
-    d = refs.select("name", "scopes").distinct().withColumn("ref_id", F.concat_ws("|", "name", F.array_join("scopes", ">")))
-    hit = ordered_lookup(scope_candidates(d, languages), index, ["language", "key"], ["ref_id"], "priority", "item_id")
-    return refs.join(d.join(hit, "ref_id").select("name", "scopes", "item_id", "priority"), ["name", "scopes"], "left")
+    """JN10: refs with item_id and language of what they mean, null if nothing, and the priority that it was found at;
+    each distinct name and place is looked up once. Without a context column, the innermost scope is the context."""
+    if "context" not in refs.columns:
+        refs = refs.withColumn("context", F.try_element_at("scopes", F.lit(-1)))
+    on = ["name", "context", *[c for c in refs.columns if c.startswith("scopes")]]
+    d = refs.select(*on).distinct().withColumn("ref_id", F.to_json(F.struct(*on)))
+    hit = scope_candidates(d, languages).join(index, ["language", "key"])
+    hit = hit.groupBy("ref_id").agg(F.min_by(F.struct("item_id", "language"), "priority").alias("h"), F.min("priority").alias("priority"))
+    found = d.join(hit, "ref_id").select("ref_id", "h.item_id", "h.language", "priority").withColumnRenamed("ref_id", "__k")
+    return refs.withColumn("__k", F.to_json(F.struct(*on))).join(found, "__k", "left").drop("__k")
+
+
+#: Names that are never reported as unresolved.
+COMMON_UNLINKED = ["true", "false", "nil", "self", "Self", "YES", "NO"]
+
+
+def autolink(refs: DataFrame, index: DataFrame, remote: DataFrame, builtin: DataFrame, languages: list[str]) -> DataFrame:
+    """LNK2: refs(ref_id, name, scopes, context, context_id, generic_params) with ``outcome`` and what it found: rejected,
+    self, local (item_id, language), remote or builtin (url), or unresolved. Each step sees only what earlier ones left.
+    ``report`` marks the unresolved names that are worth a report: not the context's own, nor common words."""
+    r = refs.withColumns({"search": link_name(F.col("name")), "__no": rejected(F.col("name"), F.coalesce("generic_params", F.array().cast("array<string>")))})
+    local = resolve_local(r.where(~F.col("__no")).select("ref_id", F.col("search").alias("name"), *[c for c in refs.columns if c.startswith("scopes")], "context"), index, languages)
+    r = r.join(local.select("ref_id", "item_id", "language"), "ref_id", "left")
+    rest = r.where(~F.col("__no") & F.col("item_id").isNull()).select("ref_id", F.col("search").alias("name"))
+    far = resolve_remote(rest, remote).select("ref_id", F.col("url").alias("remote_url"))
+    near = resolve_builtin(rest.join(far, "ref_id", "left_anti"), builtin).select("ref_id", F.col("url").alias("builtin_url"))
+    r = r.join(far, "ref_id", "left").join(near, "ref_id", "left")
+    own = F.col("item_id").eqNullSafe(F.col("context_id")) & F.col("item_id").isNotNull()
+    outcome = (F.when(F.col("__no"), "rejected").when(own, "self").when(F.col("item_id").isNotNull(), "local").when(F.col("remote_url").isNotNull(), "remote")
+               .when(F.col("builtin_url").isNotNull(), "builtin").otherwise("unresolved"))
+    report = (outcome.isin("unresolved", "self")) & ~F.col("search").eqNullSafe(F.col("context")) & ~F.col("search").isin(COMMON_UNLINKED)
+    return r.select("ref_id", "name", "search", outcome.alias("outcome"), F.when(~own, F.col("item_id")).alias("item_id"), F.when(~own, F.col("language")).alias("language"),
+                    F.coalesce("remote_url", "builtin_url").alias("url"), report.alias("report"))
 
 
 def rejected(name: Column, generic_params: Column) -> Column:
@@ -59,9 +103,10 @@ def shadowed(refs: DataFrame, params: DataFrame) -> DataFrame:
 def resolve_remote(refs: DataFrame, remote: DataFrame) -> DataFrame:
     """JN11: refs(ref_id, name): over sources in order, bare name first, then 'Module.rest'. remote(source_ord,
     module_name, key, url)."""
-    bare = refs.join(remote, F.col("name") == F.col("key")).select("ref_id", "url", F.col("source_ord").alias("priority"))
+    at = lambda phase: F.struct(F.lit(phase).alias("phase"), F.col("source_ord").alias("ord")).alias("priority")
+    bare = refs.join(remote, F.col("name") == F.col("key")).select("ref_id", "url", at(0))
     cut = refs.where(F.contains("name", F.lit("."))).select("ref_id", F.substring_index("name", ".", 1).alias("m"), F.expr("substring(name, instr(name, '.') + 1)").alias("rest"))
-    full = cut.join(remote, (F.col("m") == F.col("module_name")) & (F.col("rest") == F.col("key"))).select("ref_id", "url", (F.col("source_ord") + 1_000_000).alias("priority"))
+    full = cut.join(remote, (F.col("m") == F.col("module_name")) & (F.col("rest") == F.col("key"))).select("ref_id", "url", at(1))
     return bare.unionByName(full).groupBy("ref_id").agg(F.min_by("url", "priority").alias("url"))
 
 
@@ -76,26 +121,55 @@ def resolve_builtin(refs: DataFrame, db: DataFrame) -> DataFrame:
     return bare.unionByName(full).groupBy("ref_id").agg(F.min_by("url", "p").alias("url"))
 
 
-def parent_fixpoint(entries: DataFrame, tables, max_rounds: int = 64) -> DataFrame:
-    """JN13: search entries(url, name, parent_name) to full names: rows under an 'extensions' part go; roots have no
-    parent and the last of a name wins; then whatever's parent is placed is placed, the first wins, until a
-    round places nothing. Callables get an elided name too. Names still placed after max_rounds are an error."""
-    e = tables.write(entries.where(~F.col("url").rlike(r"(^|/)[Ee]xtensions/")))
-    level = tables.write(last_wins(e.where("parent_name is null").select(F.col("name").alias("full_name"), "url", "name"), ["full_name"], ["url"]))
-    done, rest = level, tables.write(e.where("parent_name is not null"))
-    for _ in range(max_rounds):
-        up = level.select(F.col("name").alias("parent_name"), F.col("full_name").alias("__f"), F.col("url").alias("__u"))
-        here = rest.join(up, (rest["parent_name"] == up["parent_name"]) & F.startswith(rest["url"], F.regexp_replace(up["__u"], r"\.html.*$", ""))).drop(up["parent_name"])
-        here = here.select(F.concat_ws(".", "__f", "name").alias("full_name"), "url", "name")
-        level = tables.write(first_wins(here.join(done.select("full_name"), "full_name", "left_anti"), ["full_name"], ["url"]))
+def search_parents(entries: DataFrame, tables) -> DataFrame:
+    """JN13: search entries(url, name, parent_name) that find their parent, with parent_url (null for roots) and their
+    place in the order of finding.
+
+    Parents are found by short name. Entries are gone over by url, again and again; a name stands for the last root that
+    has it, else for the first entry found. So an entry is found in the pass of its parent's name if that comes before it
+    by url, else in the next, and places are the least solution of that rule: they only fall, until none changes."""
+    e = tables.write(entries.where(~F.col("url").rlike(r"(?i)(^|/)extensions(/|$)")))
+    place = lambda p, u: F.struct(p.cast("long").alias("pass"), u.alias("url"))
+    roots = last_wins(e.where("parent_name is null").select("name", "url"), ["name"], ["url"])
+    roots = roots.select("name", F.col("url").alias("at_url"), place(F.lit(1), F.lit("")).alias("place"))
+    rest = tables.write(e.where("parent_name is not null").join(roots.select("name", F.lit(True).alias("is_root")), "name", "left"))
+    names = tables.write(roots)
+
+    def found(names: DataFrame) -> DataFrame:
+        up = names.select(F.col("name").alias("parent_name"), F.col("at_url").alias("parent_url"), F.col("place").alias("__p"))
+        behind = F.when(F.col("__p.url") < F.col("url"), 0).otherwise(1)
+        return rest.join(up, "parent_name").select("url", "name", "parent_url", "is_root", place(F.col("__p.pass") + behind, F.col("url")).alias("place"))
+
+    while True:
+        new = found(names).where("is_root is null").groupBy("name").agg(F.min("place").alias("place")).select("name", F.col("place.url").alias("at_url"), "place")
+        new = tables.write(roots.unionByName(new))
+        same = new.join(names, ["name", "place"], "left_anti").isEmpty()
+        tables.drop(names)
+        names = new
+        if same:
+            break
+    first = roots.select(F.col("at_url").alias("url"), "name", F.lit(None).cast("string").alias("parent_url"), "place")
+    return tables.write(first.unionByName(found(names).drop("is_root")))
+
+
+def parent_fixpoint(entries: DataFrame, tables) -> DataFrame:
+    """JN13: search entries(url, name, parent_name) to full names (full_name, url, name), one a level by one equi-join. Of
+    a parent's children of one name the last found wins; callables go by an elided name too, in the same order."""
+    e = search_parents(entries, tables)
+    names = F.explode(F.array_distinct(F.array_compact(F.array("name", elided(F.col("name"))))))
+    kids = e.where("parent_url is not null").select("parent_url", names.alias("name"), "url", "place")
+    kids = tables.write(last_wins(kids, ["parent_url", "name"], ["place"]).drop("place"))
+    level = tables.write(e.where("parent_url is null").select(F.col("name").alias("full_name"), "url", "name"))
+    done = [level]
+    while True:  # a child is found after its parent, so levels end
+        up = level.select(F.col("url").alias("parent_url"), "full_name")
+        level = tables.write(kids.join(up, "parent_url").select(F.concat_ws(".", "full_name", "name").alias("full_name"), "url", "name"))
         if level.isEmpty():
             break
-        done = done.unionByName(level)
-    else:
-        raise RuntimeError(f"names deeper than {max_rounds} parents")
-    more = done.select(elided(F.col("full_name")).alias("full_name"), "url", "name").where("full_name is not null")
-    more = first_wins(more.join(done.select("full_name"), "full_name", "left_anti"), ["full_name"], ["url"])
-    return done.unionByName(more)
+        done.append(level)
+        if len(done) == 50:
+            done = [tables.write(reduce(DataFrame.unionByName, done))]
+    return first_wins(reduce(DataFrame.unionByName, done), ["full_name"], ["url"])
 
 
 def docc_key(name: Column) -> Column:
@@ -145,7 +219,17 @@ def paragraphs_to_list(markdown: Column) -> Column:
 
 def rendered_link(text: Column, url: Column) -> Column:
     """LNK3"""
-    return F.when(url.isNull(), F.concat(F.lit("<code>"), text, F.lit("</code>"))).otherwise(F.concat(F.lit('<a href="'), url, F.lit('"><code>'), text, F.lit("</code></a>")))
+    return F.when(url.isNull(), F.concat(F.lit("<code>"), text, F.lit("</code>"))).otherwise(F.concat(F.lit('<a href="'), url, F.lit('"><code>'), html_escaped(text), F.lit("</code></a>")))
+
+
+def dual_link(text: Column, language: Column, urls: Column, names: Column, full_names: Column) -> Column:
+    """LNK3: the link to a definition that has two languages (maps from language to url, name and full name): one anchor
+    a language, that of the other marked secondary. It shows the other's short name if the written one is short."""
+    other = F.when(language == "swift", F.lit("objc")).otherwise(F.lit("swift"))
+    shown = F.when(text == F.try_element_at(names, language), F.try_element_at(names, other)).otherwise(F.try_element_at(full_names, other))
+    one = lambda lang, style, name: F.concat(F.lit('<a href="'), F.try_element_at(urls, lang), F.lit('" class="j2-'), lang, F.lit(style + '"><code>'), html_escaped(name), F.lit("</code></a>"))
+    single = F.concat(F.lit('<a href="'), F.try_element_at(urls, language), F.lit('"><code>'), html_escaped(text), F.lit("</code></a>"))
+    return F.when(F.try_element_at(urls, other).isNull(), single).otherwise(F.concat(one(language, "", text), one(other, " j2-secondary", shown)))
 
 
 def fixed_up(html: Column, placeholder: str, path_to_root: Column) -> Column:
@@ -179,7 +263,6 @@ def _starts(term: str):
     return lambda w: F.startswith(w, F.lit(term))
 
 
-def docset_index(entries: DataFrame) -> DataFrame:
+def docset_index(entries: DataFrame, tables=None) -> DataFrame:
     """SNK7: the first row of each (name, type, path), numbered in order."""
-    d = first_wins(entries, ["name", "type", "path"], ["ord"])
-    return d.withColumn("id", F.row_number().over(W.orderBy("ord")))
+    return numbered(first_wins(entries, ["name", "type", "path"], ["ord"]), ["ord"], "id", tables)

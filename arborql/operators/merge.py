@@ -9,20 +9,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arborql.operators.ordered import first_wins
+from arborql.operators.ordered import first_wins, values_in_order
 
 
-def duplicates(defs: DataFrame, key: str = "usr", order: str = "path") -> DataFrame:
+def duplicates(defs: DataFrame, key: str | list[str] = "usr", order: str = "path") -> DataFrame:
     """AGG4, AGG5: every row with head_<order> (its key's first row) and is_head, and for heads the merged
-    availabilities, the number of copies and of copies of another kind."""
-    g = defs.groupBy(key).agg(
-        F.min(order).alias("head"), F.min_by("kind", order).alias("head_kind"), F.count("*").alias("copies"),
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("kind").alias("k"), F.col("availability").alias("a")))).alias("rows"),
-    )
-    same = F.filter("rows", lambda r: r["k"] == F.col("head_kind"))
-    g = g.select(key, "head", "copies", F.size(F.filter("rows", lambda r: r["k"] != F.col("head_kind"))).alias("mismatches"),
-                 F.array_distinct(F.flatten(F.transform(same, lambda r: F.coalesce(r["a"], F.array().cast("array<string>"))))).alias("merged"))
-    return defs.join(g, key).withColumn("is_head", F.col(order) == F.col("head")).withColumn("availability", F.when(F.col("is_head"), F.col("merged")).otherwise(F.col("availability"))).drop("merged")
+    availabilities, the number of copies and of copies of another kind. Counts combine by kind before the shuffle, and
+    values by value, so a key's copies never meet in a row."""
+    keys = [key] if isinstance(key, str) else key
+    kinds = defs.groupBy(*keys, "kind").agg(F.count("*").alias("n"), F.min(order).alias("o"))
+    g = kinds.groupBy(*keys).agg(F.min("o").alias("head"), F.min_by("kind", "o").alias("head_kind"), F.sum("n").alias("copies"))
+    off = kinds.join(g.select(*keys, "head_kind"), keys).groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("kind") != F.col("head_kind"), F.col("n"))), F.lit(0)).alias("mismatches"))
+    same = defs.join(g.select(*keys, F.col("head_kind").alias("__k")), keys).where(F.col("kind").eqNullSafe(F.col("__k")))
+    values = values_in_order(same, keys, "availability", order, "merged")
+    g = g.drop("head_kind").join(off, keys).join(values, keys, "left")
+    merged = F.coalesce("merged", F.array().cast("array<string>"))
+    return defs.join(g, keys).withColumn("is_head", F.col(order) == F.col("head")).withColumn("availability", F.when(F.col("is_head"), merged).otherwise(F.col("availability"))).drop("merged")
+
+
+def merged_forest(defs: DataFrame, tables) -> DataFrame:
+    """AGG5 for whole trees: defs(path, usr, kind, availability, ..) of forests, paths being arrays of ordinals. Copies of
+    a usr below one head are merged, their children become the head's, and are merged in turn, a level a round. Heads
+    come back with head_parent (the head of their parent), availability, copies and mismatches."""
+    d = tables.write(defs.withColumn("__depth", F.size("path")))
+    top = d.agg(F.max("__depth")).first()[0] or 0
+    out, up = None, None
+    for depth in range(1, top + 1):
+        own = d.where(F.col("__depth") == depth)
+        if up is None:
+            own = own.withColumn("head_parent", F.lit(None).cast(d.schema["path"].dataType))
+        else:
+            own = own.withColumn("__up", F.slice("path", F.lit(1), F.size("path") - 1)).join(up, "__up").drop("__up")
+        m = tables.write(duplicates(own.withColumn("__top", F.coalesce("head_parent", F.array().cast(d.schema["path"].dataType))), ["__top", "usr"]).drop("__top"))
+        up = m.select(F.col("path").alias("__up"), F.col("head").alias("head_parent"))
+        heads = m.where("is_head").drop("__depth", "head", "is_head")
+        out = heads if out is None else out.unionByName(heads)
+    return out if out is not None else defs.withColumns({"head_parent": F.lit(None).cast(defs.schema["path"].dataType), "copies": F.lit(0).cast("long"), "mismatches": F.lit(0).cast("long")})
 
 
 def reparent(children: DataFrame, merged: DataFrame, parent: str = "parent_path") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from arborql.tables import Tables
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
     """One row per key: the first (or last) by ``order``, with all columns."""
@@ -55,6 +57,43 @@ def islands(df: DataFrame, value: list[str], partition: list[str], order: list[s
     return df.withColumn("__start", start).withColumn(name, F.sum("__start").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("__start")
 
 
+def placed_in_order(df: DataFrame, order: list[str], tables=None) -> DataFrame:
+    """df in ranges of ``order``, written, with __part and __at: the number of the range and the place within it. Order
+    over a whole table needs no window over it: ranges are sorted on their own, and a row a range tells the rest."""
+    tables = tables or Tables(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    return tables.write(d.withColumns({"__part": F.expr("shiftright(__id, 33)"), "__at": F.expr("__id & 8589934591")}).drop("__id"))
+
+
+def numbered(df: DataFrame, order: list[str], name: str, tables=None) -> DataFrame:
+    """SNK7: ``name``, from 1, in order over the whole table."""
+    d = placed_in_order(df, order, tables)
+    per = d.groupBy("__part").agg(F.count("*").alias("__n"))  # a row a range
+    per = per.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__base"))
+    return d.join(per, "__part").withColumn(name, F.col("__base") + F.col("__at") + 1).drop("__part", "__at", "__base")
+
+
+def neighbours(df: DataFrame, order: list[str], value: str, prev: str, next_: str, tables=None) -> DataFrame:
+    """WIN3: ``value`` of the row before and after in order over the whole table."""
+    d = placed_in_order(df, order, tables)
+    ends = d.groupBy("__part").agg(F.min_by(value, "__at").alias("__first"), F.max_by(value, "__at").alias("__last"), F.max("__at").alias("__top"))
+    across = W.orderBy("__part")  # over a row a range
+    ends = ends.select("__part", "__top", F.lag("__last").over(across).alias("__before"), F.lead("__first").over(across).alias("__after"))
+    w = W.partitionBy("__part").orderBy("__at")
+    out = d.withColumns({prev: F.lag(value).over(w), next_: F.lead(value).over(w)}).join(ends, "__part")
+    out = out.withColumns({prev: F.when(F.col("__at") == 0, F.col("__before")).otherwise(F.col(prev)), next_: F.when(F.col("__at") == F.col("__top"), F.col("__after")).otherwise(F.col(next_))})
+    return out.drop("__part", "__at", "__top", "__before", "__after")
+
+
+def values_in_order(df: DataFrame, keys: list[str], values: str, order: str, name: str) -> DataFrame:
+    """AGG5: keys and the distinct values of the array column ``values`` over a key's rows, by first place. What is
+    collected is a key's distinct values, not its rows."""
+    one = df.select(*keys, F.col(order).alias("__o"), F.posexplode(values).alias("__p", "__v"))
+    one = one.groupBy(*keys, "__v").agg(F.min(F.struct("__o", "__p")).alias("__at"))
+    return one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__v"))), lambda r: r["__v"]).alias(name))
+
+
 def unique_names(name: Column, scope: list[str], order: list[str]) -> Column:
     """WIN4: repeats of a name within a scope get 1, 2, ... appended. A natural name may still equal a made one."""
     n = F.row_number().over(W.partitionBy(*scope, name).orderBy(*order)) - 1

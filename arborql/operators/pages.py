@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arborql.functions.text import slugged, url_path_encoded
 from arborql.model import ITEM_KIND_NAMES
-from arborql.operators.ordered import islands, unique_names
+from arborql.operators.ordered import islands, neighbours, unique_names
 from arborql.operators.tree import with_ancestors
 
 
@@ -54,16 +54,16 @@ def urls(items: DataFrame, tables, style: str = "nested", multi_module: bool = F
     return done.withColumn("url_path", page(F.col("page_stem"))).drop("stem")
 
 
-def linear(pages: DataFrame, group: str | None = None) -> DataFrame:
+def linear(pages: DataFrame, group: str | None = None, tables=None) -> DataFrame:
     """WIN3: prev_url and next_url over rows with render_as_page in path order; the readme closes the ring: its next
-    is the first page and its previous the last. ``group`` bounds the order to one corpus, site or module, so
-    that a window never holds everything."""
+    is the first page and its previous the last. ``group`` bounds the order to one corpus, site or module; without
+    it the order goes over ranges of the whole table, so that a window never holds everything."""
     base = pages.where("render_as_page")
     part = [group or "__all"]
     base = base if group else base.withColumn("__all", F.lit(0))
     body = base.where("item_type <> 'readme'")
     w = W.partitionBy(*part).orderBy("path")
-    out = body.withColumns({"prev_url": F.lag("url_path").over(w), "next_url": F.lead("url_path").over(w)})
+    out = body.withColumns({"prev_url": F.lag("url_path").over(w), "next_url": F.lead("url_path").over(w)}) if group else neighbours(body, ["path"], "url_path", "prev_url", "next_url", tables)
     ends = body.groupBy(*part).agg(F.min_by("url_path", "path").alias("next_url"), F.max_by("url_path", "path").alias("prev_url"))
     readme = base.where("item_type = 'readme'")
     return out.unionByName(readme.join(ends, part, "left")).drop("__all")
@@ -125,7 +125,7 @@ def code_host_url(prefix: Column, file: Column, source_dir: Column, first: Colum
     return F.when(F.startswith(file, root), F.concat(prefix, F.lit("/"), tail, line))
 
 
-def assemble(items: DataFrame) -> DataFrame:
+def assemble(items: DataFrame, tables=None) -> DataFrame:
     """LNK14: a row per page of items(path, item_type, name, url_path, url_hash, topic_id, topic_title, abstract): title,
     breadcrumbs, previous and next page, and topics as array<struct<title, anchor, items>>. What a page shows is
     bounded by what its parent item holds."""
@@ -136,7 +136,7 @@ def assemble(items: DataFrame) -> DataFrame:
     t = t.withColumn("anchor", unique_names(F.concat(F.lit("tpc-"), slugged(F.coalesce("title", F.lit("")))), ["parent"], ["island"]))
     t = t.groupBy("parent").agg(F.transform(F.array_sort(F.collect_list(F.struct("island", "title", "anchor", "items"))), lambda x: F.struct(x["title"].alias("title"), x["anchor"].alias("anchor"), x["items"].alias("items"))).alias("topics"))
     own = breadcrumbs(items).where("url_hash is null").withColumn("render_as_page", F.lit(True))
-    p = linear(own).join(t.withColumnRenamed("parent", "path"), "path", "left")
+    p = linear(own, tables=tables).join(t.withColumnRenamed("parent", "path"), "path", "left")
     return p.select("path", "item_type", F.col("name").alias("title"), "url_path", "abstract", "breadcrumbs", "prev_url", "next_url", "topics")
 
 

@@ -17,15 +17,13 @@ def flatten_variant(spark: SparkSession, view: str, child_key: str = CHILDREN, m
     cols = [c for c in spark.table(view).columns if c != "v"]
     keys = ", ".join(cols) + (", " if cols else "")
     kept = ", ".join(f"t.{c}" for c in cols) + (", " if cols else "")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_depth))
     return spark.sql(f"""
-        WITH RECURSIVE t({keys}path, v, depth) AS (
+        WITH RECURSIVE t({keys}path, v, depth) MAX RECURSION LEVEL {max_depth} AS (
           SELECT {keys}array(0), v, 0 FROM {view}
           UNION ALL
           SELECT {kept}array_append(t.path, c.pos), c.value, t.depth + 1
           FROM t, LATERAL variant_explode(try_variant_get(t.v, '$["{child_key}"]', 'variant')) c)
-        SELECT {keys}path, v FROM t""")
+        SELECT {keys}path, v FROM t LIMIT ALL""")
 
 
 def paths_from_parents(df: DataFrame, tables, id_col: str, parent_col: str, order: str, max_depth: int = 1000) -> DataFrame:

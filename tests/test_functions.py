@@ -62,7 +62,8 @@ def test_mark(spark, comment, title):
 def test_names(spark):
     s = F.col("s")
     assert one(spark, X.link_name(s), s="<doc:A/b-1a2b3>") == "A.b"
-    assert one(spark, X.objc_key(s), s="-[Class(Cat) meth:od:]") == "Class.meth:od:"
+    assert one(spark, X.objc_key(s), s="-[Class(Cat) meth:od:]") == "Class.-meth:od:"
+    assert one(spark, X.objc_key(s), s="+[Class m]") == "Class.+m" and one(spark, X.objc_key(s), s="f(x:)") == "f(x:)"
     assert one(spark, X.display_tail(s), s="A.B.f(a:b:)") == "f(a:b:)"
     assert one(spark, X.category_name(s), s="NSFoo(Bar)").asDict() == {"class": "NSFoo", "category": "Bar"}
     assert one(spark, X.relative_path(F.col("a"), F.col("b")), a="x/y/z", b="x/w") == "../../w"
