@@ -56,7 +56,14 @@ def reimported(spark: SparkSession, paths: str | list[str], this_version: str =
     r = r.select("*", F.try_variant_get("v", '$["key.bb.version"]', "string").alias("version"), F.try_variant_get("v", '$["key.bb.module_name"]', "string").alias("module_name"),
                  F.try_variant_get("v", '$["key.bb.pass_index"]', "bigint").alias("pass_index"))
     r = r.where(F.col("version").isNotNull() & F.col("module_name").isNotNull() & F.col("pass_index").isNotNull()).where(version_at_most(F.col("version"), F.lit(this_version)))
-    return islands(r, ["module_name", "pass_index"], [], ["file", "file_seq"], "pass_no")
+    r = islands(r, ["module_name", "pass_index"], ["file"], ["file_seq"], "__run")
+    # runs are numbered within files; a row a file tells how many came before it, and whether its first goes on a run
+    ends = F.struct("module_name", "pass_index")
+    f = r.groupBy("file").agg(F.min_by(ends, "file_seq").alias("first"), F.max_by(ends, "file_seq").alias("last"), F.max("__run").alias("n"))
+    w = W.orderBy("file")
+    f = f.withColumn("goes_on", F.when(F.col("first").eqNullSafe(F.lag("last").over(w)), 1).otherwise(0))
+    f = f.select("file", (F.sum(F.col("n") - F.col("goes_on")).over(w) - F.col("n")).alias("__base"))
+    return r.join(f, "file").withColumn("pass_no", F.col("__base") + F.col("__run")).drop("__base", "__run")
 
 
 def import_filter(df: DataFrame, module: str | None = None, pass_index: int | None = None) -> DataFrame:
@@ -122,13 +129,12 @@ def remote_docc(spark: SparkSession, paths: str | list[str], language: str = "sw
     """SRC14: (module_name, symbol, suffix, path, title) of a DocC index, by one recursive query over its nodes;
     modules, symbol groups and nodes without a path are left out."""
     whole_files(spark, paths).withColumn("doc", F.try_parse_json("text")).createOrReplaceTempView("__docc")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     n = spark.sql(f"""
-        WITH RECURSIVE t(file, ord, v) AS (
+        WITH RECURSIVE t(file, ord, v) MAX RECURSION LEVEL 1000 AS (
           SELECT f.file, array(e.pos), e.value FROM __docc f, LATERAL variant_explode(try_variant_get(f.doc, '$.interfaceLanguages.{language}', 'variant')) e
           UNION ALL
           SELECT t.file, array_append(t.ord, c.pos), c.value FROM t, LATERAL variant_explode(try_variant_get(t.v, '$.children', 'variant')) c)
-        SELECT file, ord, try_variant_get(v, '$.path', 'string') AS path, try_variant_get(v, '$.title', 'string') AS title, try_variant_get(v, '$.type', 'string') AS type FROM t""")
+        SELECT file, ord, try_variant_get(v, '$.path', 'string') AS path, try_variant_get(v, '$.title', 'string') AS title, try_variant_get(v, '$.type', 'string') AS type FROM t LIMIT ALL""")
     p = r"^/documentation/([^/]+)/(.+?)(-[0-9a-z]{4,6})?$"
     n = n.where("path is not null and type is not null and type not in ('module', 'symbol')").where(F.col("path").rlike(p))
     return n.select("file", "ord", F.regexp_extract("path", p, 1).alias("module_name"), F.regexp_extract("path", p, 2).alias("symbol"), F.nullif(F.regexp_extract("path", p, 3), F.lit("")).alias("suffix"), "path", "title")

@@ -9,28 +9,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from arborql.operators.ordered import first_wins
+from arborql.operators.ordered import first_wins, values_in_order
+from arborql.tables import hadoop_path
 
 
 def merge_batch(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
     """(usr, ord, name, kind, availability): the head by ord; availabilities of all copies, in order, each once."""
     every = batch if stored is None else stored.unionByName(batch)
     head = first_wins(every, ["usr"], ["ord"]).drop("availability")
-    av = every.groupBy("usr").agg(F.array_sort(F.collect_list(F.struct("ord", "availability"))).alias("a"))
-    av = av.select("usr", F.array_distinct(F.flatten(F.transform("a", lambda x: x["availability"]))).alias("availability"))
-    return head.join(av, "usr")
+    values = values_in_order(every, ["usr"], "availability", "ord", "availability")
+    return head.join(values, "usr", "left").withColumn("availability", F.coalesce("availability", F.array().cast("array<string>"))).select(every.columns)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    at, fs = hadoop_path(spark, path)
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(hadoop_path(spark, f"{path}/{n}/_SUCCESS")[0]))
+
+
+def _base(spark: SparkSession, path: str, checkpoint: str) -> int:
+    """The version that batch 0 of this checkpoint makes: one after what was stored when the checkpoint was begun, kept
+    as the name of an empty folder beside its batches, so that a run after a stop goes on with the same numbers."""
+    at, fs = hadoop_path(spark, f"{checkpoint}/base")
+    if fs.exists(at):
+        return int(fs.listStatus(at)[0].getPath().getName())
+    base = max(_versions(spark, path), default=-1) + 1
+    fs.mkdirs(hadoop_path(spark, f"{checkpoint}/base/{base}")[0])
+    return base
 
 
 def reingest(spark: SparkSession, source: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Run once over what has arrived; versions are path/v=<batch>."""
+    """Run once over what has arrived; versions are path/v=<n>, each the one before merged with a batch. A fresh
+    checkpoint goes on from the last version stored."""
+    base = _base(spark, path, checkpoint)
 
     def write(batch: DataFrame, number: int) -> None:
-        old = None
-        if number > 0:
-            old = spark.read.parquet(f"{path}/v={number - 1}")
-        merge_batch(old, batch).write.mode("overwrite").parquet(f"{path}/v={number}")
+        now = base + number
+        old = spark.read.parquet(f"{path}/v={now - 1}") if now else None
+        merge_batch(old, batch).write.mode("overwrite").parquet(f"{path}/v={now}")
 
-    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/batches").trigger(availableNow=True).start()
 
 
 def event_counts(events: DataFrame, watermark: str = "10 minutes", window: str = "5 minutes") -> DataFrame:

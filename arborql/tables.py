@@ -11,10 +11,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a private one only where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a private one only where it is unset and all runs in one
+    process (tests). A cluster without the setting is an error: its machines don't share a local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     global _own_dir
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="arborql-", dir="/tmp")
@@ -37,7 +40,21 @@ class Tables:
         out._arborql_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._arborql_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *frames: DataFrame) -> None:
+        """Free tables that no later plan reads."""
+        for df in frames:
+            self._delete(df._arborql_path)
+
+    def clear(self) -> None:
+        """Free all of them, once what was made of them is written elsewhere."""
+        self._delete(self.top)
+
+    def _delete(self, name: str) -> None:
+        path, fs = hadoop_path(self.spark, name)
+        fs.delete(path, True)
+
+
+def hadoop_path(spark: SparkSession, name: str):
+    """A path and its file system, of whatever kind Spark knows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

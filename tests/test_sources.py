@@ -29,6 +29,11 @@ def test_reimport_runs(spark, tmp_path):
     assert [(x.module_name, x.pass_index, x.pass_no) for x in r] == [("A", 0, 1), ("A", 0, 1), ("B", 0, 2), ("A", 0, 3), ("A", 1, 4)]
     f = readers.import_filter(readers.reimported(spark, str(tmp_path), "1.12.0"), "A", 0)
     assert f.count() == 3
+    # the last run of a file goes on in the next one's first
+    (tmp_path / "y.json").write_text(json.dumps([entry("A", 1), entry("C", 0)]))
+    (tmp_path / "z.json").write_text(json.dumps([entry("D", 0)]))
+    r = readers.reimported(spark, str(tmp_path), "1.12.0").orderBy("file", "file_seq").collect()
+    assert [x.pass_no for x in r] == [1, 1, 2, 3, 4, 4, 5, 6]
 
 
 def test_markdown_and_strings(spark, tmp_path):
@@ -102,6 +107,11 @@ def test_reingest(spark, tmp_path):
     reingest.reingest(spark, stream(), out, check).awaitTermination()
     got = {r.usr: (r.name, r.availability) for r in spark.read.parquet(f"{out}/v=1").collect()}
     assert got == {"a": ("early", ["y", "x"]), "b": ("b", [])}
+    # a fresh checkpoint goes on from what is stored
+    more = tmp_path / "more"
+    spark.createDataFrame([("c", 1, "c", "k", ["q"])], schema).write.json(str(more))
+    reingest.reingest(spark, spark.readStream.schema(schema).json(str(more)), out, str(tmp_path / "check2")).awaitTermination()
+    assert {r.usr for r in spark.read.parquet(f"{out}/v=2").collect()} == {"a", "b", "c"}
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
