@@ -1,12 +1,17 @@
 """Embedding near-dedup: PCA-ordered tiled comparison by cosine.
 
 Equal vectors are merged first (a vector with its number of rows). The directions of most variance come from
-the second moments of all vectors. Rows are cut into tiles along the first direction; tiles too far apart on
-it are not compared. Within a block pair the leading dimensions are summed first: with x = (x1, x2) rotated
-and of length 1, x.y <= x1.y1 + |x2||y2|, which is a matrix product over the leading dimensions and one more
-column of suffix norms. Pairs below the threshold stop there, the rest go on over more dimensions, and what
-remains is decided on the whole vectors in double precision. A block pair returns link counts and a spanning
-forest, never its links, so a large group of near copies costs rows in proportion to its size."""
+the centred second moments of all vectors. A tree of splits along the leading directions, fitted on a bounded sample,
+cuts the rows into leaves, and leaves into tiles of ROWS_A_TILE at most, ties by their number. The tiles' boxes over the
+leading directions are a table of their own; tiles whose boxes are too far apart for any link are not compared, and
+those that may be near find one another by the grid cells that they cover.
+
+Two tiles first meet in their leading dimensions: with x = (x1, x2) rotated and of length 1,
+x.y <= x1.y1 + |x2||y2|, which is a matrix product over the leading dimensions and one more column of suffix norms.
+Only the rows with a pair that reaches the threshold come again with whole vectors. Their products go on dimension by
+dimension, over the rows and columns that still have such a pair, and what remains is decided in double precision. Two
+tiles return link counts and a spanning forest, never links, so a large group of near copies costs rows in proportion
+to its size."""
 
 from __future__ import annotations
 
@@ -20,10 +25,12 @@ from pyspark.sql import functions as F
 from arborql.llm.common import connected_components
 from arborql.llm.tiles import components
 
-#: Leading dimensions after which pairs are tested again, as shares of all.
-STAGES = (0.25, 0.5)
+#: Leading dimensions after which pairs are tested, as shares of all.
+STAGES = (0.25, 0.5, 1.0)
 ROWS_A_TILE = 4096
 ROWS_AT_ONCE = 256
+#: Directions of the tiles' boxes and of the tree's splits, those of the grid, and vectors that the tree is fitted on.
+BOX, GRID, SAMPLE = 8, 3, 1 << 16
 #: Room for rounding in the bounds; what passes is decided on the whole vectors.
 ROOM = 1e-9
 
@@ -54,70 +61,207 @@ def unit(batch_col) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def directions(vectors: DataFrame, dims: list[int]) -> dict[int, np.ndarray]:
-    """For each dimension the orthonormal directions by falling variance, from sums over all vectors that are
-    added up within partitions, then by a combinable sum; dims^2 numbers come to the driver."""
+def directions(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """For each length of vectors(vec) the orthonormal directions by falling variance. Centred second moments are summed
+    within partitions, then in two rounds of groups, as one block a length; a block a length comes to the driver."""
+    kind = "d int, part int, n long, m binary"
+
+    def block(d: int, part: int, n: int, m: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([part], pa.int32()), pa.array([n]), pa.array([m.tobytes()], pa.binary())], ["d", "part", "n", "m"])
 
     def run(batches):
-        total: dict[int, np.ndarray] = {}
+        total: dict[int, tuple[int, np.ndarray]] = {}
         for b in batches:
             by: dict[int, list[bytes]] = {}
-            for v in b.column(0).to_pylist():
+            for v in b.column("vec").to_pylist():
                 by.setdefault(len(v) // 8, []).append(v)
             for d, vs in by.items():
                 x = unit(vs)
-                total[d] = total.get(d, 0) + x.T @ x
-        for d, m in total.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(d * d, d)), pa.array(np.arange(d * d)), pa.array(np.asarray(m).ravel())], ["d", "at", "x"])
+                n, m = total.get(d, (0, 0))
+                total[d] = n + len(x), m + np.vstack([x.T @ x, x.sum(axis=0)])
+        for k, (d, (n, m)) in enumerate(total.items()):
+            yield block(d, (n + k) % 16, n, m)
 
-    sums = vectors.select("vec").mapInArrow(run, "d long, at long, x double").groupBy("d", "at").agg(F.sum("x").alias("x")).toPandas()
+    def add(key, t):
+        d = t.column("d")[0].as_py()
+        m = sum(np.frombuffer(x, "<f8") for x in t.column("m").to_pylist())
+        return pa.Table.from_batches([block(d, 0, sum(t.column("n").to_pylist()), m)])
+
+    sums = vectors.select("vec").mapInArrow(run, kind).groupBy("d", "part").applyInArrow(add, kind).groupBy("d").applyInArrow(add, kind)
     out = {}
-    for d in dims:
-        m = np.zeros(d * d)
-        own = sums[sums.d == d]
-        m[own["at"].to_numpy()] = own["x"].to_numpy()
-        m = m.reshape(d, d)
-        out[d] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
+    for r in sums.collect():
+        m = np.frombuffer(r["m"], "<f8").reshape(r["d"] + 1, r["d"])
+        mean = m[-1] / r["n"]
+        c = m[:-1] / r["n"] - np.outer(mean, mean)
+        out[r["d"]] = np.linalg.eigh((c + c.T) / 2)[1][:, ::-1].copy()
     return out
 
 
-def compare(x: np.ndarray, y: np.ndarray, basis: np.ndarray, threshold: float):
-    """Yields (row indices, column indices) of the pairs of unit rows with cosine >= threshold, by blocks."""
-    d = x.shape[1]
-    cuts = sorted({min(d, max(1, math.ceil(d * s))) for s in STAGES})
-    zx, zy = x @ basis, y @ basis
+class Splits:
+    """A tree of splits at medians of a sample, along the direction of most spread, with at most ``leaves`` leaves."""
+
+    def __init__(self, z: np.ndarray, leaves: int):
+        self.dim, self.at, self.kids, self.leaf = [], [], [], []
+        self._grow(z, leaves)
+        self.dim, self.at, self.kids, self.leaf = np.array(self.dim), np.array(self.at), np.array(self.kids), np.array(self.leaf)
+
+    def _grow(self, z: np.ndarray, leaves: int) -> int:
+        me = len(self.dim)
+        self.dim.append(-1), self.at.append(0.0), self.kids.append([me, me]), self.leaf.append(me)
+        if leaves > 1 and len(z) > 1:
+            k = int(np.argmax(z.max(axis=0) - z.min(axis=0)))
+            cut = float(np.median(z[:, k]))
+            right = z[:, k] >= cut
+            if right.all():
+                cut = float(z[:, k].max())
+                right = z[:, k] >= cut
+            if not right.all():
+                self.dim[me], self.at[me] = k, cut
+                self.kids[me] = [self._grow(z[~right], leaves // 2), self._grow(z[right], leaves - leaves // 2)]
+        return me
+
+    def find(self, z: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(z), np.int64)
+        while True:
+            k = self.dim[at]
+            inner = k >= 0
+            if not inner.any():
+                return at
+            go = z[np.arange(len(z)), np.maximum(k, 0)] >= self.at[at]
+            at = np.where(inner, self.kids[at, go.astype(int)], at)
+
+
+def leading(x: np.ndarray, basis: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(the rotated rows, their leading dimensions with the norm of the rest as one more column)."""
+    z = x if basis is None else x @ basis
+    m = cuts_of(x.shape[1])[0]
+    return z, np.hstack([z[:, :m], np.sqrt(np.maximum(0.0, np.einsum("ij,ij->i", z[:, m:], z[:, m:])))[:, None]])
 
-    def rest(z, m):
-        return np.sqrt(np.maximum(0.0, np.einsum("ij,ij->i", z[:, m:], z[:, m:])))
 
+def cuts_of(d: int) -> list[int]:
+    return sorted({min(d, max(1, math.ceil(d * s))) for s in STAGES})
+
+
+def reaching(a: np.ndarray, b: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a and of b (None: of a itself) have a pair that their leading dimensions let reach the threshold."""
+    own = b is None
+    b = a if own else b
+    rows, cols = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    for s in range(0, len(a), ROWS_AT_ONCE):
+        hit = a[s:s + ROWS_AT_ONCE] @ b.T >= threshold - ROOM
+        if own:
+            hit[np.arange(len(hit)), s + np.arange(len(hit))] = False
+        rows[s:s + ROWS_AT_ONCE] = hit.any(axis=1)
+        cols |= hit.any(axis=0)
+    return (rows | cols, rows | cols) if own else (rows, cols)
+
+
+def compare(x: np.ndarray, y: np.ndarray, basis: np.ndarray | None, threshold: float):
+    """Yields (row indices, column indices) of the pairs of unit rows with cosine >= threshold, by blocks of rows. Each
+    stage adds the products over its dimensions, for the rows and columns that still have a pair within the bound."""
+    cuts, low = cuts_of(x.shape[1]), threshold - ROOM
+    zx, zy = (x, y) if basis is None else (x @ basis, y @ basis)
+    rest = lambda z, m: np.sqrt(np.maximum(0.0, np.einsum("ij,ij->i", z[:, m:], z[:, m:])))
     rx, ry = {m: rest(zx, m) for m in cuts}, {m: rest(zy, m) for m in cuts}
-    m0 = cuts[0]
-    ya = np.hstack([zy[:, :m0], ry[m0][:, None]]).T.copy()
-    xa = np.hstack([zx[:, :m0], rx[m0][:, None]])
-    low = threshold - ROOM
     for s in range(0, len(x), ROWS_AT_ONCE):
-        bound = xa[s:s + ROWS_AT_ONCE] @ ya
-        hit = bound >= low
-        n = np.count_nonzero(hit)
-        if not n:
+        i, j, part, begin = np.arange(s, min(len(x), s + ROWS_AT_ONCE)), np.arange(len(y)), None, 0
+        on = None
+        for m in cuts:
+            more = zx[i, begin:m] @ zy[j, begin:m].T
+            part = more if part is None else part + more
+            hit = part + np.outer(rx[m][i], ry[m][j]) >= low
+            on = hit if on is None else on & hit
+            r, c = np.flatnonzero(on.any(axis=1)), np.flatnonzero(on.any(axis=0))
+            i, j, part, on, begin = i[r], j[c], part[np.ix_(r, c)], on[np.ix_(r, c)], m
+            if not len(i):
+                break
+        if not len(i):
             continue
-        if n > 0.02 * hit.size:
-            i, j = np.nonzero(x[s:s + ROWS_AT_ONCE] @ y.T >= threshold - ROOM)
-        else:
-            i, j = np.nonzero(hit)
-            part = bound[i, j] - rx[m0][s + i] * ry[m0][j]
-            for m, upto in zip(cuts, cuts[1:]):
-                part = part + np.einsum("ij,ij->i", zx[s + i, m:upto], zy[j, m:upto])
-                go = part + rx[upto][s + i] * ry[upto][j] >= low
-                i, j, part = i[go], j[go], part[go]
-        keep = [np.zeros(0, bool)]
-        for k in range(0, len(i), 1 << 16):
-            a, b = s + i[k:k + (1 << 16)], j[k:k + (1 << 16)]
-            keep.append(np.einsum("ij,ij->i", x[a], y[b]) >= threshold)
-        keep = np.concatenate(keep)
-        if keep.any():
-            yield s + i[keep], j[keep]
+        sure = on & (part >= threshold + ROOM)
+        a, b = np.nonzero(on & ~sure)  # too near to call by a sum in stages
+        for k in range(0, len(a), 1 << 16):
+            p, q = a[k:k + (1 << 16)], b[k:k + (1 << 16)]
+            sure[p, q] = np.einsum("ij,ij->i", x[i[p]], y[j[q]]) >= threshold
+        a, b = np.nonzero(sure)
+        if len(a):
+            yield i[a], j[b]
+
+
+def tile_pairs(tiles: DataFrame, gap: float) -> DataFrame:
+    """(d, i, j), i <= j, of the tiles(d, tile, lo, hi) whose boxes are at most ``gap`` apart. A tile is filed under the
+    cells of a grid that its box covers and asks for those that the box and a margin cover, so near tiles meet by an
+    equi-join."""
+    lo, hi = (lambda k: F.get(F.col("lo"), F.lit(k))), (lambda k: F.get(F.col("hi"), F.lit(k)))
+    cell = lambda x, more: (F.floor(x / gap) + more).cast("int")
+
+    def filed(margin: int, name: str) -> DataFrame:
+        t = tiles.select("d", F.col("tile").alias(name), F.col("lo").alias(f"lo_{name}"), F.col("hi").alias(f"hi_{name}"), *[
+            F.sequence(cell(lo(k), -margin), cell(hi(k), margin)).alias(f"c{k}") for k in range(GRID)])
+        for k in range(GRID):
+            t = t.withColumn(f"c{k}", F.explode(f"c{k}"))
+        return t
+
+    j = filed(0, "i").join(filed(1, "j"), ["d", *[f"c{k}" for k in range(GRID)]]).where("i <= j")
+    apart = F.lit(0.0)
+    for k in range(BOX):
+        at = lambda c: F.get(F.col(c), F.lit(k))  # noqa: E731, B023
+        off = F.greatest(F.lit(0.0), at("lo_i") - at("hi_j"), at("lo_j") - at("hi_i"))
+        apart = apart + off * off
+    return j.where(apart <= gap * gap).select("d", "i", "j").distinct()
+
+
+def tiled(reps: DataFrame, tables, rows_a_tile: int, seed_bases: dict) -> DataFrame:
+    """reps(node, w, vec) with d, tile, z (its place along BOX directions) and lead (as ``leading`` has it). Lengths of
+    one tile at most need no directions."""
+    sizes = {r["d"]: r["n"] for r in reps.groupBy((F.octet_length("vec") / 8).cast("int").alias("d")).agg(F.count("*").alias("n")).where(F.col("n") > rows_a_tile).collect()}
+    many = reps.where((F.octet_length("vec") / 8).cast("int").isin(list(sizes)))
+    bases = seed_bases
+    bases.update(directions(many) if sizes else {})
+
+    def boxed(z: np.ndarray) -> np.ndarray:
+        return np.hstack([z[:, :BOX], np.zeros((len(z), max(0, BOX - z.shape[1])))])
+
+    trees = {}
+    for d, n in sizes.items():
+        own = many.where(F.octet_length("vec") == 8 * d)
+        if n > SAMPLE:
+            own = own.orderBy(F.xxhash64("vec"), "node").limit(SAMPLE)
+
+        def project(batches, basis=bases[d]):
+            for b in batches:
+                if b.num_rows:
+                    z = boxed(unit(b.column("vec").to_pylist()) @ basis[:, :BOX])
+                    yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary())], ["z"])
+
+        z = b"".join(r["z"] for r in own.select("vec").mapInArrow(project, "z binary").collect())
+        trees[d] = Splits(np.frombuffer(z, "<f8").reshape(-1, BOX), -(-n // rows_a_tile))
+
+    def place(batches):
+        for b in batches:
+            vecs = b.column("vec").to_pylist()
+            d = np.array([len(v) // 8 for v in vecs], np.int32)
+            leaf, z8, lead = np.zeros(len(vecs), np.int64), np.zeros((len(vecs), BOX)), [b""] * len(vecs)
+            for k in np.unique(d):
+                on = np.flatnonzero(d == k)
+                z, front = leading(unit([vecs[i] for i in on]), bases.get(int(k)))
+                z8[on] = boxed(z)
+                if int(k) in trees:
+                    leaf[on] = trees[int(k)].find(z8[on])
+                for i, f in zip(on, front):
+                    lead[i] = f.tobytes()
+            z_col = pa.FixedSizeListArray.from_arrays(pa.array(z8.ravel()), BOX).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("w"), b.column("vec"), pa.array(d), pa.array(leaf), z_col, pa.array(lead, pa.binary())], ["node", "w", "vec", "d", "leaf", "z", "lead"])
+
+    out = tables.write(reps.select("node", "w", "vec").mapInArrow(place, "node long, w long, vec binary, d int, leaf long, z array<double>, lead binary"))
+    parts = out.groupBy("d", "leaf").agg(F.expr(f"(count(*) + {rows_a_tile - 1}) div {rows_a_tile}").alias("parts"))
+    tile = F.col("leaf") * (1 << 24) + F.pmod(F.xxhash64("node"), F.col("parts"))
+    return out.join(parts, ["d", "leaf"]).withColumn("tile", tile).drop("leaf", "parts")
+
+
+def boxes(rows: DataFrame) -> DataFrame:
+    """(d, tile, n, lo, hi): the boxes of tiled rows."""
+    at = lambda f: F.array(*[f(F.get(F.col("z"), F.lit(k))) for k in range(BOX)])
+    return rows.groupBy("d", "tile").agg(F.count("*").alias("n"), at(F.min).alias("lo"), at(F.max).alias("hi"))
 
 
 def dedup(df: DataFrame, tables, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", rows_a_tile: int = ROWS_A_TILE) -> DataFrame:
@@ -131,46 +275,38 @@ def dedup(df: DataFrame, tables, threshold: float = 0.9, id_col: str = "vec_id",
     rows = tables.write(parsed(df, id_col, vec_col).withColumn("fp", F.md5("vec")))
     reps = rows.where("vec is not null").groupBy("fp").agg(F.min("vec").alias("vec"), F.count("*").alias("w"), F.min("id").alias("id"))
     reps = tables.write(reps.withColumn("node", F.monotonically_increasing_id()))
-    dims = [r[0] // 8 for r in reps.select(F.octet_length("vec")).distinct().collect()]
-    basis = directions(reps, dims)
     gap = math.sqrt(max(0.0, 2 - 2 * threshold)) + ROOM
+    basis: dict[int, np.ndarray] = {}
+    placed = tables.write(tiled(reps, tables, rows_a_tile, basis))
+    pairs = tables.write(tile_pairs(boxes(placed), max(gap, 1e-3)))
 
-    def first(batches):
-        for b in batches:
-            vecs = b.column("vec").to_pylist()
-            z = np.array([float(unit([v])[0] @ basis[len(v) // 8][:, 0]) for v in vecs]) if len({len(v) for v in vecs}) > 1 else (
-                unit(vecs) @ basis[len(vecs[0]) // 8][:, 0] if vecs else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("w"), b.column("vec"), pa.array([len(v) // 8 for v in vecs], pa.int32()), pa.array(z, pa.float64())], ["node", "w", "vec", "d", "z"])
-
-    placed = tables.write(reps.select("node", "w", "vec").mapInArrow(first, "node long, w long, vec binary, d int, z double"))
-    spans = []
-    for d, n in [(r["d"], r["n"]) for r in placed.groupBy("d").agg(F.count("*").alias("n")).collect()]:
-        k = -(-n // rows_a_tile)
-        own = placed.where(F.col("d") == d)
-        cuts = own.approxQuantile("z", [i / k for i in range(1, k)], 0.1 / k) if k > 1 else []
-        spans.append((d, cuts))
-    pieces = []
-    for d, cuts in spans:
-        own = placed.where(F.col("d") == d)
-        edges = [-1.0 - ROOM, *cuts, 1.0 + ROOM]
-        k = len(edges) - 1
-        # the tiles that some tile's rows can link with: those less than gap away on the first direction
-        tile = F.lit(0)
-        for i, c in enumerate(cuts, 1):
-            tile = F.when(F.col("z") >= c, F.lit(i)).otherwise(tile)
-        near = F.array(*[F.array(*[F.lit(j) for j in range(k) if max(edges[i], edges[j]) - min(edges[i + 1], edges[j + 1]) <= gap]) for i in range(k)])
-        pairs = F.transform(F.get(near, F.col("tile")), lambda j: F.struct(F.least("tile", j).alias("i"), F.greatest("tile", j).alias("j")))
-        pieces.append(own.withColumn("tile", tile.cast("int")).select("node", "w", "vec", "d", "tile", F.explode(pairs).alias("p")))
+    def met(row: DataFrame) -> DataFrame:
+        """Rows of both tiles of each pair; ``left`` tells the first one's."""
+        one = row.join(pairs.withColumnRenamed("i", "tile"), ["d", "tile"]).withColumn("i", F.col("tile")).withColumn("left", F.lit(True))
+        two = row.join(pairs.where("i <> j").withColumnRenamed("j", "tile"), ["d", "tile"]).withColumn("j", F.col("tile")).withColumn("left", F.lit(False))
+        return one.drop("tile").unionByName(two.drop("tile"))
+
+    def near(key, t):
+        lead = np.frombuffer(b"".join(t.column("lead").to_pylist()), "<f8").reshape(t.num_rows, -1)
+        left = t.column("left").to_numpy(zero_copy_only=False)
+        on = np.zeros(len(left), bool)
+        on[left], hits = reaching(lead[left], None if left.all() else lead[~left], threshold)
+        if not left.all():
+            on[~left] = hits
+        return t.select(["d", "i", "j", "node", "left"]).filter(pa.array(on))
+
+    lead = met(placed.select("d", "tile", "node", "lead"))
+    some = tables.write(lead.groupBy("d", "i", "j").applyInArrow(near, "d int, i long, j long, node long, left boolean"))
 
     def block(key, t):
         d, i, j = (k.as_py() for k in key)
-        mine = t.column("tile").to_numpy() == i
+        mine = t.column("left").to_numpy(zero_copy_only=False)
         node, w = t.column("node").to_numpy(), t.column("w").to_numpy()
         x_all = unit(t.column("vec").to_pylist())
         xi = np.flatnonzero(mine)
         yi = xi if i == j else np.flatnonzero(~mine)
         links, a, b = np.zeros(len(node), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for r, c in compare(x_all[xi], x_all[yi], basis[d], threshold):
+        for r, c in compare(x_all[xi], x_all[yi], basis.get(d), threshold):
             r, c = xi[r], yi[c]
             if i == j:
                 once = r < c
@@ -186,13 +322,8 @@ def dedup(df: DataFrame, tables, threshold: float = 0.9, id_col: str = "vec_id",
         on = np.flatnonzero(links)
         return pa.table({"node": node[on], "links": links[on], "root": node[lab[on]]})
 
-    found = None
-    for p in pieces:
-        out = p.select("node", "w", "vec", "d", "tile", "p.i", "p.j").groupBy("d", "i", "j").applyInArrow(block, "node long, links long, root long")
-        found = out if found is None else found.union(out)
-    if found is None:
-        found = df.sparkSession.createDataFrame([], "node long, links long, root long")
-    found = tables.write(found)
+    whole = some.join(placed.select("node", "w", "vec"), "node")
+    found = tables.write(whole.groupBy("d", "i", "j").applyInArrow(block, "node long, links long, root long"))
     groups = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), tables)
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     r = reps.select("fp", "node", "w", "id").join(counted, "node", "left").join(groups, "node", "left")
