@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arborql.tables import Tables
@@ -30,19 +30,22 @@ def connected_components(edges: DataFrame, tables: Tables, max_rounds: int = 60)
 
     edges(a, b): long node numbers; loops and repeats are allowed, rows with a null end are ignored.
     Nodes without an edge to another node are absent from the result. Alternating large-star and
-    small-star rounds keep at most one row an edge; every step is a combinable minimum and an equi-join,
-    so a star with a third of all nodes is pre-aggregated and its join is one that AQE can split."""
+    small-star rounds keep at most one row an edge; every step is a combinable minimum and an equi-join on a node,
+    so a hub's minimum is pre-aggregated; its join is one that adaptive execution splits once it is past its
+    threshold of bytes (16 bytes an edge), and stays with one task below it. A round is one action: the fingerprint
+    that tells whether anything changed is taken while the round's table is written."""
     e = (
         edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    e = tables.write(e)
 
-    def fingerprint(d: DataFrame):
-        return d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def written(d: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = tables.write(d.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        return out, (seen.get["n"], seen.get["h"])
 
-    mark = fingerprint(e)
+    e, mark = written(e)
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -57,8 +60,7 @@ def connected_components(edges: DataFrame, tables: Tables, max_rounds: int = 60)
                                       F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("s"))
             .select("s.*").where("u <> v").distinct()
         )
-        new = tables.write(small)
-        now = fingerprint(new)
+        new, now = written(small)
         tables.drop(e)
         e = new
         if now == mark:

@@ -133,12 +133,12 @@ got AS (
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN got USING (row)
 """
 
-_KEY = r"CASE WHEN {h} <> '' THEN regexp_replace({h}, '^(?:www\.|m\.)+([^.]+\.)', '\1') || '|' || regexp_replace({p}, '(?:/|\.html?|/index\.html?)$', '') END"
+_KEY = "CASE WHEN {h} <> '' THEN {h} || '|' || {p} END"
 _REST = "coalesce(CASE WHEN contains({u}, '://') THEN substr({u}, strpos({u}, '://') + 3) END, '')"
 _FITS = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
 
 
-def _op9() -> str:
+def _op9(pages: str = "pages") -> str:
     from arborql.llm.url_filter import RULES
 
     ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
@@ -146,7 +146,7 @@ def _op9() -> str:
     verdict = "CASE " + " ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{v}'" for v, h, p in ordered) + " END"
     host, path = f"translate(regexp_extract(rest, '^[^/?#]*'), {LOWER})", "regexp_extract(rest, '^[^/?#]*([^?#]*)', 1)"
     return rf"""
-WITH RECURSIVE a AS (SELECT page_id, html, {_REST.format(u="url")} AS rest FROM pages), b AS (
+WITH RECURSIVE a AS (SELECT page_id, html, {_REST.format(u="url")} AS rest FROM {pages}), b AS (
   SELECT page_id, html, {host} AS host, {path} AS path FROM a
 ), c AS (SELECT *, {rule} AS rule, {verdict} AS ruled, {_KEY.format(h="host", p="path")} AS key FROM b),
 tags AS (
@@ -176,6 +176,11 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count_if(gone):
 FROM j GROUP BY row
 """
 
+#: Pages of which four in five name the next one, by canonical links and by redirects in turn.
+LINKED_PAGES = """(SELECT p.page_id, p.url, CASE WHEN p.page_id % 5 = 0 OR n.url IS NULL THEN NULL WHEN p.page_id % 2 = 0 THEN '<link rel="canonical" href="' || n.url || '">'
+ELSE '<meta http-equiv="refresh" content="0; url=' || n.url || '">' END AS html FROM pages p LEFT JOIN pages n ON n.page_id = p.page_id + 1)"""
+
 ORACLE_SQL = {
+    "url_redirects": _op9(LINKED_PAGES),
     "op1_embedding_dedup": OP1, "op4_quality": _op4(), "op6_minhash": OP6, "op7_mixing": OP7, "op9_url_filter": _op9(), "op10_line_dedup": OP10,
 }

@@ -74,6 +74,15 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), Tables(spark))
 
 
+@query
+def url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's operator where there are links to follow: four pages in five name the next one."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    n = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
+    tag = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<link rel="canonical" href="'), "next", F.lit('">'))).otherwise(F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), "next", F.lit('">')))
+    return url_filter.judge(p.join(n, "page_id", "left").withColumn("html", F.when(F.col("page_id") % 5 != 0, tag)), Tables(spark))
+
+
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark))

@@ -1,9 +1,9 @@
 """URL filters with built-in functions only: host and path rules, and decisions shared by redirect equivalence.
 
-An address (host and path) has aliases: the same page by http or https, with www. or m. before the host, with
-a trailing slash or .html, and the addresses that canonical links and refresh redirects in the html name.
-Spelling variants share a key; links between keys are edges, and their connected components are found in a
-distributed way. A component with an explicitly allowed member lets its unruled members pass; otherwise one
+An address (host and path, whatever the scheme, query and fragment) has aliases: those that canonical links and refresh
+redirects in the html name, seen from either end. Links are edges between addresses, and their connected components are
+found in a distributed way. Spelling (www. or m. before the host, a slash or .html at the end) makes no alias unless it
+is asked for. A component with an explicitly allowed member lets its unruled members pass; otherwise one
 with a blocked member blocks them. A page's own rule always comes first."""
 
 from __future__ import annotations
@@ -39,8 +39,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def alias_key(host: Column, path: Column) -> Column:
-    """One key for the spellings of an address; null without a host."""
+def alias_key(host: Column, path: Column, spelling: bool = False) -> Column:
+    """The key of an address, or with ``spelling`` one key for its spellings; null without a host."""
+    if not spelling:
+        return F.when(host != "", F.concat(host, F.lit("|"), path))
     h = F.regexp_replace(host, r"^(?:www\.|m\.)+(?=[^.]+\.)", "")
     p = F.regexp_replace(path, r"(?:/|\.html?|/index\.html?)$", "")
     return F.when(host != "", F.concat(h, F.lit("|"), p))
@@ -76,6 +78,17 @@ def resolved(u: Column, url: Column) -> Column:
     )
 
 
+#: Character references that URLs in attributes are written with; the ampersand's own comes last.
+REFERENCES = {r"&(?:quot|#34|#x22);": '"', r"&(?:apos|#39|#x27);": "'", r"&(?:sol|#47|#x2f);": "/", r"&(?:colon|#58|#x3a);": ":", r"&(?:quest|#63|#x3f);": "?",
+              r"&(?:num|#35|#x23);": "#", r"&(?:period|#46|#x2e);": ".", r"&(?:equals|#61|#x3d);": "=", r"&(?:amp|#38|#x26);": "&"}
+
+
+def decoded(u: Column) -> Column:
+    for p, c in REFERENCES.items():
+        u = F.regexp_replace(u, f"(?i){p}", c)
+    return u
+
+
 def link_targets(html: Column, url: Column) -> Column:
     """array of absolute URLs that canonical links and refresh redirects of the page at ``url`` name."""
     rel = r"(?:[\"']?canonical\b|\"[^\">]*\scanonical(?=[\s\"])|'[^'>]*\scanonical(?=[\s']))"
@@ -86,21 +99,21 @@ def link_targets(html: Column, url: Column) -> Column:
         F.transform(metas, lambda x: F.regexp_extract(x, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)),
     )
     none = F.array().cast("array<string>")
-    named = F.transform(F.filter(urls, lambda u: u != ""), lambda u: resolved(u, url))
+    named = F.transform(F.filter(urls, lambda u: u != ""), lambda u: resolved(decoded(u), url))
     return F.when(html.rlike(r"(?i)canonical|http-equiv"), F.filter(named, lambda u: u.isNotNull())).otherwise(none)
 
 
-def judge(pages: DataFrame, tables, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, tables, rules=RULES, spelling: bool = False) -> DataFrame:
     """page_id, host, path, rule, verdict for every row. Null urls and urls without :// have empty host and path,
     no rule and pass. Null html has no links. Repeated rows are judged alike; an empty table gives an empty
     result; extra columns are not looked at."""
     host, path = host_path(F.col("url"))
     p = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
     p = p.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("r"),
-                 alias_key(F.col("host"), F.col("path")).alias("key"), F.coalesce(link_targets(F.col("html"), F.col("url")), F.array().cast("array<string>")).alias("to"))
+                 alias_key(F.col("host"), F.col("path"), spelling).alias("key"), F.coalesce(link_targets(F.col("html"), F.col("url")), F.array().cast("array<string>")).alias("to"))
     p = tables.write(p)
     th, tp = host_path(F.col("u"))
-    links = p.where(F.size("to") > 0).select("key", F.explode("to").alias("u")).select("key", alias_key(th, tp).alias("other"))
+    links = p.where(F.size("to") > 0).select("key", F.explode("to").alias("u")).select("key", alias_key(th, tp, spelling).alias("other"))
     links = tables.write(links.where("key is not null and other is not null and key <> other").distinct())
     names = tables.write(links.select(F.explode(F.array("key", "other")).alias("key")).distinct().withColumn("node", F.monotonically_increasing_id()))
     ends = links.join(names, "key").withColumnRenamed("node", "a").join(names.select(F.col("key").alias("other"), F.col("node").alias("b")), "other")
