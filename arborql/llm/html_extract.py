@@ -11,6 +11,8 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +48,39 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 TAIL = re.compile(r"</?[a-zA-Z][^<>]*\Z|<!?-*\Z")
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...], float]]:
-    """The leaf blocks in page order: (text, ancestors as (tag, class words), share of it in links)."""
-    out: list[tuple[str, tuple, float]] = []
+class Place(NamedTuple):
+    """Where a block stands: its element, what it and those around it are called, the same below the innermost article or
+    main (None: outside), and its depth. Sets are shared with the element around, so that deep pages stay small."""
+
+    tag: str
+    names: frozenset[str]
+    under: frozenset[str] | None
+    depth: int
+
+    def inner(self, tag: str, words: list[str]) -> Place:
+        own = {f"in:{tag}", *(f"name:{w}" for w in words)}
+        names = self.names if own <= self.names else self.names | own
+        if tag in ("article", "main"):
+            return Place(tag, names, NOTHING, self.depth + 1)
+        below = {f"under:{tag}", *(f"under:{w}" for w in words)}
+        under = self.under if self.under is None or below <= self.under else self.under | below
+        return Place(tag, names, under, self.depth + 1)
+
+
+NOTHING: frozenset[str] = frozenset()
+OUTSIDE = Place("", NOTHING, None, 0)
+
+
+def blocks(page: str | None) -> list[tuple[str, Place, float]]:
+    """The leaf blocks in page order: (text, place, share of it in links). Work grows with the page, however its tags
+    are left open."""
+    out: list[tuple[str, Place, float]] = []
     if not page:
         return out
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Place] = [OUTSIDE]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    at: tuple = ()
+    at = OUTSIDE
     linked = 0
     shut = True  # whether a template's end tag may follow
 
@@ -72,17 +99,20 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]
         if not parts:
             if not text.strip():
                 return
-            at = tuple(stack)
+            at = stack[-1]
         parts.append(text)
-        if any(t == "a" for t, _ in stack):
+        if opened["a"]:
             linked += len(text)
 
     def close(tag: str, barrier=()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
+        if not opened[tag]:
+            return
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag == tag:
+                opened.subtract(p.tag for p in stack[k:])
                 del stack[k:]
                 return
-            if stack[k][0] in barrier:
+            if stack[k].tag in barrier:
                 return
 
     pos, n = 0, len(page)
@@ -126,7 +156,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]
             flush()
         if tag == "br":
             parts and parts.append(" ")
-        if tag in VOID or attrs.endswith("/") and (tag in FOREIGN or any(t in FOREIGN for t, _ in stack)):
+        if tag in VOID or attrs.endswith("/") and (tag in FOREIGN or any(opened[f] for f in FOREIGN)):
             continue
         if tag in CLOSES_P:
             close("p", BLOCK - {"p"})
@@ -136,7 +166,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]
         if attrs and "=" in attrs:
             for a in NAMES.findall(attrs):
                 words += [w.lower() for w in PARTS.findall(a[0] or a[1] or a[2])]
-        stack.append((tag, tuple(words)))
+        stack.append(stack[-1].inner(tag, words))
+        opened[tag] += 1
     flush()
     return out
 
@@ -149,17 +180,10 @@ HINTS = {
 }
 
 
-def path_features(path) -> list[str]:
-    tags = [t for t, _ in path]
-    f = {f"in:{t}" for t in tags} | {f"name:{w}" for _, words in path for w in words}
-    if path:
-        f.add(f"leaf:{tags[-1]}")
-    f.add("depth:" + str(min(6, len(tags))))
-    inside = "article" in tags or "main" in tags
-    f.add("inside" if inside else "outside")
-    if inside:
-        deep = max(i for i, t in enumerate(tags) if t in ("article", "main"))
-        f |= {f"under:{t}" for t in tags[deep + 1:]} | {f"under:{w}" for _, words in path[deep + 1:] for w in words}
+def path_features(at: Place) -> list[str]:
+    f = {*at.names, "depth:" + str(min(6, at.depth)), "outside" if at.under is None else "inside", *(at.under or ())}
+    if at.tag:
+        f.add(f"leaf:{at.tag}")
     return sorted(f)
 
 
@@ -169,7 +193,7 @@ def text_features(text: str, linked: float) -> list[str]:
          "links:" + ("0" if linked == 0 else "1" if linked < 0.5 else "2")]
     if text[-1] in ".!?…":
         f.append("ended")
-    f += [k for k, p in HINTS.items() if n < 400 and p.search(text)]
+    f += [k for k, p in HINTS.items() if p.search(text)]
     return f
 
 
@@ -290,6 +314,31 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> list[tuple[s
 Model = dict[str, float]
 
 
+def likelihood(x: np.ndarray, y: np.ndarray, on: np.ndarray, w: np.ndarray, tr: np.ndarray, l2: float):
+    """(mean log-likelihood less the penalty, its gradient by w, and by tr): x pages by blocks by features, y their labels,
+    ``on`` where a page has a block. Sums over all labellings come from forward and backward passes."""
+    n, long = on.shape
+    both = on[:, 1:] & on[:, :-1]
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
+    lse = lambda a, axis: np.log(np.exp(a - (top := a.max(axis=axis, keepdims=True))).sum(axis=axis)) + top.squeeze(axis)
+    score = np.zeros((n, long, 2))
+    score[:, :, 1] = x @ w
+    fwd, bwd = np.zeros((n, long, 2)), np.zeros((n, long, 2))
+    fwd[:, 0] = score[:, 0]
+    for t in range(1, long):
+        go = lse(fwd[:, t - 1, :, None] + tr, 1) + score[:, t]
+        fwd[:, t] = np.where(on[:, t, None], go, fwd[:, t - 1])
+    for t in range(long - 2, -1, -1):
+        go = lse(tr + (score[:, t + 1] + bwd[:, t + 1])[:, None, :], 2)
+        bwd[:, t] = np.where(on[:, t + 1, None], go, 0)
+    z = lse(fwd[:, -1], 1)
+    p = np.exp(fwd + bwd - z[:, None, None])[:, :, 1] * on
+    pair = np.exp(fwd[:, :-1, :, None] + tr + (score + bwd)[:, 1:, None, :] - z[:, None, None, None]) * both[:, :, None, None]
+    value = (np.sum(score[:, :, 1] * (y * on)) + np.sum(seen * tr) - z.sum()) / n - l2 / 2 * (np.sum(w * w) + np.sum(tr * tr))
+    return value, np.einsum("ntf,nt->f", x, y * on - p) / n - l2 * w, (seen - pair.sum((0, 1))) / n - l2 * tr
+
+
 def train(pages=None, steps: int = TRAIN_STEPS, l2: float = 0.004) -> Model:
     """feature -> weight for the label 'main' against 'rest', and the transition weights 'next:ab'. Gradients of
     the likelihood come from forward and backward sums over all pages at once."""
@@ -316,28 +365,10 @@ def train(pages=None, steps: int = TRAIN_STEPS, l2: float = 0.004) -> Model:
         for t, b in enumerate(s):
             x[i, t, [at[f] for f in b]] = 1
         y[i, : len(s)], on[i, : len(s)] = ys, True
-    both = on[:, 1:] & on[:, :-1]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
     w, tr = np.zeros(len(names)), np.zeros((2, 2))
     m1, v1 = np.zeros(len(names) + 4), np.zeros(len(names) + 4)
-    lse = lambda a, axis: np.log(np.exp(a - (top := a.max(axis=axis, keepdims=True))).sum(axis=axis)) + top.squeeze(axis)
     for step in range(1, steps + 1):
-        score = np.zeros((n, long, 2))
-        score[:, :, 1] = x @ w
-        fwd, bwd = np.zeros((n, long, 2)), np.zeros((n, long, 2))
-        fwd[:, 0] = score[:, 0]
-        for t in range(1, long):
-            go = lse(fwd[:, t - 1, :, None] + tr, 1) + score[:, t]
-            fwd[:, t] = np.where(on[:, t, None], go, fwd[:, t - 1])
-        for t in range(long - 2, -1, -1):
-            go = lse(tr + (score[:, t + 1] + bwd[:, t + 1])[:, None, :], 2)
-            bwd[:, t] = np.where(on[:, t + 1, None], go, 0)
-        z = lse(fwd[:, -1], 1)
-        p = np.exp(fwd + bwd - z[:, None, None])[:, :, 1] * on
-        pair = np.exp(fwd[:, :-1, :, None] + tr + (score + bwd)[:, 1:, None, :] - z[:, None, None, None]) * both[:, :, None, None]
-        gw = np.einsum("ntf,nt->f", x, y * on - p) / n - l2 * w
-        gt = (seen - pair.sum((0, 1))) / n - l2 * tr
+        _, gw, gt = likelihood(x, y, on, w, tr, l2)
         g = np.concatenate([gw, gt.ravel()])
         m1, v1 = 0.9 * m1 + 0.1 * g, 0.999 * v1 + 0.001 * g * g
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(v1 / (1 - 0.999**step)) + 1e-8)
@@ -365,11 +396,12 @@ def decode(found: list, model: Model, kept: dict | None = None) -> list[bool]:
     back: list[tuple[int, int]] = []
     a = b = 0.0
     for k, (text, path, linked) in enumerate(found):
-        s = kept.get(path)
+        key = path._replace(depth=min(6, path.depth))  # equal features, whatever the depth below
+        s = kept.get(key)
         if s is None:
             if len(kept) > 20_000:
                 kept.clear()
-            s = kept[path] = sum(model.get(f, 0.0) for f in path_features(path))
+            s = kept[key] = sum(model.get(f, 0.0) for f in path_features(path))
         s += sum([model.get(f, 0.0) for f in text_features(text, linked)])
         if k:
             a0, a1, b0, b1 = a + tr[0][0], b + tr[1][0], a + tr[0][1], b + tr[1][1]
