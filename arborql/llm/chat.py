@@ -2,7 +2,7 @@
 
 States are the roles. A line shows a speaker marker (of the row's role column for its first line, or written
 in the line: "User:", "### Assistant", "<|system|>", "Q:") and line features (a question, a list or code mark,
-its length). Viterbi finds the roles. Long conversations are cut into segments of turns: a segment's best
+its length). Viterbi finds the roles. Long conversations are cut into segments of rows: a segment's best
 paths between any two states form a matrix, matrices multiply (max, plus), and so every segment is decoded on
 its own, with the states at its ends known, to exactly the path that one pass would find."""
 
@@ -110,14 +110,14 @@ def path(seen: list[int], enter: int | None, leave: int | None) -> list[int]:
 
 
 def _segments(batches, names):
-    """(key, rows) of each (conv, seg), whose rows stand together."""
+    """(seg, rows) of each segment, whose rows stand together; seg is the first name."""
     key, rows = None, []
     for b in batches:
         for r in zip(*[b.column(n).to_pylist() for n in names]):
-            if r[:2] != key:
+            if r[0] != key:
                 if rows:
                     yield key, rows
-                key, rows = r[:2], []
+                key, rows = r[0], []
             rows.append(r)
     if rows:
         yield key, rows
@@ -128,29 +128,37 @@ def recover(df: DataFrame, tables) -> DataFrame:
 
     A row whose text holds several speakers is cut into parts, numbered from 0; ``role`` is the recovered one,
     ``said`` its text without markers, ``canonical`` the rendered turn. Rows of a conversation go by turn (null
-    first), then role and text, so repeated rows stay, next to each other. A null or unknown role shows no
+    first), then by a hash of role and text, so repeated rows stay, next to each other. A null or unknown role shows no
     marker; a null text is one empty line; rows with a null conv_id are one conversation. An empty table gives
     an empty result; extra columns are not looked at."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    src = df.select(F.col("conv_id").cast("long").alias("conv"), F.coalesce(F.expr(f"cast(turn as long) div {TURNS_A_SEGMENT}"), F.lit(-1)).cast("long").alias("seg"),
-                    F.col("turn").cast("long").alias("turn"), "role", "text")
-    dealt = src.repartition(n, "conv", "seg").sortWithinPartitions("conv", "seg", "turn", "role", "text")
+    src = df.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.xxhash64("role", "text").alias("h"), "role", "text")
+    # ranges of one order over all rows, so that neither a conversation nor a turn has to fit in one of them
+    dealt = src.repartitionByRange(n, "conv", "turn", "h").sortWithinPartitions("conv", "turn", "h", "role", "text")
+    dealt = dealt.select("conv", "turn", "role", "text", F.spark_partition_id().cast("long").alias("part"))
 
     def observe(batches):
-        for (conv, seg), rows in _segments(batches, ["conv", "seg", "turn", "role", "text"]):
-            yield pa.RecordBatch.from_pylist(
-                [{"conv": conv, "seg": seg, "turn": r[2], "at": k, "seen": codes(r[3], r[4]), "role": r[3], "text": r[4]} for k, r in enumerate(rows)], schema)
+        """Rows with their segment, numbered in order over the whole table: a conversation's next TURNS_A_SEGMENT rows."""
+        seg, conv, at = -1, None, 0
+        for b in batches:
+            out = []
+            for c, turn, role, text, part in zip(*[b.column(x).to_pylist() for x in ("conv", "turn", "role", "text", "part")]):
+                if seg < 0 or c != conv or at == TURNS_A_SEGMENT:
+                    seg, conv, at = (part << 40 if seg < 0 else seg + 1), c, 0
+                out.append({"conv": c, "seg": seg, "turn": turn, "at": at, "seen": codes(role, text), "role": role, "text": text})
+                at += 1
+            yield pa.RecordBatch.from_pylist(out, schema)
 
     schema = pa.schema([("conv", pa.int64()), ("seg", pa.int64()), ("turn", pa.int64()), ("at", pa.int64()), ("seen", pa.list_(pa.int32())), ("role", pa.string()), ("text", pa.string())])
     seen = tables.write(dealt.mapInArrow(observe, "conv long, seg long, turn long, at long, seen array<int>, role string, text string"))
 
     def again(d: DataFrame) -> DataFrame:
-        return d.repartition(n, "conv", "seg").sortWithinPartitions("conv", "seg", "at")
+        return d.repartition(n, "seg").sortWithinPartitions("seg", "at")
 
     def matrices(batches):
-        for (conv, seg), rows in _segments(batches, ["conv", "seg", "seen"]):
+        for seg, rows in _segments(batches, ["seg", "conv", "seen"]):
             every = [c for r in rows for c in r[2]]
-            yield pa.RecordBatch.from_pylist([{"conv": conv, "seg": seg, "first": every[0], "m": matrix(every).ravel().tolist(), "rest": matrix(every[1:]).ravel().tolist() if len(every) > 1 else []}], small)
+            yield pa.RecordBatch.from_pylist([{"conv": rows[0][1], "seg": seg, "first": every[0], "m": matrix(every).ravel().tolist(), "rest": matrix(every[1:]).ravel().tolist() if len(every) > 1 else []}], small)
 
     small = pa.schema([("conv", pa.int64()), ("seg", pa.int64()), ("first", pa.int32()), ("m", pa.list_(pa.float64())), ("rest", pa.list_(pa.float64()))])
     mats = again(seen.select("conv", "seg", "at", "seen")).mapInArrow(matrices, "conv long, seg long, first int, m array<double>, rest array<double>")
@@ -184,11 +192,11 @@ def recover(df: DataFrame, tables) -> DataFrame:
             yield solve(rows)
 
     known = pa.schema([("conv", pa.int64()), ("seg", pa.int64()), ("enter", pa.int32()), ("leave", pa.int32())])
-    at = mats.mapInArrow(ends, "conv long, seg long, enter int, leave int").select(F.col("conv").alias("c"), F.col("seg").alias("s"), "enter", "leave")
-    both = seen.join(at, F.col("conv").eqNullSafe(F.col("c")) & (F.col("seg") == F.col("s"))).drop("c", "s")
+    at = mats.mapInArrow(ends, "conv long, seg long, enter int, leave int").select(F.col("seg").alias("s"), "enter", "leave")
+    both = seen.join(at, F.col("seg") == F.col("s")).drop("s")
 
     def render(batches):
-        for (conv, seg), rows in _segments(batches, ["conv", "seg", "turn", "seen", "role", "text", "enter", "leave"]):
+        for _, rows in _segments(batches, ["seg", "conv", "turn", "seen", "role", "text", "enter", "leave"]):
             states = path([c for r in rows for c in r[3]], rows[0][6], rows[0][7])
             out, k = [], 0
             for r in rows:
@@ -196,7 +204,7 @@ def recover(df: DataFrame, tables) -> DataFrame:
 
                 def close():
                     text = "\n".join(said)
-                    out.append({"conv_id": conv, "turn": r[2], "part": part, "role": ROLES[now], "said": text, "canonical": f"<|{ROLES[now]}|>\n{text.strip()}\n<|end|>"})
+                    out.append({"conv_id": rows[0][1], "turn": r[2], "part": part, "role": ROLES[now], "said": text, "canonical": f"<|{ROLES[now]}|>\n{text.strip()}\n<|end|>"})
 
                 for marker, _, line in lines_of(r[4], r[5]):
                     s = states[k]
