@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from arborql.llm.common import unused
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: 2^31 points, and the golden ratio's fraction of them (odd, so every point is met once).
 POINTS, GOLDEN = 1 << 31, 1327217885
 #: Slots ranked together before the ranks of earlier chunks are added.
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 #: Even blocks: the least number of blocks of a source that has as many words.
 LEAST_BLOCKS = 64
 
@@ -36,11 +38,12 @@ class Mix:
 
 
 def sized(df: DataFrame, mix: Mix, text_col: str = "text") -> DataFrame:
-    """doc_id, source, size in words (null text: 0), and h, the hashed place in the source's stream."""
+    """doc_id, source, size in words (null text: 0), and h, the hashed place in the source's stream: of the doc_id, or of
+    the text where that is null, so that no place is shared by many different rows."""
     return df.select(
         "doc_id", "source",
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(mix.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("h"),
+        F.md5(F.concat(F.lit(mix.seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))))).alias("h"),
     )
 
 
@@ -166,6 +169,7 @@ def repeats(df: DataFrame, tables, how: Mix = Mix()) -> DataFrame:
     most_times). Only the document at a source's end is cut by a block, so a source keeps its words within one
     document. Rows of one doc_id share their mean."""
     m = mix(df.select("doc_id", "source", "text"), tables, how, even=True).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("n"))
-    m = m.select(F.col("doc_id").alias("__id"), F.round(F.try_divide("t", "n")).cast("int").alias("__times")).where("__times > 0")
-    j = df.join(m, df["doc_id"].eqNullSafe(m["__id"]))
-    return j.select(*[df[c] for c in df.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__k")).drop("__k")
+    id_, times, k = unused(df, "__id", "__times", "__k")
+    m = m.select(F.col("doc_id").alias(id_), F.round(F.try_divide("t", "n")).cast("int").alias(times)).where(F.col(times) > 0)
+    j = df.join(m, df["doc_id"].eqNullSafe(m[id_]))
+    return j.select(*[df[c] for c in df.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(k)).drop(k)

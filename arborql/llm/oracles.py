@@ -100,7 +100,7 @@ FROM d JOIN comp ON comp.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 OP7 = rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-    md5('mix' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents
+    md5('mix' || coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))) AS h FROM documents
 ), by_source AS (SELECT source, sum(size)::BIGINT AS size FROM docs GROUP BY source), s1 AS (
   SELECT row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid, source, size, 2 * size AS cap, sum(size) OVER () AS all_size FROM by_source
 ), s2 AS (SELECT *, [5, 2, 1][(sid - 1) % 3 + 1]::BIGINT AS w FROM s1), s3 AS (
