@@ -9,8 +9,8 @@ Candidates share a band. Their links are confirmed on full sets, but pairs are n
 2. buckets that still hold several components make up families (what buckets join); a family's rows are cut
    into tiles, and two tiles meet in one task, which returns a forest of confirmed links.
 A pair within one component need not be confirmed, since only components are asked for. Step 2 passes over
-pairs whose signatures agree in so few places (five standard deviations below the threshold) that they cannot
-be links; full sets come only for rows with a pair left. With 32 bands of 4 values, a pair at similarity 0.8 shares no band
+pairs whose signatures agree in so few places (five standard deviations below the threshold) that they hardly
+can be links (about 0.6 times in a million at 0.8 itself); full sets come only for rows with a pair left. With 32 bands of 4 values, a pair at similarity 0.8 shares no band
 once in 20 million times."""
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborql.llm.common import connected_components, release
+from arborql.llm.common import connected_components, release, unused
 from arborql.llm.tiles import block_pairs
 
 PERMUTATIONS, BAND = 64, 4
@@ -280,7 +280,9 @@ def classes(df: DataFrame, tables, size: int = 5, percent: int = 80, text_col: s
     least = math.floor(VALUES * p - 5 * math.sqrt(VALUES * p * (1 - p)))
     some = tables.write(rows.groupBy("family", "i", "j").applyInArrow(_involved(least, percent), rows.schema))
     more = some.join(texts, "node").groupBy("family", "i", "j").applyInArrow(_joined(least, size, percent), "a long, b long")
-    groups = connected_components(links.unionByName(tables.write(more)), tables)
+    more = tables.write(more)
+    groups = connected_components(links.unionByName(more), tables)
+    tables.drop(members, texts, links, m, open_, some, more)  # what follows reads docs, reps and groups
     r = reps.select("f1", "f2", "low", "node").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
     low = r.groupBy("c").agg(F.min("low").alias("least"))
     r = r.join(low, "c").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "least", F.col("c").alias("group"))
@@ -293,7 +295,8 @@ def dedup(df: DataFrame, tables, size: int = 5, percent: int = 80) -> DataFrame:
     """df's rows, one of each group of near copies: the one with the least doc_id, repeated rows once; a group
     that has null doc_ids only keeps one row too. Rows without words are kept."""
     c = classes(df, tables, size, percent).where("kept or component_id is null")
-    c = c.groupBy(F.col("doc_id").alias("__id"), "group").agg(F.min("th").alias("__th"))
-    src = df.withColumn("__h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    j = src.join(c, src["doc_id"].eqNullSafe(c["__id"]) & (src["__h"] == c["__th"]), "left_semi")
-    return j.dropDuplicates(["doc_id", "__h"]).select(df.columns)
+    id_, th, h = unused(df, "__id", "__th", "__h")
+    c = c.groupBy(F.col("doc_id").alias(id_), "group").agg(F.min("th").alias(th))
+    src = df.withColumn(h, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    j = src.join(c, src["doc_id"].eqNullSafe(c[id_]) & (src[h] == c[th]), "left_semi")
+    return j.dropDuplicates(["doc_id", h]).select(df.columns)
