@@ -15,6 +15,16 @@ WS_CLASS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def release() -> None:
     """Give memory that a Python worker no longer uses back to the system: workers live on between tasks, beside
     those of other operators."""

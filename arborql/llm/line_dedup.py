@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborql.llm.common import WS_CHARS
+from arborql.llm.common import WS_CHARS, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null doc_id among the hashed rows: the least long, so such a document never keeps a shared line.
@@ -108,7 +108,8 @@ def keep_bitmaps(df: DataFrame, tables, least_chars: int = 20, least_docs: int =
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", F.col("doc").desc(), "th", "pos")
     seen = tables.write(dealt.mapInArrow(_stream(least_docs), STREAM))
-    # two rows a partition at most, so a very common line need not be dealt by its key again
+    # two rows a partition at most (bounded by their number, not by the data), so a very common line need not be dealt
+    # by its key again
     sums = seen.where("kind = 'sum'").groupBy("h1", "h2").agg(F.sum("docs").alias("n"), F.max("doc").alias("top"))
     edges = seen.where("kind = 'edge'").drop("docs").join(F.broadcast(sums), ["h1", "h2"]).where((F.col("n") >= least_docs) & (F.col("doc") != F.col("top")))
     drops = seen.where("kind = 'drop'").select("doc", "th", "pos").union(edges.select("doc", "th", "pos"))
@@ -128,16 +129,17 @@ def dedup(df: DataFrame, tables, least_chars: int = 20, least_docs: int = 3, tex
     A key is a line trimmed of ASCII white space with A-Z lower-cased; keys of least_chars code points or more
     that least_docs distinct doc_ids hold lose their lines except in the largest doc_id. Null and empty texts
     are one empty line and become empty. Rows with one doc_id are one document; a null doc_id is one document,
-    the least. All columns stay; n_lines and n_dropped may not be among them. Any length of text or line."""
+    the least, and the same as that of the least long. All columns stay; n_lines and n_dropped may not be among them. Any length of text or line."""
     taken = {c.lower() for c in df.columns}
-    if taken & {"__doc", "__th", "__bitmap"} or count and taken & {"n_lines", "n_dropped"}:
+    if count and taken & {"n_lines", "n_dropped"}:
         raise ValueError("columns n_lines, n_dropped exist already")
+    doc, th, bitmap, own_doc, own_th = unused(df, "__doc", "__th", "__bitmap", "__d", "__t")
     maps = keep_bitmaps(df, tables, least_chars, least_docs, text_col).select(
-        F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("bitmap").alias("__bitmap"))
+        F.col("doc").alias(doc), F.col("th").alias(th), F.col("bitmap").alias(bitmap))
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = df.withColumn(text_col, text)
-    src = src.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__t": F.xxhash64(F.col(text_col))})
-    j = src.join(maps, (F.col("__d") == F.col("__doc")) & (F.col("__t") == F.col("__th")), "left").select(*df.columns, "__bitmap")
+    src = src.withColumns({own_doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), own_th: F.xxhash64(F.col(text_col))})
+    j = src.join(maps, (F.col(own_doc) == F.col(doc)) & (F.col(own_th) == F.col(th)), "left").select(*df.columns, bitmap)
     at = df.columns.index(text_col)
     extra = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())] if count else []
     fields = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in df.schema.fields]

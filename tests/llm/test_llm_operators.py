@@ -2,6 +2,7 @@
 texts, ties and repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import itertools
 import math
 import random
 
@@ -294,9 +295,58 @@ def test_html_held_out_accuracy():
     assert right / n > 0.985
 
 
-def test_html_weights_are_a_maximum_likelihood_fit():
-    small = html_extract.labelled_pages(40, seed=4)
-    assert html_extract.train(small, steps=60) == html_extract.train(small, steps=60)
+def scored(model, found, labels):
+    """The log weight of a labelling, added up feature by feature."""
+    out = 0.0
+    for k, ((text, place, linked), y) in enumerate(zip(found, labels)):
+        out += y * sum(model.get(f, 0.0) for f in html_extract.path_features(place) + html_extract.text_features(text, linked))
+        out += model[f"next:{labels[k - 1]}{y}"] if k else 0.0
+    return out
+
+
+def test_html_viterbi_against_all_labellings():
+    model = html_extract.default_model()
+    pages = [p for p, _ in html_extract.labelled_pages(60, seed=77) if 0 < len(html_extract.blocks(p)) <= 11]
+    assert len(pages) > 5
+    for page in pages:
+        found = html_extract.blocks(page)
+        best = max(itertools.product((0, 1), repeat=len(found)), key=lambda y: scored(model, found, y))
+        assert abs(scored(model, found, best) - scored(model, found, [int(y) for y in html_extract.decode(found, model)])) < 1e-9
+
+
+def test_html_likelihood_and_gradient_against_all_labellings():
+    import numpy as np
+
+    r = np.random.RandomState(0)
+    n, long, k, l2 = 4, 5, 3, 0.01
+    x, w, tr, sizes = r.randint(0, 2, (n, long, k)).astype(float), r.randn(k), r.randn(2, 2), [5, 3, 1, 4]
+    on = np.array([[t < m for t in range(long)] for m in sizes])
+    x *= on[:, :, None]
+    y = r.randint(0, 2, (n, long)) * on
+
+    def plain(w, tr):
+        total = 0.0
+        for page in range(n):
+            weigh = lambda ys: sum(ys[t] * float(x[page, t] @ w) + (tr[ys[t - 1], ys[t]] if t else 0.0) for t in range(sizes[page]))  # noqa: E731, B023
+            total += weigh(y[page]) - math.log(sum(math.exp(weigh(ys)) for ys in itertools.product((0, 1), repeat=sizes[page])))
+        return total / n - l2 / 2 * (np.sum(w * w) + np.sum(tr * tr))
+
+    value, gw, gt = html_extract.likelihood(x, y, on, w, tr, l2)
+    assert abs(value - plain(w, tr)) < 1e-9
+    h = 1e-6
+    for i in range(k):
+        d = np.eye(k)[i] * h
+        assert abs((plain(w + d, tr) - plain(w - d, tr)) / (2 * h) - gw[i]) < 1e-6
+    for i in range(4):
+        d = np.eye(4)[i].reshape(2, 2) * h
+        assert abs((plain(w, tr + d) - plain(w, tr - d)) / (2 * h) - gt[i // 2, i % 2]) < 1e-6
+
+
+def test_html_hints_in_long_blocks_and_tag_soup():
+    notice = "We and our partners use a cookie or two to make this page work for all of you who read it. " * 20
+    assert all("notice" in html_extract.text_features(notice[:n], 0.0) for n in (100, 345, 414, 1800))
+    text = html_extract.main_text("<article>" + "<b><i>x<p>word" * 3000 + "</article>", html_extract.default_model())
+    assert text.count("word") == 3000
 
 
 @pytest.mark.parametrize("size", [4, 5])
@@ -444,6 +494,58 @@ def test_chat_segments_do_not_change_the_path(spark, tables):
     assert abs(best - found) < 1e-6 and len(whole) == 700
 
 
+def test_chat_against_all_paths():
+    """Viterbi over short conversations, against every path of roles, weighed on its own."""
+    r = random.Random(6)
+    for _ in range(12):
+        rows = [(r.choice([None, "user", "assistant", "system", "tool", "odd"]), r.choice(["ok", "ok?", "- item", "x" * 130, "User: hi\nmore", "A: yes", ""])) for _ in range(r.randint(1, 3))]
+        lines = [x for role, text in rows for x in chat.lines_of(role, text)][:6]
+        seen = [c for role, text in rows for c in chat.codes(role, text)][:6]
+
+        def weigh(path):
+            total = 0.0
+            for k, ((marker, starts, line), s) in enumerate(zip(lines, path)):
+                if k == 0:
+                    total += chat.START[s]
+                    if not starts and marker < 0:
+                        continue
+                elif starts or marker >= 0:
+                    total += chat.TURN[path[k - 1], s]
+                else:
+                    total += chat.GOES_ON if s == path[k - 1] else math.log((1 - math.exp(chat.GOES_ON)) / 3)
+                for yes, p in ((line.rstrip().endswith("?"), chat.QUESTION[s]), (bool(chat.LISTED.match(line)), chat.LIST[s]), (len(line) > 120, chat.LONG[s])):
+                    total += p if yes else math.log(1 - math.exp(p))
+                if marker >= 0:
+                    total += chat.RIGHT if marker == s else chat.WRONG
+            return total
+
+        best = max(weigh(p) for p in itertools.product(range(4), repeat=len(lines)))
+        assert abs(best - weigh(chat.path(seen, None, None))) < 1e-9
+
+
+def test_chat_one_turn_number_and_null_turns(spark, tables, monkeypatch):
+    """Turns that repeat or are null are cut into segments like any others, and null comes first."""
+    monkeypatch.setattr(chat, "TURNS_A_SEGMENT", 3)
+    rows = [(1, 5, "user", f"a{k}") for k in range(20)] + [(1, None, "system", "first"), (1, -300, "assistant", "early"), (2, None, None, None)]
+    out = chat.recover(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tables).collect()
+    assert len(out) == len(rows)
+    assert {r.said: r.role for r in out if r.conv_id == 1} == {"first": "system", "early": "assistant", **{f"a{k}": "user" for k in range(20)}}
+
+
+def test_clashing_names_of_operators_that_keep_all_columns(spark, tables):
+    text = "one line of more than twenty characters here\nand another one"
+    names = ["__h", "__id", "__th", "__d", "__t", "__doc", "__bitmap", "__times", "__k", "__w", "__m", "__row"]
+    df = spark.createDataFrame([(k, text, "en", "a", 1, *names) for k in range(4)], DOCS + "".join(f", {n} string" for n in names))
+    for out in (minhash.dedup(df, tables), line_dedup.dedup(df, tables, count=False), mixing.repeats(df, tables), quality.keep(df, tables)):
+        assert out.columns == df.columns and all(list(r)[5:] == names for r in out.collect())
+    assert minhash.dedup(df, tables).count() == 1
+
+
+def test_mixing_null_ids_have_places_of_their_own(spark):
+    df = spark.createDataFrame([(None, f"w{k}", "en", "a", 0) for k in range(50)], DOCS)
+    assert mixing.sized(df, mixing.Mix()).select("h").distinct().count() == 50
+
+
 URLS = [
     ("http://www.example.com/en/7/x", ""), ("https://A.Example.NET/de/8?q#f", ""), ("http://example.net/de/1", None), ("https://notexample.com/en/", ""), ("http://com/en/x", ""), ("x://b.org/es/", ""), ("b.org/es/", ""), (None, None), ("", ""),
     ("http://m.site.dev/a/", ""), ("https://site.dev/a.html", '<link rel="canonical" href="http://bad.org/es/page">'), ("http://other.dev/b", '<meta http-equiv="refresh" content="0; url=http://site.dev/a">'), ("http://free.dev/c", '<link href=http://ok.net/de/1 rel=canonical>'), ("http://bad.org/es/page", ""), ("http://ok.net/de/1", ""), ("http://alone.dev/?x", ""), ("http://alone.dev/", ""),
