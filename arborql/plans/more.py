@@ -46,7 +46,7 @@ def j06_custom_abstracts(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT p_name AS key, CASE WHEN p_size % 3 = 0 THEN 'fr' WHEN p_size % 3 = 1 THEN 'en' ELSE 'de' END AS tag, max(p_brand) AS v FROM part GROUP BY ALL), k AS (SELECT DISTINCT p_name AS key FROM part)
-SELECT key, coalesce(f.v, e.v) AS fr, coalesce(e.v, NULL) AS en FROM k LEFT JOIN s f USING (key) LEFT JOIN s e USING (key) WHERE (f.tag = 'fr' OR f.tag IS NULL) AND (e.tag = 'en' OR e.tag IS NULL)""")
+SELECT key, coalesce(f.v, e.v) AS fr, coalesce(e.v, NULL) AS en FROM k LEFT JOIN (FROM s WHERE tag = 'fr') f USING (key) LEFT JOIN (FROM s WHERE tag = 'en') e USING (key)""")
 def j09_localized_strings(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     tag = F.when(F.col("p_size") % 3 == 0, "fr").when(F.col("p_size") % 3 == 1, "en").otherwise("de")
@@ -209,17 +209,18 @@ def l11_search_entries(spark, sf_dir):
     return links.search_entries(p)
 
 
-@query(f"WITH {_TREE} SELECT array_to_string(p, '/') AS path, len(p) AS crumbs, q AS trail FROM h WHERE len(p) < 4")
+@query(f"WITH {_TREE} SELECT array_to_string(p, '/') AS path, len(p) AS crumbs, q AS trail FROM h")
 def l12_breadcrumbs(spark, sf_dir):
-    h = hierarchy(spark, sf_dir).where(F.size("path") < 4)
+    h = hierarchy(spark, sf_dir)
     b = pages.breadcrumbs(h)
     return b.select(F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), F.size("breadcrumbs").cast("long").alias("crumbs"), F.array_join("breadcrumbs", ".").alias("trail"))
 
 
-@query(f"WITH {_TREE}, v AS (SELECT p FROM h WHERE len(p) = 3 AND p[3] % 50 = 0) SELECT len(p) AS depth, count(*) AS n FROM h WHERE len(p) < 4 AND EXISTS (SELECT 1 FROM v WHERE v.p[1:len(h.p)] = h.p) GROUP BY 1")
+@query(f"WITH {_TREE}, v AS (SELECT p FROM h JOIN orders ON len(p) = 4 AND p[4] = o_orderkey AND o_totalprice > 300000), a AS (SELECT DISTINCT unnest([p[1:1], p[1:2], p[1:3], p]) AS p FROM v) SELECT len(p) AS depth, count(*) AS n FROM a GROUP BY 1")
 def l13_toc(spark, sf_dir):
-    h = hierarchy(spark, sf_dir).where(F.size("path") < 4)
-    h = h.select("path", F.when(F.size("path") < 3, "group").otherwise("def").alias("item_type"), F.when((F.size("path") == 3) & (F.get("path", F.lit(2)) % 50 == 0), "yes").otherwise("no").alias("show_in_toc"), F.lit("swift").alias("primary_language"), F.lit(None).cast("string").alias("secondary_language"))
+    dear = read(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_orderkey").cast("long").alias("k"))
+    h = hierarchy(spark, sf_dir).withColumn("at", F.get("path", F.lit(3))).join(dear, F.col("at") == F.col("k"), "left")
+    h = h.select("path", F.when(F.size("path") < 4, "group").otherwise("def").alias("item_type"), F.when(F.col("k").isNotNull(), "yes").otherwise("no").alias("show_in_toc"), F.lit("swift").alias("primary_language"), F.lit(None).cast("string").alias("secondary_language"))
     return pages.toc(h, "swift").groupBy(F.size("path").cast("long").alias("depth")).agg(F.count("*").alias("n"))
 
 
@@ -269,19 +270,20 @@ def t09_url_encoding(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", "url", X.url_path_encoded(F.col("url")).alias("coded"))
 
 
-@query("""WITH r AS (SELECT r_regionkey, n_nationkey FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 2 = 0) SELECT r_regionkey, count(n_nationkey) AS kids, '{"n":' || count(n_nationkey) || ',"r":' || r_regionkey || '}' AS json FROM r GROUP BY 1""")
+@query("""WITH r AS (SELECT r_regionkey, n_nationkey FROM region LEFT JOIN nation ON n_regionkey = r_regionkey) SELECT r_regionkey, count(n_nationkey) AS kids, '{"n":' || count(n_nationkey) || ',"r":' || r_regionkey || '}' AS json FROM r GROUP BY 1""")
 def k03_json(spark, sf_dir):
     from arborql.sources import sinks
 
-    n = read(spark, sf_dir, "nation").where("n_nationkey % 2 = 0")
+    n = read(spark, sf_dir, "nation")
     g = read(spark, sf_dir, "region").join(n, F.col("n_regionkey") == F.col("r_regionkey"), "left").groupBy("r_regionkey").agg(F.count("n_nationkey").alias("kids"))
     return sinks.as_json(g.withColumns({"n": F.col("kids"), "r": F.col("r_regionkey"), "none": F.lit(None).cast("string")}), ["r", "n", "none"]).select("r_regionkey", "kids", "json")
 
 
-@query(f"WITH {_TREE}, t AS (SELECT p[1:2] AS n FROM h WHERE len(p) = 3) SELECT array_to_string(n, '/') AS path, count(*) AS kids FROM t GROUP BY n")
+@query("""SELECT c_custkey, c_name AS name, count(o_orderkey) AS kids, min(o_orderkey)::VARCHAR AS first_kid FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name""")
 def k02_nesting(spark, sf_dir):
-    h = hierarchy(spark, sf_dir).where(F.size("path") < 4).withColumn("root", F.get("path", F.lit(0)))
-    j = tree.nest(h, ["name"], ["root"], 3).select(F.from_json("json", "name string, children array<struct<name:string,children:array<struct<name:string>>>>").alias("j"), "root")
-    n = j.select("root", F.explode("j.children").alias("c")).select("root", "c.name", F.size("c.children").cast("long").alias("kids"))
-    keys = hierarchy(spark, sf_dir).where(F.size("path") == 2)
-    return n.join(keys.select(F.get("path", F.lit(0)).alias("root"), "name", "path"), ["root", "name"]).where("kids > 0").select(F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "kids")
+    """A JSON tree a customer, of all orders."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("root"), F.array(F.col("c_custkey").cast("long")).alias("path"), F.col("c_name").alias("name"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("root"), F.array(F.col("o_custkey").cast("long"), F.col("o_orderkey").cast("long")).alias("path"), F.col("o_orderkey").cast("string").alias("name"))
+    j = tree.nest(c.unionByName(o), ["name"], ["root"], 2).select("root", F.from_json("json", "name string, children array<struct<name:string>>").alias("j"))
+    kids = F.coalesce("j.children", F.array().cast("array<struct<name:string>>"))
+    return j.select(F.col("root").alias("c_custkey"), "j.name", F.size(kids).cast("long").alias("kids"), F.get(kids, F.lit(0))["name"].alias("first_kid"))

@@ -40,6 +40,10 @@ class Tables:
         out._arborql_path = path
         return out
 
+    def folder(self, name: str) -> str:
+        """A place for files of other kinds, freed with the tables."""
+        return f"{self.top}/{name}"
+
     def drop(self, *frames: DataFrame) -> None:
         """Free tables that no later plan reads."""
         for df in frames:
