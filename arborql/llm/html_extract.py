@@ -12,7 +12,6 @@ import html as entities
 import random
 import re
 from collections import Counter
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,16 +47,24 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 TAIL = re.compile(r"</?[a-zA-Z][^<>]*\Z|<!?-*\Z")
 
 
-class Place(NamedTuple):
+class Place:
     """Where a block stands: its element, what it and those around it are called, the same below the innermost article or
-    main (None: outside), and its depth. Sets are shared with the element around, so that deep pages stay small."""
+    main (None: outside), and its depth. Sets are shared with the element around, and equal elements of one parent are
+    one place, so that deep and long pages stay small."""
 
-    tag: str
-    names: frozenset[str]
-    under: frozenset[str] | None
-    depth: int
+    __slots__ = ("tag", "names", "under", "depth", "kids")
 
-    def inner(self, tag: str, words: list[str]) -> Place:
+    def __init__(self, tag: str, names: frozenset[str], under: frozenset[str] | None, depth: int):
+        self.tag, self.names, self.under, self.depth = tag, names, under, depth
+        self.kids: dict[tuple[str, tuple[str, ...]], Place] = {}
+
+    def inner(self, tag: str, words: tuple[str, ...]) -> Place:
+        kid = self.kids.get((tag, words))
+        if kid is None:
+            kid = self.kids[tag, words] = self._inner(tag, words)
+        return kid
+
+    def _inner(self, tag: str, words: tuple[str, ...]) -> Place:
         own = {f"in:{tag}", *(f"name:{w}" for w in words)}
         names = self.names if own <= self.names else self.names | own
         if tag in ("article", "main"):
@@ -68,7 +75,6 @@ class Place(NamedTuple):
 
 
 NOTHING: frozenset[str] = frozenset()
-OUTSIDE = Place("", NOTHING, None, 0)
 
 
 def blocks(page: str | None) -> list[tuple[str, Place, float]]:
@@ -77,10 +83,10 @@ def blocks(page: str | None) -> list[tuple[str, Place, float]]:
     out: list[tuple[str, Place, float]] = []
     if not page:
         return out
-    stack: list[Place] = [OUTSIDE]
+    stack = [Place("", NOTHING, None, 0)]
     opened: Counter[str] = Counter()
     parts: list[str] = []
-    at = OUTSIDE
+    at = stack[0]
     linked = 0
     shut = True  # whether a template's end tag may follow
 
@@ -166,17 +172,18 @@ def blocks(page: str | None) -> list[tuple[str, Place, float]]:
         if attrs and "=" in attrs:
             for a in NAMES.findall(attrs):
                 words += [w.lower() for w in PARTS.findall(a[0] or a[1] or a[2])]
-        stack.append(stack[-1].inner(tag, words))
+        stack.append(stack[-1].inner(tag, tuple(words)))
         opened[tag] += 1
     flush()
     return out
 
 
+#: What blocks around the main text say, and what one of must be in a text for the pattern to be tried at all.
 HINTS = {
-    "legal": re.compile(r"©|\(c\)|copyright|all rights reserved|privacy|terms of (?:use|service)", re.I),
-    "notice": re.compile(r"cookie|consent|subscribe|newsletter|sign ?(?:in|up)|log ?in", re.I),
-    "advert": re.compile(r"sponsored|advert|promo|buy now|sale", re.I),
-    "reply": re.compile(r"^(?:reply|share|like)|comments?$|\bago$", re.I),
+    "legal": (("©", "(c)", "copyright", "rights", "privacy", "terms of"), re.compile(r"©|\(c\)|copyright|all rights reserved|privacy|terms of (?:use|service)", re.I)),
+    "notice": (("cookie", "consent", "subscribe", "newsletter", "sign", "log"), re.compile(r"cookie|consent|subscribe|newsletter|sign ?(?:in|up)|log ?in", re.I)),
+    "advert": (("sponsored", "advert", "promo", "buy now", "sale"), re.compile(r"sponsored|advert|promo|buy now|sale", re.I)),
+    "reply": (("reply", "share", "like", "comment", "ago"), re.compile(r"^(?:reply|share|like)|comments?$|\bago$", re.I)),
 }
 
 
@@ -193,7 +200,8 @@ def text_features(text: str, linked: float) -> list[str]:
          "links:" + ("0" if linked == 0 else "1" if linked < 0.5 else "2")]
     if text[-1] in ".!?…":
         f.append("ended")
-    f += [k for k, p in HINTS.items() if p.search(text)]
+    low = text.lower()
+    f += [k for k, (some, p) in HINTS.items() if any(map(low.__contains__, some)) and p.search(text)]
     return f
 
 
@@ -393,15 +401,19 @@ def decode(found: list, model: Model, kept: dict | None = None) -> list[bool]:
         return []
     tr = [[model["next:00"], model["next:01"]], [model["next:10"], model["next:11"]]]
     kept = {} if kept is None else kept
+    here: dict[Place, float] = {}  # by identity, of this page
     back: list[tuple[int, int]] = []
     a = b = 0.0
     for k, (text, path, linked) in enumerate(found):
-        key = path._replace(depth=min(6, path.depth))  # equal features, whatever the depth below
-        s = kept.get(key)
+        s = here.get(path)
         if s is None:
-            if len(kept) > 20_000:
-                kept.clear()
-            s = kept[key] = sum(model.get(f, 0.0) for f in path_features(path))
+            key = path.tag, path.names, path.under, min(6, path.depth)  # equal features, whatever the depth below
+            s = kept.get(key)
+            if s is None:
+                if len(kept) > 20_000:
+                    kept.clear()
+                s = kept[key] = sum(model.get(f, 0.0) for f in path_features(path))
+            here[path] = s
         s += sum([model.get(f, 0.0) for f in text_features(text, linked)])
         if k:
             a0, a1, b0, b1 = a + tr[0][0], b + tr[1][0], a + tr[0][1], b + tr[1][1]
