@@ -1,9 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
-Each source's documents, in a hashed order, form a stream of words that is cut into blocks of B words. Slot t
-of the schedule maps the golden-ratio point frac(t * 0.618...) through the cumulative target weights to a
-source; the slot's rank within that source picks the source's next block, starting anew when all are taken.
-All shares are integers over one denominator, so reruns and other engines agree to the last bit."""
+Each source's documents, in a hashed order, form a stream of words that is cut into equal blocks, of B words at
+most. Slot t of the schedule maps the golden-ratio point frac(t * 0.618...) through the cumulative target weights,
+counted in each source's own blocks, to a source; the slot's rank within that source picks the source's next block,
+starting anew when all are taken. Shares are integers, so reruns and other engines agree to the last bit."""
 
 from __future__ import annotations
 
@@ -20,8 +20,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 POINTS, GOLDEN = 1 << 31, 1327217885
 #: Slots ranked together before the ranks of earlier chunks are added.
 CHUNK = 1 << 12
-#: Even blocks: the least number of blocks of a source that has as many words.
+#: The least number of blocks of a source that has as many words.
 LEAST_BLOCKS = 64
+#: Parts of a block that a source's share is counted in.
+PARTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -48,8 +50,7 @@ def sized(df: DataFrame, mix: Mix, text_col: str = "text") -> DataFrame:
 
 
 def targets(docs: DataFrame, mix: Mix) -> DataFrame:
-    """A row per source: sid (its place), source, source_size, target (double), tn and all_tn (the target and all
-    targets as integers over one denominator). Sources fill in the order of cap to weight: those that the
+    """A row per source: sid (its place), source, source_size, target (double). Sources fill in the order of cap to weight: those that the
     common level would lift above their cap get the cap, and the level is shared by the rest."""
     by = docs.groupBy("source").agg(F.sum("size").alias("size"))
     order = W.orderBy(F.col("source").asc_nulls_last())
@@ -72,12 +73,9 @@ def targets(docs: DataFrame, mix: Mix) -> DataFrame:
     s = s.withColumn("level", F.min(F.when(~F.col("full"), F.col("k"))).over(every))
     num, den = F.coalesce(F.col("level.left"), F.lit(0)), F.coalesce(100 * F.col("level.wrest"), F.lit(1))
     s = s.select("sid", "source", F.col("size").alias("source_size"), "w", "cap", "full", num.alias("num"), den.alias("den"))
-    s = s.withColumn("tn", F.when(F.col("full"), d38("cap") * d38("den")).otherwise(d38("w") * d38("num")).cast("decimal(38,0)"))
     return s.select(
         "sid", "source", "source_size",
         F.when(F.col("full"), F.col("cap").cast("double")).otherwise((F.col("w") * F.col("num")).cast("double") / F.col("den").cast("double")).alias("target"),
-        "tn", F.sum("tn").over(every).cast("decimal(38,0)").alias("all_tn"),
-        F.sum("tn").over(W.orderBy("sid")).cast("decimal(38,0)").alias("upto"),
     )
 
 
@@ -98,23 +96,15 @@ def schedule(spark: SparkSession, shares: DataFrame, slots: int) -> DataFrame:
     return ranked.join(per, ["sid", "chunk"]).select("slot", "sid", (F.col("base") + F.col("r")).alias("rank"))
 
 
-def blocked(shares: DataFrame, block: int, even: bool) -> DataFrame:
-    """shares plus n_blocks, and base and rem: a source's first rem blocks have base + 1 words, the others base.
-    Blocks of ``block`` words leave the source's last one short; even blocks differ by a word at most."""
-    whole = f"(source_size + {block - 1}) div {block}"
-    if not even:
-        return shares.withColumns({"n_blocks": F.expr(whole), "base": F.lit(block).cast("long"), "rem": F.lit(0).cast("long")})
-    s = shares.withColumn("n_blocks", F.expr(f"greatest(1, {whole}, least(source_size, {LEAST_BLOCKS}))"))
-    return s.withColumns({"base": F.expr("greatest(1, source_size div n_blocks)"), "rem": F.expr("source_size % n_blocks")})
-
-
-def by_blocks(shares: DataFrame) -> DataFrame:
-    """shares with tn, upto and all_tn in a source's own blocks in place of words, so that a slot is one block of
-    whatever size."""
-    d38 = "decimal(38,0)"
-    n = F.floor(F.col("tn").cast("double") * 1000 * F.col("n_blocks") / F.greatest("source_size", F.lit(1))).cast(d38)
-    s = shares.withColumn("tn", F.when(F.col("n_blocks") == F.col("source_size"), F.col("tn") * 1000).otherwise(n).cast(d38))
-    return s.withColumns({"all_tn": F.sum("tn").over(W.partitionBy()).cast(d38), "upto": F.sum("tn").over(W.orderBy("sid")).cast(d38)})
+def blocked(shares: DataFrame, block: int) -> DataFrame:
+    """shares plus n_blocks, base and rem: a source's first rem blocks have base + 1 words, the others base; and tn, the
+    target in parts of the source's blocks, with all_tn, the sum of all, and upto, that of the sources up to this."""
+    s = shares.withColumn("n_blocks", F.expr(f"greatest(1, (source_size + {block - 1}) div {block}, least(source_size, {LEAST_BLOCKS}))"))
+    s = s.withColumns({"base": F.expr("greatest(1, source_size div n_blocks)"), "rem": F.expr("source_size % n_blocks")})
+    parts = F.floor(F.col("target") * F.col("n_blocks") / F.greatest("source_size", F.lit(1)) * PARTS)
+    s = s.withColumn("tn", parts.cast("decimal(38,0)"))
+    total = lambda w: F.sum("tn").over(w).cast("decimal(38,0)")
+    return s.withColumns({"all_tn": total(W.partitionBy()), "upto": total(W.orderBy("sid"))})
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -127,27 +117,20 @@ def places(docs: DataFrame) -> DataFrame:
     return b.join(per, ["sid", "bucket"]).select(*docs.columns, (F.col("base") + F.col("within")).alias("a"))
 
 
-def mix(df: DataFrame, tables, how: Mix = Mix(), text_col: str = "text", even: bool = False) -> DataFrame:
+def mix(df: DataFrame, tables, how: Mix = Mix(), text_col: str = "text") -> DataFrame:
     """A row per row of df: doc_id, source, size, source_size, target, taken (words, repeats counted).
 
     Null and empty texts have size 0 and nothing taken; a null source is a source, the last. Repeated rows are
     rows of their own. An empty table gives an empty result. A slot beyond most_times passes takes nothing, so
-    no document exceeds most_times its size; each source's taken words miss its target by a few blocks.
-
-    Without ``even`` every slot counts as a full block, as in the SQL of op7_mixing, so a source of few blocks falls
-    short by what its last block lacks. With it a source's blocks are equal and slots are dealt by their number."""
+    no document exceeds most_times its size; each source's taken words miss its target by a few of its own blocks, and a source of 64 words or more
+    has 64 blocks at least."""
     spark = df.sparkSession
     docs = tables.write(sized(df, how, text_col))
     shares = tables.write(targets(docs, how))
     total = shares.agg(F.sum("source_size")).first()[0] or 0
-    words = total * how.share_percent // 100
-    block = max(1, min(how.most_block, words // how.blocks))
-    shares = blocked(shares, block, even)
-    slots = -(-words // block)
-    if even:
-        shares = tables.write(by_blocks(shares))
-        asked = shares.where("source_size > 0").agg(F.sum(F.col("target") * F.col("n_blocks") / F.col("source_size"))).first()[0] or 0
-        slots = int(asked + 1e-6)
+    block = max(1, min(how.most_block, total * how.share_percent // 100 // how.blocks))
+    shares = tables.write(blocked(shares, block))
+    slots = (int(shares.agg(F.max("all_tn")).first()[0] or 0) + PARTS // 2) // PARTS
     own = docs.join(shares, docs["source"].eqNullSafe(shares["source"])).select(
         "doc_id", docs["source"], "size", "h", "sid", "source_size", "target")
     plan = schedule(spark, shares, slots).join(shares.select("sid", "n_blocks"), "sid")
@@ -168,7 +151,7 @@ def repeats(df: DataFrame, tables, how: Mix = Mix()) -> DataFrame:
     """df's rows as the mix takes them: each as often as its taken words fill it, to the nearest whole (0 to
     most_times). Only the document at a source's end is cut by a block, so a source keeps its words within one
     document. Rows of one doc_id share their mean."""
-    m = mix(df.select("doc_id", "source", "text"), tables, how, even=True).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("n"))
+    m = mix(df.select("doc_id", "source", "text"), tables, how).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("n"))
     id_, times, k = unused(df, "__id", "__times", "__k")
     m = m.select(F.col("doc_id").alias(id_), F.round(F.try_divide("t", "n")).cast("int").alias(times)).where(F.col(times) > 0)
     j = df.join(m, df["doc_id"].eqNullSafe(m[id_]))

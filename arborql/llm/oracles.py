@@ -109,25 +109,33 @@ WITH docs AS (
 ), s4 AS (SELECT *, 150 * all_size - 100 * before AS left_n, 100 * cap::HUGEINT * wrest <= w::HUGEINT * (150 * all_size - 100 * before) AS full_up FROM s3),
 lev AS (SELECT left_n AS num, 100 * wrest AS den FROM s4 WHERE NOT full_up ORDER BY cap / w, sid LIMIT 1),
 s5 AS (SELECT s4.*, coalesce(num, 0) AS num, coalesce(den, 1) AS den FROM s4 LEFT JOIN lev ON true), s6 AS (
-  SELECT sid, source, size AS source_size, CASE WHEN full_up THEN cap::DOUBLE ELSE (w * num)::DOUBLE / den::DOUBLE END AS target,
-    (CASE WHEN full_up THEN cap::HUGEINT * den ELSE w::HUGEINT * num END)::HUGEINT AS tn FROM s5
-), s7 AS (SELECT *, (sum(tn) OVER ())::HUGEINT AS all_tn, (sum(tn) OVER (ORDER BY sid))::HUGEINT AS upto FROM s6),
-k AS (
-  SELECT greatest(1, least(256, (sum(source_size) * 150 // 100) // 131072))::BIGINT AS block, (sum(source_size) * 150 // 100)::BIGINT AS words FROM s6
-), rng AS (SELECT sid, source_size, ((upto - tn) * 2147483648 // all_tn)::BIGINT AS lo, (upto * 2147483648 // all_tn)::BIGINT AS hi FROM s7 WHERE all_tn > 0),
-slots AS (SELECT t, (t % 2147483648) * 1327217885 % 2147483648 AS p FROM (SELECT unnest(range((words + block - 1) // block)) AS t FROM k)),
-ranked AS (
-  SELECT sid, source_size, row_number() OVER (PARTITION BY sid ORDER BY t) - 1 AS r FROM slots JOIN rng ON p >= lo AND p < hi
-), takes AS (
-  SELECT sid, r % ((source_size + block - 1) // block) AS b, count(*) AS times FROM ranked, k
-  WHERE r < 2 * ((source_size + block - 1) // block) GROUP BY ALL
-), placed AS (
-  SELECT docs.row, docs.doc_id, size, sid, source_size, target,
+  SELECT sid, source, size AS source_size, CASE WHEN full_up THEN cap::DOUBLE ELSE (w * num)::DOUBLE / den::DOUBLE END AS target FROM s5
+), k AS (SELECT greatest(1, least(256, (sum(source_size) * 150 // 100) // 131072))::BIGINT AS block FROM s6),
+s7 AS (
+  SELECT s6.*, greatest(1, (source_size + block - 1) // block, least(source_size, 64))::BIGINT AS n_blocks FROM s6, k
+), s8 AS (
+  SELECT *, greatest(1, source_size // n_blocks)::BIGINT AS base, (source_size % n_blocks)::BIGINT AS rem,
+    floor(target * n_blocks / greatest(source_size, 1) * 1048576)::HUGEINT AS tn FROM s7
+), s9 AS (SELECT *, (sum(tn) OVER ())::HUGEINT AS all_tn, (sum(tn) OVER (ORDER BY sid))::HUGEINT AS upto FROM s8),
+rng AS (SELECT sid, n_blocks, ((upto - tn) * 2147483648 // all_tn)::BIGINT AS lo, (upto * 2147483648 // all_tn)::BIGINT AS hi FROM s9 WHERE all_tn > 0),
+slots AS (
+  SELECT t, (t % 2147483648) * 1327217885 % 2147483648 AS p
+  FROM (SELECT unnest(range(((sum(tn) + 524288) // 1048576)::BIGINT)) AS t FROM s8)
+), ranked AS (
+  SELECT sid, n_blocks, row_number() OVER (PARTITION BY sid ORDER BY t) - 1 AS r FROM slots JOIN rng ON p >= lo AND p < hi
+), takes AS (SELECT sid, r % n_blocks AS b, count(*) AS times FROM ranked WHERE r < 2 * n_blocks GROUP BY ALL),
+placed AS (
+  SELECT docs.row, docs.doc_id, size, sid, source_size, target, base, rem,
     sum(size) OVER (PARTITION BY sid ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS a
-  FROM docs JOIN s7 ON docs.source IS NOT DISTINCT FROM s7.source
-), cut AS (SELECT row, sid, a, size, block, unnest(range((a // block)::BIGINT, ((a + size - 1) // block + 1)::BIGINT)) AS b FROM placed, k WHERE size > 0),
+  FROM docs JOIN s9 ON docs.source IS NOT DISTINCT FROM s9.source
+), ends AS (
+  SELECT row, sid, a, size, base, rem,
+    CASE WHEN a < rem * (base + 1) THEN a // (base + 1) ELSE rem + (a - rem * (base + 1)) // base END AS first_b,
+    CASE WHEN a + size - 1 < rem * (base + 1) THEN (a + size - 1) // (base + 1) ELSE rem + (a + size - 1 - rem * (base + 1)) // base END AS last_b
+  FROM placed WHERE size > 0
+), cut AS (SELECT *, unnest(range(first_b::BIGINT, (last_b + 1)::BIGINT)) AS b FROM ends),
 got AS (
-  SELECT row, sum((least(a + size, (cut.b + 1) * block) - greatest(a, cut.b * block)) * times) AS taken
+  SELECT row, sum((least(a + size, (cut.b + 1) * base + least(cut.b + 1, rem)) - greatest(a, cut.b * base + least(cut.b, rem))) * times) AS taken
   FROM cut JOIN takes ON takes.sid = cut.sid AND takes.b = cut.b GROUP BY row
 )
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN got USING (row)

@@ -424,20 +424,15 @@ def test_mixing_small_sources_beside_large_ones(spark, tables):
     rows = [(k, "w " * 10, "en", s, 0) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n // 10))] + [(99_999, "w " * 7, "en", "c", 0)]
     docs, how = spark.createDataFrame(rows, DOCS), mixing.Mix(blocks=256)
     want = brute.targets(sizes)
-    for taken in ({r.source: r.n for r in mixing.mix(docs, tables, how, even=True).groupBy("source").agg(F.sum("taken").alias("n")).collect()},
+    for taken in ({r.source: r.n for r in mixing.mix(docs, tables, how).groupBy("source").agg(F.sum("taken").alias("n")).collect()},
                   {r.source: r.n for r in mixing.repeats(docs, tables, how).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("w"))).alias("n")).collect()}):
         for s, n in want.items():
             assert abs(taken.get(s, 0) - n) <= 0.05 * n + 10, (s, taken, want)
 
 
-def test_mixing_even_blocks_of_one_word_are_the_plain_ones(spark, tables, docs):
-    plain, even = (sorted(map(str, mixing.mix(docs, tables, even=e).collect())) for e in (False, True))
-    assert plain == even
-
-
 def test_mixing_schedule_is_even(spark, tables):
     docs = spark.createDataFrame([(k, "w " * 50, "en", "abc"[k % 3], 0) for k in range(90)], DOCS)
-    shares = mixing.targets(mixing.sized(docs, mixing.Mix()), mixing.Mix())
+    shares = mixing.blocked(mixing.targets(mixing.sized(docs, mixing.Mix()), mixing.Mix()), 1)
     slots = mixing.schedule(spark, shares, 6000).toPandas()
     assert len(slots) == 6000
     for _, own in slots.groupby("sid"):
