@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries opN_<name> that SQL can express, over whole tables.
 
 Without SQL: op2 (places of matches and sliding entropies), op3 (byte-pair merges), op5 (a trained model),
-op8 (Viterbi). Their tests hold them against plain Python."""
+op8 (Viterbi), op11 (byte-pair merges). Their tests hold them against plain Python."""
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -188,7 +188,67 @@ FROM j GROUP BY row
 LINKED_PAGES = """(SELECT p.page_id, p.url, CASE WHEN p.page_id % 5 = 0 OR n.url IS NULL THEN NULL WHEN p.page_id % 2 = 0 THEN '<link rel="canonical" href="' || n.url || '">'
 ELSE '<meta http-equiv="refresh" content="0; url=' || n.url || '">' END AS html FROM pages p LEFT JOIN pages n ON n.page_id = p.page_id + 1)"""
 
+def _op12(k: int = 40, dims: int = 64, rounds: int = 5) -> str:
+    """Every vector against every centroid, round by round."""
+
+    def nearest(name: str, centroids: str) -> str:
+        return f"""{name} AS MATERIALIZED (
+  SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min(list_value(d, j)) AS best FROM (
+    SELECT x.row, x.vec_id, x.v, c.j, list_sum(list_transform(range(1, {dims + 1}), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))::BIGINT AS d FROM x CROSS JOIN {centroids} c
+  ) GROUP BY row)"""
+
+    steps = []
+    for r in range(1, rounds + 1):
+        steps.append(nearest(f"a{r}", f"c{r - 1}"))
+        steps.append(f"""s{r} AS (
+  SELECT j, list(CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END ORDER BY i) AS v FROM (
+    SELECT best[2] AS j, i, count(*)::HUGEINT AS n, sum(v[i])::HUGEINT AS s FROM a{r}, range(1, {dims + 1}) t(i) GROUP BY ALL) GROUP BY j
+), c{r} AS MATERIALIZED (SELECT c.j, coalesce(s.v, c.v)::BIGINT[] AS v FROM c{r - 1} c LEFT JOIN s{r} s ON s.j = c.j)""")
+    return f"""
+WITH x AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS j, v FROM x QUALIFY j < {k}
+), {", ".join(steps)}, {nearest("f", f"c{rounds}")}
+SELECT vec_id, best[2]::INT AS cluster, best[1] AS distance, sum(best[1]) OVER (PARTITION BY best[2])::BIGINT AS cluster_inertia,
+  sum(best[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM f JOIN c{rounds} c ON c.j = best[2]
+"""
+
+
+#: For each class of documents and each order, the place of the first filter that fails decides.
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), least AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text), said AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {'A': len(words) < 100, 'B': 100 * len(list_distinct(words)) < 80 * len(words),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), 'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(first < d.doc_id, false)} AS fails
+  FROM d JOIN least USING (text) LEFT JOIN said ON said.doc_id = d.doc_id
+), c AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM l a JOIN l b ON b.x <> a.x JOIN l c ON c.x NOT IN (a.x, b.x)
+  JOIN l d ON d.x NOT IN (a.x, b.x, c.x) JOIN l e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), w AS (
+  SELECT c.*, o, list_transform(o, lambda x: CASE x WHEN 'A' THEN fails.A WHEN 'B' THEN fails.B WHEN 'C' THEN fails.C WHEN 'D' THEN fails.D ELSE fails.E END) AS in_order FROM c, o
+), p AS (
+  SELECT part, good, toxic, n, o, in_order, coalesce(nullif(list_position(in_order, true), 0), 9) AS gone, unnest([1, 2, 3, 4, 5]) AS step FROM w
+), r AS (
+  SELECT part, array_to_string(o, '') AS filter_order, step, o[step] AS filter, sum(n) FILTER (gone > step) AS kept, sum(n) FILTER (gone = step) AS removed,
+    sum(n) FILTER (gone < step AND in_order[step]) AS redundant, sum(n) FILTER (in_order[step] AND len(list_filter(in_order, lambda z: z)) = 1) AS unique_fails,
+    sum(n) FILTER (gone = step AND good) AS good_lost, sum(n) FILTER (gone = step AND toxic) AS toxic_lost FROM p GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley
+FROM r
+"""
+
 ORACLE_SQL = {
+    "op12_centroids": _op12(), "op13_filter_audit": OP13,
     "url_redirects": _op9(LINKED_PAGES),
     "op1_embedding_dedup": OP1, "op4_quality": _op4(), "op6_minhash": OP6, "op7_mixing": OP7, "op9_url_filter": _op9(), "op10_line_dedup": OP10,
 }

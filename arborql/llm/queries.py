@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborql.llm import bpe, chat, embedding_dedup, html_extract, line_dedup, minhash, mixing, quality, secrets, url_filter
+from arborql.llm import bpe, byte_bpe, centroids, chat, embedding_dedup, filter_audit, html_extract, line_dedup, minhash, mixing, quality, secrets, url_filter
 from arborql.tables import Tables
 from arborql.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -25,6 +25,13 @@ def default_vocab() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_vocab() -> tuple[str, str]:
+    """The rank file and the pattern of its pre-tokens."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 @query
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Tables(spark))
@@ -86,3 +93,18 @@ def url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark))
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), *byte_vocab())
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Tables(spark), k=40, dims=64, scale=256, rounds=5, seed=2)
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
