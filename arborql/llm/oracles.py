@@ -146,27 +146,32 @@ _REST = "coalesce(CASE WHEN contains({u}, '://') THEN substr({u}, strpos({u}, ':
 _FITS = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
 
 
+#: What the query states on its own: the rules, the longest first.
+_OP9_RULES = [("allow", "example.com", "/en/7"), ("block", "example.net", "/de/8"), ("block", "com", "/en/"), ("allow", "net", "/de/"), ("block", "org", "/es/")]
+
+
 def _op9(pages: str = "pages") -> str:
-    from arborql.llm.url_filter import RULES
+    def case(then: str) -> str:
+        return "CASE " + " ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{then.format(v=v, h=h, p=p)}'" for v, h, p in _OP9_RULES) + " END"
 
-    ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
-    rule = "CASE " + " ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{h}{p}'" for _, h, p in ordered) + " END"
-    verdict = "CASE " + " ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{v}'" for v, h, p in ordered) + " END"
+    rule, verdict = case("{h}{p}"), case("{v}")
     host, path = f"translate(regexp_extract(rest, '^[^/?#]*'), {LOWER})", "regexp_extract(rest, '^[^/?#]*([^?#]*)', 1)"
+    seen = r"regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script\s*>', '', 'g')"
     return rf"""
 WITH RECURSIVE a AS (SELECT page_id, html, {_REST.format(u="url")} AS rest FROM {pages}), b AS (
   SELECT page_id, html, {host} AS host, {path} AS path FROM a
 ), c AS (SELECT *, {rule} AS rule, {verdict} AS ruled, {_KEY.format(h="host", p="path")} AS key FROM b),
 tags AS (
   SELECT key, unnest(list_concat(
-    list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
-    list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)))) AS u FROM c
-), t AS (SELECT key, {_REST.format(u="u")} AS rest FROM tags WHERE contains(u, '://')), t2 AS (SELECT key, {host} AS h, {path} AS p FROM t),
-half AS (SELECT key, {_KEY.format(h="h", p="p")} AS other FROM t2), links AS (
-  SELECT key AS a, other AS b FROM half WHERE key IS NOT NULL AND other IS NOT NULL UNION SELECT other, key FROM half WHERE key IS NOT NULL AND other IS NOT NULL
-), reach AS (SELECT DISTINCT key AS a, key AS b FROM c WHERE key IS NOT NULL UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
-grp AS (SELECT a AS key, min(b) AS g FROM reach GROUP BY a), votes AS (
-  SELECT g, bool_or(ruled = 'allow') AS allowed FROM c JOIN grp USING (key) WHERE ruled IS NOT NULL GROUP BY g
+    list_transform(regexp_extract_all({seen}, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all({seen}, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS u FROM c
+), t AS (SELECT key, {_REST.format(u="u")} AS rest FROM tags WHERE contains(u, '://')), t2 AS (SELECT key, {host} AS host, {path} AS path FROM t),
+half AS (SELECT key, {_KEY.format(h="host", p="path")} AS other, {verdict} AS ruled FROM t2 WHERE key IS NOT NULL AND host <> ''), links AS (
+  SELECT key AS a, other AS b FROM half UNION SELECT other, key FROM half
+), nodes AS (SELECT key, ruled FROM c WHERE key IS NOT NULL UNION SELECT other, ruled FROM half), reach AS (
+  SELECT DISTINCT key AS a, key AS b FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), grp AS (SELECT a AS key, min(b) AS g FROM reach GROUP BY a), votes AS (
+  SELECT g, bool_or(ruled = 'allow') AS allowed FROM nodes JOIN grp USING (key) WHERE ruled IS NOT NULL GROUP BY g
 )
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN allowed = false THEN 'block' ELSE 'allow' END) AS verdict
 FROM c LEFT JOIN grp USING (key) LEFT JOIN votes USING (g)
@@ -184,10 +189,14 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count_if(gone):
 FROM j GROUP BY row
 """
 
-#: Pages of which four in five name the next one, by canonical links and by redirects in turn.
-LINKED_PAGES = """(SELECT p.page_id, p.url, CASE WHEN p.page_id % 5 = 0 OR n.url IS NULL THEN NULL WHEN p.page_id % 2 = 0 THEN '<link rel="canonical" href="' || n.url || '">'
+#: Pages of which four in five name the next one, by canonical links and by redirects in turn; of the others every second
+#: names an address that is no page, blocked or allowed, and all name another one in a comment.
+LINKED_PAGES = """(SELECT p.page_id, p.url, CASE
+WHEN p.page_id % 10 = 0 THEN '<!-- <link rel="canonical" href="http://a.org/es/commented"> --><link rel="canonical" href="http://gone.' || CASE WHEN p.page_id % 20 = 0 THEN 'org/es/' ELSE 'net/de/' END || p.page_id || '">'
+WHEN p.page_id % 5 = 0 THEN '<!-- <link rel="canonical" href="http://a.org/es/commented"> -->' WHEN n.url IS NULL THEN NULL WHEN p.page_id % 2 = 0 THEN '<link rel="canonical" href="' || n.url || '">'
 ELSE '<meta http-equiv="refresh" content="0; url=' || n.url || '">' END AS html FROM pages p LEFT JOIN pages n ON n.page_id = p.page_id + 1)"""
 
+
 def _op12(k: int = 40, dims: int = 64, rounds: int = 5) -> str:
     """Every vector against every centroid, round by round."""
 

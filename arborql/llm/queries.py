@@ -83,11 +83,16 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9's operator where there are links to follow: four pages in five name the next one."""
+    """op9's operator where there are links to follow: four pages in five name the next one, others an address that is no
+    page, and what stands in comments names nothing."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     n = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
-    tag = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<link rel="canonical" href="'), "next", F.lit('">'))).otherwise(F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), "next", F.lit('">')))
-    return url_filter.judge(p.join(n, "page_id", "left").withColumn("html", F.when(F.col("page_id") % 5 != 0, tag)), Tables(spark))
+    i = F.col("page_id")
+    canonical = lambda u: F.concat(F.lit('<link rel="canonical" href="'), u, F.lit('">'))
+    commented = F.concat(F.lit("<!-- "), canonical(F.lit("http://a.org/es/commented")), F.lit(" -->"))
+    gone = F.concat(F.lit("http://gone."), F.when(i % 20 == 0, "org/es/").otherwise("net/de/"), i.cast("string"))
+    tag = F.when(i % 10 == 0, F.concat(commented, canonical(gone))).when(i % 5 == 0, commented).when(i % 2 == 0, canonical(F.col("next"))).otherwise(F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), "next", F.lit('">')))
+    return url_filter.judge(p.join(n, "page_id", "left").withColumn("html", tag), Tables(spark))
 
 
 @query

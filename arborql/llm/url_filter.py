@@ -89,39 +89,71 @@ def decoded(u: Column) -> Column:
     return u
 
 
+#: Elements whose content is text, whatever it looks like.
+RAW = "script|style|textarea|title|xmp|iframe|noembed|noframes"
+#: One token of html after another: a comment (also the kinds that end at the first >), an element of text with its
+#: content, or a tag (unclosed ones go to the end and name nothing). What is in comments, in text elements and in quoted values is so no tag of its own.
+TOKEN = (
+    r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(?:[!?]|/[^a-z])[^>]*+>?"
+    + rf"|<({RAW})(?=[\s/>])(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+>.*?(?:</\1(?=[\s/>])|\z)"
+    + r"|<[a-z](?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+>?"
+)
+#: An attribute with a value: its name, and the value in double quotes, in single quotes, or bare.
+ATTRIBUTE = r"(?s)(?<=[\s\"'/])([^\s=>\"'/]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))"
+
+
+def attributes(tag: Column) -> Column:
+    """array of struct<name, value>, names in lower case, in order; the first of a name is the one that counts."""
+    at = lambda k: F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(k))
+    both = lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y))
+    return F.zip_with(at(1), both(both(at(2), at(3)), at(4)), lambda n, v: F.struct(F.lower(n).alias("name"), v.alias("value")))
+
+
+def value_of(attrs: Column, name: str) -> Column:
+    return F.coalesce(F.get(F.filter(attrs, lambda a: a["name"] == name), F.lit(0))["value"], F.lit(""))
+
+
+def named(attrs: Column) -> Column:
+    """The address that a link or meta tag of these attributes names, or an empty string."""
+    rel = F.split(F.lower(value_of(attrs, "rel")), r"\s+")
+    refresh = F.lower(F.btrim(value_of(attrs, "http-equiv"))) == "refresh"
+    to = F.regexp_extract(value_of(attrs, "content"), r"(?is)(?:^|[\s;,])url\s*=\s*[\"']?([^\"'\s]+)", 1)
+    return F.when(F.array_contains(rel, "canonical"), F.btrim(value_of(attrs, "href"))).when(refresh, to).otherwise("")
+
+
 def link_targets(html: Column, url: Column) -> Column:
     """array of absolute URLs that canonical links and refresh redirects of the page at ``url`` name."""
-    rel = r"(?:[\"']?canonical\b|\"[^\">]*\scanonical(?=[\s\"])|'[^'>]*\scanonical(?=[\s']))"
-    links = F.regexp_extract_all(html, F.lit(rf"(?is)<link\b[^>]*\brel\s*=\s*{rel}[^>]*>"), F.lit(0))
-    metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0))
-    urls = F.concat(
-        F.transform(links, lambda x: F.regexp_extract(x, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)),
-        F.transform(metas, lambda x: F.regexp_extract(x, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)),
-    )
-    none = F.array().cast("array<string>")
-    named = F.transform(F.filter(urls, lambda u: u != ""), lambda u: resolved(decoded(u), url))
-    return F.when(html.rlike(r"(?i)canonical|http-equiv"), F.filter(named, lambda u: u.isNotNull())).otherwise(none)
+    tags = F.filter(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)), lambda t: t.rlike(r"(?is)^<(?:link|meta)[\s/].*>\z"))
+    urls = F.transform(F.transform(tags, attributes), named)
+    to = F.transform(F.filter(urls, lambda u: u != ""), lambda u: resolved(decoded(u), url))
+    return F.when(html.rlike(r"(?i)canonical|http-equiv"), F.filter(to, lambda u: u.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def judge(pages: DataFrame, tables, rules=RULES, spelling: bool = False) -> DataFrame:
-    """page_id, host, path, rule, verdict for every row. Null urls and urls without :// have empty host and path,
-    no rule and pass. Null html has no links. Repeated rows are judged alike; an empty table gives an empty
-    result; extra columns are not looked at."""
+    """page_id, host, path, rule, verdict for every row. Every address of the graph is judged by the rules, whether or not
+    it is a page's own: a link to a blocked address that is no row blocks as one to a row does. Null urls and urls
+    without :// have empty host and path, no rule and pass. Null html has no links. Repeated rows are judged alike; an
+    empty table gives an empty result; extra columns are not looked at."""
     host, path = host_path(F.col("url"))
     p = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
     p = p.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("r"),
                  alias_key(F.col("host"), F.col("path"), spelling).alias("key"), F.coalesce(link_targets(F.col("html"), F.col("url")), F.array().cast("array<string>")).alias("to"))
     p = tables.write(p)
     th, tp = host_path(F.col("u"))
-    links = p.where(F.size("to") > 0).select("key", F.explode("to").alias("u")).select("key", alias_key(th, tp, spelling).alias("other"))
-    links = tables.write(links.where("key is not null and other is not null and key <> other").distinct())
-    names = tables.write(links.select(F.explode(F.array("key", "other")).alias("key")).distinct().withColumn("node", F.monotonically_increasing_id()))
-    ends = links.join(names, "key").withColumnRenamed("node", "a").join(names.select(F.col("key").alias("other"), F.col("node").alias("b")), "other")
+    links = p.where((F.size("to") > 0) & F.col("key").isNotNull()).select("key", "r", F.explode("to").alias("u")).select("key", "r", th.alias("h"), tp.alias("p"))
+    links = links.select("key", F.col("r.verdict").alias("own"), alias_key(F.col("h"), F.col("p"), spelling).alias("other"), rule_of(F.col("h"), F.col("p"), rules)["verdict"].alias("there"))
+    links = tables.write(links.where("other is not null").distinct())
+    # an address of the graph, or with spelling several that share a key, and what the rules say of it
+    said = links.select(F.explode(F.array(F.struct("key", F.col("own").alias("verdict")), F.struct(F.col("other").alias("key"), F.col("there").alias("verdict")))).alias("a"))
+    if spelling:  # an address decides for its other spellings without a link, too
+        said = said.unionByName(p.where("key is not null and r is not null").select(F.struct("key", F.col("r.verdict").alias("verdict")).alias("a")))
+    names = said.groupBy("a.key").agg(F.bool_or(F.col("a.verdict") == "allow").alias("allowed"), F.bool_or(F.col("a.verdict") == "block").alias("blocked"))
+    names = tables.write(names.withColumn("node", F.monotonically_increasing_id()))
+    edges = links.where("key <> other").select("key", "other").distinct()
+    ends = edges.join(names.select("key", F.col("node").alias("a")), "key").join(names.select(F.col("key").alias("other"), F.col("node").alias("b")), "other")
     found = connected_components(ends.select("a", "b"), tables)
-    of = names.join(found, "node").select("key", "component")
-    p = p.join(of, "key", "left").withColumn("group", F.coalesce(F.col("component").cast("string"), F.concat(F.lit("|"), F.col("key"))))
-    votes = p.where("r is not null and group is not null").groupBy("group").agg(
-        F.max(F.when(F.col("r.verdict") == "allow", 1).otherwise(0)).alias("allowed"))
-    j = p.join(votes, "group", "left")
-    shared = F.when(F.col("allowed") == 0, F.lit("block")).otherwise(F.lit("allow"))
-    return j.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), shared).alias("verdict"))
+    of = tables.write(names.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    votes = of.groupBy("component").agg(F.bool_or("allowed").alias("allowed"), F.bool_or("blocked").alias("blocked"))
+    shared = of.select("key", "component").join(votes, "component").select("key", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("shared"))
+    j = p.join(shared, "key", "left")
+    return j.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), F.col("shared"), F.lit("allow")).alias("verdict"))

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 
 import brute
 import pytest
@@ -575,6 +576,35 @@ def test_relative_links(spark, tables):
     assert [r.d for r in dots.select(url_filter.without_dots(F.col("p")).alias("d")).collect()] == ["/", "/b", "/a/", "/a/", "/a", "/a//b/c", "/a/"]
 
 
+def test_addresses_that_are_no_pages(spark, tables):
+    """Every address of the graph is judged, and only tags are links."""
+    to = '<link rel="canonical" href="http://bad.org/es/q">'
+    blocked = [
+        ("http://bad.org/1", to), ("http://bad.org/2", '<meta content="0;URL=\'http://bad.org/es/q2\'" HTTP-EQUIV=Refresh>'), ("http://bad.org/3", "<!-->" + to), ("http://bad.org/4", "<!-- a --!>" + to),
+        ("http://bad.org/5", '<script>"<!--"</script>' + to), ("http://bad.org/6", '<link title="a > b" rel=canonical href=http://bad.org/es/w />'), ("http://bad.org/7", '<link data-href="http://fine.dev/" href="http://bad.org/es/x" rel="canonical">'),
+        ("http://bad.org/8", "<p title=it's>" + to), ("http://x.dev/9", '<link rel=canonical href="http://x.dev/10">'), ("http://x.dev/10", to),
+    ]
+    passing = [
+        ("http://fine.dev/1", f"<!-- {to} -->"), ("http://fine.dev/2", f"<script>{to}</script>"), ("http://fine.dev/3", f"<style media=all/>{to}</style>"), ("http://fine.dev/4", f"<textarea>{to}"), ("http://fine.dev/5", f"<!-- {to}"),
+        ("http://fine.dev/6", f"<p title='{to}'>"), ("http://fine.dev/7", '<link rel="canonical" data-href="http://bad.org/es/q">'), ("http://fine.dev/8", to[:-1]), ("http://fine.dev/9", '<link data-rel="canonical" href="http://bad.org/es/q">'),
+        ("http://fine.dev/10", '<link rel="canonical" href="http://fine.net/de/1">'), ("http://fine.dev/11", to.replace("/q", "/q11") + '<link rel="canonical" href="http://fine.net/de/2">'), ("http://fine.dev/12", '<title><link rel=canonical href=http://bad.org/es/q></title>'),
+        ("http://fine.dev/13", f"<![CDATA[ x {to}"),
+    ]
+    rows = [(i, u, h) for i, (u, h) in enumerate(blocked + passing)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = got(url_filter.judge(df, tables), "page_id", "verdict")
+    assert [rows[i][1] for i in range(len(rows)) if out[i][0] == "block"] == [u for u, _ in blocked]
+
+
+def test_tokens_are_linear(spark, tables):
+    """A million characters of tags that never end, and of quotes that never close."""
+    many = ["canonical " + x * (1_000_000 // len(x)) for x in ("<b x ", "<!-- ", "<script ", '<a ="', "<link rel='canonical ", "</ ", "<")]
+    df = spark.createDataFrame([(i, f"http://a.dev/{i}", h) for i, h in enumerate(many)], "page_id long, url string, html string")
+    start = time.time()
+    assert {r["verdict"] for r in url_filter.judge(df, tables).collect()} == {"allow"}
+    assert time.time() - start < 40
+
+
 def test_lines(spark, tables, docs, rows):
     out = got(line_dedup.dedup(docs, tables), "doc_id", "n_lines", "n_dropped", "text")
     assert out == brute.lines([r[:2] for r in rows])
