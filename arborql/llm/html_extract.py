@@ -39,14 +39,13 @@ ENDS_FOREIGN = (CLOSES_P - {"select"}) | frozenset("b big br code em embed i img
 #: A start tag that ends an open element of the same kind, unless one of the second kind is opened in between.
 SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "option": {"select"}}
 
+#: A comment, markup of the kinds that end at the first >, or a tag with its attributes. Each goes to the page's end where
+#: it is left open, so no place is looked at twice; a quote opens a value only after =, and only where it is closed.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?:>|\Z|[^a-zA-Z>][^>]*(?:>|\Z))"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(>|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: A tag's opening at the very end of a page cut short.
-TAIL = re.compile(r"</?[a-zA-Z][^<>]*\Z|<!?-*\Z")
-
-
 class Place:
     """Where a block stands: its element, what it and those around it are called, the same below the innermost article or
     main (None: outside), and its depth. Sets are shared with the element around, and equal elements of one parent are
@@ -77,6 +76,11 @@ class Place:
 NOTHING: frozenset[str] = frozenset()
 
 
+def closes_itself(attrs: str) -> bool:
+    """Whether the slash at the end is the tag's, not a bare value's."""
+    return attrs.endswith("/") and (attrs[-2:-1] in "\"'" or "=" not in attrs[attrs.rfind(" ") + 1:])
+
+
 def blocks(page: str | None) -> list[tuple[str, Place, float]]:
     """The leaf blocks in page order: (text, place, share of it in links). Work grows with the page, however its tags
     are left open."""
@@ -125,15 +129,19 @@ def blocks(page: str | None) -> list[tuple[str, Place, float]]:
     while pos < n:
         m = TOKEN.search(page, pos)
         if m is None:
-            add(TAIL.sub("", page[pos:]))
+            add(page[pos:].removesuffix("<"))  # the opening of a tag, of a page cut short
             break
         if m.start() > pos:
             add(page[pos:m.start()])
         pos = m.end()
-        name = m[2] or m[5]
-        if not name:
+        foreign = any(opened[f] for f in FOREIGN)
+        if foreign and page.startswith("<![CDATA[", m.start()):
+            end = page.find("]]>", m.start() + 9)
+            add(entities.escape(page[m.start() + 9:end if end >= 0 else n]))
+            pos = end + 3 if end >= 0 else n
+        if not m[2] or not m[4]:  # no tag, or one that never ends
             continue
-        tag, ending, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+        tag, ending, attrs = m[2].lower(), m[1], m[3]
         if ending:
             if tag in BLOCK:
                 flush()
@@ -142,13 +150,14 @@ def blocks(page: str | None) -> list[tuple[str, Place, float]]:
             else:
                 close(tag)
             continue
+        closed = foreign and closes_itself(attrs)
         if tag in RAW:
-            if not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
+            if not closed:
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, pos)
                 pos = end.end() if end else n
             continue
         if tag == "template" and shut:  # never shown; an unclosed one is like any other element
-            end = re.compile(r"</template\b[^>]*>", re.I).search(page, pos)
+            end = re.compile(r"</template(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, pos)
             if end:
                 pos = end.end()
                 continue
@@ -162,7 +171,7 @@ def blocks(page: str | None) -> list[tuple[str, Place, float]]:
             flush()
         if tag == "br":
             parts and parts.append(" ")
-        if tag in VOID or attrs.endswith("/") and (tag in FOREIGN or any(opened[f] for f in FOREIGN)):
+        if tag in VOID or closed or tag in FOREIGN and closes_itself(attrs):
             continue
         if tag in CLOSES_P:
             close("p", BLOCK - {"p"})

@@ -2,14 +2,17 @@
 texts, ties and repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import html
 import itertools
 import math
 import random
+import re
 import time
 
 import brute
 import pytest
 from pyspark.sql import functions as F
+from sqlcheck import SF_DIR
 
 from arborql.llm import bpe, chat, embedding_dedup, html_extract, line_dedup, minhash, mixing, quality, secrets, url_filter
 from arborql.llm.common import connected_components
@@ -350,6 +353,41 @@ def test_html_hints_in_long_blocks_and_tag_soup():
     assert text.count("word") == 3000
 
 
+def test_html_tokens_by_the_standard():
+    page = "<article><p>First paragraph.</p> {} <p>Second one.</p></article>"
+    nothing = ["<!-->", "<!--->", "<!-- a --!>", "<!-- a -- > b -->", "<![CDATA[ x >", "<script src=/js/>var x = 1;</script>", "<style media=all/>p {}</style>", "<script>a</scripts></script >", "</ x>", "</>", "<!doctype html>", "<? x ?>", "<br/>", "<p title='a > b'></p>", "<textarea><p>no</p></textarea>"]
+    shown = {"a < b": "a < b", "<p title=it's>quo</p>": "quo", '<b x="unclosed>bold</b>': "bold", '<a href="x>y">link</a>': "link", "<svg><![CDATA[ a > b ]]></svg>": "a > b", "<svg><style/><title/>t</svg>": "t", "<svg><path d=/></svg>s": "s", "1 &lt; 2": "1 < 2"}
+    for x in nothing:
+        assert [t for t, *_ in html_extract.blocks(page.format(x))] == ["First paragraph.", "Second one."], x
+    for x, want in shown.items():
+        assert [t for t, *_ in html_extract.blocks(page.format(x))] == ["First paragraph.", want, "Second one."], x
+    assert [t for t, *_ in html_extract.blocks("<p>one</p> two <a href='x")] == ["one", "two"]
+
+
+@pytest.mark.parametrize("x", ["a <b x ", "<!-- ", "<script ", '<a ="', "<a href='", "</ ", "<", "<svg><![CDATA[ ", "<template>", "<b class=x", "&", "<! "])
+def test_html_tokens_are_linear(x):
+    """A million characters of markup that never ends."""
+    start = time.time()
+    html_extract.blocks(x * (1_000_000 // len(x)))
+    assert time.time() - start < 2
+
+
+def article_blocks(page: str) -> str:
+    """The text of a given page's article element, cut at its block tags."""
+    inner = re.search(r"<article>(.*)</article>", page, re.S)
+    if inner is None:
+        return ""
+    parts = (html.unescape(re.sub(r"<br\s*/?>", " ", x)) for x in re.split(r"</?(?:p|h1|div|ul|li)\b[^>]*>", inner[1]))
+    return "\n".join(t for t in (" ".join(re.sub(r"</?[a-z][^>]*>", "", x).split()) for x in parts) if t)
+
+
+def test_html_given_pages(spark):
+    pages = spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()
+    model = html_extract.default_model()
+    right = sum(html_extract.main_text(r["html"], model) == article_blocks(r["html"]) for r in pages)
+    assert right >= 0.99 * len(pages)
+
+
 @pytest.mark.parametrize("size", [4, 5])
 def test_near_copies(spark, tables, docs, rows, size):
     out = minhash.classes(docs.withColumn("node", F.lit(1)).withColumn("sig", F.lit("clash")), tables, size=size)
