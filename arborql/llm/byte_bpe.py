@@ -8,6 +8,7 @@ equal. The vocabulary's path is a parameter (a file that every executor can read
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from collections.abc import Iterator
 from itertools import chain
@@ -24,10 +25,12 @@ from pyspark.sql import types as T
 from arborql.llm.bpe import _fresh, _parts, printable_bytes
 from arborql.llm.common import release
 
-#: Pre-tokens whose ids a worker keeps, in two generations; longer ones than this are not kept.
+#: Stretches of text whose ids a worker keeps, in two generations; longer ones than this are not kept.
 KEPT, KEPT_CHARS = 200_000, 100
-#: Ids that a worker handles at once when it decodes.
-IDS_AT_ONCE = 1_000_000
+#: Fixed value: the pattern by which a space between two characters that are no white space always begins a match.
+SPACE_BEGINS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Such a space, and a space beside other white space or at an end.
+LONE_SPACE, ODD_SPACE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\A |\s | \s| \Z")
 #: Fixed values of the model file's format: kinds of pieces and of models, and a name that no mapped text can hold.
 NORMAL, UNKNOWN, BPE_MODEL, UNKNOWN_PIECE = 1, 2, 2, "not a piece"
 
@@ -85,33 +88,56 @@ class Codec:
         alphabet = printable_bytes()
         self.mapped = {b: c for b, c in enumerate(alphabet)}
         back = {c: b for b, c in enumerate(alphabet)}
-        self.pieces = pa.array([bytes(map(back.__getitem__, self.model.id_to_piece(i))) for i in range(len(tokens))], pa.binary())
+        self.pieces = pa.array([bytes(map(back.__getitem__, self.model.id_to_piece(i))) for i in range(len(tokens))], pa.large_binary())
         self.words_of = regex.compile(pattern)
-        self.kept: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
-
-    def pre_tokens(self, texts: list[str | None]) -> list[list[str]]:
-        return [self.words_of.findall(t) if t else [] for t in texts]
-
-    def encode_batch(self, texts: list[str | None]) -> list[list[list[int]]]:
-        """For each text its pre-tokens' ids. The pre-tokens that are not kept go to the model in one call."""
-        words = self.pre_tokens(texts)
-        ids, missing = {}, []
-        for w in {*chain.from_iterable(words)}:
-            found = self.kept.get(w) or self.older.get(w)
+        self.by_space = pattern == SPACE_BEGINS
+        #: packed ids of stretches met lately; beyond half the bound they become the older ones
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def stretches(self, text: str) -> list[str]:
+        """Parts of a text between which a match always ends, so that each has its ids whatever stands around it."""
+        if not self.by_space:
+            return [text]
+        if ODD_SPACE.search(text):
+            cut = LONE_SPACE.split(text)
+        else:
+            cut = text.split(" ")
+        return [cut[0], *[" " + x for x in cut[1:]]]
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's packed ids. The pre-tokens of stretches that are not kept go to the model in one call."""
+        cut = [self.stretches(t) if t else [] for t in texts]
+        ids: dict[str, bytes] = {}
+        missing: list[str] = []
+        for w in {*chain.from_iterable(cut)}:
+            found = self.kept.get(w)
             if found is None:
-                missing.append(w)
-            else:
-                ids[w] = found
-        mapped = [w.encode().decode("latin-1").translate(self.mapped) for w in missing]
-        ids |= zip(missing, self.model.encode(mapped, out_type=int, num_threads=1))
+                found = self.older.get(w)
+                if found is None:
+                    missing.append(w)
+                    continue
+                self.kept[w] = found
+            ids[w] = found
+        words = [self.words_of.findall(w) for w in missing]
+        each = [*{*chain.from_iterable(words)}]
+        coded = self.model.encode([w.encode().decode("latin-1").translate(self.mapped) for w in each], out_type=int, num_threads=1)
+        packed = {w: np.array(x, "<i4").tobytes() for w, x in zip(each, coded)}
+        new = {w: b"".join(map(packed.__getitem__, ws)) for w, ws in zip(missing, words)}
+        ids |= new
         if len(self.kept) > KEPT // 2:
             self.older, self.kept = self.kept, {}
-        self.kept |= {w: x for w, x in ids.items() if len(w) <= KEPT_CHARS}
-        return [list(map(ids.__getitem__, ws)) for ws in words]
+        self.kept |= {w: x for w, x in new.items() if len(w) <= KEPT_CHARS}
+        return [b"".join(map(ids.__getitem__, ws)) for ws in cut]
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(self.encode_batch([text])[0]))
+        return np.frombuffer(self.encode_batch([text])[0], "<i4").tolist()
+
+    def decode_batch(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of ids by rows, which end at ends[1:]: the pieces taken in order are the rows' bytes already."""
+        taken = self.pieces.take(pa.array(ids))
+        at = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset:taken.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at[ends].astype(np.int32)), taken.buffers()[2]])
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -144,15 +170,14 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, text_col: str = "text",
         c = codec(vocab_path, pattern)
         for whole in batches:
             for b in _cut(whole, 0):
-                texts = c.encode_batch(b.column(0).to_pylist())
-                ends = np.cumsum([0, *[sum(map(len, x)) for x in texts]])
-                flat = np.fromiter(chain.from_iterable(chain.from_iterable(texts)), np.dtype("<i4"), ends[-1])
+                ids = c.encode_batch(b.column(0).to_pylist())
                 if packed:
-                    ids = pa.array([flat[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary())
+                    out = pa.array(ids, pa.binary())
                 else:
-                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], ids], [*keep, out_col])
-                texts = flat = ids = None
+                    ends = np.cumsum([0, *map(len, ids)]) // 4
+                    out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], out], [*keep, out_col])
+                ids = out = None
         release()
 
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
@@ -167,16 +192,19 @@ def decode(df: DataFrame, vocab_path: str, pattern: str, ids_col: str = "ids", o
     names = df.columns
     packed = isinstance(df.schema[ids_col].dataType, T.BinaryType)
 
-    def text_of(c: Codec, ids) -> bytes:
-        flat = np.frombuffer(ids.as_py() or b"", "<i4") if packed else np.array(ids.as_py() or [], np.int32)
-        some = (c.pieces.take(pa.array(flat[k:k + IDS_AT_ONCE])).to_pylist() for k in range(0, len(flat), IDS_AT_ONCE))
-        return b"".join(chain.from_iterable(some))
+    def flat(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column, and where each row's end."""
+        sizes = pa.compute.binary_length(ids) if packed else pa.compute.list_value_length(ids)
+        ends = np.concatenate([[0], np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        if packed:
+            return np.frombuffer(b"".join(x or b"" for x in ids.to_pylist()), "<i4"), ends // 4
+        return ids.flatten().to_numpy(zero_copy_only=False), ends
 
     def run(batches):
         c, at = codec(vocab_path, pattern), names.index(ids_col)
         for whole in batches:
             for b in _cut(whole, at, 4 if packed else 1):
-                out = pa.array([text_of(c, ids) for ids in b.column(at)], pa.binary())
+                out = c.decode_batch(*flat(b.column(at)))
                 yield pa.RecordBatch.from_arrays([*b.columns, out], [*names, out_col])
                 out = None
         release()

@@ -43,7 +43,21 @@ def test_every_code_point_is_split_alike(library):
     c = byte_bpe.Codec(VOCAB, PATTERN)
     every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
     texts = ["".join(f"a1!{x}b2?{x}{x} {x}  x" for x in every[k:k + 500]) for k in range(0, len(every), 500)]
-    assert [[i for w in t for i in w] for t in c.encode_batch(texts)] == library.encode_ordinary_batch(texts)
+    assert list(map(c.encode, texts)) == library.encode_ordinary_batch(texts)
+
+
+def test_stretches(library):
+    """White space of every kind beside spaces, and a pattern that may match across them."""
+    c = byte_bpe.Codec(VOCAB, PATTERN)
+    assert c.by_space
+    r = random.Random(3)
+    for _ in range(3000):
+        text = "".join(r.choice(["a", "b1", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "\r\n", "'s", "'", ".", "é", "中", "\u0301", "\u200b"]) for _ in range(r.randrange(1, 14)))
+        assert c.encode(text) == library.encode_ordinary(text), repr(text)
+    other = r"[a-z]+ [a-z]+|\s+|\S+"
+    c = byte_bpe.Codec(VOCAB, other)
+    library = tiktoken.Encoding("other", pat_str=other, mergeable_ranks={t: i for i, t in enumerate(byte_bpe.read_ranks(VOCAB))}, special_tokens={})
+    assert not c.by_space and c.encode("one two three") == library.encode_ordinary("one two three")
 
 
 def test_words_beyond_the_store(library, monkeypatch):
