@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,20 +119,76 @@ def flags(e: DataFrame) -> DataFrame:
     return ok.groupBy(F.col("source").alias("usr")).agg(F.bool_or(F.col("kind") == "overrides").alias("is_override"), F.min(F.when(F.col("kind") == "inheritsFrom", F.col("target_name"))).alias("superclass"))
 
 
-def rebuild(vertex: DataFrame, members: DataFrame, tables) -> DataFrame:
-    """GR5: depth and root_usr of every vertex: roots have no parent, then one equi-join per level."""
-    up = members.where("into_target").groupBy(F.col("source").alias("usr")).agg(F.min_by("target", "ord").alias("parent_usr"))
-    v = vertex.join(up, "usr", "left")
-    level = tables.write(v.where("parent_usr is null").withColumns({"depth": F.lit(0), "root_usr": F.col("usr")}))
-    out, depth = level, 0
-    while True:  # a vertex has one parent at most, so levels end
-        p = level.select(F.col("usr").alias("parent_usr"), (F.col("depth") + 1).alias("depth"), "root_usr")
-        level = tables.write(v.join(p, "parent_usr").select(*v.columns, "depth", "root_usr"))
-        if level.isEmpty():
-            return out
-        out, depth = out.unionByName(level), depth + 1
-        if depth % 50 == 0:
-            out = tables.write(out)
+def context_constraints(constraints: Column, params: Column, of_context: Column, context_params: Column) -> Column:
+    """GR2: the constraints that a member has beyond its context's and that do not name a type parameter of its own."""
+    own = F.array_except(params, context_params)
+    first = lambda side: F.substring_index(side, ".", 1)
+    names = lambda c: F.transform(F.split(c, " (?::|==) "), first)
+    return F.filter(multiset_minus(constraints, of_context), lambda c: ~F.arrays_overlap(names(c), own))
+
+
+def second_pass(edge: DataFrame, vertex: DataFrame, first: DataFrame) -> DataFrame:
+    """JN3: the default implementations that the first pass deferred, tried against the members that it placed.
+
+    edge(ord, kind, source, target, ..), vertex(usr, constraints, generic_params, ..), first: ``placed`` rows. A row an
+    edge: one whose target has a parent becomes a member of an extension of that parent (target: the parent,
+    ``requirement``: what it implements), keyed by its constraints like any other member (AGG11). A missing source, and a
+    target that is unknown or has no parent, are warnings; the source of the latter is ``bad``: no tree has it."""
+    d = edge.where("kind = 'defaultImplementationOf'").select("ord", "kind", "source", F.col("target").alias("requirement"))
+    none = F.array().cast("array<string>")
+    lists = lambda name: F.struct(F.coalesce("constraints", none).alias("constraints"), F.coalesce("generic_params", none).alias("generic_params")).alias(name)
+    parent = first.where("into_target").groupBy(F.col("source").alias("requirement")).agg(F.min_by("target", "ord").alias("target"))
+    v = vertex.select(F.col("usr"), lists("v"))
+    j = d.join(v.select(F.col("usr").alias("source"), F.col("v").alias("src")), "source", "left").join(parent, "requirement", "left")
+    j = j.join(v.select(F.col("usr").alias("target"), F.col("v").alias("tgt")), "target", "left")
+    warning = F.when(F.col("src").isNull(), "missing source").when(F.col("tgt").isNull(), "default implementation of an unplaced requirement")
+    context = context_constraints(F.col("src.constraints"), F.col("src.generic_params"), F.col("tgt.constraints"), F.col("tgt.generic_params"))
+    j = j.withColumns({"warning": warning, "context": F.when(warning.isNull(), context)})
+    return j.select("ord", "kind", "source", "requirement", "target", "context", F.array_join("context", ", ").alias("constraint_key"), F.lit(False).alias("into_target"),
+                    "warning", (F.col("src").isNotNull() & F.col("warning").isNotNull()).alias("bad"))
+
+
+def rebuild(vertex: DataFrame, members: DataFrame, tables, bad: DataFrame | None = None) -> DataFrame:
+    """GR5: every vertex with parent_usr, root_usr, depth and state, by pointer doubling: each round a vertex takes over
+    its pointer's pointer, so a chain of n takes log2(n) rounds.
+
+    members(source, target, ord, into_target): the first target of a source that goes into one is its parent; a source
+    that only extensions hold is on top of its tree but no root. bad(usr): vertices that are no roots.
+    state: root; placed (below one); extension, bad, orphan (its parent is no vertex): these have no parent vertex, and
+    are the root_usr of what is below them; ring (an ancestor of itself) and below ring, whose root_usr is the ring's least
+    usr and whose depth is null. Vertices of one usr are one."""
+    v = vertex.select("usr").distinct()
+    up = members.groupBy(F.col("source").alias("usr")).agg(F.min_by(F.when(F.col("into_target"), F.col("target")), F.when(F.col("into_target"), F.col("ord"))).alias("parent_usr"))
+    known = v.select(F.col("usr").alias("parent_usr"), F.lit(True).alias("known"))
+    links = v.join(up.withColumn("held", F.lit(True)), "usr", "left").join(known, "parent_usr", "left")
+    links = links.join((bad.select("usr").distinct() if bad is not None else v.limit(0)).withColumn("bad", F.lit(True)), "usr", "left")
+    top = F.when(F.col("parent_usr").isNotNull() & F.col("known").isNull(), "orphan").when(F.col("parent_usr").isNull() & F.col("bad"), "bad").when(F.col("parent_usr").isNull() & F.col("held"), "extension").when(F.col("parent_usr").isNull(), "root")
+    links = tables.write(links.select("usr", "parent_usr", top.alias("top")))
+    is_open = F.col("top").isNull()
+    closed = [links.select("usr", F.col("usr").alias("root_usr"), F.lit(0).cast("long").alias("depth"), F.coalesce("top", F.lit("placed")).alias("state")).where("state <> 'placed'")]
+    jumps = links.where(is_open).select("usr", F.col("parent_usr").alias("up"), F.lit(1).cast("long").alias("steps"), F.least("usr", "parent_usr").alias("low"))
+    n_up = n_low = None
+    while not jumps.isEmpty():
+        ends = reduce(DataFrame.unionByName, closed).select(F.col("usr").alias("up"), F.col("root_usr").alias("root"), F.col("depth").alias("more"))
+        on = jumps.select(F.col("usr").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("low").alias("far"))
+        to = ends.unionByName(on, allowMissingColumns=True)
+        new = tables.write(jumps.join(to, "up").select("usr", "root", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.least("low", "far").alias("low")))
+        found = new.where("root is not null")
+        jumps = new.where("root is null").drop("root")
+        if not found.isEmpty():
+            closed.append(found.select("usr", F.col("root").alias("root_usr"), F.col("steps").alias("depth"), F.lit("placed").alias("state")))
+            continue
+        # what is open and finds no end goes round: pointers are on rings once a round leaves as many places pointed at,
+        # and all of a ring has been seen once no least changes
+        now = jumps.agg(F.count_distinct("up").alias("a"), F.sum(F.xxhash64("usr", "low").cast("decimal(38,0)")).alias("b")).first()
+        if (now["a"], now["b"]) == (n_up, n_low):
+            ring = jumps.select(F.col("up").alias("usr")).distinct().withColumn("state", F.lit("ring"))
+            rest = jumps.join(jumps.select(F.col("usr").alias("up"), F.col("low").alias("least")), "up").join(ring, "usr", "left")
+            closed.append(rest.select("usr", F.col("least").alias("root_usr"), F.lit(None).cast("long").alias("depth"), F.coalesce("state", F.lit("below ring")).alias("state")))
+            break
+        n_up, n_low = now["a"], now["b"]
+    out = reduce(DataFrame.unionByName, closed).withColumn("depth", F.col("depth").cast("int"))
+    return vertex.join(out.join(links.select("usr", "parent_usr"), "usr"), "usr")
 
 
 def symbol_order() -> list[Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arborql.operators.ordered import first_wins, values_in_order
+from arborql.operators.ordered import first_wins, numbered, values_in_order
 
 
 def duplicates(defs: DataFrame, key: str | list[str] = "usr", order: str = "path") -> DataFrame:
@@ -104,6 +104,84 @@ def extension_only(requirements: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(requirements, ["protocol", "name", "kind"], "left_anti")
 
 
+def moved(rows: DataFrame, moves: DataFrame, tables, path: str = "path") -> DataFrame:
+    """Rows at or below a move's ``src`` get its ``dst`` in place of that prefix, and ``moved``; the others stay. A row asks
+    for its own prefixes, so that it is one equi-join; of several the deepest counts. A ``dst`` that lies below another
+    move's ``src`` is moved itself first, all at once in each round, so that a chain of n takes log2(n) rounds; a move
+    into itself is an error."""
+    at = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.size(c)), lambda k: F.slice(c, F.lit(1), k))).alias("src")
+    moves = tables.write(moves.select("src", "dst"))
+
+    def deepest(paths: DataFrame, own: str) -> DataFrame:
+        """(own, to): each path below a move with its new prefix in place."""
+        hit = paths.select(own, at(F.col(own))).join(moves.select("src", F.col("dst").alias("__dst")), "src").groupBy(own).agg(F.max_by(F.struct("src", "__dst"), F.size("src")).alias("m"))
+        rest = F.slice(own, F.size("m.src") + 1, F.size(own))
+        return hit.select(own, F.concat("m.__dst", rest).alias("to"))
+
+    while True:
+        if not moves.where(F.slice("dst", F.lit(1), F.size("src")) == F.col("src")).isEmpty():
+            raise ValueError("an extension lies within a type that it extends")
+        again = tables.write(deepest(moves.select("dst").distinct(), "dst"))
+        if again.isEmpty():
+            break
+        moves = tables.write(moves.join(again, "dst", "left").select("src", F.coalesce("to", "dst").alias("dst")))
+    of = deepest(rows.select(path), path)
+    return rows.join(of, path, "left").withColumn("moved", F.col("to").isNotNull()).withColumn(path, F.coalesce("to", path)).drop("to")
+
+
+def folded_extensions(rows: DataFrame, claims: DataFrame, tables) -> DataFrame:
+    """JN4, AGG7, AGG9, AGG10: extensions folded into the types that claim them, whole subtrees at a time.
+
+    rows(path array of ordinals, name, kind, module_name, docs); claims(ext_path, type_path, is_constrained). The members
+    of an extension follow those of its type, in the order of extensions, constrained ones last: their new ordinals come
+    from numbering all of them in order, so that no type's members need meet in a task. In a protocol (a kind that ends in
+    .protocol) a member with the name and kind of a requirement (the first of such) is its default implementation:
+    unconstrained, it goes with all below it and leaves its docs, of several the last's; constrained, it stays with its
+    docs demoted. Other members stay. Members of an extension of another module are marked, with all below them. A claimed
+    extension's own row goes. The result is rows with new paths, and default_docs and notes, an array of struct<tag, arg>
+    by tag and arg. Claims whose type is no row are not followed."""
+    order = F.col("path")
+    up = lambda c: F.slice(c, F.lit(1), F.size(c) - 1)
+    none = F.array().cast("array<struct<tag:string,arg:string>>")
+    note = lambda tag, arg=None: F.struct(F.lit(tag).alias("tag"), (F.lit(None).cast("string") if arg is None else arg).alias("arg"))
+    rows = tables.write(rows)
+    types = rows.select(order.alias("type_path"), F.coalesce(F.col("kind").endswith(".protocol"), F.lit(False)).alias("is_protocol"), F.col("module_name").alias("type_module"))
+    c = claims.join(types, "type_path").join(rows.select(order.alias("ext_path"), F.col("module_name").alias("ext_module")), "ext_path")
+    c = tables.write(c.select("ext_path", "type_path", F.coalesce("is_constrained", F.lit(False)).alias("is_constrained"), "is_protocol", "ext_module", (~F.col("ext_module").eqNullSafe(F.col("type_module"))).alias("imported")))
+    kids = rows.select(order.alias("src"), up(order).alias("ext_path"), "name", "kind", "docs", "module_name").join(c, "ext_path")
+    needed = rows.select(order.alias("needed"), up(order).alias("type_path"), "name", "kind", F.col("module_name").alias("needed_module")).join(c.where("is_protocol").select("type_path").distinct(), "type_path")
+    needed = needed.groupBy("type_path", "name", "kind").agg(F.min_by(F.struct("needed", "needed_module"), "needed").alias("r"))
+    kids = kids.join(needed.select("type_path", "name", "kind", "r.*"), ["type_path", "name", "kind"], "left")
+    what = F.when(~F.col("is_protocol"), "member").when(F.col("needed").isNull(), "only").when(F.col("is_constrained"), "conditional").otherwise("default")
+    kids = tables.write(kids.withColumn("what", what))
+    # requirements: docs of the last default implementation, and a note for each kind of implementation and module
+    imported = ~F.col("module_name").eqNullSafe(F.col("needed_module"))
+    said = F.when(F.col("what") == "conditional", note("conditionalDefaultImplementationExists")).when(imported, note("importedDefaultImplementation", F.col("module_name"))).otherwise(note("defaultImplementation"))
+    is_default = F.col("what") == "default"
+    # extensions are taken in order, the members of each in theirs
+    last = F.struct("ext_path", "src")
+    given = kids.where("needed is not null").groupBy(F.col("needed").alias("path")).agg(F.collect_set(said).alias("given_notes"), F.max_by(F.when(is_default, F.col("docs")), F.when(is_default, last)).alias("given_docs"))
+    # members that stay move below their type, after what is there
+    stay = kids.where("what <> 'default'").select("src", "type_path", "is_constrained", "ext_path")
+    base = rows.agg(F.max(F.array_max("path")).alias("base"))
+    numbered_ = numbered(stay, ["type_path", "is_constrained", "ext_path", "src"], "n", tables)
+    moves = numbered_.withColumn("base", F.lit(base.first()["base"] or 0)).select("src", F.array_append("type_path", F.col("base") + F.col("n")).cast(rows.schema["path"].dataType).alias("dst"))
+    # rows of merged members and claimed extensions go; marks are for members of another module's extensions and below
+    asks = rows.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", F.lit(1), k))).alias("src"))
+    marks = kids.select("src", F.when(is_default, True).alias("gone"), F.when(F.col("imported"), F.col("ext_module")).alias("from_module"), F.struct("what").alias("own"))
+    marked = asks.join(marks, "src").groupBy("path").agg(F.bool_or("gone").alias("gone"), F.max_by("from_module", F.size("src")).alias("from_module"), F.max(F.when(F.col("src") == F.col("path"), F.col("own.what"))).alias("what"))
+    out = rows.join(c.select(F.col("ext_path").alias("path")), "path", "left_anti").join(marked, "path", "left").where(~F.coalesce("gone", F.lit(False))).join(given, "path", "left")
+    own = F.when(F.col("what") == "only", F.array(note("protocolExtensionMember"))).when(F.col("what") == "conditional", F.array(note("conditionalDefaultImplementation"))).otherwise(none)
+    from_other = F.when(F.col("from_module").isNotNull(), F.array(note("imported", F.col("from_module")))).otherwise(none)
+    demoted = F.col("what").eqNullSafe("conditional")
+    out = out.withColumns({
+        "notes": F.array_sort(F.concat(own, from_other, F.coalesce("given_notes", none))),
+        "default_docs": F.when(demoted, F.col("docs")).otherwise(F.col("given_docs")),
+        "docs": F.when(~demoted, F.col("docs")),
+    }).drop("gone", "from_module", "what", "given_notes", "given_docs")
+    return moved(out, moves, tables).drop("moved")
+
+
 def imported_notes(extensions: DataFrame, rows: DataFrame) -> DataFrame:
     """AGG10: rows at or below an extension of another module's type get its module's name as imported_from."""
     bad = extensions.where(F.col("module_name") != F.col("type_module_name")).select(F.col("path").alias("__e"), F.col("module_name").alias("__m"))

@@ -108,6 +108,87 @@ def test_deep_trees(spark, tables):
     assert links.parent_fixpoint(e, tables).count() == 12
 
 
+def test_forest_with_rings_and_orphans(spark, tables):
+    """Every vertex is in the result, whatever its parent leads to."""
+    up = {"a": "b", "b": "c", "c": "a", "t1": "a", "t2": "t1", "self": "self", "o": "nowhere", "o1": "o", "x": "r", "y": "x", "e1": "e", **{f"d{k}": f"d{k - 1}" if k else "c" for k in range(20)}}
+    usrs = [*up, "r", "e", "w", "w"]
+    members = [(s, t, 1, True) for s, t in up.items()] + [("e", "ext", 1, False), ("x", "y", 5, True), ("y", "ext", 0, False)]
+    v = frame(spark, [(u, u.upper()) for u in usrs], "usr string, name string")
+    out = graph.rebuild(v, frame(spark, members, "source string, target string, ord int, into_target boolean"), tables, bad=frame(spark, [("w",), ("x",)], "usr string")).collect()
+    assert len(out) == len(usrs)
+    got = {r.usr: (r.state, r.root_usr, r.depth) for r in out}
+    ring = {k: ("ring", "a", None) for k in "abc"}
+    below = {k: ("below ring", "a", None) for k in ("t1", "t2", *(f"d{k}" for k in range(20)))}
+    rest = {"self": ("ring", "self", None), "o": ("orphan", "o", 0), "o1": ("placed", "o", 1), "r": ("root", "r", 0), "x": ("placed", "r", 1), "y": ("placed", "r", 2), "e": ("extension", "e", 0), "e1": ("placed", "e", 1), "w": ("bad", "w", 0)}
+    assert got == ring | below | rest
+    assert {r.usr: r.parent_usr for r in out}["o"] == "nowhere"
+
+
+def test_forest_of_a_long_chain(spark, tables):
+    """A chain of 10,000 and a ring of 1,000 take rounds by the logarithm of their length."""
+    n, k = 10_000, 1_000
+    v = spark.range(n + k).select(F.col("id").alias("usr"))
+    m = v.where(f"usr > 0").select(F.col("usr").alias("source"), F.when(F.col("usr") == n, n + k - 1).otherwise(F.col("usr") - 1).alias("target"), F.lit(0).alias("ord"), F.lit(True).alias("into_target"))
+    before = tables.n
+    out = graph.rebuild(v, m, tables)
+    assert out.where(f"usr < {n} and state <> 'ring' and depth = usr and root_usr = 0").count() == n
+    assert out.where(f"usr >= {n} and state = 'ring' and depth is null and root_usr = {n}").count() == k
+    assert tables.n - before < 25
+
+
+def test_second_pass(spark, tables):
+    """Default implementations go to extensions of the protocol that placed what they implement."""
+    v = frame(spark, [("P", [], []), ("f", ["Self : P"], []), ("d1", ["Self : P"], []), ("d2", ["Self : P", "Self.Element : Equatable"], []), ("d3", ["Self : P", "T : Hashable"], ["T"]), ("d4", [], []), ("loose", [], [])],
+              "usr string, constraints array<string>, generic_params array<string>")
+    first = frame(spark, [("f", "P", 1, True), ("loose", "P", 2, False)], "source string, target string, ord int, into_target boolean")
+    kind = "defaultImplementationOf"
+    e = frame(spark, [(1, kind, "d1", "f"), (2, kind, "d2", "f"), (3, kind, "d3", "f"), (4, kind, "d4", "loose"), (5, kind, "gone", "f"), (6, kind, "d4", "unknown"), (7, "memberOf", "f", "P")], "ord int, kind string, source string, target string")
+    out = {r.ord: r for r in graph.second_pass(e, v, first).collect()}
+    assert {k: (r.target, r.constraint_key, r.warning is None, r.bad) for k, r in out.items()} == {
+        1: ("P", "Self : P", True, False), 2: ("P", "Self : P, Self.Element : Equatable", True, False), 3: ("P", "Self : P", True, False), 4: (None, None, False, True), 5: ("P", None, False, False), 6: (None, None, False, True)}
+    members = first.withColumn("constraint_key", F.lit("")).unionByName(graph.second_pass(e, v, first).where("warning is null").select("source", "target", "ord", "into_target", "constraint_key"))
+    none = frame(spark, [], "source string, constraints array<string>, target_name string")
+    ext = {r.constraint_key: r.members for r in graph.extension_map(members, none).collect()}
+    assert ext == {"": ["loose"], "Self : P": ["d1", "d3"], "Self : P, Self.Element : Equatable": ["d2"]}
+    bad = graph.second_pass(e, v, first).where("bad").select(F.col("source").alias("usr"))
+    f = {r.usr: r.state for r in graph.rebuild(v, members, tables, bad).collect()}
+    assert f == {"P": "root", "f": "placed", "d1": "extension", "d2": "extension", "d3": "extension", "d4": "bad", "loose": "extension"}
+
+
+ROWS = "path array<int>, name string, kind string, module_name string, docs string"
+
+
+def test_folded_protocol_extensions(spark, tables):
+    rows = [
+        ([0], "Proto", "swift.protocol", "Base", None), ([0, 0], "m1", "method", "Base", "own"), ([0, 1], "m2", "method", "Base", None), ([0, 2], "m1", "property", "Base", None), ([0, 3], "m1", "method", "Base", None),
+        ([1], "Proto", "extension", "Other", None), ([1, 0], "m1", "method", "Other", "from other"), ([1, 0, 0], "inner", "parameter", "Other", None), ([1, 1], "m9", "method", "Other", "extra"), ([1, 1, 0], "deep", "parameter", "Other", None),
+        ([2], "Proto", "extension", "Base", None), ([2, 0], "m2", "method", "Base", "conditional docs"), ([2, 0, 0], "deep2", "parameter", "Base", None),
+        ([3], "Proto", "extension", "Base", None), ([3, 5], "m1", "method", "Base", "from base"), ([4], "Free", "extension", "Base", None), ([4, 0], "m1", "method", "Base", "free"),
+    ]
+    claims = frame(spark, [([1], [0], False), ([2], [0], True), ([3], [0], False), ([9], [0], False), ([4], [77], False)], "ext_path array<int>, type_path array<int>, is_constrained boolean")
+    out = merge.folded_extensions(frame(spark, rows, ROWS), claims, tables).orderBy("path").collect()
+    got = [(r.path[:1], r.name, r.docs, r.default_docs, [(n.tag, n.arg) for n in r.notes]) for r in out]
+    assert got == [
+        ([0], "Proto", None, None, []), ([0], "m1", "own", "from base", [("defaultImplementation", None), ("importedDefaultImplementation", "Other")]), ([0], "m2", None, None, [("conditionalDefaultImplementationExists", None)]),
+        ([0], "m1", None, None, []), ([0], "m1", None, None, []), ([0], "m9", "extra", None, [("imported", "Other"), ("protocolExtensionMember", None)]), ([0], "deep", None, None, [("imported", "Other")]),
+        ([0], "m2", None, "conditional docs", [("conditionalDefaultImplementation", None)]), ([0], "deep2", None, None, []), ([4], "Free", None, None, []), ([4], "m1", "free", None, [])]
+    sizes = {r.name: len(r.path) for r in out}
+    assert (sizes["m9"], sizes["deep"], sizes["deep2"]) == (2, 3, 3)
+
+
+def test_folded_extensions_of_types_in_extensions(spark, tables):
+    """An extension of a type that another extension holds goes along with it."""
+    rows = [([0], "Clazz", "class", "M", None), ([1], "Clazz", "extension", "M", None), ([1, 0], "NStruct", "struct", "M", None), ([1, 0, 0], "own", "method", "M", None),
+            ([2], "NStruct", "extension", "M", None), ([2, 0], "eMethod", "method", "M", None), ([3], "NStruct", "extension", "M", None), ([3, 0], "eMethod2", "method", "M", None), ([3, 0, 0], "leaf", "parameter", "M", None)]
+    claims = frame(spark, [([1], [0], False), ([2], [1, 0], False), ([3], [1, 0], False)], "ext_path array<int>, type_path array<int>, is_constrained boolean")
+    out = merge.folded_extensions(frame(spark, rows, ROWS), claims, tables).orderBy("path").collect()
+    assert [(r.name, len(r.path)) for r in out] == [("Clazz", 1), ("NStruct", 2), ("own", 3), ("eMethod", 3), ("eMethod2", 3), ("leaf", 4)]
+    assert all(b.path[:len(a.path)] == a.path for a, b in [(out[0], out[1]), (out[1], out[2]), (out[1], out[3]), (out[4], out[5])])
+    with pytest.raises(ValueError):
+        merge.folded_extensions(frame(spark, rows, ROWS), frame(spark, [([1], [1, 0], False)], "ext_path array<int>, type_path array<int>, is_constrained boolean"), tables)
+    assert merge.folded_extensions(frame(spark, rows, ROWS), claims.limit(0), tables).count() == len(rows)
+
+
 def test_deep_urls(spark, tables):
     n = 66
     items = frame(spark, [([0] * (k + 1), "def" if k else "group", f"x{k}", "type", "M", "yes", "swift", None) for k in range(n)],
