@@ -3,8 +3,8 @@
 Line keys are hashed to 128 bits; (hash, document, place) rows are range-partitioned on the hash and the
 document, so that one very common line spreads over many partitions, and sorted with the largest document
 first. A stream over each partition meets a key's first document, which keeps the line, and drops it in the
-others once enough documents have come. Keys at a partition's edges may go on next door: their counts, one
-row for each edge, are summed and joined back. Decisions return as compressed bitmaps, not as text."""
+others once enough documents have come; it holds no more of a key than the rows before that. Keys at a partition's
+edges may go on next door: their counts, one row for each edge, are summed and joined back. Decisions return as compressed bitmaps, not as text."""
 
 from __future__ import annotations
 
@@ -40,51 +40,108 @@ def hashed_lines(df: DataFrame, least_chars: int, text_col: str = "text") -> Dat
 STREAM = T.StructType([T.StructField("kind", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("h1", "h2", "doc", "th", "pos", "docs")]])
 
 
+#: Rows of one key that a worker holds; beyond it they go out undecided.
+HELD = 1 << 18
+
+
+class _Key:
+    """The key that a stream is in: its largest document, which comes first, and how many have come. Rows are held until
+    as many documents as drop the line have been seen, and after that only those of the largest document."""
+
+    def __init__(self, cols: list[np.ndarray]):
+        self.hash, self.top, self.docs, self.last = (cols[0][0], cols[1][0]), cols[2][0], 0, None
+        self.held: list[list[np.ndarray]] = []
+        self.rows, self.sent, self.decided = 0, False, False
+
+    def _hold(self, cols):
+        if len(cols[0]):
+            self.held.append(cols)
+            self.rows += len(cols[0])
+
+    def add(self, cols, least_docs: int):
+        doc = cols[2]
+        self.docs += int((doc[1:] != doc[:-1]).sum()) + (self.last is None or doc[0] != self.last)
+        self.last = doc[-1]
+        if not self.decided and self.docs >= least_docs:
+            self.decided = True
+            for old in self.take():
+                yield from self.parted(old)
+        if self.decided:
+            yield from self.parted(cols)
+        else:
+            self._hold(cols)
+        if self.rows > HELD:
+            self.sent = True
+            yield from (("edge", old) for old in self.take())
+
+    def take(self) -> list:
+        out, self.held, self.rows = self.held, [], 0
+        return out
+
+    def parted(self, cols):
+        """The largest document's rows stay held, as its key may go on next door; the others are dropped."""
+        top = cols[2] == self.top
+        if top.any():
+            self._hold([c[top] for c in cols])
+            cols = [c[~top] for c in cols]
+        if len(cols[0]):
+            yield "drop", cols
+
+    def end(self, first: bool, last: bool):
+        if last or first and not self.decided or self.sent:
+            yield from (("edge", old) for old in self.take())
+        if first or last or self.sent:
+            one = lambda x: np.array([x], np.int64)
+            yield "sum", [one(self.hash[0]), one(self.hash[1]), one(self.top), one(0), one(0)], one(self.docs)
+
+
 def _stream(least_docs: int):
-    """kind 'drop': a decided line. 'edge': a line of the partition's first or last key. 'sum': such a key's
-    number of documents here, with the largest in doc."""
+    """kind 'drop': a decided line. 'edge': a line that a key's count decides, of the partition's first or last key, or of
+    one that held too many rows. 'sum': such a key's number of documents here, with the largest in doc. A key of any
+    number of rows is decided as it goes by, so memory does not grow with it."""
     names = ["h1", "h2", "doc", "th", "pos"]
 
-    def decide(cols: list[np.ndarray], first: bool, last: bool):
-        n = len(cols[0])
-        new = np.ones(n, bool)
+    def between(cols: list[np.ndarray]):
+        """The lines that go, of whole keys that neither begin nor end the partition."""
+        new = np.ones(len(cols[0]), bool)
         new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
         other = new.copy()
         other[1:] |= cols[2][1:] != cols[2][:-1]
         run = np.cumsum(new) - 1
-        starts = np.flatnonzero(new)
-        docs = np.bincount(run, weights=other).astype(np.int64)
-        top = cols[2][starts]
-        edge = np.zeros(len(starts), bool)
-        edge[0] |= first
-        edge[-1] |= last
-        drop = (docs[run] >= least_docs) & (cols[2] != top[run]) & ~edge[run]
-        yield from ((k, [c[m] for c in cols], np.zeros(m.sum(), np.int64)) for k, m in (("drop", drop), ("edge", edge[run])) if m.any())
-        if edge.any():
-            e = np.flatnonzero(edge)
-            zero = np.zeros(len(e), np.int64)
-            yield "sum", [cols[0][starts[e]], cols[1][starts[e]], top[e], zero, zero], docs[e]
-
-    def batch(kind: str, cols, docs):
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(docs)), *[pa.array(c, pa.int64()) for c in cols], pa.array(docs, pa.int64())], STREAM.names)
+        docs = np.bincount(run, weights=other)
+        drop = (docs[run] >= least_docs) & (cols[2] != cols[2][np.flatnonzero(new)][run])
+        if drop.any():
+            yield "drop", [c[drop] for c in cols]
+
+    def batch(kind: str, cols, docs=None):
+        n = len(cols[0])
+        docs = np.zeros(n, np.int64) if docs is None else docs
+        return pa.RecordBatch.from_arrays([pa.array([kind]).take(pa.array(np.zeros(n, np.int32))), *[pa.array(c, pa.int64()) for c in cols], pa.array(docs, pa.int64())], STREAM.names)
 
     def run(batches):
-        # the rows of the last key are held back until the next key or the partition's end is seen
-        held, first = None, True
+        key, first = None, True
         for b in batches:
             if not b.num_rows:
                 continue
             cols = [b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            at = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
-            cut = at[-1] + 1 if len(at) else 0
-            held = [c[cut:] for c in cols]
-            if cut:
-                yield from (batch(*x) for x in decide([c[:cut] for c in cols], first, False))
+            edges = [0, *(np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1), len(cols[0])]
+            part = lambda i, j: [c[i:j] for c in cols]  # noqa: E731, B023
+            head = part(0, edges[1])
+            if key is not None and key.hash != (head[0][0], head[1][0]):
+                yield from (batch(*x) for x in key.end(first, False))
+                key, first = None, False
+            key = key or _Key(head)
+            yield from (batch(*x) for x in key.add(head, least_docs))
+            if len(edges) > 2:
+                yield from (batch(*x) for x in key.end(first, False))
                 first = False
-        if held is not None and len(held[0]):
-            yield from (batch(*x) for x in decide(held, first, True))
+                if edges[-2] > edges[1]:
+                    yield from (batch(*x) for x in between(part(edges[1], edges[-2])))
+                tail = part(edges[-2], edges[-1])
+                key = _Key(tail)
+                yield from (batch(*x) for x in key.add(tail, least_docs))
+        if key is not None:
+            yield from (batch(*x) for x in key.end(first, True))
 
     return run
 
@@ -108,8 +165,8 @@ def keep_bitmaps(df: DataFrame, tables, least_chars: int = 20, least_docs: int =
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", F.col("doc").desc(), "th", "pos")
     seen = tables.write(dealt.mapInArrow(_stream(least_docs), STREAM))
-    # two rows a partition at most (bounded by their number, not by the data), so a very common line need not be dealt
-    # by its key again
+    # two rows a partition (and one for each HELD rows of a key in fewer documents than drop it), so a very common line
+    # need not be dealt by its key again
     sums = seen.where("kind = 'sum'").groupBy("h1", "h2").agg(F.sum("docs").alias("n"), F.max("doc").alias("top"))
     edges = seen.where("kind = 'edge'").drop("docs").join(F.broadcast(sums), ["h1", "h2"]).where((F.col("n") >= least_docs) & (F.col("doc") != F.col("top")))
     drops = seen.where("kind = 'drop'").select("doc", "th", "pos").union(edges.select("doc", "th", "pos"))

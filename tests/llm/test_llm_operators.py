@@ -664,6 +664,64 @@ def test_lines_over_many_partitions(spark, tables):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+@pytest.mark.parametrize("held", [1 << 18, 3])
+def test_lines_as_streams(monkeypatch, held):
+    """Partitions and batches of every cut, against counting."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    r = random.Random(2)
+    for _ in range(150):
+        rows = sorted({(r.randrange(3), 0, r.randrange(6), 0, r.randrange(5)) for _ in range(r.randrange(1, 60))}, key=lambda x: (x[0], x[1], -x[2], x[4]))
+        least = r.choice([1, 2, 3])
+        docs = {k: {x[2] for x in rows if x[0] == k} for k in range(3)}
+        want = {x for x in rows if len(docs[x[0]]) >= least and x[2] != max(docs[x[0]])}
+        # ranges of (key, document), ascending from one to the next; within each the largest document first
+        cuts = sorted(r.sample(range(18), r.randrange(0, 4)))
+        drops, edges, sums = set(), [], {}
+        for part in range(len(cuts) + 1):
+            own = [x for x in rows if sum(x[0] * 6 + x[2] >= c for c in cuts) == part]
+            cols = [pa.array([x[k] for x in own], pa.int64()) for k in range(5)]
+            whole = pa.RecordBatch.from_arrays(cols, ["h1", "h2", "doc", "th", "pos"])
+            size = r.choice([1, 2, 7, 100])
+            for b in line_dedup._stream(least)(whole.slice(k, size) for k in range(0, len(own), size)):
+                for x in b.to_pylist():
+                    t = (x["h1"], x["h2"], x["doc"], x["th"], x["pos"])
+                    if x["kind"] == "sum":
+                        n, top = sums.get(x["h1"], (0, -1))
+                        sums[x["h1"]] = n + x["docs"], max(top, x["doc"])
+                    elif x["kind"] == "drop":
+                        assert t not in drops
+                        drops.add(t)
+                    else:
+                        edges.append(t)
+        assert len({*edges}) == len(edges) and not {*edges} & drops
+        assert drops | {t for t in edges if sums[t[0]][0] >= least and t[2] != sums[t[0]][1]} == want
+
+
+def test_a_line_of_millions_goes_by():
+    """Time and held rows of one key don't grow beyond its rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    def timed(n):
+        def batches():
+            for k in range(0, n, 10_000):
+                doc = np.arange(n - k, n - k - 10_000, -1)
+                zero = np.zeros(10_000, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero, zero, doc, zero, zero)], ["h1", "h2", "doc", "th", "pos"])
+
+        start, out, largest = time.time(), 0, 0
+        for b in line_dedup._stream(3)(batches()):
+            out, largest = out + b.num_rows, max(largest, b.num_rows)
+        assert out == n + 1 and largest <= 10_000
+        return time.time() - start
+
+    timed(100_000)
+    assert timed(4_000_000) < 8 * timed(1_000_000)
+
+
 def test_bitmaps():
     for n, places in ((1, [0]), (8, [7]), (9, [0, 8]), (1000, [3, 999])):
         keep = line_dedup.unpack(line_dedup.pack(places))
