@@ -39,10 +39,15 @@ def _op4() -> str:
         return f"""
 {name}_c AS (SELECT {keys}, metric, bucket, width, sum(n) AS n FROM sketch GROUP BY ALL),
 {name}_u AS (SELECT *, sum(n) OVER (PARTITION BY {keys}, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}, metric) AS total FROM {name}_c),
-{name}_q AS (SELECT {keys}, metric, any_value(total)::BIGINT AS n, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket + width) FILTER (4 * upto >= 3 * total) AS q3 FROM {name}_u GROUP BY {keys}, metric),
-{name} AS (SELECT {keys}, metric, n, (q1 - 3 * (q3 - q1))::BIGINT AS low, (q3 + 3 * (q3 - q1))::BIGINT AS high FROM {name}_q)"""
+{name}_t AS (SELECT *, min(bucket) FILTER (100 * upto >= 99 * total) OVER (PARTITION BY {keys}, metric) AS top FROM {name}_u),
+{name}_q AS (SELECT {keys}, metric, any_value(total)::BIGINT AS n, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket + width) FILTER (4 * upto >= 3 * total) AS q3,
+  sum(n * least(bucket, top))::BIGINT AS events FROM {name}_t GROUP BY {keys}, metric),
+{name} AS (SELECT {keys}, metric, n, (q1 - 3 * (q3 - q1))::BIGINT AS low, (q3 + 3 * (q3 - q1))::BIGINT AS high, 1000 * events // n AS mean FROM {name}_q)"""
 
-    wide = ", ".join(f"max(low) FILTER (metric = '{m}') AS low_{m}, max(high) FILTER (metric = '{m}') AS high_{m}" for m in _OP4_RATES)
+    wide = ", ".join(f"max({c}) FILTER (metric = '{m}') AS {c}_{m}" for m in _OP4_RATES for c in (("low", "high") if m == "word_length" else ("mean",)))
+    fits = lambda m, k, of: f"(1e6::DOUBLE * ({k} - 3) - mean_{m}::DOUBLE * {of} <= 0 OR (1e6::DOUBLE * ({k} - 3) - mean_{m}::DOUBLE * {of}) ** 2 <= 9e6::DOUBLE * (mean_{m}::DOUBLE * {of}))"
+    rates_fit = " AND ".join([fits("symbol_rate", "n_symbols", "n_words"), fits("dup_line_rate", "n_dup_lines", "n_lines"), fits("shout_rate", "n_shout", "word_chars"),
+                              fits("repeat_rate", "(n_repeat_words::DOUBLE * n_lines / n_words)", "n_lines")])
     return rf"""
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents
@@ -68,14 +73,11 @@ WITH d AS (
 sketch AS (SELECT lang, source, metric, v // width * width AS bucket, width, count(*) AS n FROM s GROUP BY ALL),
 {fence("own", "lang, source")},{fence("whole", "lang")},
 blend AS (
-  SELECT o.lang, o.source, o.metric, (o.n * o.low + 8 * w.low) // (o.n + 8) AS low, (o.n * o.high + 8 * w.high) // (o.n + 8) AS high
+  SELECT o.lang, o.source, o.metric, (o.n * o.low + 8 * w.low) // (o.n + 8) AS low, (o.n * o.high + 8 * w.high) // (o.n + 8) AS high, (o.n * o.mean + 8 * w.mean) // (o.n + 8) AS mean
   FROM own o JOIN whole w ON o.lang IS NOT DISTINCT FROM w.lang AND o.metric = w.metric
 ), lim AS (SELECT lang, source, {wide} FROM blend GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  coalesce(NOT base_failed AND word_length BETWEEN low_word_length AND high_word_length
-    AND 1000 * (n_symbols - 3) <= high_symbol_rate * n_words AND 1000 * (n_shout - 3) <= high_shout_rate * word_chars
-    AND 1000 * (n_dup_lines - 3) <= high_dup_line_rate * n_lines
-    AND 1000 * (n_repeat_words * n_lines - 3 * n_words) <= high_repeat_rate * n_words * n_lines, false) AS kept
+  coalesce(NOT base_failed AND word_length BETWEEN low_word_length AND high_word_length AND {rates_fit}, false) AS kept
 FROM r LEFT JOIN lim ON r.lang IS NOT DISTINCT FROM lim.lang AND r.source IS NOT DISTINCT FROM lim.source
 """
 

@@ -1,9 +1,14 @@
 """Quality rules with built-in functions only: base rules, and adaptive limits per language and source.
 
 The limits come from mergeable quantile sketches: each metric is an integer, a value falls into a bucket that
-keeps its leading bits, and a sketch is the counts of its buckets, from which quartile fences are read. Sketches merge by adding counts, so the
-counts of (language, source) groups are pre-aggregated where the rows are, and a language's sketch is the sum
-of its sources'. Unlike sampled sketches they give the same limits however the rows are dealt out."""
+keeps its leading bits, and a sketch is the counts of its buckets. Sketches merge by adding counts, so the counts of
+(language, source) groups are pre-aggregated where the rows are, and a language's sketch is the sum of its sources'.
+Unlike sampled sketches they give the same limits however the rows are dealt out.
+
+Of the word length, which all texts have, fences around the quartiles are read. The other metrics are rates of events
+that most texts have none of, so that their quartiles say nothing: of those the mean up to the 0.99 quantile is read,
+the rate at which the group has such events without its worst documents, and a document may have as many as chance
+brings at that rate: mu + SIGMAS * sqrt(mu) + SIGMAS^2 / 3 (Bernstein's bound) for the mu that its length lets expect."""
 
 from __future__ import annotations
 
@@ -26,9 +31,11 @@ METRICS = {
     "shout_rate": ("n_shout", "word_chars"),
     "word_length": ("word_chars", "n_words"),
 }
-#: A fence is FENCE times the spread between the quartiles away from them. Events up to FENCE are no evidence: so many
-#: symbols, marks, lines, or lines' worth of repeated words (a mean line of the text).
-FENCE = 3
+#: The metric with fences, FENCE times the spread between the quartiles away from them; the others are rates.
+FENCED, FENCE = "word_length", 3
+RATES = [m for m in METRICS if m != FENCED]
+#: How many standard deviations above what a group's rate lets expect a document's events may lie.
+SIGMAS = 3
 #: The leading bits that a bucket keeps: smaller values have buckets of their own.
 BITS = 6
 #: The documents that a language's limits weigh as in those of a source: a source of few documents leans on its
@@ -118,40 +125,52 @@ def sketches(measured: DataFrame) -> DataFrame:
     return rated.select("lang", "source", rows.alias("r")).groupBy("lang", "source", "r.metric", "r.bucket", "r.width").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, metric, n, low, high: the fences of each group and metric from the cumulative counts of its buckets. The
-    quartiles are the outer edges of their buckets, so a group of equal values has the width of one as its spread."""
+def read(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric, n, low, high, mean: what each group's sketch says. low and high are the fences; the quartiles are the
+    outer edges of their buckets, so a group of equal values has the width of one as its spread. mean is that of the
+    buckets' values, none above the 0.99 quantile's, in events a million."""
     w = W.partitionBy(*keys, "metric")
     c = sketch.groupBy(*keys, "metric", "bucket", "width").agg(F.sum("n").alias("n")).select(
-        *keys, "metric", "bucket", "width", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("total"))
+        *keys, "metric", "bucket", "width", "n", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("total"))
+    c = c.withColumn("top", F.min(F.when(F.col("upto") * 100 >= F.col("total") * 99, F.col("bucket"))).over(w))
     q = c.groupBy(*keys, "metric").agg(
         F.max("total").alias("n"),
         F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"),
         F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket") + F.col("width"))).alias("q3"),
+        F.sum(F.col("n") * F.least("bucket", "top")).alias("events"),
     )
     spread = FENCE * (F.col("q3") - F.col("q1"))
-    return q.select(*keys, "metric", "n", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
+    return q.select(*keys, "metric", "n", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"), F.expr("1000 * events div n").alias("mean"))
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """(lang, source, low_<metric>, high_<metric> ..): the group's fences, and its language's at the weight of PRIOR
-    documents."""
-    own, lang = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"])
+    """(lang, source, low_<FENCED>, high_<FENCED>, mean_<RATES> ..): what the group's sketch says, and its language's at
+    the weight of PRIOR documents."""
+    own, lang = read(sketch, ["lang", "source"]), read(sketch, ["lang"])
     both = own.alias("o").join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.metric") == F.col("l.metric")))
-    mean = lambda c: F.expr(f"(o.n * o.{c} + {PRIOR} * l.{c}) div (o.n + {PRIOR})").alias(c)
-    both = both.select("o.lang", "o.source", "o.metric", mean("low"), mean("high"))
-    return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}") for m in METRICS for c in ("low", "high")])
+    blend = lambda c: F.expr(f"(o.n * o.{c} + {PRIOR} * l.{c}) div (o.n + {PRIOR})").alias(c)
+    both = both.select("o.lang", "o.source", "o.metric", blend("low"), blend("high"), blend("mean"))
+    of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}")
+    return both.groupBy("lang", "source").agg(of(FENCED, "low"), of(FENCED, "high"), *[of(m, "mean") for m in RATES])
+
+
+def excess(metric: str) -> Column:
+    """Whether a row of measures has more events than its group's rate lets expect. Repeated words count as lines' worth
+    of them (a mean line of the text), as they come a line at a time."""
+    m = lambda f: F.col(f"__m.{f}").cast("double")
+    a, b = METRICS[metric]
+    events, of = (m(a) * m("n_lines") / m("n_words"), m("n_lines")) if metric == "repeat_rate" else (m(a), m(b))
+    mu = F.col(f"mean_{metric}").cast("double") * of  # in millionths
+    over = 1e6 * (events - SIGMAS * SIGMAS / 3) - mu
+    return (over > 0) & (over * over > SIGMAS * SIGMAS * 1e6 * mu)
 
 
 def within() -> Column:
     """Whether a row of measures meets its group's limits."""
-    m = lambda f: F.col(f"__m.{f}")
-    ok = rate("word_length").between(F.col("low_word_length"), F.col("high_word_length"))
-    for k in ("symbol_rate", "shout_rate", "dup_line_rate"):
-        a, b = METRICS[k]
-        ok = ok & (1000 * (m(a) - FENCE) <= F.col(f"high_{k}") * m(b))
-    lines = m("n_repeat_words") * m("n_lines") - FENCE * m("n_words")
-    return ok & (1000 * lines <= F.col("high_repeat_rate") * m("n_words") * m("n_lines"))
+    ok = rate(FENCED).between(F.col(f"low_{FENCED}"), F.col(f"high_{FENCED}"))
+    for k in RATES:
+        ok = ok & ~excess(k)
+    return ok
 
 
 def base_fails() -> Column:

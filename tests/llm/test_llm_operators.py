@@ -5,9 +5,11 @@ import hashlib
 import html
 import itertools
 import math
+import os
 import random
 import re
 import time
+from collections import Counter
 
 import brute
 import pytest
@@ -231,8 +233,24 @@ def test_quality_limits_differ_by_group(spark, tables):
     df = spark.createDataFrame(clean + code + probes + junk, DOCS)
     kept = {r.doc_id for r in quality.judge(df, tables).where("kept").collect()}
     assert kept == {*range(60), *range(100, 160), 201, 202}
-    lim = {r.source: r.high_symbol_rate for r in quality.limits(quality.sketches(quality.measures(df))).collect()}
-    assert lim["prose"] < 400 < 500 < lim["code"] < 1500
+    rate = {r.source: r.mean_symbol_rate for r in quality.limits(quality.sketches(quality.measures(df))).collect()}
+    assert rate["prose"] < 100_000 < 400_000 < rate["code"] < 600_000
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_quality_limits_on_given_tables(spark, tables):
+    """Most groups differ from one another in three metrics or more; labelled junk goes and good documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    m = tables.write(quality.measures(docs).select("doc_id", "lang", "source", "__m"))
+    lim = quality.limits(quality.sketches(m)).collect()
+    values = [c for c in lim[0].asDict() if c not in ("lang", "source")]
+    often = {c: Counter(r[c] for r in lim) for c in values}
+    own = sum(sum(often[c][r[c]] <= len(lim) / 4 for c in values) >= 3 for r in lim)
+    assert own >= len(lim) / 2, often
+    said = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality")
+    j = quality.judge(docs, tables).where("not base_failed").join(said, "doc_id").groupBy("quality").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n"))
+    got = {r["quality"]: (r["kept"], r["n"]) for r in j.collect()}
+    assert got[0][0] <= 0.02 * got[0][1] and got[1][0] >= 0.999 * got[1][1]
 
 
 def test_quality_copies_leave_a_spread(spark, tables):
