@@ -1,25 +1,30 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
 Each source's documents, in a hashed order, form a stream of words that is cut into equal blocks, of B words at
-most. Slot t of the schedule maps the golden-ratio point frac(t * 0.618...) through the cumulative target weights,
-counted in each source's own blocks, to a source; the slot's rank within that source picks the source's next block,
-starting anew when all are taken. Shares are integers, so reruns and other engines agree to the last bit."""
+most. Of T slots, slot t has the golden-ratio point t * G mod T, where G is the first number from T * 0.618... on that
+shares no divisor with T, so that every point is one slot's, however many there are. Points are mapped through the
+cumulative target weights, counted in each source's own blocks, to sources; the slot's rank within its source picks the
+source's next block, starting anew when all are taken. Shares are integers, so reruns and other engines agree to the
+last bit."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import gcd, isqrt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arborql.llm.common import unused
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: 2^31 points, and the golden ratio's fraction of them (odd, so every point is met once).
-POINTS, GOLDEN = 1 << 31, 1327217885
-#: Slots ranked together before the ranks of earlier chunks are added.
-CHUNK = 1 << 12
+#: Fixed value: the golden ratio's fraction, in 10^19 parts.
+GOLDEN = 6180339887498948482
+#: Slots ranked together before the ranks of earlier chunks are added, at least; and points of a source in a row.
+CHUNK, POINTS_A_ROW = 1 << 12, 1 << 18
+#: Documents of a source's stream that are added up together, at most (on average).
+DOCS_A_BUCKET = 1 << 20
 #: The least number of blocks of a source that has as many words.
 LEAST_BLOCKS = 64
 #: Parts of a block that a source's share is counted in.
@@ -79,17 +84,34 @@ def targets(docs: DataFrame, mix: Mix) -> DataFrame:
     )
 
 
-def schedule(spark: SparkSession, shares: DataFrame, slots: int) -> DataFrame:
-    """(slot, sid, rank): which source's block each slot takes. Points and the sources' ranges are joined by the
-    cells of a fixed grid, so no side need be small."""
-    cells = 1 << 12
-    wide = POINTS // cells
-    at = lambda c: F.expr(f"cast(({c}) * {POINTS} div all_tn as bigint)")
-    ranges = shares.where("all_tn > 0").select("sid", at("upto - tn").alias("lo"), at("upto").alias("hi")).where("hi > lo")
-    ranges = ranges.select("sid", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {wide}"), F.expr(f"(hi - 1) div {wide}"))).alias("cell"))
-    t = spark.range(slots).select(F.col("id").alias("slot"), F.expr(f"(id % {POINTS}) * {GOLDEN} % {POINTS}").alias("p"))
-    t = t.select("slot", "p", F.expr(f"p div {wide}").alias("cell"))
-    hit = t.join(ranges, "cell").where("p >= lo and p < hi").select("slot", "sid", F.expr(f"slot div {CHUNK}").alias("chunk"))
+def step(slots: int) -> int:
+    """G: how far the points of neighbouring slots are apart."""
+    g = max(1, slots * GOLDEN // 10 ** 19)
+    while gcd(g, slots) != 1:
+        g += 1
+    return g
+
+
+def count_slots(shares: DataFrame) -> int:
+    return (int(shares.agg(F.max("all_tn")).first()[0] or 0) + PARTS // 2) // PARTS
+
+
+def ranges(shares: DataFrame, slots: int) -> DataFrame:
+    """(sid, lo, hi): each source's points, of as many as there are slots. Sources without a whole point have none."""
+    at = lambda c: F.expr(f"cast(({c}) * {max(1, slots)}BD div all_tn as bigint)")
+    return shares.where("all_tn > 0").select("sid", at("upto - tn").alias("lo"), at("upto").alias("hi")).where("hi > lo")
+
+
+def schedule(shares: DataFrame, slots: int) -> DataFrame:
+    """(slot, sid, rank): which source's block each slot takes. A source has a range of the points, and each of its points
+    names its slot by the inverse step, so that nothing is joined or searched: rows are slots, whatever the number of
+    sources, and a range of many points is dealt over tasks."""
+    n, back = max(1, slots), pow(step(max(1, slots)), -1, max(1, slots))
+    chunk, wide = max(CHUNK, isqrt(n)), POINTS_A_ROW
+    rows = ranges(shares, slots).select("sid", "hi", F.explode(F.expr(f"sequence(lo, hi - 1, {wide}L)")).alias("lo"))
+    rows = rows.repartition("sid", "lo").select("sid", F.explode(F.expr(f"sequence(lo, least(hi, lo + {wide}) - 1)")).alias("p"))
+    slot = F.expr(f"cast(cast(p as decimal(19,0)) * {back}BD % {n}BD as bigint)")
+    hit = rows.select(slot.alias("slot"), "sid").withColumn("chunk", F.expr(f"slot div {chunk}"))
     per = hit.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
     per = per.select("sid", "chunk", (F.sum("n").over(W.partitionBy("sid").orderBy("chunk")) - F.col("n")).alias("base"))
     ranked = hit.withColumn("r", F.row_number().over(W.partitionBy("chunk", "sid").orderBy("slot")) - 1)
@@ -107,9 +129,13 @@ def blocked(shares: DataFrame, block: int) -> DataFrame:
     return s.withColumns({"all_tn": total(W.partitionBy()), "upto": total(W.orderBy("sid"))})
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """docs plus a: the words of its source's stream before it. Sums within hashed buckets, then over buckets."""
-    b = docs.withColumn("bucket", F.substring("h", 1, 3))
+def places(docs: DataFrame, rows: int) -> DataFrame:
+    """docs plus a: the words of its source's stream before it. Sums within hashed buckets, as many as the number of rows
+    asks for, then over buckets."""
+    digits = 3
+    while 16 ** digits * DOCS_A_BUCKET < rows:
+        digits += 1
+    b = docs.withColumn("bucket", F.substring("h", 1, digits))
     per = b.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     per = per.select("sid", "bucket", (F.sum("n").over(W.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("base"))
     order = W.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -122,21 +148,20 @@ def mix(df: DataFrame, tables, how: Mix = Mix(), text_col: str = "text") -> Data
 
     Null and empty texts have size 0 and nothing taken; a null source is a source, the last. Repeated rows are
     rows of their own. An empty table gives an empty result. A slot beyond most_times passes takes nothing, so
-    no document exceeds most_times its size; each source's taken words miss its target by a few of its own blocks, and a source of 64 words or more
-    has 64 blocks at least."""
-    spark = df.sparkSession
+    no document exceeds most_times its size; each source's slots are its target's blocks to within one, and a source of 64 words or more has 64 blocks at
+    least."""
     docs = tables.write(sized(df, how, text_col))
     shares = tables.write(targets(docs, how))
     total = shares.agg(F.sum("source_size")).first()[0] or 0
     block = max(1, min(how.most_block, total * how.share_percent // 100 // how.blocks))
     shares = tables.write(blocked(shares, block))
-    slots = (int(shares.agg(F.max("all_tn")).first()[0] or 0) + PARTS // 2) // PARTS
+    slots = count_slots(shares)
     own = docs.join(shares, docs["source"].eqNullSafe(shares["source"])).select(
         "doc_id", docs["source"], "size", "h", "sid", "source_size", "target")
-    plan = schedule(spark, shares, slots).join(shares.select("sid", "n_blocks"), "sid")
+    plan = schedule(shares, slots).join(shares.select("sid", "n_blocks"), "sid")
     takes = plan.where(F.col("rank") < how.most_times * F.col("n_blocks")).groupBy(
         "sid", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("times"))
-    placed = tables.write(places(own).withColumn("row", F.monotonically_increasing_id()))
+    placed = tables.write(places(own, docs.count()).withColumn("row", F.monotonically_increasing_id()))
     at = lambda w: f"if({w} < rem * (base + 1), ({w}) div (base + 1), rem + ({w} - rem * (base + 1)) div base)"
     begin = lambda b: b * F.col("base") + F.least(b, F.col("rem"))
     cut = placed.where("size > 0").join(shares.select("sid", "base", "rem"), "sid").select(

@@ -119,11 +119,11 @@ s7 AS (
   SELECT *, greatest(1, source_size // n_blocks)::BIGINT AS base, (source_size % n_blocks)::BIGINT AS rem,
     floor(target * n_blocks / greatest(source_size, 1) * 1048576)::HUGEINT AS tn FROM s7
 ), s9 AS (SELECT *, (sum(tn) OVER ())::HUGEINT AS all_tn, (sum(tn) OVER (ORDER BY sid))::HUGEINT AS upto FROM s8),
-rng AS (SELECT sid, n_blocks, ((upto - tn) * 2147483648 // all_tn)::BIGINT AS lo, (upto * 2147483648 // all_tn)::BIGINT AS hi FROM s9 WHERE all_tn > 0),
-slots AS (
-  SELECT t, (t % 2147483648) * 1327217885 % 2147483648 AS p
-  FROM (SELECT unnest(range(((sum(tn) + 524288) // 1048576)::BIGINT)) AS t FROM s8)
-), ranked AS (
+many AS (SELECT greatest(1, (sum(tn) + 524288) // 1048576)::HUGEINT AS n FROM s8), far AS (
+  SELECT n, greatest(1, n * 6180339887498948482 // 10000000000000000000)::HUGEINT AS g0 FROM many
+), stp AS (SELECT n, min(g) AS g FROM (SELECT n, g0 + unnest(range(500)) AS g FROM far) WHERE gcd(g, n) = 1 GROUP BY n),
+rng AS (SELECT sid, n_blocks, ((upto - tn) * n // all_tn)::BIGINT AS lo, (upto * n // all_tn)::BIGINT AS hi FROM s9, many WHERE all_tn > 0),
+slots AS (SELECT t, t * g % n AS p FROM (SELECT n, g, unnest(range(n::BIGINT)) AS t FROM stp)), ranked AS (
   SELECT sid, n_blocks, row_number() OVER (PARTITION BY sid ORDER BY t) - 1 AS r FROM slots JOIN rng ON p >= lo AND p < hi
 ), takes AS (SELECT sid, r % n_blocks AS b, count(*) AS times FROM ranked WHERE r < 2 * n_blocks GROUP BY ALL),
 placed AS (

@@ -490,8 +490,8 @@ def test_mixing_small_sources_beside_large_ones(spark, tables):
 def test_mixing_schedule_is_even(spark, tables):
     docs = spark.createDataFrame([(k, "w " * 50, "en", "abc"[k % 3], 0) for k in range(90)], DOCS)
     shares = mixing.blocked(mixing.targets(mixing.sized(docs, mixing.Mix()), mixing.Mix()), 1)
-    slots = mixing.schedule(spark, shares, 6000).toPandas()
-    assert len(slots) == 6000
+    slots = mixing.schedule(shares, 6000).toPandas()
+    assert sorted(slots["slot"]) == list(range(6000))
     for _, own in slots.groupby("sid"):
         own = own.sort_values("slot")
         assert own["rank"].tolist() == list(range(len(own)))
@@ -499,6 +499,32 @@ def test_mixing_schedule_is_even(spark, tables):
         assert gaps.nunique() <= 3  # the three-distance theorem
 
 
+@pytest.mark.parametrize("words", [10**6, 10**9, 2 * 10**13])
+def test_mixing_small_sources_at_any_size(spark, tables, words):
+    """200 small sources beside one of up to 100 TB: each gets its target's blocks to within one."""
+    small = {f"s{k:03}": [20, 64, 100, 5000, 7][k % 5] for k in range(200)}
+    sizes = spark.createDataFrame([("large", words), *small.items()], "source string, size long")
+    how = mixing.Mix()
+    total = words + sum(small.values())
+    block = max(1, min(how.most_block, total * how.share_percent // 100 // how.blocks))
+    shares = tables.write(mixing.blocked(mixing.targets(sizes, how), block))
+    slots = mixing.count_slots(shares)
+    got = {r.sid: r.hi - r.lo for r in mixing.ranges(shares, slots).collect()}
+    rows = shares.collect()
+    assert sum(got.values()) == slots
+    for r in rows:
+        want = r.target * r.n_blocks / r.source_size
+        assert abs(got.get(r.sid, 0) - want) <= 1 and (want < 64 or abs(got[r.sid] - want) < 0.02 * want)
+    assert abs(sum(got[r.sid] for r in rows if r.source != "large") / sum(r.target * r.n_blocks / r.source_size for r in rows if r.source != "large") - 1) < 0.002
+
+
+def test_mixing_of_a_million_sources(spark, tables):
+    """The schedule's rows are slots: nothing meets more than one source."""
+    shares = spark.range(1, 1_000_001).select(F.col("id").alias("sid"), F.lit(1).alias("n_blocks"), F.lit(mixing.PARTS).cast("decimal(38,0)").alias("tn"), F.lit(1_000_000 * mixing.PARTS).cast("decimal(38,0)").alias("all_tn"), (F.col("id") * mixing.PARTS).cast("decimal(38,0)").alias("upto"))
+    slots = mixing.schedule(shares, 1_000_000)
+    assert slots.where("rank = 0").agg(F.count("*").alias("n"), F.count_distinct("sid").alias("s")).first() == (1_000_000, 1_000_000)
+
+
 def test_mixing_empty_texts_only(spark, tables):
     df = spark.createDataFrame([(1, None, "en", None, 0), (None, "", "en", "x", 0)], DOCS)
     assert sorted((r["size"], r.target, r.taken) for r in mixing.mix(df, tables).collect()) == [(0, 0.0, 0), (0, 0.0, 0)]
