@@ -6,17 +6,15 @@ and the two are less than independently spread. Documents of equal sets are merg
 
 Candidates share a band. Their links are confirmed on full sets, but pairs are never written out:
 1. every member is confirmed with the leader (least member) of the bucket that it shares most bands with;
-2. buckets that still hold several components make up families (what buckets join); a family's rows are cut
-   into tiles, and two tiles meet in one task, which returns a forest of confirmed links.
-A pair within one component need not be confirmed, since only components are asked for. Step 2 passes over
-pairs whose signatures agree in so few places (five standard deviations below the threshold) that they hardly
-can be links (about 0.6 times in a million at 0.8 itself); full sets come only for rows with a pair left. With 32 bands of 4 values, a pair at similarity 0.8 shares no band
-once in 20 million times."""
+2. the rows of a bucket that still holds several components are cut into tiles, and two tiles meet in one task, which
+   confirms every pair of different components and possible set sizes whose first common band is the bucket's, and
+   returns a forest of confirmed links. Buckets meet nothing outside themselves, however they chain.
+A pair within one component need not be confirmed, since only components are asked for. Full sets come only for rows
+with a pair left. With 32 bands of 4 values, a pair at similarity 0.8 shares no band once in 20 million times; every
+pair that shares one is confirmed or joined already."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,8 +28,8 @@ PERMUTATIONS, BAND = 64, 4
 VALUES = 2 * PERMUTATIONS
 BANDS = VALUES // BAND
 SEED = 20240901
-#: Words whose hashes a worker keeps, and rows of a bucket's tile.
-WORDS_KEPT, ROWS_A_TILE = 150_000, 256
+#: Words whose hashes a worker keeps; rows of a bucket's tile, and shingles of their sets, on average.
+WORDS_KEPT, ROWS_A_TILE, SHINGLES_A_TILE = 150_000, 256, 1 << 21
 #: Shingles whose hashes under all permutations are made at once, to stay in a core's cache.
 HASHES_AT_ONCE = 512
 #: Members that are compared with one leader in one task.
@@ -164,9 +162,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return both.mapInArrow(run, "a long, b long")
 
 
-def _crossing(tile, comp, n, sig, i: int, j: int, least: int, percent: int):
-    """(rows, partners, agreement) of the pairs between tiles i and j that are in different components and may be
-    similar by their set sizes and signatures."""
+def _crossing(tile, comp, n, sig, k: int, i: int, j: int, percent: int):
+    """(rows, partners, agreement) of the pairs between tiles i and j that are in different components, have the sizes of
+    similar sets, and share band k but none before it: the pair meets in that band's bucket only."""
+    bands = np.ascontiguousarray(sig).view("<u8").reshape(len(sig), BANDS, -1)[:, :k + 1]
     xi = np.flatnonzero(tile == i)
     yi = xi if i == j else np.flatnonzero(tile == j)
     a, b, m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -175,11 +174,11 @@ def _crossing(tile, comp, n, sig, i: int, j: int, least: int, percent: int):
         if i == j:
             y = y[y > x]
         if len(y):
-            same = (sig[y] == sig[x]).sum(axis=1)
-            y, same = y[same >= least], same[same >= least]
+            equal = (bands[y] == bands[x]).all(axis=2)
+            y = y[equal[:, k] & ~equal[:, :k].any(axis=1)]
             a.append(np.full(len(y), x))
             b.append(y)
-            m.append(same)
+            m.append((sig[y] == sig[x]).sum(axis=1))
     return np.concatenate(a), np.concatenate(b), np.concatenate(m)
 
 
@@ -187,29 +186,30 @@ def _columns(t, *names):
     return [t.column(c).to_numpy() for c in names]
 
 
-def _signatures(t):
-    return np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(t.num_rows, -1)
+def _pairs(t, key, percent: int):
+    """The pairs of a group (bucket, its band's place, tile i, tile j)."""
+    _, k, i, j = (x.as_py() for x in key)
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(t.num_rows, -1)
+    return _crossing(*_columns(t, "tile", "comp", "n_shingles"), sig, k, i, j, percent)
 
 
-def _involved(least: int, percent: int):
-    """Of two tiles of a family: the rows that have a pair to confirm."""
+def _involved(percent: int):
+    """Of two tiles of a bucket: the rows that have a pair to confirm."""
 
     def run(key, t):
-        _, i, j = (k.as_py() for k in key)
-        a, b, _ = _crossing(*_columns(t, "tile", "comp", "n_shingles"), _signatures(t), i, j, least, percent)
+        a, b, _ = _pairs(t, key, percent)
         return t.take(pa.array(np.unique(np.concatenate([a, b]))))
 
     return run
 
 
-def _joined(least: int, size: int, percent: int):
+def _joined(size: int, percent: int):
     """Of two tiles: links between components that are confirmed on the full sets. The pairs most alike come
     first, and a pair that links have joined by then is passed over, so what leaves is a forest."""
 
     def run(key, t):
-        _, i, j = (k.as_py() for k in key)
         node, comp = _columns(t, "node", "comp")
-        a, b, m = _crossing(*_columns(t, "tile", "comp", "n_shingles"), _signatures(t), i, j, least, percent)
+        a, b, m = _pairs(t, key, percent)
         sets = [shingles(x, size) for x in t.column("text").to_pylist()]
         up: dict[int, int] = {}
 
@@ -246,7 +246,7 @@ def classes(df: DataFrame, tables, size: int = 5, percent: int = 80, text_col: s
         F.min(F.struct(F.col("doc_id").alias("doc_id"), F.col("th").alias("th"), F.col("n_shingles").alias("n_shingles"), F.col("sig").alias("sig"))).alias("x"), F.min("doc_id").alias("low"))
     reps = tables.write(own.select("f1", "f2", "low", "x.*").withColumn("node", F.monotonically_increasing_id()))
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 4 * BAND * k + 1, 4 * BAND)) for k in range(BANDS)])
-    rows = reps.select("node", F.explode(bands).alias("band"))
+    rows = reps.select("node", F.posexplode(bands).alias("k", "band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = tables.write(rows.join(shared.select("band", "leader", "n"), "band"))
     # the texts of all candidates, once, so that later rounds leave the others alone
@@ -266,23 +266,18 @@ def classes(df: DataFrame, tables, size: int = 5, percent: int = 80, text_col: s
     star = fitting(star.select(F.col("leader").alias("a"), F.col("node").alias("b")))
     links = tables.write(confirm(star, texts, size, percent))
     groups = connected_components(links, tables)
-    m = tables.write(members.join(groups, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp")))
-    mixed = m.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("node").alias("first")).where("c1 <> c2")
-    open_ = tables.write(m.join(mixed.select("band", "first"), "band").select("node", "comp", "first").distinct())
-    family = connected_components(open_.select(F.col("node").alias("a"), F.col("first").alias("b")), tables).withColumnRenamed("component", "family")
-    rows = open_.select("node", "comp").distinct().join(family, "node")
-    tiles = rows.groupBy("family").agg(F.expr(f"cast((count(*) + {ROWS_A_TILE - 1}) div {ROWS_A_TILE} as int)").alias("tiles"))
-    rows = rows.join(tiles, "family").join(reps.select("node", "sig", "n_shingles"), "node")
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    rows = rows.select("family", "node", "comp", "n_shingles", "sig", "tile", F.explode(block_pairs(F.col("tile"), F.col("tiles"))).alias("p"))
-    rows = rows.select("family", "p.i", "p.j", "node", "comp", "n_shingles", "sig", "tile")
-    p = percent / 100
-    least = math.floor(VALUES * p - 5 * math.sqrt(VALUES * p * (1 - p)))
-    some = tables.write(rows.groupBy("family", "i", "j").applyInArrow(_involved(least, percent), rows.schema))
-    more = some.join(texts, "node").groupBy("family", "i", "j").applyInArrow(_joined(least, size, percent), "a long, b long")
+    m = tables.write(members.join(groups, "node", "left").select("band", "k", "node", F.coalesce("component", "node").alias("comp")))
+    mixed = m.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band")
+    rows = m.join(mixed, "band").join(reps.select("node", "sig", "n_shingles"), "node")
+    tiles = rows.groupBy("band").agg(F.expr(f"cast(greatest((count(*) + {ROWS_A_TILE - 1}) div {ROWS_A_TILE}, (sum(n_shingles) + {SHINGLES_A_TILE - 1}) div {SHINGLES_A_TILE}) as int)").alias("tiles"))
+    rows = rows.join(tiles, "band").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    rows = rows.select("band", "k", "node", "comp", "n_shingles", "sig", "tile", F.explode(block_pairs(F.col("tile"), F.col("tiles"))).alias("p"))
+    rows = rows.select("band", "k", "p.i", "p.j", "node", "comp", "n_shingles", "sig", "tile")
+    some = tables.write(rows.groupBy("band", "k", "i", "j").applyInArrow(_involved(percent), rows.schema))
+    more = some.join(texts, "node").groupBy("band", "k", "i", "j").applyInArrow(_joined(size, percent), "a long, b long")
     more = tables.write(more)
     groups = connected_components(links.unionByName(more), tables)
-    tables.drop(members, texts, links, m, open_, some, more)  # what follows reads docs, reps and groups
+    tables.drop(members, texts, links, m, some, more)  # what follows reads docs, reps and groups
     r = reps.select("f1", "f2", "low", "node").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
     low = r.groupBy("c").agg(F.min("low").alias("least"))
     r = r.join(low, "c").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "least", F.col("c").alias("group"))
