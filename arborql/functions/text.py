@@ -196,3 +196,11 @@ def pieces_wrapped(pieces: Column, before: str, after: str) -> Column:
 def sortable_name(pieces: Column) -> Column:
     """OR7: the name pieces alone."""
     return F.array_join(F.transform(F.filter(pieces, lambda p: p["is_name"]), lambda p: p["text"]), "")
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many characters both begin with; 0 if either is null."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    n = F.least(F.char_length(a), F.char_length(b))
+    first = F.array_position(same, F.lit(False))
+    return F.when(a.isNull() | b.isNull(), 0).otherwise(F.when(first > 0, F.least(first - 1, n)).otherwise(n)).cast("int")

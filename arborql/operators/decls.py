@@ -7,11 +7,11 @@ import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborql.model import CALLOUTS, DOCC_CALLOUTS, OBJC, SWIFT
+from arborql.model import CALLOUTS, DOCC_CALLOUTS, KINDS, OBJC, SWIFT
 
 
 def adjusted_kind(kind: Column, name: Column, declaration: Column, attributes: Column) -> Column:
@@ -124,6 +124,106 @@ def objc_declaration(text: Column) -> Column:
     return F.struct(F.regexp_replace(F.trim(F.regexp_replace(bare, r"\s+", " ")), r"\s+;", ";").alias("text"), F.when(message != "", message).alias("deprecated"))
 
 
+#: Property attributes that are the default, and notes on nullability.
+DEFAULT_ATTRIBUTES = ["atomic", "readwrite", "assign", "unsafe_unretained"]
+NULLABILITY = [r"(?i)\s*(?:_?_Nullable|_?_Nonnull|_?_Null_unspecified)\b", r"\b(?:nullable|nonnull|null_unspecified)\s+"]
+
+
+def objc_neat(text: Column, kind: Column) -> Column:
+    """PRJ17: an Objective-C declaration without what stands elsewhere: deprecations and Swift names, bodies of structures,
+    default property attributes, semicolons at the end."""
+    is_ = lambda *k: kind.isin(*[OBJC + x for x in k])
+    s = F.regexp_replace(F.regexp_replace(F.btrim(text, F.lit(" \t\n\r")), r"\s+__(?:deprecated|unavailable)", ""), r"\s+NS_SWIFT_NAME\(.*\)", "")
+    s = F.when(is_("category", "class", "protocol", "struct", "enum"), F.regexp_replace(s, r"(?s)\s*[{\n].*\z", "")).when(
+        is_("typedef") & s.rlike(r"^typedef\s+NS_\w*\(") & ~s.endswith(")"), F.concat(s, F.lit(")"))).otherwise(s)
+    attributes = F.filter(F.transform(F.split(F.regexp_extract(s, r"@property\s+\((.*?)\)", 1), ","), lambda x: F.trim(x)), lambda x: ~x.isin(DEFAULT_ATTRIBUTES) & (x != ""))
+    listed = F.when(F.size(attributes) > 0, F.concat(F.lit("@property ("), F.array_join(attributes, ", "), F.lit(")"))).otherwise(F.lit("@property"))
+    rest = F.regexp_replace(s, r"^(?s).*?@property\s+\(.*?\)", "")
+    s = F.when(is_("property", "property.class") & s.rlike(r"@property\s+\("), F.regexp_replace(F.concat(listed, rest), r"\s+", " ")).otherwise(s)
+    return F.regexp_replace(s, r"[;\s]*$", "")
+
+
+def _parts(*parts: tuple[bool, Column]) -> Column:
+    return F.array(*[F.struct(F.lit(name).alias("is_name"), text.alias("text")) for name, text in parts])
+
+
+def objc_pieces(neat: Column, name: Column, kind: Column) -> Column:
+    """PRJ17: a neat declaration as array<struct<is_name, text>>. Types: their prefix and the name. Methods: each word before
+    a colon is a name, the last word where there is none, at bracket depth 0 of (), [], <> and {}: depths are running sums
+    over the declaration's tokens, so colons within blocks and generics name nothing. Variables: the type, without extern
+    and property attributes, and the name. Functions: what is around the name."""
+    prefix = F.try_element_at(F.create_map(*[F.lit(x) for k in KINDS if k[3] is not None and k[0].startswith(OBJC) for x in (k[0], k[3])]), kind)
+    flat = F.regexp_replace(neat, r"\s+", " ")
+    for p in NULLABILITY:
+        flat = F.regexp_replace(flat, p, "")
+    # methods
+    decl = F.regexp_replace(F.regexp_replace(flat, r"(?i)\s+OBJC_DESIGNATED_INITIALIZER\b", ""), r"(?i)\s+SWIFT_.*\b", "")
+    tokens = F.regexp_extract_all(decl, F.lit(r"(?U)\w+|\s+|[^\w\s]"), F.lit(0))
+    step = F.transform(tokens, lambda t: F.when(t.isin("(", "[", "<", "{"), 1).when(t.isin(")", "]", ">", "}"), -1).otherwise(0))
+    # array<struct<text, depth>>: the depth that each token stands at
+    start = F.struct(F.lit(0).alias("d"), F.array().cast("array<struct<text:string,depth:int>>").alias("out"))
+    summed = F.aggregate(F.arrays_zip(tokens.alias("t"), step.alias("s")), start, lambda acc, x: F.struct(
+        (acc["d"] + x["s"]).alias("d"), F.array_append(acc["out"], F.struct(x["t"].alias("text"), (acc["d"] + F.least(x["s"], F.lit(0))).alias("depth"))).alias("out")), lambda acc: acc["out"])
+    word = lambda t: t["text"].rlike(r"(?U)^\w+$") & (t["depth"] == 0)
+
+    def after(at: Column, i: Column) -> Column:
+        """The next token that is no space."""
+        return F.when(F.get(at, i + 1)["text"].rlike(r"^\s+$"), F.get(at, i + 2)["text"]).otherwise(F.get(at, i + 1)["text"])
+
+    def named(at: Column) -> Column:
+        marks = F.transform(at, lambda t, i: F.struct(t["text"].alias("text"), (word(t) & (after(at, i) == ":")).alias("is_name")))
+        last = F.transform(at, lambda t, i: F.struct(t["text"].alias("text"), (word(t) & after(at, i).isNull()).alias("is_name")))
+        marks = F.transform(F.when(F.exists(marks, lambda m: F.coalesce(m["is_name"], F.lit(False))), marks).otherwise(last), lambda m: F.struct(m["text"].alias("text"), F.coalesce(m["is_name"], F.lit(False)).alias("is_name")))
+        none = F.array().cast("array<struct<is_name:boolean,text:string>>")
+
+        def joined(acc: Column, m: Column) -> Column:
+            tail = F.element_at(acc, -1)
+            more = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(m["is_name"].alias("is_name"), F.concat(tail["text"], m["text"]).alias("text"))))
+            return F.when((F.size(acc) > 0) & ~m["is_name"] & ~F.coalesce(F.try_element_at(acc, F.lit(-1))["is_name"], F.lit(True)), more).otherwise(F.array_append(acc, F.struct(m["is_name"].alias("is_name"), m["text"].alias("text"))))
+
+        out = F.aggregate(marks, none, joined)
+        return F.when(F.exists(out, lambda x: x["is_name"]), out).otherwise(_parts((True, flat)))
+
+    method = F.transform(F.array(summed), named)[0]
+    # variables and functions: around the last place of the name
+    behind = F.call_function("substring_index", flat, name, F.lit(-1))
+    before = F.left(flat, F.char_length(flat) - F.char_length(behind) - F.char_length(name))
+    kind_of = F.regexp_replace(F.regexp_replace(before, r"^(?:extern|@property\s*(?:\(.*?\))?)", ""), r"^\s+", "")
+    is_ = lambda *k: kind.isin(*[OBJC + x for x in k])
+    has = (name != "") & F.contains(flat, name)
+    other = F.when(prefix.isNotNull(), _parts((False, F.concat(prefix, F.lit(" "))), (True, name))).when(is_("initializer", "method.class", "method.instance"), method)
+    other = other.when(is_("constant", "property", "property.class", "field", "ivar") & has, _parts((False, kind_of), (True, name)))
+    return F.when(name.isNull(), _parts((True, neat))).otherwise(other.when(is_("function") & has, _parts((False, before), (True, name), (False, behind))).otherwise(_parts((True, flat))))
+
+
+def piece_text(p: Column) -> Column:
+    """Pieces as one text, names between square brackets."""
+    return F.array_join(F.transform(p, lambda x: F.when(x["is_name"], F.concat(F.lit("["), x["text"], F.lit("]"))).otherwise(x["text"])), "")
+
+
+def with_objc_declaration(defs: DataFrame, info: DataFrame) -> DataFrame:
+    """PRJ18: Swift definitions(usr, kind, ..) with objc struct<name, kind, declaration, pieces>, built like any Objective-C
+    declaration's from info(usr, name, declaration); null without info, for extensions, and for kinds that Objective-C
+    has no partner of."""
+    i = info.where("name is not null and declaration is not null").select("usr", F.col("name").alias("__name"), F.col("declaration").alias("__text"))
+    partner = F.try_element_at(_partners(SWIFT), F.col("kind"))
+    d = defs.join(i, "usr", "left").withColumn("__kind", F.when(~F.col("kind").startswith(SWIFT + "extension"), partner))
+    d = d.withColumn("__neat", objc_neat(F.col("__text"), F.col("__kind")))
+    built = F.struct(F.col("__name").alias("name"), F.col("__kind").alias("kind"), F.col("__neat").alias("declaration"), objc_pieces(F.col("__neat"), F.col("__name"), F.col("__kind")).alias("pieces"))
+    return d.withColumn("objc", F.when(F.col("__text").isNotNull() & F.col("__kind").isNotNull(), built)).drop("__name", "__text", "__kind", "__neat")
+
+
+def swift_of_objc(kind: Column, swift_name: Column, swift_declaration: Column) -> Column:
+    """PRJ18: struct<name, kind, declaration> of an Objective-C definition in Swift, null without a Swift declaration. An
+    enumeration that is imported as a structure is one."""
+    partner = F.when(swift_declaration.startswith("struct"), F.lit(SWIFT + "struct")).otherwise(F.try_element_at(_partners(OBJC), kind))
+    return F.when(swift_declaration.isNotNull(), F.struct(swift_name.alias("name"), partner.alias("kind"), swift_declaration.alias("declaration")))
+
+
+def _partners(language: str) -> Column:
+    return F.create_map(*[F.lit(x) for k in KINDS if k[1] and k[0].startswith(language) for x in (k[0], k[1])])
+
+
 # ---- parsers ---------------------------------------------------------------------------------------------------
 
 

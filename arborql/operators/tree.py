@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborql.operators.ordered import neighbours
+
 CHILDREN = "key.substructure"
 
 
@@ -123,3 +125,28 @@ def nest(df: DataFrame, fields: list[str], root: list[str], depth: int) -> DataF
         level = now.groupBy(*root, F.slice("path", 1, d - 1).alias("path")).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("path", "json"))), lambda x: x["json"]).alias("kids"))
     return df.select(*root, "path").withColumn("json", F.lit(None).cast("string"))
+
+
+def json_pieces(df: DataFrame, body: str, root: list[str], tables, child_key: str = "children") -> DataFrame:
+    """SNK2, SNK3: trees of any depth as JSON, a piece a row: the pieces of a tree in the order of ``path``, put together,
+    are its text. A row's piece depends on its own depth and that of the row after it, over sorted ranges of the whole
+    table: no level is joined or gathered, and no tree needs to fit in a task.
+
+    df(root.., path, body JSON object); a tree is a row with a path of one and all below it. Rows without their parent
+    right before them in depth are an error. The result is root.., path, top (the tree's first ordinal) and piece."""
+    at = F.struct(*root, F.col("path")[0].alias("__top"))
+    d = df.select(*root, "path", F.col(body).alias("__body")).withColumn("__v", F.struct(at.alias("tree"), F.size("path").alias("depth")))
+    d = neighbours(d, [*root, "path"], "__v", "__prev", "__next", tables)
+    same = lambda v: F.coalesce(F.col(f"{v}.tree").eqNullSafe(F.col("__v.tree")), F.lit(False))
+    depth, after, before = F.col("__v.depth"), F.when(same("__next"), F.col("__next.depth")).otherwise(1), F.when(same("__prev"), F.col("__prev.depth")).otherwise(0)
+    opened = F.substring("__body", F.lit(1), F.length("__body") - 1)
+    more = F.concat(opened, F.when(opened != "{", ",").otherwise(""), F.lit(f'"{child_key}":['))
+    shut = F.concat(F.col("__body"), F.repeat(F.lit("]}"), depth - after), F.when(same("__next"), ",").otherwise(""))
+    piece = F.when(depth - before > 1, F.raise_error(F.concat(F.lit("no parent: "), F.to_json("path")))).when(after > depth, more).otherwise(shut)
+    return d.select(*root, "path", F.col("path")[0].alias("top"), piece.alias("piece"))
+
+
+def json_trees(pieces: DataFrame, root: list[str]) -> DataFrame:
+    """The whole texts: a row a tree (root.., top, json). For trees that fit in a row."""
+    g = pieces.groupBy(*root, "top").agg(F.array_sort(F.collect_list(F.struct("path", "piece"))).alias("p"))
+    return g.select(*root, "top", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("json"))

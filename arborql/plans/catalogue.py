@@ -427,4 +427,4 @@ def q30_unevaluated(spark, sf_dir):
     return tree.unevaluated(h, bad).groupBy(F.size("path").cast("long").alias("depth")).agg(F.count("*").alias("unevaluated"))
 
 
-from arborql.plans import docs, more, symbols, wide  # noqa: E402, F401  (add to QUERIES)
+from arborql.plans import docs, files, more, symbols, wide  # noqa: E402, F401  (add to QUERIES)

@@ -9,17 +9,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arborql.functions.text import re_escape, version_at_most
+from arborql.functions.text import glob_pattern, re_escape, version_at_most
 from arborql.model import SYMBOL_GRAPH
 from arborql.operators.ordered import first_wins, islands, last_wins
+from arborql.tables import hadoop_path
 
 _PATH = "_metadata.file_path"
 
 
 def whole_files(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
     """(file, text) of files, optionally those whose name fits a glob (SRC18)."""
-    r = spark.read.option("wholetext", True)
-    return (r.option("pathGlobFilter", pattern) if pattern else r).text(paths).select(F.col(_PATH).alias("file"), F.col("value").alias("text"))
+    r = spark.read
+    return (r.option("pathGlobFilter", pattern) if pattern else r).text(paths, wholetext=True).select(F.col(_PATH).alias("file"), F.col("value").alias("text"))
+
+
+def glob_files(spark: SparkSession, patterns: str | list[str], name: str | None = None, contents: bool = True) -> DataFrame:
+    """SRC18: (file, folder, name, size, and text with ``contents``) of files in all folders that the patterns name, by *, ?,
+    [..] and {a,b}, in any file system; none is no rows. ``name`` is a shell pattern for the files' own names. It is a
+    filter on metadata, so it prunes the listing before anything is opened, and sizes alone open nothing."""
+    found = []
+    for p in [patterns] if isinstance(patterns, str) else patterns:
+        path, fs = hadoop_path(spark, p)
+        found += [s.getPath().toString() for s in fs.globStatus(path) or []]
+    schema = "file string, folder string, name string, size long" + (", text string" if contents else "")
+    if not found:
+        return spark.createDataFrame([], schema)
+    r = spark.read.text(found, wholetext=True) if contents else spark.read.format("binaryFile").load(found)
+    if name is not None:
+        r = r.where(F.col("_metadata.file_name").rlike(glob_pattern(name)))
+    file = F.col(_PATH)
+    r = r.select(file.alias("file"), F.substring_index(F.regexp_replace(file, "/[^/]*$", ""), "/", -1).alias("folder"), F.col("_metadata.file_name").alias("name"),
+                 F.col("_metadata.file_size").alias("size"), *([F.col("value").alias("text")] if contents else []))
+    return r
 
 
 def raw_symbols(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -89,8 +110,9 @@ def bridging_names(rows: DataFrame) -> DataFrame:
 
 
 def localized_markdown(spark: SparkSession, paths: str | list[str], tags: list[str], main: str) -> DataFrame:
-    """SRC10: (name, texts MAP): .md files; the first of a base name wins; <tag>/<file> overrides it for a tag."""
-    f = whole_files(spark, paths).where(F.lower("file").endswith(".md"))
+    """SRC10: (name, texts MAP): .md files of the paths, which may be patterns; the first of a base name wins;
+    <tag>/<file> overrides it for a tag."""
+    f = glob_files(spark, paths, "*.[mM][dD]").select("file", "text")
     parts = F.split("file", "/")
     f = f.select(F.element_at(parts, -1).alias("name"), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("dir"), F.element_at(parts, -2).alias("last_dir"), "file", "text")
     base = first_wins(f.where(~F.col("last_dir").isin(tags)), ["name"], ["file"])
@@ -105,10 +127,9 @@ def _without(m: Column, tag: str) -> Column:
     return F.map_filter(m, lambda k, _: k != tag)
 
 
-def media_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """SRC11: (name, file, size): names only; contents are not read."""
-    m = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("path").alias("file"), F.col("length").alias("size"))
-    return first_wins(m, ["name"], ["file"])
+def media_files(spark: SparkSession, paths: str | list[str], name: str | None = None) -> DataFrame:
+    """SRC11: (name, file, size) of files that the patterns name: the first of a name; contents are not read."""
+    return first_wins(glob_files(spark, paths, name, contents=False).select("name", "file", "size"), ["name"], ["file"])
 
 
 def builtin_links(spark: SparkSession, paths: str | list[str], base: str) -> DataFrame:

@@ -76,3 +76,29 @@ def site_json(modules: DataFrame, version: str) -> DataFrame:
 def write_text(df: DataFrame, path: str, column: str = "json") -> None:
     """Text files, in the order of the frame."""
     df.select(column).write.mode("overwrite").text(path)
+
+
+#: Rows of an index file.
+INDEX_ROWS = 100_000
+
+
+def docset_files(index: DataFrame, module: str, bundle_prefix: str, version: str | None = None, deployment: str | None = None, playground: str | None = None) -> DataFrame:
+    """SNK7: (path, ord, line) of a docset's files: the property list, the index (id, name, type, path; a tab between, in
+    files of INDEX_ROWS by id, so that it is many tasks' work) and, where it is deployed and has a version, the feed.
+    With ``tree_files`` they appear together or not at all."""
+    spark, low = index.sparkSession, module.lower()
+    key = lambda k, v: [f"<key>{k}</key>", f"<string>{_xml(v)}</string>"] if v else []
+    plist = ['<?xml version="1.0" encoding="UTF-8"?>', '<plist version="1.0">', "<dict>", *key("CFBundleIdentifier", f"{bundle_prefix}.{low}"), *key("CFBundleName", module), *key("DocSetPlatformFamily", low),
+             "<key>isDashDocset</key>", "<true/>", *key("dashIndexFilePath", "index.html"), "<key>isJavaScriptEnabled</key>", "<true/>", "<key>DashDocSetDefaultFTSEnabled</key>", "<true/>",
+             *key("DashDocSetFamily", "dashtoc"), *key("DashDocSetPlayURL", playground), *key("DashDocSetFallbackURL", deployment), "</dict>", "</plist>"]
+    feed = ["<entry>", f"<version>{_xml(version)}</version>", f"<url>{_xml(deployment.rstrip('/') + '/docsets/' + module + '.tgz')}</url>", "</entry>"] if version and deployment else []
+    top = f"{module}.docset/Contents"
+    fixed = [(f"{top}/Info.plist", k, x) for k, x in enumerate(plist)] + [(f"{module}.xml", k, x) for k, x in enumerate(feed)]
+    clean = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\t\n\r]", " ")
+    rows = index.select(F.concat(F.lit(f"{top}/Resources/searchIndex/"), F.lpad(F.expr(f"id div {INDEX_ROWS}").cast("string"), 8, "0"), F.lit(".tsv")).alias("path"),
+                        F.col("id").cast("long").alias("ord"), F.concat_ws("\t", *map(clean, ("id", "name", "type", "path"))).alias("line"))
+    return spark.createDataFrame(fixed, "path string, ord long, line string").unionByName(rows)
+
+
+def _xml(s: str) -> str:
+    return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
