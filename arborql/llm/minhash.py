@@ -6,9 +6,11 @@ and the two are less than independently spread. Documents of equal sets are merg
 
 Candidates share a band. Their links are confirmed on full sets, but pairs are never written out:
 1. every member is confirmed with the leader (least member) of the bucket that it shares most bands with;
-2. the rows of a bucket that still holds several components are cut into tiles, and two tiles meet in one task, which
-   confirms every pair of different components and possible set sizes whose first common band is the bucket's, and
-   returns a forest of confirmed links. Buckets meet nothing outside themselves, however they chain.
+2. buckets that still hold several components make up families (what buckets join). A family meets as a whole, or bucket
+   by bucket where that sends fewer rows to tiles, as where it is a long loose chain. The rows of a group (family or
+   bucket) are cut into tiles, those of a large component into tiles of its own, and two tiles that are not of one
+   component meet in one task, which confirms every pair of different components and possible set sizes that shares a
+   band (in a bucket: none before the bucket's), and returns a forest of confirmed links.
 A pair within one component need not be confirmed, since only components are asked for. Full sets come only for rows
 with a pair left. With 32 bands of 4 values, a pair at similarity 0.8 shares no band once in 20 million times; every
 pair that shares one is confirmed or joined already."""
@@ -19,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arborql.llm.common import connected_components, release, unused
-from arborql.llm.tiles import block_pairs
 
 PERMUTATIONS, BAND = 64, 4
 VALUES = 2 * PERMUTATIONS
@@ -164,8 +166,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
 def _crossing(tile, comp, n, sig, k: int, i: int, j: int, percent: int):
     """(rows, partners, agreement) of the pairs between tiles i and j that are in different components, have the sizes of
-    similar sets, and share band k but none before it: the pair meets in that band's bucket only."""
-    bands = np.ascontiguousarray(sig).view("<u8").reshape(len(sig), BANDS, -1)[:, :k + 1]
+    similar sets, and share band k but none before it (the pair meets in that band's bucket only), or any band if k < 0."""
+    bands = np.ascontiguousarray(sig).view("<u8").reshape(len(sig), BANDS, -1)
+    bands = bands[:, :k + 1] if k >= 0 else bands
     xi = np.flatnonzero(tile == i)
     yi = xi if i == j else np.flatnonzero(tile == j)
     a, b, m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -175,7 +178,7 @@ def _crossing(tile, comp, n, sig, k: int, i: int, j: int, percent: int):
             y = y[y > x]
         if len(y):
             equal = (bands[y] == bands[x]).all(axis=2)
-            y = y[equal[:, k] & ~equal[:, :k].any(axis=1)]
+            y = y[equal[:, k] & ~equal[:, :k].any(axis=1)] if k >= 0 else y[equal.any(axis=1)]
             a.append(np.full(len(y), x))
             b.append(y)
             m.append((sig[y] == sig[x]).sum(axis=1))
@@ -187,14 +190,14 @@ def _columns(t, *names):
 
 
 def _pairs(t, key, percent: int):
-    """The pairs of a group (bucket, its band's place, tile i, tile j)."""
+    """The pairs of a key (group, its band's place or -1, tile i, tile j)."""
     _, k, i, j = (x.as_py() for x in key)
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(t.num_rows, -1)
     return _crossing(*_columns(t, "tile", "comp", "n_shingles"), sig, k, i, j, percent)
 
 
 def _involved(percent: int):
-    """Of two tiles of a bucket: the rows that have a pair to confirm."""
+    """Of two tiles of a group: the rows that have a pair to confirm."""
 
     def run(key, t):
         a, b, _ = _pairs(t, key, percent)
@@ -267,17 +270,38 @@ def classes(df: DataFrame, tables, size: int = 5, percent: int = 80, text_col: s
     links = tables.write(confirm(star, texts, size, percent))
     groups = connected_components(links, tables)
     m = tables.write(members.join(groups, "node", "left").select("band", "k", "node", F.coalesce("component", "node").alias("comp")))
-    mixed = m.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band")
-    rows = m.join(mixed, "band").join(reps.select("node", "sig", "n_shingles"), "node")
-    tiles = rows.groupBy("band").agg(F.expr(f"cast(greatest((count(*) + {ROWS_A_TILE - 1}) div {ROWS_A_TILE}, (sum(n_shingles) + {SHINGLES_A_TILE - 1}) div {SHINGLES_A_TILE}) as int)").alias("tiles"))
-    rows = rows.join(tiles, "band").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    rows = rows.select("band", "k", "node", "comp", "n_shingles", "sig", "tile", F.explode(block_pairs(F.col("tile"), F.col("tiles"))).alias("p"))
-    rows = rows.select("band", "k", "p.i", "p.j", "node", "comp", "n_shingles", "sig", "tile")
-    some = tables.write(rows.groupBy("band", "k", "i", "j").applyInArrow(_involved(percent), rows.schema))
-    more = some.join(texts, "node").groupBy("band", "k", "i", "j").applyInArrow(_joined(size, percent), "a long, b long")
+    mixed = m.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("node").alias("first")).where("c1 <> c2").select("band", "first")
+    open_ = tables.write(m.join(mixed, "band"))
+    family = connected_components(open_.select(F.col("node").alias("a"), F.col("first").alias("b")), tables).withColumnRenamed("component", "family")
+    open_ = tables.write(open_.drop("first").join(family, "node"))
+    # a family meets as a whole, or bucket by bucket where that takes fewer rows to tiles
+    cost = F.expr(f"sum(n * ((n + {ROWS_A_TILE - 1}) div {ROWS_A_TILE}))")
+    apart = open_.groupBy("family", "band").agg(F.count("*").alias("n")).groupBy("family").agg(cost.alias("apart"))
+    whole = open_.select("family", "node", "comp").distinct()
+    as_one = whole.groupBy("family").agg(F.count("*").alias("n")).groupBy("family").agg(cost.alias("as_one"))
+    way = tables.write(apart.join(as_one, "family").select("family", (F.col("as_one") <= F.col("apart")).alias("one")))
+    rows = whole.join(way.where("one"), "family").select(F.col("family").alias("grp"), F.lit(-1).alias("k"), "node", "comp")
+    rows = rows.union(open_.join(way.where("not one"), "family").select("band", "k", "node", "comp")).join(reps.select("node", "sig", "n_shingles"), "node")
+    # a component of many rows has tiles of its own, which need not meet one another; the others share tiles
+    parts = lambda n, s: F.expr(f"cast(greatest(({n} + {ROWS_A_TILE - 1}) div {ROWS_A_TILE}, ({s} + {SHINGLES_A_TILE - 1}) div {SHINGLES_A_TILE}) as int)")
+    key = ["grp", "k"]
+    sizes = rows.groupBy(*key, "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).withColumn("large", F.expr(f"n >= {ROWS_A_TILE // 4} or s >= {SHINGLES_A_TILE // 4}"))
+    sizes = tables.write(sizes.withColumn("own", F.when(F.col("large"), parts("n", "s"))))
+    common = sizes.groupBy(*key).agg(F.sum(F.expr("if(large, 0, n)")).alias("n"), F.sum(F.expr("if(large, 0, s)")).alias("s"), F.coalesce(F.sum("own"), F.lit(0)).alias("owned"))
+    common = common.select(*key, parts("n", "s").alias("common"), "owned")
+    before = F.coalesce(F.sum("own").over(W.partitionBy(*key).orderBy("comp").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    large = sizes.where("large").select(*key, "comp", "own", before.alias("before"))
+    rows = rows.join(common, key).join(large, [*key, "comp"], "left").withColumn("low", F.col("common") + F.col("before"))
+    rows = rows.withColumn("tile", F.expr("cast(if(own is null, pmod(xxhash64(node), common), low + pmod(xxhash64(node), own)) as int)"))
+    others = F.expr("filter(sequence(0, cast(common + owned - 1 as int)), t -> own is null or t < low or t >= low + own)")
+    meet = F.transform(others, lambda t: F.struct(F.least(F.col("tile"), t).alias("i"), F.greatest(F.col("tile"), t).alias("j")))
+    rows = rows.select(*key, "node", "comp", "n_shingles", "sig", "tile", F.explode(meet).alias("p"))
+    rows = rows.select(*key, "p.i", "p.j", "node", "comp", "n_shingles", "sig", "tile")
+    some = tables.write(rows.groupBy(*key, "i", "j").applyInArrow(_involved(percent), rows.schema))
+    more = some.join(texts, "node").groupBy(*key, "i", "j").applyInArrow(_joined(size, percent), "a long, b long")
     more = tables.write(more)
     groups = connected_components(links.unionByName(more), tables)
-    tables.drop(members, texts, links, m, some, more)  # what follows reads docs, reps and groups
+    tables.drop(members, texts, links, m, open_, way, sizes, some, more)  # what follows reads docs, reps and groups
     r = reps.select("f1", "f2", "low", "node").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
     low = r.groupBy("c").agg(F.min("low").alias("least"))
     r = r.join(low, "c").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "least", F.col("c").alias("group"))
