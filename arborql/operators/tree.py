@@ -6,9 +6,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arborql.operators.ordered import neighbours
+from arborql.operators.ordered import neighbours, placed_in_order
 
 CHILDREN = "key.substructure"
 
@@ -58,31 +59,57 @@ def ancestor_paths(path: Column) -> Column:
     return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.slice(path, F.lit(1), k))).otherwise(F.slice(F.array(path), 1, 0))
 
 
-def with_ancestors(df: DataFrame, value: str, name: str, root: list[str] | None = None) -> DataFrame:
-    """PRJ11, LNK12: ``name`` holds the values of the ancestors and the row itself, outermost first."""
+#: Levels for which the last row of each is carried along in one pass; deeper trees ask for their prefixes.
+LEVELS = 32
+
+
+def above(df: DataFrame, value: Column, name: str, root: list[str] | None = None, tables=None) -> DataFrame:
+    """``name`` holds ``value`` of the ancestors that are rows and of the row itself, outermost first.
+
+    In order of path the last row of a level so far is the ancestor on that level, if it is a prefix. So it is one pass
+    over sorted ranges with the last row of each level carried along, and a row a range for what comes from before it."""
     root = root or []
-    ups = df.select(*root, F.col("path").alias("__of"), F.explode(F.array_append(ancestor_paths(F.col("path")), F.col("path"))).alias("__at"))
-    vals = df.select(*root, F.col("path").alias("__at"), F.col(value).alias("__v"))
+    d = placed_in_order(df.withColumn("__v", value), [*root, "path"], tables)
+    deep = d.agg(F.max(F.size("path"))).first()[0] or 0
+    if deep > LEVELS or not deep:
+        return _above_by_prefix(d.drop("__part", "__at"), name, root)
+    depth = F.size("path")
+    at = [F.when(depth == k, F.struct(*root, F.col("path").alias("__p"), F.col("__v").alias("__v"))) for k in range(1, deep + 1)]
+    w = W.partitionBy("__part").orderBy("__at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    across = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # over a row a range
+    ends = d.groupBy("__part").agg(*[F.max_by(x, F.when(x.isNotNull(), F.col("__at"))).alias(f"__e{k}") for k, x in enumerate(at)])
+    ends = ends.select("__part", *[F.last(f"__e{k}", ignorenulls=True).over(across).alias(f"__c{k}") for k in range(deep)])
+    d = d.select("*", *[F.last(x, ignorenulls=True).over(w).alias(f"__l{k}") for k, x in enumerate(at)]).join(ends, "__part")
+    own = lambda x: [x[r].eqNullSafe(F.col(r)) for r in root]
+    last = [F.coalesce(f"__l{k}", f"__c{k}") for k in range(deep)]
+    fits = [reduce(lambda a, b: a & b, own(x), (depth > k) & (F.slice("path", 1, k + 1) == x["__p"])) for k, x in enumerate(last)]
+    some = F.array(*[F.when(f, x) for f, x in zip(fits, last)]) if last else F.array()
+    return d.withColumn(name, F.transform(F.filter(some, lambda x: x.isNotNull()), lambda x: x["__v"])).select(*df.columns, name)
+
+
+def _above_by_prefix(d: DataFrame, name: str, root: list[str]) -> DataFrame:
+    """The same for trees of any depth: a row asks for each of its prefixes."""
+    ups = d.select(*root, F.col("path").alias("__of"), F.explode(F.array_append(ancestor_paths(F.col("path")), F.col("path"))).alias("__at"))
+    vals = d.select(*root, F.col("path").alias("__at"), "__v")
     got = ups.join(vals, [*root, "__at"]).groupBy(*root, "__of").agg(F.array_sort(F.collect_list(F.struct(F.size("__at").alias("d"), F.col("__v").alias("v")))).alias("__vs"))
-    return df.join(got.withColumnRenamed("__of", "path"), [*root, "path"]).withColumn(name, F.transform("__vs", lambda x: x["v"])).drop("__vs")
+    return d.join(got.withColumnRenamed("__of", "path"), [*root, "path"]).withColumn(name, F.transform("__vs", lambda x: x["v"])).drop("__vs", "__v")
+
+
+def with_ancestors(df: DataFrame, value: str, name: str, root: list[str] | None = None) -> DataFrame:
+    """PRJ11, LNK12: ``name`` holds the values of the ancestors and the row itself, outermost first."""
+    return above(df, F.col(value), name, root)
 
 
 def prune(df: DataFrame, dropped: Column, root: list[str] | None = None) -> DataFrame:
-    """FLT10: rows with neither a dropped ancestor nor dropped themselves. A row asks for its own prefixes, so
-    the anti-join is an equi-join on paths."""
-    root = root or []
-    bad = df.where(dropped).select(*root, F.col("path").alias("__bad"))
-    asks = df.select(*root, "path", F.explode(F.array_append(ancestor_paths(F.col("path")), F.col("path"))).alias("__bad"))
-    hit = asks.join(bad, [*root, "__bad"], "left_semi").select(*root, "path").distinct()
-    return df.join(hit, [*root, "path"], "left_anti")
+    """FLT10: rows with neither a dropped ancestor nor dropped themselves."""
+    d = above(df, F.coalesce(dropped, F.lit(False)), "__dropped", root)
+    return d.where(~F.exists("__dropped", lambda x: x)).drop("__dropped")
 
 
 def unevaluated(df: DataFrame, dropped: Column, root: list[str] | None = None) -> DataFrame:
     """FLT10: the rows below a dropped row, which are neither evaluated nor counted."""
-    root = root or []
-    bad = df.where(dropped).select(*root, F.col("path").alias("__bad"))
-    asks = df.select(*root, "path", F.explode(ancestor_paths(F.col("path"))).alias("__bad"))
-    return df.join(asks.join(bad, [*root, "__bad"], "left_semi").select(*root, "path").distinct(), [*root, "path"], "left_semi")
+    d = above(df, F.coalesce(dropped, F.lit(False)), "__dropped", root)
+    return d.where(F.exists(F.slice("__dropped", F.lit(1), F.size("__dropped") - 1), lambda x: x)).drop("__dropped")
 
 
 def prune_childless(df: DataFrame, needs_child: Column, tables, root: list[str] | None = None) -> DataFrame:

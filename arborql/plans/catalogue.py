@@ -342,7 +342,7 @@ def q22_graph(spark, sf_dir):
     e = read(spark, sf_dir, "lineitem").select(
         F.struct("l_orderkey", "l_linenumber").alias("ord"), kind.alias("kind"), key("l_partkey", "p").alias("source"), key("l_suppkey", "s").alias("target"), F.lit(None).cast("string").alias("fallback"),
         F.when((F.col("l_linestatus") == "F") & many, one("T : Q")).otherwise(none).alias("constraints"), F.lit(None).cast("string").alias("warning"))
-    r = graph.resolved(e, graph.vertices(p.unionByName(s)))
+    r = Tables(spark).write(graph.resolved(e, graph.vertices(p.unionByName(s))))  # read by six reports
     m, f = graph.placed(r), graph.flags(r)
     counted = lambda d, what: d.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
     parts = [counted(r.where("warning = 'missing source'"), "missing source"), counted(m.where("into_target"), "into target"), counted(m.where("not into_target"), "into extension"), counted(graph.conformances(r), "conforms"),

@@ -92,6 +92,26 @@ def test_tree(spark, tables):
     assert [json.loads(r.json) for r in j] == [{"id": 1, "children": [{"id": 3, "children": [{"id": 4}]}, {"id": 2}]}, {"id": 5}]
 
 
+@pytest.mark.parametrize("levels", [32, 0])
+def test_above(spark, tables, monkeypatch, levels):
+    """Ancestors over sorted ranges and by prefixes: missing ancestors are left out, roots are apart, order of rows is nothing."""
+    import random
+
+    monkeypatch.setattr(tree, "LEVELS", levels)
+    r = random.Random(6)
+    paths = {(f, *p[:k]) for f in "ab" for p in [[r.randrange(3) for _ in range(5)] for _ in range(40)] for k in range(1, 6)}
+    paths = sorted(p for p in paths if r.random() < 0.8)
+    rows = [(p[0], list(p[1:]), None if k % 7 == 0 else f"v{k}") for k, p in enumerate(paths)]
+    given = {(f, *p): v for f, p, v in rows}
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "f string, path array<int>, v string").repartition(5)
+    got = {(x.f, *x.path): x.vs for x in tree.above(df, F.col("v"), "vs", ["f"]).collect()}
+    assert got == {p: [given[p[:k]] for k in range(2, len(p) + 1) if p[:k] in given] for p in given}
+    gone = lambda p: any(given.get(p[:k]) in ("v3", "v20", "v41") for k in range(2, len(p) + 1))
+    assert {(x.f, *x.path) for x in tree.prune(df, F.col("v").isin("v3", "v20", "v41"), ["f"]).collect()} == {p for p in given if not gone(p)}
+    assert {(x.f, *x.path) for x in tree.unevaluated(df, F.col("v").isin("v3", "v20", "v41"), ["f"]).collect()} == {p for p in given if gone(p[:-1])}
+    assert tree.above(df.limit(0), F.col("v"), "vs", ["f"]).count() == 0
+
+
 def test_deep_trees(spark, tables):
     """Below 64 levels (100 of JSON) nothing is lost, and a guard that is reached is an error."""
     n = 67
