@@ -8,7 +8,8 @@ those that may be near find one another by the grid cells that they cover.
 
 Two tiles first meet in their leading dimensions: with x = (x1, x2) rotated and of length 1,
 x.y <= x1.y1 + |x2||y2|, which is a matrix product over the leading dimensions and one more column of suffix norms.
-Only the rows with a pair that reaches the threshold come again with whole vectors. Their products go on dimension by
+Only the rows with a pair that reaches the threshold come again with whole vectors; where a few pairs of tiles show that
+most do, all come at once. Their products go on dimension by
 dimension, over the rows and columns that still have such a pair, and what remains is decided in double precision. Two
 tiles return link counts and a spanning forest, never links, so a large group of near copies costs rows in proportion
 to its size."""
@@ -31,6 +32,10 @@ ROWS_A_TILE = 4096
 ROWS_AT_ONCE = 256
 #: Directions of the tiles' boxes and of the tree's splits, those of the grid, and vectors that the tree is fitted on.
 BOX, GRID, SAMPLE = 8, 3, 1 << 16
+#: Parts that the sample's share of the vectors is counted in, and the least width of a grid cell.
+SHARES, CELL = 1 << 40, 0.25
+#: Pairs of tiles that are tried first (about), and the share of their rows beyond which all rows go on.
+PROBED, MOST_GO_ON = 8, 0.5
 #: Room for rounding in the bounds; what passes is decided on the whole vectors.
 ROOM = 1e-9
 
@@ -190,9 +195,10 @@ def compare(x: np.ndarray, y: np.ndarray, basis: np.ndarray | None, threshold: f
 def tile_pairs(tiles: DataFrame, gap: float) -> DataFrame:
     """(d, i, j), i <= j, of the tiles(d, tile, lo, hi) whose boxes are at most ``gap`` apart. A tile is filed under the
     cells of a grid that its box covers and asks for those that the box and a margin cover, so near tiles meet by an
-    equi-join."""
+    equi-join. Cells are CELL wide at least, so that a tile has some hundreds of them at most, however small the gap."""
     lo, hi = (lambda k: F.get(F.col("lo"), F.lit(k))), (lambda k: F.get(F.col("hi"), F.lit(k)))
-    cell = lambda x, more: (F.floor(x / gap) + more).cast("int")
+    wide = max(gap, CELL)
+    cell = lambda x, more: (F.floor(x / wide) + more).cast("int")
 
     def filed(margin: int, name: str) -> DataFrame:
         t = tiles.select("d", F.col("tile").alias(name), F.col("lo").alias(f"lo_{name}"), F.col("hi").alias(f"hi_{name}"), *[
@@ -221,20 +227,26 @@ def tiled(reps: DataFrame, tables, rows_a_tile: int, seed_bases: dict) -> DataFr
     def boxed(z: np.ndarray) -> np.ndarray:
         return np.hstack([z[:, :BOX], np.zeros((len(z), max(0, BOX - z.shape[1])))])
 
-    trees = {}
-    for d, n in sizes.items():
-        own = many.where(F.octet_length("vec") == 8 * d)
-        if n > SAMPLE:
-            own = own.orderBy(F.xxhash64("vec"), "node").limit(SAMPLE)
+    # a sample by the vectors' own hashes: every task projects its share, and nothing is sorted
+    share = F.try_element_at(F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, min(SHARES, SAMPLE * SHARES // n))]), (F.octet_length("vec") / 8).cast("int")) if sizes else F.lit(0)
 
-        def project(batches, basis=bases[d]):
-            for b in batches:
-                if b.num_rows:
-                    z = boxed(unit(b.column("vec").to_pylist()) @ basis[:, :BOX])
-                    yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary())], ["z"])
+    def project(batches):
+        for b in batches:
+            by: dict[int, list[bytes]] = {}
+            for v in b.column(0).to_pylist():
+                by.setdefault(len(v) // 8, []).append(v)
+            for d, vs in by.items():
+                z = boxed(unit(vs) @ bases[d][:, :BOX])
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([z.tobytes()], pa.binary())], ["d", "z"])
 
-        z = b"".join(r["z"] for r in own.select("vec").mapInArrow(project, "z binary").collect())
-        trees[d] = Splits(np.frombuffer(z, "<f8").reshape(-1, BOX), -(-n // rows_a_tile))
+    points: dict[int, list[bytes]] = {d: [] for d in sizes}
+    for r in many.where(F.pmod(F.xxhash64("vec"), F.lit(SHARES)) < share).select("vec").mapInArrow(project, "d int, z binary").collect() if sizes else []:
+        points[r["d"]].append(r["z"])
+    # batches come in any order; the splits are those of the set
+    trees = {}
+    for d, z in points.items():
+        z = np.frombuffer(b"".join(z), "<f8").reshape(-1, BOX)
+        trees[d] = Splits(z[np.lexsort(z.T)], -(-sizes[d] // rows_a_tile))
 
     def place(batches):
         for b in batches:
@@ -280,7 +292,7 @@ def dedup(df: DataFrame, tables, threshold: float = 0.9, id_col: str = "vec_id",
     placed = tables.write(tiled(reps, tables, rows_a_tile, basis))
     pairs = tables.write(tile_pairs(boxes(placed), max(gap, 1e-3)))
 
-    def met(row: DataFrame) -> DataFrame:
+    def met(row: DataFrame, pairs: DataFrame = pairs) -> DataFrame:
         """Rows of both tiles of each pair; ``left`` tells the first one's."""
         one = row.join(pairs.withColumnRenamed("i", "tile"), ["d", "tile"]).withColumn("i", F.col("tile")).withColumn("left", F.lit(True))
         two = row.join(pairs.where("i <> j").withColumnRenamed("j", "tile"), ["d", "tile"]).withColumn("j", F.col("tile")).withColumn("left", F.lit(False))
@@ -295,8 +307,14 @@ def dedup(df: DataFrame, tables, threshold: float = 0.9, id_col: str = "vec_id",
             on[~left] = hits
         return t.select(["d", "i", "j", "node", "left"]).filter(pa.array(on))
 
-    lead = met(placed.select("d", "tile", "node", "lead"))
-    some = tables.write(lead.groupBy("d", "i", "j").applyInArrow(near, "d int, i long, j long, node long, left boolean"))
+    def may_link(pairs: DataFrame) -> DataFrame:
+        return met(placed.select("d", "tile", "node", "lead"), pairs).groupBy("d", "i", "j").applyInArrow(near, "d int, i long, j long, node long, left boolean")
+
+    # where a few pairs of tiles, by hash, show that the leading dimensions let most rows go on, all of them do at once:
+    # the bound is then only kept within blocks, and the result is the same
+    few = pairs.where(F.pmod(F.xxhash64("d", "i", "j"), F.lit(max(1, pairs.count() // PROBED))) == 0)
+    every = met(placed.select("d", "tile", "node"), few).count()
+    some = tables.write(may_link(pairs) if may_link(few).count() <= MOST_GO_ON * every else met(placed.select("d", "tile", "node")).select("d", "i", "j", "node", "left"))
 
     def block(key, t):
         d, i, j = (k.as_py() for k in key)

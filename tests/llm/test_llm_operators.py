@@ -109,6 +109,25 @@ def test_embedding_tiles(spark, tables):
     assert all((min(at[i], at[j]), max(at[i], at[j])) in have for i, j in zip(a.tolist(), b.tolist()))
 
 
+@pytest.mark.parametrize("go_on", [-1.0, 1.0])
+def test_embeddings_both_ways(spark, tables, monkeypatch, go_on):
+    """With and without the first meeting, on a sample, at a threshold near one, and of several lengths: the same rows."""
+    monkeypatch.setattr(embedding_dedup, "MOST_GO_ON", go_on)
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 40)
+    v = vectors() + [(1000 + i, x + [0.5]) for i, x in vectors() if x is not None and len(x) == 12]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(4)
+    for threshold in (0.9, 0.9999):
+        out = embedding_dedup.dedup(df, tables, threshold=threshold, rows_a_tile=20)
+        assert got(out, "vec_id", "n_links", "component_id", "kept") == brute.embeddings(v, threshold)
+
+
+def test_embedding_cells_are_bounded(spark, tables):
+    """However small the gap, a tile is filed under some hundreds of cells at most."""
+    tiles = spark.createDataFrame([(16, 0, [-1.0] * 8, [1.0] * 8), (16, 1, [0.0] * 8, [0.1] * 8), (16, 2, [0.3] * 8, [0.4] * 8)], "d int, tile long, lo array<double>, hi array<double>")
+    pairs = {(r.i, r.j) for r in embedding_dedup.tile_pairs(tiles, 1e-6).collect()}
+    assert pairs == {(0, 0), (1, 1), (2, 2), (0, 1), (0, 2)}
+
+
 def test_embedding_ties_are_split(spark, tables):
     """One-hot and sparse vectors share their places along the directions; a tile still holds rows_a_tile rows or so."""
     rows = [(i, [1.0 if k == i % 30 else 0.0 for k in range(30)] + [0.001 * (i // 30)]) for i in range(300)]
