@@ -1,5 +1,5 @@
-"""Declarations and documentation comments. Pattern work stays in expressions; what needs a tokenizer (bracket
-depth, block structure, XML) is Arrow-batched Python."""
+"""Declarations and documentation comments, as expressions: bracket depths, blocks and items are folds over token and line
+arrays. XML comments and HTML are Arrow-batched Python."""
 
 from __future__ import annotations
 
@@ -224,147 +224,152 @@ def _partners(language: str) -> Column:
     return F.create_map(*[F.lit(x) for k in KINDS if k[1] and k[0].startswith(language) for x in (k[0], k[1])])
 
 
-# ---- parsers ---------------------------------------------------------------------------------------------------
-
-
-def parse_availability(attribute: str | None) -> dict | None:
-    """PRJ15: '@available(..)' in its three forms: shorthand list, one platform with versions, and '*' or swift."""
-    m = re.match(r"\s*@available\s*\((.*)\)\s*$", attribute or "", re.S)
-    if not m:
-        return None
-    parts, depth, text, cut = [], 0, "", False
-    for c in m[1]:
-        if c == '"':
-            cut = not cut
-        if c == "," and not cut and depth == 0:
-            parts.append(text.strip())
-            text = ""
-        else:
-            depth += (c == "(") - (c == ")") if not cut else 0
-            text += c
-    parts.append(text.strip())
-    pairs = {k.strip(): v.strip().strip('"') for k, v in (p.split(":", 1) for p in parts if ":" in p)}
-    words = [p for p in parts if ":" not in p]
-    out = {"available": [], "deprecated": None, "unavailable": None}
-    if all(re.fullmatch(r"\w+\s+[\d.]+|\*", w) for w in words) and not pairs:
-        out["available"] = [f"{w.split()[0]} {w.split()[1]}+" for w in words if w != "*"]
-        return out
-    platform = words[0] if words else "*"
-    prefix = "" if platform == "*" else platform + " "
-    first, last = pairs.get("introduced"), pairs.get("obsoleted")
-    if platform != "*" and (first or last):
-        out["available"] = [f"{platform} {first or '?'}-{last}" if last else f"{platform} {first}+"]
-    renamed = f" Renamed: `{pairs['renamed']}`." if "renamed" in pairs else ""
-    message = (pairs.get("message", "") + renamed).strip()
-    if "deprecated" in words or "deprecated" in pairs:
-        since = f" since {pairs['deprecated']}" if pairs.get("deprecated") else ""
-        out["deprecated"] = (f"{prefix}deprecated{since}" + (f": {message}" if message else ".")).strip()
-    if "unavailable" in words or last:
-        since = f" since {last}" if last else ""
-        out["unavailable"] = (f"{prefix}unavailable{since}" + (f": {message}" if message else ".")).strip()
-    return out
+def availability(attribute: Column | str) -> Column:
+    """PRJ15: struct<available, deprecated, unavailable> of '@available(..)' in its three forms: shorthand list, one platform
+    with versions, and '*' or swift; null for anything else. Commas within quotes and brackets part nothing."""
+    attribute = F.col(attribute) if isinstance(attribute, str) else attribute
+    form = r"(?s)^\s*@available\s*\((.*)\)\s*$"
+    inner = F.regexp_extract(attribute, form, 1)
+    parts = F.transform(F.regexp_extract_all(inner, F.lit(r"(?s)(?:\"[^\"]*+(?:\"|$)|\([^()]*+\)|[^,\"])++"), F.lit(0)), lambda p: F.btrim(p, F.lit(" \t\n\r")))
+    bare = lambda v: F.regexp_replace(F.btrim(v, F.lit(" \t\n\r")), r'^"+|"+$', "")
+    pair = lambda p: F.struct(F.btrim(F.substring_index(p, ":", 1), F.lit(" \t\n\r")).alias("k"), bare(F.regexp_replace(p, r"(?s)^[^:]*:", "")).alias("v"))
+
+    def read(parts: Column) -> Column:
+        words = F.filter(parts, lambda p: ~F.contains(p, F.lit(":")))
+        pairs = F.transform(F.filter(parts, lambda p: F.contains(p, F.lit(":"))), pair)
+        value = lambda k: F.try_element_at(F.filter(pairs, lambda x: x["k"] == k), F.lit(-1))["v"]
+        word = lambda w: F.array_contains(words, w)
+        short = (F.size(pairs) == 0) & F.forall(words, lambda w: w.rlike(r"(?U)^(?:\w+\s+[\d.]+|\*)$"))
+        listed = F.transform(F.filter(words, lambda w: w != "*"), lambda w: F.concat(F.concat_ws(" ", F.slice(F.split(w, r"\s+"), 1, 2)), F.lit("+")))
+        platform = F.coalesce(F.try_element_at(words, F.lit(1)), F.lit("*"))
+        prefix = F.when(platform == "*", "").otherwise(F.concat(platform, F.lit(" ")))
+        first, last = F.nullif(value("introduced"), F.lit("")), F.nullif(value("obsoleted"), F.lit(""))
+        span = F.when(last.isNotNull(), F.concat(platform, F.lit(" "), F.coalesce(first, F.lit("?")), F.lit("-"), last)).otherwise(F.concat(platform, F.lit(" "), first, F.lit("+")))
+        none = F.array().cast("array<string>")
+        renamed = F.when(value("renamed").isNotNull(), F.concat(F.lit(" Renamed: `"), value("renamed"), F.lit("`."))).otherwise("")
+        message = F.trim(F.concat(F.coalesce(value("message"), F.lit("")), renamed))
+
+        def said(what: str, since: Column) -> Column:
+            since = F.when(F.coalesce(since, F.lit("")) != "", F.concat(F.lit(" since "), since)).otherwise("")
+            return F.trim(F.concat(prefix, F.lit(what), since, F.when(message != "", F.concat(F.lit(": "), message)).otherwise(".")))
+
+        return F.struct(
+            F.when(short, listed).when((platform != "*") & (first.isNotNull() | last.isNotNull()), F.array(span)).otherwise(none).alias("available"),
+            F.when(~short & (word("deprecated") | value("deprecated").isNotNull()), said("deprecated", value("deprecated"))).alias("deprecated"),
+            F.when(~short & (word("unavailable") | last.isNotNull()), said("unavailable", last)).alias("unavailable"))
+
+    return F.when(attribute.rlike(form), F.transform(F.array(parts), read)[0])
+
+
+#: A list item's mark at a line's beginning.
+ITEM = r"[-*+]\s+"
+
+
+def doc_comment(text: Column | str) -> Column:
+    """PRJ20: struct of abstract (first paragraph), discussion, returns, throws, localization_key and parameters. An empty
+    comment keeps its ''. List items that are callouts of the known kinds leave the text; others stay. Lines are folded
+    into blocks (parted by blank lines outside of code), blocks into items, and items into what they say."""
+    text = F.col(text) if isinstance(text, str) else text
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    strings, joined = F.array().cast("array<string>"), lambda x: F.array_join(x, "\n")
+    begin = F.struct(F.lit(False).alias("fence"), strings.alias("now"), F.array().cast("array<array<string>>").alias("done"))
+
+    def block(acc: Column, line: Column) -> Column:
+        fence = F.when(line.rlike(r"^\s*```"), ~acc["fence"]).otherwise(acc["fence"])
+        blank = (strip(line) == "") & ~fence
+        shut = F.when(F.size(acc["now"]) > 0, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"])
+        return F.struct(fence.alias("fence"), F.when(blank, strings).otherwise(F.array_append(acc["now"], line)).alias("now"), F.when(blank, shut).otherwise(acc["done"]).alias("done"))
+
+    def items(lines: Column) -> Column:
+        def add(acc: Column, line: Column) -> Column:
+            more = F.array_append(F.element_at(acc, -1), line)
+            return F.when(line.rlike(rf"^\s?{ITEM}") | (F.size(acc) == 0), F.array_append(acc, F.array(line))).otherwise(F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), more))
+
+        return F.aggregate(lines, F.array().cast("array<array<string>>"), add)
+
+    def said(item: Column) -> Column:
+        """struct<kind, name, text, lines> of an item: a parameter, parameters, another callout, or text."""
+        first = F.regexp_replace(F.get(item, F.lit(0)), rf"^\s*{ITEM}", "")
+        below = F.slice(item, F.lit(2), F.size(item))
+        param, term = r"(?i)^parameter\s+([^:]+?)\s*:\s*(.*)", r"(?i)^(parameters|returns|throws|localizationkey)\s*:\s*(.*)"
+        whole = lambda p: strip(joined(F.concat(F.array(F.regexp_extract(first, p, 2)), F.transform(below, lambda x: F.regexp_replace(x, r"^\s{1,4}", "")))))
+        make = lambda kind, name, t: F.struct(kind.alias("kind"), name.alias("name"), t.alias("text"), below.alias("below"))
+        return F.when(first.rlike(param), make(F.lit("parameter"), F.regexp_extract(first, param, 1), whole(param))).when(
+            first.rlike(term), make(F.lower(F.regexp_extract(first, term, 1)), F.lit(""), whole(term))).otherwise(make(F.lit("text"), F.lit(""), joined(item)))
+
+    is_list = lambda b: F.get(b, F.lit(0)).rlike(rf"^\s*{ITEM}")
+    parsed = lambda b: F.struct(is_list(b).alias("is_list"), joined(b).alias("text"), F.when(is_list(b), F.transform(items(b), said)).alias("items"))
+
+    def parts(blocks: Column) -> Column:
+        every = F.flatten(F.transform(F.filter(blocks, lambda b: b["is_list"]), lambda b: b["items"]))
+        stay = lambda b: F.filter(b["items"], lambda i: i["kind"] == "text")
+        rest = F.filter(F.transform(blocks, lambda b: F.when(~b["is_list"], b["text"]).when(F.size(stay(b)) > 0, joined(F.transform(stay(b), lambda i: i["text"])))), lambda t: t.isNotNull())
+        one = rf"^\s*{ITEM}([^:]+?)\s*:\s*(.*)"
+        line = lambda x: F.struct(F.when(x.rlike(one), F.regexp_extract(x, one, 1)).alias("name"), F.when(x.rlike(one), strip(F.regexp_extract(x, one, 2))).otherwise(strip(x)).alias("description"))
+        listed = F.flatten(F.transform(F.filter(every, lambda i: i["kind"].isin("parameter", "parameters")), lambda i: F.when(
+            i["kind"] == "parameter", F.array(F.struct(i["name"].alias("name"), i["text"].alias("description")))).otherwise(F.transform(i["below"], line))))
+        none = F.array().cast("array<struct<name:string,description:string>>")
+
+        def param(acc: Column, x: Column) -> Column:
+            last = F.try_element_at(acc, F.lit(-1))
+            on = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct(last["name"].alias("name"), strip(F.concat(last["description"], F.lit("\n"), x["description"])).alias("description")))
+            return F.when(x["name"].isNotNull(), F.array_append(acc, x)).when(F.size(acc) > 0, on).otherwise(acc)
+
+        key = lambda k: F.try_element_at(F.filter(every, lambda i: i["kind"] == k), F.lit(-1))["text"]
+        lead = (F.size(rest) > 0) & ~F.get(rest, F.lit(0)).rlike(r"^\s*(?:[-*+]|#|```|>)")
+        return F.struct(
+            F.when(lead, F.get(rest, F.lit(0))).otherwise("").alias("abstract"), F.array_join(F.when(lead, F.slice(rest, F.lit(2), F.size(rest))).otherwise(rest), "\n\n").alias("discussion"),
+            key("returns").alias("returns"), key("throws").alias("throws"), key("localizationkey").alias("localization_key"), F.aggregate(listed, none, param).alias("parameters"))
+
+    def through(x: Column, f) -> Column:
+        return F.transform(F.array(x), f)[0]
+
+    folded = F.aggregate(F.array_append(F.split(text, "\n"), F.lit("")), begin, block, lambda acc: F.when(F.size(acc["now"]) > 0, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]))
+    return F.when(text.isNotNull(), through(F.transform(folded, parsed), parts))
+
+
+#: The words that declare something.
+KEYWORDS = "func|var|let|class|struct|enum|protocol|extension|typealias|associatedtype|actor|case|init|deinit|subscript|precedencegroup"
+
+
+def pieces(declaration: Column | str) -> Column:
+    """PRJ16: a Swift declaration as array<struct<is_name, text>>: its name (what follows the keyword, or init, deinit and
+    subscript themselves) and its argument labels are names, in the outermost brackets and where a colon follows. Bracket
+    depths and the places of labels are carried along the declaration's tokens."""
+    declaration = F.col(declaration) if isinstance(declaration, str) else declaration
+    keyword = F.regexp_extract(declaration, rf"\b({KEYWORDS})\b", 1)
+    upto = F.regexp_extract(declaration, rf"(?s)^.*?\b(?:{KEYWORDS})\b", 0)
+    intro = F.when(keyword.isin("init", "deinit", "subscript"), F.left(upto, F.char_length(upto) - F.char_length(keyword))).otherwise(F.regexp_extract(declaration, rf"(?s)^.*?\b(?:{KEYWORDS})\b\s*", 0))
+    rest = F.substring(declaration, F.char_length(intro) + 1, F.char_length(declaration))
+    name = F.regexp_extract(rest, r"(?U)^(?:[\w.`]+|[-/=+!*%<>&|^~?]+)", 0)
+    tail = F.substring(rest, F.char_length(name) + 1, F.char_length(rest))
+    none = F.array().cast("array<struct<is_name:boolean,text:string>>")
+
+    def joined(out: Column, is_name: Column, text: Column) -> Column:
+        """A piece more: one that is like the last goes on with it."""
+        last = F.try_element_at(out, F.lit(-1))
+        more = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(is_name.alias("is_name"), F.concat(last["text"], text).alias("text"))))
+        return F.when(text == "", out).when(last["is_name"] == is_name, more).otherwise(F.array_append(out, F.struct(is_name.alias("is_name"), text.alias("text"))))
+
+    def labelled(tokens: Column) -> Column:
+        at = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.array_join(F.slice(tokens, i + 2, F.lit(4)), "").rlike(r"(?U)^\s*\w*\s*:").alias("colon")))
+        start = F.struct(F.lit(0).alias("depth"), F.lit(True).alias("label"), joined(joined(none, F.lit(False), intro), F.lit(True), name).alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            opens, shuts = x["t"].isin("(", "[", "<", "{"), x["t"].isin(")", "]", ">", "}")
+            depth = acc["depth"] + F.when(opens, 1).when(shuts, -1).otherwise(0)
+            here = acc["label"] & (acc["depth"] == 1) & x["t"].rlike(r"(?U)^\w")
+            label = F.when(opens, (x["t"] == "(") & (depth == 1)).when((x["t"] == ",") & (acc["depth"] == 1), True).when(here, False).otherwise(acc["label"])
+            return F.struct(depth.alias("depth"), label.alias("label"), joined(acc["out"], here & x["colon"], x["t"]).alias("out"))
+
+        return F.aggregate(at, start, step, lambda acc: acc["out"])
+
+    tokens = F.regexp_extract_all(tail, F.lit(r"(?U)\w+|\s+|->|[^\w\s]"), F.lit(0))
+    found = F.transform(F.array(tokens), labelled)[0]
+    return F.when(F.coalesce(declaration, F.lit("")) == "", none).when(keyword == "", _parts((True, declaration))).otherwise(found)
 
 
-def name_pieces(declaration: str | None) -> list[dict]:
-    """PRJ16: a declaration as pieces that are its name (keyword's name and argument labels) or not."""
-    if not declaration:
-        return []
-    m = re.search(r"\b(?:func|var|let|class|struct|enum|protocol|extension|typealias|associatedtype|actor|case|init|deinit|subscript|precedencegroup)\b\s*", declaration)
-    if not m:
-        return [{"is_name": True, "text": declaration}]
-    out = []
-
-    def add(is_name: bool, text: str) -> None:
-        if not text:
-            return
-        if out and out[-1]["is_name"] == is_name:
-            out[-1]["text"] += text
-        else:
-            out.append({"is_name": is_name, "text": text})
-
-    bare = m[0].strip() in ("init", "deinit", "subscript")
-    start = m.start() if bare else m.end()
-    add(False, declaration[:start])
-    name = re.match(r"[\w.`]+|[-/=+!*%<>&|^~?]+", declaration[start:])
-    end = start + (name.end() if name else 0)
-    add(True, declaration[start:end])
-    depth, label, i = 0, True, end
-    while i < len(declaration):
-        c = declaration[i]
-        if c in "([<{":
-            depth += 1
-            label = c == "(" and depth == 1
-        elif c in ")]>}" and declaration[i - 1:i + 1] != "->":
-            depth -= 1
-        elif c == "," and depth == 1:
-            label = True
-        word = re.match(r"\w+", declaration[i:]) if label and depth == 1 else None
-        if word:
-            rest = declaration[i + word.end():]
-            add(bool(re.match(r"\s*\w*\s*:", rest)), word[0])
-            i += word.end()
-            label = False
-            continue
-        add(False, c)
-        i += 1
-    return out
-
-
-def parse_doc_comment(text: str | None) -> dict | None:
-    """PRJ20: abstract (first paragraph), discussion, parameters, returns, throws, localization key. An empty comment
-    keeps its ''. List items that are callouts of the known kinds leave the text; others stay."""
-    if text is None:
-        return None
-    out = {"abstract": "", "discussion": "", "returns": None, "throws": None, "localization_key": None, "parameters": []}
-    blocks, rest, block, fence = [], [], [], False
-    for line in text.split("\n") + [""]:
-        if line.lstrip().startswith("```"):
-            fence = not fence
-        if not line.strip() and not fence:
-            if block:
-                blocks.append(block)
-            block = []
-        else:
-            block.append(line)
-    if block:
-        blocks.append(block)
-    for b in blocks:
-        if not re.match(r"\s*[-*+]\s+", b[0]):
-            rest.append("\n".join(b))
-            continue
-        items: list[list[str]] = []
-        for line in b:
-            if re.match(r"\s{0,1}[-*+]\s+", line) or not items:
-                items.append([line])
-            else:
-                items[-1].append(line)
-        stay = []
-        for it in items:
-            body = re.sub(r"^\s*[-*+]\s+", "", it[0])
-            tail = [re.sub(r"^\s{1,4}", "", x) for x in it[1:]]
-            m = re.match(r"(?i)parameter\s+([^:]+?)\s*:\s*(.*)", body)
-            if m:
-                out["parameters"].append({"name": m[1], "description": "\n".join([m[2], *tail]).strip()})
-                continue
-            m = re.match(r"(?i)(parameters|returns|throws|localizationkey)\s*:\s*(.*)", body)
-            if not m:
-                stay.append("\n".join(it))
-            elif m[1].lower() == "parameters":
-                for x in it[1:]:
-                    p = re.match(r"\s*[-*+]\s+([^:]+?)\s*:\s*(.*)", x)
-                    if p:
-                        out["parameters"].append({"name": p[1], "description": p[2].strip()})
-                    elif out["parameters"]:
-                        out["parameters"][-1]["description"] = (out["parameters"][-1]["description"] + "\n" + x.strip()).strip()
-            else:
-                key = {"returns": "returns", "throws": "throws", "localizationkey": "localization_key"}[m[1].lower()]
-                out[key] = "\n".join([m[2], *tail]).strip()
-        if stay:
-            rest.append("\n".join(stay))
-    if rest and not re.match(r"\s*(?:[-*+]|#|```|>)", rest[0]):
-        out["abstract"], rest = rest[0], rest[1:]
-    out["discussion"] = "\n\n".join(rest)
-    return out
+# ---- parsers ---------------------------------------------------------------------------------------------------
 
 
 def parse_xml_docs(xml: str | None, brief: bool = False) -> dict | None:
@@ -398,38 +403,20 @@ def parse_xml_docs(xml: str | None, brief: bool = False) -> dict | None:
             "returns": many(root.find(".//ResultDiscussion")), "throws": many(root.find(".//ThrowsDiscussion")), "localization_key": None, "parameters": params}
 
 
-_STRINGS = T.ArrayType(T.StringType())
 _DOC_KEYS = ["abstract", "discussion", "returns", "throws", "localization_key", "parameters"]
 _PARAMETERS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("description", T.StringType())]))
 _DOC = T.StructType([T.StructField(k, _PARAMETERS if k == "parameters" else T.StringType()) for k in _DOC_KEYS])
-_AVAILABILITY = T.StructType([T.StructField("available", _STRINGS), T.StructField("deprecated", T.StringType()), T.StructField("unavailable", T.StringType())])
-_PIECES = T.ArrayType(T.StructType([T.StructField("is_name", T.BooleanType()), T.StructField("text", T.StringType())]))
 
 
 def _frame(rows: list[dict | None], keys: list[str]) -> pd.DataFrame:
     return pd.DataFrame({k: pd.Series([r[k] if r else None for r in rows], dtype=object) for k in keys})
 
 
-@F.pandas_udf(_DOC)
-def doc_comment(s: pd.Series) -> pd.DataFrame:
-    return _frame([parse_doc_comment(x) for x in s], _DOC_KEYS)
-
-
 @F.pandas_udf(_DOC)
 def xml_docs(s: pd.Series) -> pd.DataFrame:
     return _frame([parse_xml_docs(x) for x in s], _DOC_KEYS)
 
 
-@F.pandas_udf(_AVAILABILITY)
-def availability(s: pd.Series) -> pd.DataFrame:
-    return _frame([parse_availability(x) for x in s], ["available", "deprecated", "unavailable"])
-
-
-@F.pandas_udf(_PIECES)
-def pieces(s: pd.Series) -> pd.Series:
-    return s.map(name_pieces)
-
-
 def markdown_html(text: str | None, code_language: str = "swift") -> str | None:
     """LNK7: the extraction subset of markdown to HTML: headings with anchors, paragraphs, lists, code with a default
     language, quotes, links, images with a scale, emphasis, mathematics left as it is."""

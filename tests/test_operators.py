@@ -460,31 +460,56 @@ def test_reports(spark):
     assert ordered.ordered_union(r, r).count() == 6
 
 
-def test_doc_comments():
-    d = decls.parse_doc_comment("First paragraph\ngoes on.\n\nMore text.\n\n- parameter a: the a\n  goes on\n- returns: it\n- note: stays\n- Throws: bad\n- localizationKey: k")
+def parsed(spark, f, *texts):
+    """What a parser of columns makes of each text, as Python values."""
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    rows = {r.k: r.v for r in df.select("k", f(F.col("t")).alias("v")).collect()}
+    plain = lambda v: v.asDict(True) if hasattr(v, "asDict") else [plain(x) for x in v] if isinstance(v, list) else v
+    return [plain(rows[k]) for k in range(len(texts))]
+
+
+def test_doc_comments(spark):
+    d, listed, empty, none = parsed(
+        spark, decls.doc_comment, "First paragraph\ngoes on.\n\nMore text.\n\n- parameter a: the a\n  goes on\n- returns: it\n- note: stays\n- Throws: bad\n- localizationKey: k",
+        "- parameters:\n  - x: one\n  - y: two", "", None)
     assert d["abstract"] == "First paragraph\ngoes on." and d["discussion"] == "More text.\n\n- note: stays"
     assert d["parameters"] == [{"name": "a", "description": "the a\ngoes on"}] and (d["returns"], d["throws"], d["localization_key"]) == ("it", "bad", "k")
-    assert decls.parse_doc_comment("- parameters:\n  - x: one\n  - y: two")["parameters"] == [{"name": "x", "description": "one"}, {"name": "y", "description": "two"}]
-    assert decls.parse_doc_comment("")["abstract"] == "" and decls.parse_doc_comment(None) is None
+    assert listed["parameters"] == [{"name": "x", "description": "one"}, {"name": "y", "description": "two"}]
+    assert empty["abstract"] == "" and none is None
     x = decls.parse_xml_docs("<Function><CommentParts><Abstract><Para>Do <codeVoice>it</codeVoice></Para></Abstract><Parameters><Parameter><Name>a</Name><Discussion><Para>the a</Para></Discussion></Parameter></Parameters><ResultDiscussion><Para>r</Para></ResultDiscussion><Discussion><Para>one</Para><List-Bullet><Item><Para>i</Para></Item></List-Bullet></Discussion></CommentParts></Function>")
     assert x["abstract"] == "Do `it`" and x["discussion"] == "one\n\n- i" and x["parameters"] == [{"name": "a", "description": "the a"}] and x["returns"] == "r"
     assert decls.parse_xml_docs("<broken") is None
 
 
-def test_availability():
-    p = decls.parse_availability
-    assert p("@available(macOS 10.15, iOS 13, *)")["available"] == ["macOS 10.15+", "iOS 13+"]
-    assert p("@available(iOS, introduced: 9, obsoleted: 11, message: \"no, never\")") == {"available": ["iOS 9-11"], "deprecated": None, "unavailable": "iOS unavailable since 11: no, never"}
-    assert p("@available(macOS, obsoleted: 11)")["available"] == ["macOS ?-11"]
-    assert p("@available(*, deprecated, renamed: \"g\")")["deprecated"] == "deprecated: Renamed: `g`."
-    assert p("@objc") is None
+def test_doc_comments_of_odd_shapes(spark):
+    fenced, heading, quote, nested, twice, stray = parsed(
+        spark, decls.doc_comment, "```\ncode\n\nmore - returns: x\n```\n\n- Returns: y", "# Heading\n\ntext", "> quote\n\nafter", "* Parameter a : b\n+ parameter c:d\n- Parameters:\n  stray line\n  - q: w\n    more", "- item one\n- returns: a\n\n- returns: b", "- parameters:\n  stray")
+    assert (fenced["abstract"], fenced["discussion"], fenced["returns"]) == ("", "```\ncode\n\nmore - returns: x\n```", "y")
+    assert (heading["abstract"], heading["discussion"]) == ("", "# Heading\n\ntext") and (quote["abstract"], quote["discussion"]) == ("", "> quote\n\nafter")
+    assert nested["parameters"] == [{"name": "a", "description": "b"}, {"name": "c", "description": "d\nstray line"}, {"name": "q", "description": "w\nmore"}]
+    assert twice["returns"] == "b" and twice["discussion"] == "- item one" and stray["parameters"] == []
+
+
+def test_availability(spark):
+    a, b, c, d, none = parsed(spark, decls.availability, "@available(macOS 10.15, iOS 13, *)", "@available(iOS, introduced: 9, obsoleted: 11, message: \"no, never\")", "@available(macOS, obsoleted: 11)", "@available(*, deprecated, renamed: \"g\")", "@objc")
+    assert a["available"] == ["macOS 10.15+", "iOS 13+"]
+    assert b == {"available": ["iOS 9-11"], "deprecated": None, "unavailable": "iOS unavailable since 11: no, never"}
+    assert c["available"] == ["macOS ?-11"]
+    assert d["deprecated"] == "deprecated: Renamed: `g`."
+    assert none is None
+    e, f = parsed(spark, decls.availability, "@available(iOS, deprecated: 11, message: \"use a, b (c): d\", renamed: \"foo(a:b:)\")", "@available(swift 5.1)")
+    assert e["deprecated"] == "iOS deprecated since 11: use a, b (c): d Renamed: `foo(a:b:)`." and e["available"] == [] and f["available"] == ["swift 5.1+"]
 
 
 def test_name_pieces(spark):
-    n = lambda s: "".join(p["text"] for p in decls.name_pieces(s) if p["is_name"])
     full = "public func f(a b: Int, _ c: [String: Int], d: (Int) -> Void) -> Int"
-    assert "".join(p["text"] for p in decls.name_pieces(full)) == full and n(full).startswith("fa") and "Int" not in n(full)
-    assert n("var x: Int") == "x" and n("class Foo<T>: Bar") == "Foo" and decls.name_pieces(None) == []
+    texts = [full, "var x: Int", "class Foo<T>: Bar", None, "init(x: Int, y z: (a: Int) -> B)", "static func == (lhs: A, rhs: A) -> Bool", "func g<T>(with t: T, then: @escaping (Int, b: Int) -> Void = { x in y(z: 1) })", "something odd"]
+    got = parsed(spark, decls.pieces, *texts)
+    name = lambda p: "".join(x["text"] for x in p if x["is_name"])
+    assert "".join(p["text"] for p in got[0]) == full and name(got[0]).startswith("fa") and "Int" not in name(got[0])
+    assert name(got[1]) == "x" and name(got[2]) == "Foo" and got[3] == []
+    assert name(got[4]) == "initxy" and name(got[5]) == "==lhsrhs" and name(got[6]) == "gwiththen" and name(got[7]) == "something odd"
+    assert all("".join(p["text"] for p in g) == t for g, t in zip(got, texts) if t)
     df = spark.createDataFrame([("/// x", "@available(iOS 9, *)", full)], "c string, a string, d string")
     r = df.select(decls.doc_comment("c").alias("c"), decls.availability("a").alias("a"), decls.pieces("d").alias("p"), decls.to_html("c").alias("h")).first()
     assert r.a.available == ["iOS 9+"] and r.p[1].is_name and r.h == "<p>/// x</p>"
