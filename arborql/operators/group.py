@@ -100,6 +100,19 @@ def unused_rules(claims: DataFrame, rules: list[Rule]) -> DataFrame:
     return d.join(claims.select("rule_ord").distinct(), "rule_ord", "left_anti")
 
 
+def unmatched(given: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
+    """SET5: what the configuration gives (abstracts, titles, definitions) and nothing takes, by kind: (kind, n, names
+    sorted). given(kind, name, ..) and taken hold ``keys``; a name given twice is one."""
+    left = given.select("kind", "name", *keys).distinct().join(taken.select(*keys).distinct(), keys, "left_anti")
+    return left.select("kind", "name").distinct().groupBy("kind").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def missing_members(children: DataFrame, listed: DataFrame) -> DataFrame:
+    """SET5: entries of custom definitions that name no child of their type, by name or by declaration."""
+    own = children.select("type_name", F.explode(F.array("name", "declaration")).alias("entry")).where("entry is not null").distinct()
+    return listed.select("type_name", "entry").distinct().join(own, ["type_name", "entry"], "left_anti")
+
+
 def custom_members(children: DataFrame, listed: DataFrame, skip_unlisted: bool) -> DataFrame:
     """GRP4: a type's children with the place that its list gives them (by name, or by declaration), the first
     match of each entry; unlisted ones follow in order or go. listed(type_name, entry, topic, place)."""

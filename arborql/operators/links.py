@@ -58,11 +58,14 @@ def resolve_local(refs: DataFrame, index: DataFrame, languages: list[str]) -> Da
     if "context" not in refs.columns:
         refs = refs.withColumn("context", F.try_element_at("scopes", F.lit(-1)))
     on = ["name", "context", *[c for c in refs.columns if c.startswith("scopes")]]
-    d = refs.select(*on).distinct().withColumn("ref_id", F.to_json(F.struct(*on)))
+    # 128 bits of hash stand for a name and place; nulls leave no trace in a hash, so which are null is hashed too
+    seen = [*on, *[F.col(c).isNull() for c in on]]
+    key = F.struct(F.xxhash64(*seen).alias("k1"), F.xxhash64(F.lit("second"), *seen).alias("k2"))
+    d = refs.select(*on).distinct().withColumn("ref_id", key)
     hit = scope_candidates(d, languages).join(index, ["language", "key"])
     hit = hit.groupBy("ref_id").agg(F.min_by(F.struct("item_id", "language"), "priority").alias("h"), F.min("priority").alias("priority"))
     found = d.join(hit, "ref_id").select("ref_id", "h.item_id", "h.language", "priority").withColumnRenamed("ref_id", "__k")
-    return refs.withColumn("__k", F.to_json(F.struct(*on))).join(found, "__k", "left").drop("__k")
+    return refs.withColumn("__k", key).join(found, "__k", "left").drop("__k")
 
 
 #: Names that are never reported as unresolved.
@@ -140,14 +143,14 @@ def search_parents(entries: DataFrame, tables) -> DataFrame:
         behind = F.when(F.col("__p.url") < F.col("url"), 0).otherwise(1)
         return rest.join(up, "parent_name").select("url", "name", "parent_url", "is_root", place(F.col("__p.pass") + behind, F.col("url")).alias("place"))
 
-    while True:
-        new = found(names).where("is_root is null").groupBy("name").agg(F.min("place").alias("place")).select("name", F.col("place.url").alias("at_url"), "place")
-        new = tables.write(roots.unionByName(new))
-        same = new.join(names, ["name", "place"], "left_anti").isEmpty()
-        tables.drop(names)
-        names = new
-        if same:
+    changed = names
+    while True:  # only what fell in the last round can let others fall
+        new = found(changed).where("is_root is null").groupBy("name").agg(F.min("place").alias("place")).select("name", F.col("place.url").alias("at_url"), "place")
+        better = tables.write(new.join(names.select("name", F.col("place").alias("__old")), "name", "left").where("__old is null or place < __old").drop("__old"))
+        if better.isEmpty():
             break
+        names = tables.write(names.join(better.select("name"), "name", "left_anti").unionByName(better))
+        changed = better
     first = roots.select(F.col("at_url").alias("url"), "name", F.lit(None).cast("string").alias("parent_url"), "place")
     return tables.write(first.unionByName(found(names).drop("is_root")))
 
@@ -259,6 +262,26 @@ def search(docs: DataFrame, terms: list[str], id_col: str, fields: list[str], to
     return docs.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), id_col).limit(top)
 
 
+def postings(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """OR10: (term, field, id) of every word, in ranges of terms: written, it is an index that searches read a few row groups
+    of, by filters on term that reach the scan."""
+    words = lambda f: F.array_distinct(F.split(F.lower(F.coalesce(F.col(f), F.lit(""))), r"(?U)[^\w]+"))
+    rows = F.explode(F.flatten(F.array(*[F.transform(words(f), lambda w: F.struct(w.alias("term"), F.lit(k).alias("field"))) for k, f in enumerate(fields)])))
+    p = docs.select(F.col(id_col).alias("id"), rows.alias("r")).select("r.term", "r.field", "id").where("term <> ''")
+    return p.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "term", "id").sortWithinPartitions("term", "id")
+
+
+def search_postings(index: DataFrame, terms: list[str], top: int = 10) -> DataFrame:
+    """OR10: the scores of ``search`` from an index: 100 for a field holding a term, 10 for one holding a word that begins
+    with it, each counted once; the first ``top`` ids by score. What is read and shuffled is the terms' postings."""
+    hits = None
+    for k, t in enumerate(terms):
+        one = index.where(F.startswith(F.col("term"), F.lit(t))).select("id", "field", F.lit(k).alias("k"), (F.col("term") == t).alias("whole"))
+        hits = one if hits is None else hits.unionByName(one)
+    score = hits.groupBy("id", "field", "k").agg(F.max(F.when(F.col("whole"), 100).otherwise(0)).alias("s")).groupBy("id").agg(F.sum(F.col("s") + 10).alias("score"))
+    return score.orderBy(F.desc("score"), "id").limit(top)
+
+
 def _starts(term: str):
     return lambda w: F.startswith(w, F.lit(term))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborql.operators import graph, merge
+from arborql.model import OBJC
+from arborql.operators import decls, graph, group, links, merge
 from arborql.plans.catalogue import query, read
 from arborql.tables import Tables
 
@@ -87,3 +88,37 @@ def a09_folded_protocols(spark, sf_dir):
     out = merge.folded_extensions(every, claims, Tables(spark))
     notes = F.array_join(F.transform("notes", lambda x: F.concat_ws(":", x["tag"], x["arg"])), ",")
     return out.select(F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "name", notes.alias("notes"), "docs", "default_docs")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '+[' || p_brand || ' ' || p_name || ':]' WHEN 1 THEN '-[' || p_brand || ' ' || p_name || ':]' WHEN 2 THEN p_mfgr || '.' || p_brand || '.' || p_name || ':' ELSE p_name || ':' END AS qualified
+FROM (SELECT *, p_type AS p_mfgr FROM part)""")
+def p11_objc_names(spark, sf_dir):
+    """PRJ11: full names of Objective-C methods, with their class in brackets, and of others, dotted."""
+    f = F.col("p_partkey") % 4
+    kind = F.when(f == 0, OBJC + "method.class").when(f == 1, OBJC + "method.instance").when(f == 2, OBJC + "property").otherwise(OBJC + "method.instance")
+    ups = F.when(f == 3, F.array().cast("array<string>")).otherwise(F.array("p_type", "p_brand"))
+    p = read(spark, sf_dir, "part")
+    return p.select("p_partkey", decls.qualified_name(ups, F.concat("p_name", F.lit(":")), kind, F.lit("")).alias("qualified"))
+
+
+@query("""WITH w AS (SELECT item_id, lower(unnest(string_split_regex(text, '[^\\p{L}\\p{N}_\\p{M}]+'))) AS t FROM benchmark), s AS (
+SELECT item_id, max(CASE WHEN t = 'on' THEN 100 ELSE 0 END) + max(CASE WHEN starts_with(t, 'on') THEN 10 ELSE 0 END) + max(CASE WHEN t = 'th' THEN 100 ELSE 0 END) + max(CASE WHEN starts_with(t, 'th') THEN 10 ELSE 0 END) AS score FROM w GROUP BY 1)
+SELECT item_id, score::BIGINT AS score FROM s WHERE score > 0 ORDER BY score DESC, item_id LIMIT 25""")
+def or10_postings(spark, sf_dir):
+    """OR10: a search that reads the postings of its terms only, from an index that is written once."""
+    index = Tables(spark).write(links.postings(read(spark, sf_dir, "benchmark"), "item_id", ["text"]))
+    return links.search_postings(index, ["on", "th"], 25).select(F.col("id").alias("item_id"), "score")
+
+
+@query("""WITH g AS (SELECT 'abstract' AS kind, p_name AS name FROM part UNION SELECT 'title', p_brand FROM part), t AS (SELECT DISTINCT p_name AS name FROM part WHERE p_size < 20 UNION SELECT p_brand FROM part WHERE p_size = 1),
+l AS (SELECT kind, name FROM g WHERE name NOT IN (SELECT name FROM t)) SELECT kind, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM l GROUP BY kind
+UNION ALL SELECT 'member', count(*), string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey::VARCHAR) FROM (SELECT DISTINCT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 30))""")
+def set5_unmatched(spark, sf_dir):
+    """SET5: abstracts and titles that no item takes, and listed members that no type has."""
+    p, s = read(spark, sf_dir, "part"), read(spark, sf_dir, "supplier")
+    given = p.select(F.lit("abstract").alias("kind"), F.col("p_name").alias("name")).union(p.select(F.lit("title"), F.col("p_brand")))
+    taken = p.where("p_size < 20").select(F.col("p_name").alias("name")).union(p.where("p_size = 1").select("p_brand"))
+    children = p.where("p_size > 30").select(F.lit("T").alias("type_name"), F.concat(F.lit("n"), text("p_partkey")).alias("name"), text("p_partkey").alias("declaration"))
+    lost = group.missing_members(children, s.select(F.lit("T").alias("type_name"), text("s_suppkey").alias("entry")))
+    members = lost.groupBy(F.lit("member").alias("kind")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("entry")).alias("names"))
+    return group.unmatched(given, taken, ["name"]).unionByName(members).select("kind", "n", F.array_join("names", ",").alias("names"))
