@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 ROLES = ["system", "user", "assistant", "tool"]
 K = len(ROLES)
-TURNS_A_SEGMENT = 256
+#: Turns of a segment, and characters of its texts where it has more than one turn.
+TURNS_A_SEGMENT, CHARS_A_SEGMENT = 256, 4_000_000
 #: Names that speakers go by.
 NAMES = {
     "system": 0, "sys": 0, "instructions": 0, "user": 1, "human": 1, "q": 1, "question": 1, "prompter": 1, "you": 1, "customer": 1,
@@ -138,16 +139,22 @@ def recover(df: DataFrame, tables) -> DataFrame:
     dealt = dealt.select("conv", "turn", "role", "text", F.spark_partition_id().cast("long").alias("part"))
 
     def observe(batches):
-        """Rows with their segment, numbered in order over the whole table: a conversation's next TURNS_A_SEGMENT rows."""
-        seg, conv, at = -1, None, 0
+        """Rows with their segment, numbered in order over the whole table: a conversation's next rows, TURNS_A_SEGMENT and
+        CHARS_A_SEGMENT at most."""
+        seg, conv, at, chars = -1, None, 0, 0
         for b in batches:
-            out = []
+            out, held = [], 0
             for c, turn, role, text, part in zip(*[b.column(x).to_pylist() for x in ("conv", "turn", "role", "text", "part")]):
-                if seg < 0 or c != conv or at == TURNS_A_SEGMENT:
-                    seg, conv, at = (part << 40 if seg < 0 else seg + 1), c, 0
+                size = len(text or "")
+                if seg < 0 or c != conv or at == TURNS_A_SEGMENT or at and chars + size > CHARS_A_SEGMENT:
+                    seg, conv, at, chars = (part << 40 if seg < 0 else seg + 1), c, 0, 0
                 out.append({"conv": c, "seg": seg, "turn": turn, "at": at, "seen": codes(role, text), "role": role, "text": text})
-                at += 1
-            yield pa.RecordBatch.from_pylist(out, schema)
+                at, chars, held = at + 1, chars + size, held + size
+                if held > CHARS_A_SEGMENT:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
 
     schema = pa.schema([("conv", pa.int64()), ("seg", pa.int64()), ("turn", pa.int64()), ("at", pa.int64()), ("seen", pa.list_(pa.int32())), ("role", pa.string()), ("text", pa.string())])
     seen = tables.write(dealt.mapInArrow(observe, "conv long, seg long, turn long, at long, seen array<int>, role string, text string"))

@@ -570,6 +570,15 @@ def test_chat(spark, tables, monkeypatch):
     assert chat.recover(df.limit(0), tables).count() == 0
 
 
+def test_chat_segments_by_characters(spark, tables, monkeypatch):
+    """Segments of a few characters give the same turns, a turn longer than that among them."""
+    rows = [(k % 3, k, ["user", "assistant", None][k % 3], f"line {k}\n" + "x" * (k % 5) * 40 + "?" * (k % 2)) for k in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = sorted(map(tuple, chat.recover(df, tables).collect()))
+    monkeypatch.setattr(chat, "CHARS_A_SEGMENT", 100)
+    assert sorted(map(tuple, chat.recover(df, tables).collect())) == want and len(want) >= 60
+
+
 def test_chat_segments_do_not_change_the_path(spark, tables):
     r = random.Random(2)
     every = [r.randrange(0, 6) | 8 * (r.random() < 0.7) | 16 * (r.random() < 0.3) for _ in range(700)]
