@@ -74,6 +74,15 @@ def numbered(df: DataFrame, order: list[str], name: str, tables=None) -> DataFra
     return d.join(per, "__part").withColumn(name, F.col("__base") + F.col("__at") + 1).drop("__part", "__at", "__base")
 
 
+def running_total(df: DataFrame, order: list[str], value: str, name: str, tables=None) -> DataFrame:
+    """``name``: the sum of ``value`` over the rows up to this one in order over the whole table."""
+    d = placed_in_order(df, order, tables)
+    per = d.groupBy("__part").agg(F.sum(value).alias("__n"))  # a row a range
+    per = per.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__base"))
+    w = W.partitionBy("__part").orderBy("__at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return d.withColumn(name, F.sum(value).over(w)).join(per, "__part").withColumn(name, F.col(name) + F.col("__base")).drop("__part", "__at", "__base")
+
+
 def neighbours(df: DataFrame, order: list[str], value: str, prev: str, next_: str, tables=None) -> DataFrame:
     """WIN3: ``value`` of the row before and after in order over the whole table."""
     d = placed_in_order(df, order, tables)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from arborql.functions.text import glob_pattern, re_escape, version_at_most
 from arborql.model import SYMBOL_GRAPH
-from arborql.operators.ordered import first_wins, islands, last_wins
+from arborql.operators.ordered import first_wins, islands, last_wins, neighbours, running_total
 from arborql.tables import hadoop_path
 
 _PATH = "_metadata.file_path"
@@ -81,9 +81,8 @@ def reimported(spark: SparkSession, paths: str | list[str], this_version: str =
     # runs are numbered within files; a row a file tells how many came before it, and whether its first goes on a run
     ends = F.struct("module_name", "pass_index")
     f = r.groupBy("file").agg(F.min_by(ends, "file_seq").alias("first"), F.max_by(ends, "file_seq").alias("last"), F.max("__run").alias("n"))
-    w = W.orderBy("file")
-    f = f.withColumn("goes_on", F.when(F.col("first").eqNullSafe(F.lag("last").over(w)), 1).otherwise(0))
-    f = f.select("file", (F.sum(F.col("n") - F.col("goes_on")).over(w) - F.col("n")).alias("__base"))
+    f = neighbours(f, ["file"], "last", "__prev", "__next").withColumn("__own", F.col("n") - F.when(F.col("first").eqNullSafe(F.col("__prev")), 1).otherwise(0))
+    f = running_total(f, ["file"], "__own", "__upto").select("file", (F.col("__upto") - F.col("n")).alias("__base"))
     return r.join(f, "file").withColumn("pass_no", F.col("__base") + F.col("__run")).drop("__base", "__run")
 
 

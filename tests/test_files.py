@@ -136,3 +136,13 @@ def test_fetching(spark, tmp_path):
     assert all(out[k].error and out[k].text is None for k in (3, 4, 5, 6))
     calls = []
     assert remote.fetch_one("http://127.0.0.1:9/x", 0.2, 3, 0.0)[2] == 3 and not calls
+
+
+def test_running_total(spark, tables):
+    from arborql.operators.ordered import running_total
+
+    r = random.Random(5)
+    rows = [(k, r.randrange(-3, 9)) for k in range(200)]
+    df = spark.createDataFrame(r.sample(rows, 200), "k int, v int").repartition(6)
+    got = {x.k: x.s for x in running_total(df, ["k"], "v", "s", tables).collect()}
+    assert got == {k: sum(v for _, v in rows[:k + 1]) for k, _ in rows} and running_total(df.limit(0), ["k"], "v", "s", tables).count() == 0
