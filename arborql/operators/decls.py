@@ -1,5 +1,5 @@
 """Declarations and documentation comments, as expressions: bracket depths, blocks and items are folds over token and line
-arrays. XML comments and HTML are Arrow-batched Python."""
+arrays. XML comments are Arrow-batched Python."""
 
 from __future__ import annotations
 
@@ -417,69 +417,77 @@ def xml_docs(s: pd.Series) -> pd.DataFrame:
     return _frame([parse_xml_docs(x) for x in s], _DOC_KEYS)
 
 
-def markdown_html(text: str | None, code_language: str = "swift") -> str | None:
+def escaped(s: Column, quotes: bool = True) -> Column:
+    for x, y in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *((('"', "&quot;"), ("'", "&#x27;")) if quotes else ())):
+        s = F.replace(s, F.lit(x), F.lit(y))
+    return s
+
+
+#: Code, an image (with a width), a link; and what stands for one while the text around is marked up.
+SPAN, MARK = r"`[^`]+`|!\[[^\]|]*(?:\|\d+%)?\]\([^)\s]*\)|\[[^\]]*\]\([^)\s]*\)", "\u0001"
+
+
+def inline_html(text: Column) -> Column:
+    """LNK7: code, images, links and emphasis of a text. Spans are taken out, the text between is escaped and marked up as
+    one, and the spans go back in their order."""
+    text = F.replace(text, F.lit(MARK), F.lit(""))
+    coded = lambda x: F.regexp_replace(escaped(x), r"`([^`]+)`", "<code>$1</code>")
+    address = lambda x: F.regexp_extract(x, r"(?s)\]\(([^)\s]*)\)$", 1)
+
+    def span(x: Column) -> Column:
+        width = F.regexp_extract(x, r"\|(\d+)%\]\([^)\s]*\)$", 1)
+        image = F.concat(F.lit('<img src="'), address(x), F.lit('" alt="'), escaped(F.regexp_extract(x, r"(?s)^!\[([^\]|]*)", 1)), F.lit('"'),
+                         F.when(width != "", F.concat(F.lit(' style="width: '), width, F.lit('%"'))).otherwise(""), F.lit("/>"))
+        link = F.concat(F.lit('<a href="'), address(x), F.lit('">'), coded(F.regexp_extract(x, r"(?s)^\[([^\]]*)", 1)), F.lit("</a>"))
+        return F.when(x.startswith("`"), coded(x)).when(x.startswith("!"), image).otherwise(link)
+
+    spans = F.transform(F.regexp_extract_all(text, F.lit(SPAN), F.lit(0)), span)
+    around = escaped(F.array_join(F.split(text, SPAN, -1), MARK), quotes=False)
+    around = F.regexp_replace(F.regexp_replace(around, r"\*\*(.+?)\*\*", "<strong>$1</strong>"), r"(?U)(?<!\w)[*_](.+?)[*_](?!\w)", "<em>$1</em>")
+    return F.array_join(F.zip_with(F.split(around, MARK, -1), spans, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+
+
+def to_html(text: Column | str, code_language: str = "swift") -> Column:
     """LNK7: the extraction subset of markdown to HTML: headings with anchors, paragraphs, lists, code with a default
-    language, quotes, links, images with a scale, emphasis, mathematics left as it is."""
-    if text is None:
-        return None
-    import html
-
-    def inline(s: str) -> str:
-        kept: list[str] = []
-
-        def keep(x: str) -> str:
-            kept.append(x)
-            return f"\0{len(kept) - 1}\0"
-
-        s = re.sub(r"`([^`]+)`", lambda m: keep(f"<code>{html.escape(m[1])}</code>"), s)
-        s = re.sub(r"!\[([^\]|]*)(?:\|(\d+)%)?\]\(([^)\s]*)\)", lambda m: keep(f'<img src="{m[3]}" alt="{html.escape(m[1])}"' + (f' style="width: {m[2]}%"' if m[2] else "") + "/>"), s)
-        s = re.sub(r"\[([^\]]*)\]\(([^)\s]*)\)", lambda m: keep(f'<a href="{m[2]}">{html.escape(m[1])}</a>'), s)
-        s = html.escape(s, quote=False)
-        s = re.sub(r"\*\*(.+?)\*\*", r"<strong>\1</strong>", s)
-        s = re.sub(r"(?<!\w)[*_](.+?)[*_](?!\w)", r"<em>\1</em>", s)
-        return re.sub("\0(\\d+)\0", lambda m: kept[int(m[1])], s)
-
-    out, para, items, fence = [], [], [], None
-
-    def flush() -> None:
-        if para:
-            out.append(f"<p>{inline(' '.join(para))}</p>")
-            para.clear()
-        if items:
-            out.append("<ul>" + "".join(f"<li>{inline(i)}</li>" for i in items) + "</ul>")
-            items.clear()
-
-    for line in text.split("\n"):
-        if fence is not None:
-            if line.strip().startswith("```"):
-                out.append(f'<pre><code class="language-{fence[0]}">{html.escape(chr(10).join(fence[1]))}</code></pre>')
-                fence = None
-            else:
-                fence[1].append(line)
-        elif line.strip().startswith("```"):
-            flush()
-            fence = (line.strip()[3:].strip() or code_language, [])
-        elif m := re.match(r"(#{1,6})\s+(.*?)\s*#*$", line):
-            flush()
-            slug = re.sub(r"\s+", "-", re.sub(r"[^\w\s]", "", m[2])).lower() or "e"
-            out.append(f'<h{len(m[1])} id="{slug}">{inline(m[2])}</h{len(m[1])}>')
-        elif m := re.match(r"\s*[-*+]\s+(.*)", line):
-            if para:
-                flush()
-            items.append(m[1])
-        elif line.startswith(">"):
-            flush()
-            out.append(f"<blockquote><p>{inline(line[1:].strip())}</p></blockquote>")
-        elif not line.strip():
-            flush()
-        elif items:
-            items[-1] += " " + line.strip()
-        else:
-            para.append(line.strip())
-    flush()
-    return "\n".join(out)
-
-
-@F.pandas_udf(T.StringType())
-def to_html(s: pd.Series) -> pd.Series:
-    return s.map(markdown_html)
+    language (to the end if it is left open), quotes, links, images with a width, emphasis, mathematics left as it is.
+    Lines are folded into blocks; what a block is decides how its lines are rendered."""
+    text = F.col(text) if isinstance(text, str) else text
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    make = lambda kind, lines, arg="": F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), lines.alias("lines"), (F.lit(arg) if isinstance(arg, str) else arg).alias("arg"))
+    strings = F.array().cast("array<string>")
+    nothing = make("", strings)
+    heading, item = r"^(#{1,6})\s+(.*?)\s*#*$", r"^\s*[-*+]\s+(.*)"
+
+    def fold(acc: Column, line: Column) -> Column:
+        now, kind = acc["now"], acc["now"]["kind"]
+        shut = F.when(kind != "", F.array_append(acc["out"], now)).otherwise(acc["out"])
+        state = lambda now, out: F.struct(now.alias("now"), out.alias("out"))
+        whole = lambda block: state(nothing, F.array_append(shut, block))
+        more = lambda x: make(kind, F.array_append(now["lines"], x), now["arg"])
+        fence = line.rlike(r"^\s*```")
+        language = F.coalesce(F.nullif(strip(F.substring(strip(line), F.lit(4), F.length(line))), F.lit("")), F.lit(code_language))
+        longer = make(kind, F.array_append(F.slice(now["lines"], F.lit(1), F.size(now["lines"]) - 1), F.concat(F.try_element_at(now["lines"], F.lit(-1)), F.lit(" "), strip(line))), now["arg"])
+        entry = F.regexp_extract(line, item, 1)
+        return (
+            F.when((kind == "code") & fence, state(nothing, shut)).when(kind == "code", state(more(line), acc["out"]))
+            .when(fence, state(make("code", strings, language), shut))
+            .when(line.rlike(heading), whole(make("heading", F.array(F.regexp_extract(line, heading, 2)), F.length(F.regexp_extract(line, heading, 1)).cast("string"))))
+            .when(line.rlike(item), F.when(kind == "items", state(more(entry), acc["out"])).otherwise(state(make("items", F.array(entry)), shut)))
+            .when(line.startswith(">"), whole(make("quote", F.array(strip(F.substring(line, F.lit(2), F.length(line)))))))
+            .when(strip(line) == "", state(nothing, shut))
+            .when(kind == "items", state(longer, acc["out"]))
+            .when(kind == "para", state(more(strip(line)), acc["out"])).otherwise(state(make("para", F.array(strip(line))), shut)))
+
+    def rendered(b: Column) -> Column:
+        first = F.get(b["lines"], F.lit(0))
+        slug = F.lower(F.regexp_replace(F.regexp_replace(first, r"(?U)[^\w\s]", ""), r"(?U)\s+", "-"))
+        tag = F.concat(F.lit("h"), b["arg"])
+        titled = F.concat(F.lit("<"), tag, F.lit(' id="'), F.when(slug == "", "e").otherwise(slug), F.lit('">'), inline_html(first), F.lit("</"), tag, F.lit(">"))
+        code = F.concat(F.lit('<pre><code class="language-'), b["arg"], F.lit('">'), escaped(F.array_join(b["lines"], "\n")), F.lit("</code></pre>"))
+        listed = F.concat(F.lit("<ul>"), F.array_join(F.transform(b["lines"], lambda x: F.concat(F.lit("<li>"), inline_html(x), F.lit("</li>"))), ""), F.lit("</ul>"))
+        return (F.when(b["kind"] == "heading", titled).when(b["kind"] == "code", code).when(b["kind"] == "items", listed)
+                .when(b["kind"] == "quote", F.concat(F.lit("<blockquote><p>"), inline_html(first), F.lit("</p></blockquote>"))).otherwise(F.concat(F.lit("<p>"), inline_html(F.array_join(b["lines"], " ")), F.lit("</p>"))))
+
+    start = F.struct(nothing.alias("now"), F.array().cast("array<struct<kind:string,lines:array<string>,arg:string>>").alias("out"))
+    blocks = F.aggregate(F.split(text, "\n"), start, fold, lambda acc: F.when(acc["now"]["kind"] != "", F.array_append(acc["out"], acc["now"])).otherwise(acc["out"]))
+    return F.when(text.isNotNull(), F.array_join(F.transform(blocks, rendered), "\n"))

@@ -122,3 +122,17 @@ def set5_unmatched(spark, sf_dir):
     lost = group.missing_members(children, s.select(F.lit("T").alias("type_name"), text("s_suppkey").alias("entry")))
     members = lost.groupBy(F.lit("member").alias("kind")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("entry")).alias("names"))
     return group.unmatched(given, taken, ["name"]).unionByName(members).select("kind", "n", F.array_join("names", ",").alias("names"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '<h2 id="' || lower(replace(p_name, ' ', '-')) || '-code-' || p_size || '">' || p_name || ' <code>code &lt;' || p_size || '</code></h2>' || chr(10) || '<p>Made by <em>' || p_brand || '</em> &amp; sold. As ' || p_type || '.</p>'
+WHEN 1 THEN '<ul><li>' || p_name || ' goes on</li><li><strong>' || p_brand || '</strong> at <a href="http://x.dev/' || p_partkey || '?a=1&b=2">here</a></li></ul>'
+WHEN 2 THEN '<pre><code class="language-swift">let x = &quot;' || p_name || '&quot;' || chr(10) || chr(10) || '# ' || p_size || '</code></pre>' || chr(10) || '<blockquote><p>' || p_type || '</p></blockquote>'
+ELSE '<p><img src="i/' || p_partkey || '.png" alt="' || p_name || '" style="width: ' || p_size || '%"/> a_b_c</p>' END AS html FROM part""")
+def lnk7_html(spark, sf_dir):
+    """LNK7: headings with anchors, paragraphs, lists, code, quotes, links, images, emphasis."""
+    n, f, size = F.col("p_name"), F.col("p_size") % 4, text("p_size")
+    lit = F.lit
+    md = F.when(f == 0, F.concat(lit("## "), n, lit(" `code <"), size, lit("` ##\nMade by *"), "p_brand", lit("* & sold.\nAs "), "p_type", lit(".\n"))).when(
+        f == 1, F.concat(lit("- "), n, lit("\n  goes on\n* **"), "p_brand", lit("** at [here](http://x.dev/"), text("p_partkey"), lit("?a=1&b=2)"))).when(
+        f == 2, F.concat(lit('```\nlet x = "'), n, lit('"\n\n# '), size, lit("\n```\n> "), "p_type")).otherwise(F.concat(lit("!["), n, lit("|"), size, lit("%](i/"), text("p_partkey"), lit(".png) a_b_c")))
+    return read(spark, sf_dir, "part").select("p_partkey", decls.to_html(md).alias("html"))

@@ -531,8 +531,13 @@ def test_declaration_columns(spark):
     assert r.q == "+[A m:]" and r.oc.text == "- (void) m;" and r.oc.deprecated == "use n" and r.sd == "@objc\nfunc f(x: Int) -> Int"
 
 
-def test_markdown():
-    h = decls.markdown_html("# Title `x`\n\nA *b* <c>\n- one\n- two\n\n```\ncode <\n```\n![i|50%](p.png)")
+def test_markdown(spark):
+    h, spans, blocks, opened, none, empty = parsed(
+        spark, decls.to_html, "# Title `x`\n\nA *b* <c>\n- one\n- two\n\n```\ncode <\n```\n![i|50%](p.png)", "`a < b` and [l\"k](http://x?a=1&b) _em_ a_b_c **x** [`code`](u) $x_1 * y$",
+        "para one\nstill\n\n> quote **b**\n\n- a\n  more\n* c & d\n\n## H2 ##\n### !!!\n```js\nx = 'y'\n```", "```\nopen", None, "")
+    assert spans == '<p><code>a &lt; b</code> and <a href="http://x?a=1&b">l&quot;k</a> <em>em</em> a_b_c <strong>x</strong> <a href="u"><code>code</code></a> $x_1 * y$</p>'
+    assert blocks == '<p>para one still</p>\n<blockquote><p>quote <strong>b</strong></p></blockquote>\n<ul><li>a more</li><li>c &amp; d</li></ul>\n<h2 id="h2">H2</h2>\n<h3 id="e">!!!</h3>\n<pre><code class="language-js">x = &#x27;y&#x27;</code></pre>'
+    assert opened == '<pre><code class="language-swift">open</code></pre>' and none is None and empty == ""
     assert '<h1 id="title-x">Title <code>x</code></h1>' in h and "<p>A <em>b</em> &lt;c&gt;</p>" in h and "<ul><li>one</li><li>two</li></ul>" in h and 'class="language-swift">code &lt;' in h and "width: 50%" in h
 
 
