@@ -1,15 +1,10 @@
-"""Declarations and documentation comments, as expressions: bracket depths, blocks and items are folds over token and line
-arrays. XML comments are Arrow-batched Python."""
+"""Declarations and documentation comments, as expressions: bracket depths, blocks, items and open elements are folds over
+arrays of tokens and lines."""
 
 from __future__ import annotations
 
-import re
-import xml.etree.ElementTree as ET
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from arborql.model import CALLOUTS, DOCC_CALLOUTS, KINDS, OBJC, SWIFT
 
@@ -372,49 +367,95 @@ def pieces(declaration: Column | str) -> Column:
 # ---- parsers ---------------------------------------------------------------------------------------------------
 
 
-def parse_xml_docs(xml: str | None, brief: bool = False) -> dict | None:
-    """PRJ22: an XML documentation comment as the same parts; null if it is not well-formed. brief drops the discussion."""
-    try:
-        root = ET.fromstring(xml or "")
-    except ET.ParseError:
-        return None
-
-    def inline(e) -> str:
-        wrap = {"codeVoice": "`", "emphasis": "*", "bold": "**"}.get(e.tag, "")
-        inner = (e.text or "") + "".join(inline(c) + (c.tail or "") for c in e)
-        if e.tag == "Link":
-            return f"[{inner}]({e.get('href', '')})"
-        return wrap + inner + wrap
-
-    def block(e) -> str:
-        if e.tag == "CodeListing":
-            lines = "\n".join("".join(x.itertext()) for x in e.iter("zCodeLineNumbered"))
-            return f"```{e.get('language', '')}\n{lines}\n```"
-        if e.tag in ("List-Bullet", "List-Number"):
-            mark = (lambda k: "- ") if e.tag == "List-Bullet" else (lambda k: f"{k + 1}. ")
-            return "\n".join(mark(k) + "\n".join(block(c) for c in i) for k, i in enumerate(e.findall("Item")))
-        if e.tag in ("Note", "Warning", "Important", "SeeAlso", "Remark", "Attention", "Bug", "Todo", "Complexity", "Since", "Version"):
-            return f"- {e.tag}: " + " ".join(block(c) for c in e)
-        return inline(e).strip()
-
-    many = lambda e: "\n\n".join(block(c) for c in e) if e is not None else None
-    params = [{"name": p.findtext("Name", ""), "description": many(p.find("Discussion")) or ""} for p in root.iter("Parameter")]
-    return {"abstract": many(root.find(".//Abstract")) or "", "discussion": "" if brief else many(root.find("./CommentParts/Discussion")) or "",
-            "returns": many(root.find(".//ResultDiscussion")), "throws": many(root.find(".//ThrowsDiscussion")), "localization_key": None, "parameters": params}
-
-
-_DOC_KEYS = ["abstract", "discussion", "returns", "throws", "localization_key", "parameters"]
-_PARAMETERS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("description", T.StringType())]))
-_DOC = T.StructType([T.StructField(k, _PARAMETERS if k == "parameters" else T.StringType()) for k in _DOC_KEYS])
-
-
-def _frame(rows: list[dict | None], keys: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({k: pd.Series([r[k] if r else None for r in rows], dtype=object) for k in keys})
-
-
-@F.pandas_udf(_DOC)
-def xml_docs(s: pd.Series) -> pd.DataFrame:
-    return _frame([parse_xml_docs(x) for x in s], _DOC_KEYS)
+#: Tokens of XML: comments, character data, instructions, tags, text; and tags that are well-formed.
+XML_TOKEN = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<[^>]*>|[^<]+|<"
+XML_OPEN, XML_CLOSE = r"""(?s)^<([A-Za-z_:][\w:.-]*)((?:\s+[\w:.-]+\s*=\s*(?:"[^"<]*"|'[^'<]*'))*+)\s*(/?)>$""", r"^</([A-Za-z_:][\w:.-]*)\s*>$"
+#: What inline elements become, and elements that become callouts.
+INLINE = {"codeVoice": "`", "emphasis": "*", "bold": "**"}
+CALLOUT_TAGS = ["Note", "Warning", "Important", "SeeAlso", "Remark", "Attention", "Bug", "Todo", "Complexity", "Since", "Version"]
+#: An open element: its name and attributes, its text as markdown and as it stands, its children as blocks with three
+#: separators, list items and lines of code below it, and a parameter's name and description.
+_FRAME = "struct<tag:string,attrs:string,md:string,raw:string,n:int,spaced:string,lined:string,parted:string,k:int,items:string,code:string,name:string,about:string>"
+_DOC = "struct<abstract:string,discussion:string,returns:string,throws:string,localization_key:string,parameters:array<struct<name:string,description:string>>>"
+
+
+def xml_docs(xml: Column | str, brief: bool = False) -> Column:
+    """PRJ22: an XML documentation comment as the parts that ``doc_comment`` gives; null if it is not well-formed. brief drops
+    the discussion. Tokens are folded over a stack of open elements: one that closes becomes markdown and goes into the
+    element around it."""
+    xml = F.col(xml) if isinstance(xml, str) else xml
+    names = [f.split(":")[0] for f in _FRAME[7:-1].split(",")]
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    lit, null = F.lit, F.lit(None).cast("string")
+    frame = lambda **f: F.struct(*[f[n].alias(n) for n in names])
+    with_ = lambda x, **f: frame(**{n: f.get(n, x[n]) for n in names})
+    top = lambda stack: F.element_at(stack, -1)
+    below = lambda stack: F.slice(stack, F.lit(1), F.size(stack) - 1)
+    parts = ["stack", "ok", "roots", "abstract", "discussion", "returns", "throws", "parameters"]
+    state = lambda acc, **f: F.struct(*[f.get(n, acc[n]).alias(n) for n in parts])
+
+    def plain(t: Column) -> Column:
+        """The characters of a text token."""
+        out = F.when(t.startswith("<![CDATA["), F.substring(t, F.lit(10), F.length(t) - 12))
+        text = t
+        for x, y in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            text = F.replace(text, lit(x), lit(y))
+        return out.otherwise(text)
+
+    def opened(acc: Column, t: Column) -> Column:
+        new = frame(tag=F.regexp_extract(t, XML_OPEN, 1), attrs=F.regexp_extract(t, XML_OPEN, 2), md=lit(""), raw=lit(""), n=lit(0), spaced=lit(""), lined=lit(""), parted=lit(""), k=lit(0), items=lit(""), code=null, name=null, about=null)
+        return state(acc, stack=F.array_append(acc["stack"], new), ok=acc["ok"] & ((F.size(acc["stack"]) > 0) | (acc["roots"] == 0)), roots=acc["roots"] + F.when(F.size(acc["stack"]) == 0, 1).otherwise(0))
+
+    def said(acc: Column, t: Column) -> Column:
+        e, text = top(acc["stack"]), plain(t)
+        more = with_(e, md=F.concat(e["md"], text), raw=F.concat(e["raw"], text))
+        outside = F.size(acc["stack"]) == 0
+        fine = t.startswith("<![CDATA[") | ~t.rlike(r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);)")
+        inside = state(acc, stack=F.array_append(below(acc["stack"]), more), ok=acc["ok"] & fine)
+        return F.when(outside, state(acc, ok=acc["ok"] & (strip(t) == "") & ~t.startswith("<"))).otherwise(inside)
+
+    def closed(acc: Column, tag: Column) -> Column:
+        def pop(e: Column) -> Column:
+            rest = below(acc["stack"])
+            attr = lambda n: F.regexp_extract(e["attrs"], rf"""\s{n}\s*=\s*["']([^"']*)""", 1)
+            wrap = F.coalesce(F.try_element_at(F.create_map(*[lit(x) for k in INLINE.items() for x in k]), e["tag"]), lit(""))
+            inline = F.when(e["tag"] == "Link", F.concat(lit("["), e["md"], lit("]("), attr("href"), lit(")"))).otherwise(F.concat(wrap, e["md"], wrap))
+            block = (F.when(e["tag"] == "CodeListing", F.concat(lit("```"), attr("language"), lit("\n"), F.coalesce(e["code"], lit("")), lit("\n```")))
+                     .when(e["tag"].isin("List-Bullet", "List-Number"), e["items"]).when(e["tag"].isin(CALLOUT_TAGS), F.concat(lit("- "), e["tag"], lit(": "), e["spaced"])).otherwise(strip(inline)))
+            code = F.when(e["tag"] == "zCodeLineNumbered", e["raw"]).otherwise(e["code"])
+
+            def around(up: Column) -> Column:
+                """The element around with this one in it."""
+                joined = lambda c, sep: F.when(up["n"] == 0, block).otherwise(F.concat(up[c], lit(sep), block))
+                mark = F.when(up["tag"] == "List-Bullet", "- ").otherwise(F.concat((up["k"] + 1).cast("string"), lit(". ")))
+                item = F.concat(F.when(up["k"] > 0, F.concat(up["items"], lit("\n"))).otherwise(""), mark, e["lined"])
+                is_item, of = e["tag"] == "Item", up["tag"] == "Parameter"
+                return with_(up, md=F.concat(up["md"], inline), raw=F.concat(up["raw"], e["raw"]), n=up["n"] + 1, spaced=joined("spaced", " "), lined=joined("lined", "\n"), parted=joined("parted", "\n\n"),
+                             k=up["k"] + F.when(is_item, 1).otherwise(0), items=F.when(is_item, item).otherwise(up["items"]), code=F.when(code.isNull(), up["code"]).otherwise(F.concat_ws("\n", up["code"], code)),
+                             name=F.when(of & (e["tag"] == "Name"), F.coalesce(up["name"], e["raw"])).otherwise(up["name"]), about=F.when(of & (e["tag"] == "Discussion"), F.coalesce(up["about"], e["parted"])).otherwise(up["about"]))
+
+            first = lambda c, when: F.when(when & acc[c].isNull(), e["parted"]).otherwise(acc[c])
+            main = (e["tag"] == "Discussion") & (F.size(rest) == 2) & (F.try_element_at(rest, F.lit(2))["tag"] == "CommentParts")
+            param = F.array_append(acc["parameters"], F.struct(F.coalesce(e["name"], lit("")).alias("name"), F.coalesce(e["about"], lit("")).alias("description")))
+            return state(acc, stack=F.when(F.size(rest) > 0, F.array_append(below(rest), around(F.try_element_at(rest, F.lit(-1))))).otherwise(rest), ok=acc["ok"] & (e["tag"] == tag),
+                         abstract=first("abstract", e["tag"] == "Abstract"), discussion=first("discussion", main), returns=first("returns", e["tag"] == "ResultDiscussion"), throws=first("throws", e["tag"] == "ThrowsDiscussion"),
+                         parameters=F.when(e["tag"] == "Parameter", param).otherwise(acc["parameters"]))
+
+        empty = F.size(acc["stack"]) == 0
+        return F.when(empty, state(acc, ok=lit(False))).otherwise(F.transform(F.array(F.try_element_at(acc["stack"], F.lit(-1))), pop)[0])
+
+    def step(acc: Column, t: Column) -> Column:
+        is_open, is_close = t.rlike(XML_OPEN), t.rlike(XML_CLOSE)
+        alone = F.transform(F.array(opened(acc, t)), lambda a: closed(a, F.regexp_extract(t, XML_OPEN, 1)))[0]
+        return (F.when(~acc["ok"], acc).when(is_open & (F.regexp_extract(t, XML_OPEN, 3) == "/"), alone).when(is_open, opened(acc, t)).when(is_close, closed(acc, F.regexp_extract(t, XML_CLOSE, 1)))
+                .when(t.startswith("<!--") | t.startswith("<?"), acc).when(t.startswith("<") & ~t.startswith("<![CDATA["), state(acc, ok=lit(False))).otherwise(said(acc, t)))
+
+    start = F.struct(F.array().cast(f"array<{_FRAME}>").alias("stack"), lit(True).alias("ok"), lit(0).alias("roots"), *[null.alias(c) for c in ("abstract", "discussion", "returns", "throws")],
+                     F.array().cast("array<struct<name:string,description:string>>").alias("parameters"))
+    none = lit(None).cast(_DOC)
+    done = lambda acc: F.when(acc["ok"] & (acc["roots"] == 1) & (F.size(acc["stack"]) == 0), F.struct(
+        F.coalesce(acc["abstract"], lit("")).alias("abstract"), (lit("") if brief else F.coalesce(acc["discussion"], lit(""))).alias("discussion"), acc["returns"].alias("returns"), acc["throws"].alias("throws"), null.alias("localization_key"), acc["parameters"].alias("parameters"))).otherwise(none)
+    return F.aggregate(F.regexp_extract_all(xml, F.lit(XML_TOKEN), F.lit(0)), start, step, done)
 
 
 def escaped(s: Column, quotes: bool = True) -> Column:

@@ -476,9 +476,22 @@ def test_doc_comments(spark):
     assert d["parameters"] == [{"name": "a", "description": "the a\ngoes on"}] and (d["returns"], d["throws"], d["localization_key"]) == ("it", "bad", "k")
     assert listed["parameters"] == [{"name": "x", "description": "one"}, {"name": "y", "description": "two"}]
     assert empty["abstract"] == "" and none is None
-    x = decls.parse_xml_docs("<Function><CommentParts><Abstract><Para>Do <codeVoice>it</codeVoice></Para></Abstract><Parameters><Parameter><Name>a</Name><Discussion><Para>the a</Para></Discussion></Parameter></Parameters><ResultDiscussion><Para>r</Para></ResultDiscussion><Discussion><Para>one</Para><List-Bullet><Item><Para>i</Para></Item></List-Bullet></Discussion></CommentParts></Function>")
+    x, broken = parsed(spark, decls.xml_docs, "<Function><CommentParts><Abstract><Para>Do <codeVoice>it</codeVoice></Para></Abstract><Parameters><Parameter><Name>a</Name><Discussion><Para>the a</Para></Discussion></Parameter></Parameters><ResultDiscussion><Para>r</Para></ResultDiscussion><Discussion><Para>one</Para><List-Bullet><Item><Para>i</Para></Item></List-Bullet></Discussion></CommentParts></Function>", "<broken")
     assert x["abstract"] == "Do `it`" and x["discussion"] == "one\n\n- i" and x["parameters"] == [{"name": "a", "description": "the a"}] and x["returns"] == "r"
-    assert decls.parse_xml_docs("<broken") is None
+    assert broken is None
+
+
+def test_xml_docs_of_odd_shapes(spark):
+    bad = ["<a><b></a></b>", "<a/><b/>", "text", "<a>&bad;</a>", "<a x=1/>", "<a>", "</a>", "", None, "<a/> tail"]
+    full = ('<?xml version="1.0"?><!-- c --><F><CommentParts><Abstract><Para>A &lt;b&gt; <emphasis>e <bold>f</bold></emphasis> <Link href="http://x?a=1">l</Link></Para></Abstract><Discussion><Para> one </Para>\n<Note><Para>two</Para><Para>three</Para></Note>'
+            '<List-Number><Item><Para>i</Para><Para>j</Para></Item><Item><Para>k</Para></Item></List-Number><CodeListing language="swift"><zCodeLineNumbered><![CDATA[let x = 1 < 2]]></zCodeLineNumbered><zCodeLineNumbered>y</zCodeLineNumbered></CodeListing></Discussion>'
+            '<Parameters><Parameter><Name>x</Name><Direction isExplicit="0">in</Direction><Discussion><Para>p</Para><Para>q</Para></Discussion></Parameter><Parameter><Name>y</Name></Parameter></Parameters><ThrowsDiscussion><Para>t</Para></ThrowsDiscussion></CommentParts></F>')
+    *none, got, empty = parsed(spark, decls.xml_docs, *bad, full, " <a> </a> ")
+    assert none == [None] * len(bad)
+    assert got == {"abstract": "A <b> *e **f*** [l](http://x?a=1)", "discussion": "one\n\n- Note: two three\n\n1. i\nj\n2. k\n\n```swift\nlet x = 1 < 2\ny\n```", "returns": None, "throws": "t", "localization_key": None,
+                   "parameters": [{"name": "x", "description": "p\n\nq"}, {"name": "y", "description": ""}]}
+    assert empty == {"abstract": "", "discussion": "", "returns": None, "throws": None, "localization_key": None, "parameters": []}
+    assert parsed(spark, lambda c: decls.xml_docs(c, brief=True), full)[0]["discussion"] == ""
 
 
 def test_doc_comments_of_odd_shapes(spark):
