@@ -112,6 +112,63 @@ def swift_declaration(annotated: Column, parsed: Column, attributes: Column, own
     return F.array_join(F.concat(F.coalesce(attributes, F.array().cast("array<string>")), F.array(F.trim(text))), "\n")
 
 
+#: An attribute with its arguments, which may hold quoted texts; ``name`` is a pattern.
+def attribute_pattern(name: str) -> str:
+    return rf"""@{name}(?:\s*\((?:[^")]|"(?:[^"\\]|\\.)*+")*+\))?"""
+
+
+def compiler_text(annotated: Column, names: Column) -> Column:
+    """PRJ14: the compiler's declaration out of its annotated XML: attributes go, and a nested type's full name is its own
+    name. names: those of the items around and the own one, outermost first."""
+    spi = F.regexp_replace(annotated, r"<syntaxtype\.attribute\.name>@_spi</syntaxtype\.attribute\.name>.*?(?=\s|<)", "")
+    flat = F.btrim(xml_text(F.regexp_replace(spi, r"(?s)<syntaxtype\.attribute\.builtin>.*?</syntaxtype\.attribute\.builtin>", "")), F.lit(" \t"))
+    plain = lambda n: F.regexp_replace(n, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+    own = F.array_join(F.transform(names, plain), r"(?:<.*?>)?\.")
+    short = F.when(F.size(names) > 1, F.regexp_replace(flat, own, F.regexp_replace(F.element_at(names, -1), r"([\\$])", r"\\$1"))).otherwise(flat)
+    return F.regexp_replace(F.replace(short, F.lit(" {\n  get\n  }"), F.lit("")), r"mutating\s+mutating", "mutating")
+
+
+def neat_parsed(parsed: Column) -> Column:
+    """PRJ14: the parser's text without attributes before it; lines below are moved left by as much."""
+    attrs = F.regexp_extract(parsed, rf"(?s)^((?:{attribute_pattern(chr(92) + 'w+')}\s*)*+)", 1)
+    rest = F.substring(parsed, F.char_length(attrs) + 1, F.char_length(parsed))
+    return F.when(attrs == "", parsed).otherwise(F.regexp_replace(rest, F.concat(F.lit("(?m)^ {"), F.char_length(attrs).cast("string"), F.lit("}")), F.lit("")))
+
+
+def source_attributes(ranges: Column, source: Column) -> Column:
+    """PRJ14: attributes by byte ranges (array<struct<offset, length>>) of a source text, each range once, in order."""
+    raw = F.encode(source, "UTF-8")
+    one = F.array_sort(F.array_distinct(F.transform(F.filter(ranges, lambda r: r["offset"].isNotNull() & r["length"].isNotNull()), lambda r: F.struct(r["offset"].alias("o"), r["length"].alias("n")))))
+    return F.filter(F.transform(one, lambda r: F.decode(F.substring(raw, r["o"].cast("int") + 1, r["n"].cast("int")), "UTF-8")), lambda a: a.startswith("@"))
+
+
+def written_attributes(annotated: Column, doc_declaration: Column) -> Column:
+    """PRJ14: attributes as the annotated text and the documentation's declaration spell them, where there is no source."""
+    of = lambda t, name: F.coalesce(F.regexp_extract_all(t, F.lit("(?s)" + attribute_pattern(name)), F.lit(0)), F.array().cast("array<string>"))
+    return F.concat(of(xml_text(annotated), r"\w+"), of(doc_declaration, "available"))
+
+
+def assembled_declaration(annotated: Column, parsed: Column, attributes: Column, names: Column, kind: Column, strip_objc: Column | None = None) -> Column:
+    """PRJ14: struct<declaration, name_source, available, deprecated, unavailable, is_spi>, null without an annotated text.
+
+    The compiler's text, or the parser's for extensions, for what the compiler lacks, and for what is written over several
+    lines, other than properties. Attributes stand before it, a line each; those of availability become what they say
+    instead, of several with an empty line between, and @objc goes where the Objective-C form is shown (strip_objc)."""
+    compiler, none = compiler_text(annotated, names), F.array().cast("array<string>")
+    is_property = kind.isin(SWIFT + "var.instance", SWIFT + "var.class", SWIFT + "var.static", SWIFT + "var.global")
+    use_parsed = parsed.isNotNull() & (kind.startswith(SWIFT + "extension") | (compiler == "") | F.contains(parsed, F.lit("\n")) & ~is_property)
+    best = F.when(use_parsed, neat_parsed(parsed)).otherwise(compiler)
+    hide = F.lit(False) if strip_objc is None else strip_objc
+    every = F.filter(F.coalesce(attributes, none), lambda a: ~(hide & a.startswith("@objc")))
+    others = F.filter(every, lambda a: ~a.startswith("@available"))
+    facts = F.filter(F.transform(F.filter(every, lambda a: a.startswith("@available")), availability), lambda f: f.isNotNull())
+    said = lambda k: F.nullif(F.array_join(F.transform(facts, lambda f: f[k]), "\n\n"), F.lit(""))
+    return F.when(annotated.isNotNull(), F.struct(
+        F.array_join(F.concat(others, F.array(best)), "\n").alias("declaration"), F.when(use_parsed, "parsed").otherwise("compiler").alias("name_source"),
+        F.flatten(F.transform(facts, lambda f: f["available"])).alias("available"), said("deprecated").alias("deprecated"), said("unavailable").alias("unavailable"),
+        F.exists(others, lambda a: F.contains(a, F.lit("@_spi"))).alias("is_spi")))
+
+
 def objc_declaration(text: Column) -> Column:
     """PRJ17: struct<text, deprecated>: attributes and macros off, white space collapsed, deprecation message kept."""
     message = F.regexp_extract(text, r'(?:deprecated|API_DEPRECATED|DEPRECATED_MSG_ATTRIBUTE)\s*\(\s*@?"([^"]*)"', 1)

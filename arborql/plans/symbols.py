@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborql.model import OBJC
+from arborql.model import OBJC, SWIFT
 from arborql.operators import decls, graph, group, links, merge
 from arborql.plans.catalogue import query, read
 from arborql.tables import Tables
@@ -136,3 +136,19 @@ def lnk7_html(spark, sf_dir):
         f == 1, F.concat(lit("- "), n, lit("\n  goes on\n* **"), "p_brand", lit("** at [here](http://x.dev/"), text("p_partkey"), lit("?a=1&b=2)"))).when(
         f == 2, F.concat(lit('```\nlet x = "'), n, lit('"\n\n# '), size, lit("\n```\n> "), "p_type")).otherwise(F.concat(lit("!["), n, lit("|"), size, lit("%](i/"), text("p_partkey"), lit(".png) a_b_c")))
     return read(spark, sf_dir, "part").select("p_partkey", decls.to_html(md).alias("html"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 < 2 THEN '@objc' || chr(10) ELSE '' END || CASE p_size % 4 WHEN 0 THEN 'func f' || p_size || '(of: Inner) -> T<Int>' WHEN 1 THEN 'extension Inner : P' || p_size WHEN 2 THEN 'func g' || p_size || '(a: Int,' || chr(10) || '     b: Int)' ELSE 'var v' || p_size || ': Inner' END AS declaration,
+CASE WHEN p_size % 4 IN (1, 2) THEN 'parsed' ELSE 'compiler' END AS name_source, CASE WHEN p_size % 5 = 3 THEN 'iOS ' || p_size || '+' ELSE '' END AS available, CASE WHEN p_size % 5 = 4 THEN 'deprecated: ' || p_name END AS deprecated FROM part""")
+def p14_assembled(spark, sf_dir):
+    """PRJ14: declarations out of the compiler's and the parser's texts, with attributes and availability."""
+    f, n = F.col("p_size") % 4, text("p_size")
+    lit = F.lit
+    d = lambda *x: F.concat(lit("<Declaration><syntaxtype.attribute.builtin>@objc</syntaxtype.attribute.builtin> "), *x, lit("</Declaration>"))
+    annotated = F.when(f == 0, d(lit("func f"), n, lit("(of: <Type>Outer&lt;Int&gt;.Inner</Type>) -&gt; T&lt;Int&gt;"))).when(f == 1, d(lit("struct Inner"))).when(f == 2, d(lit("func g"), n, lit("(a: Int, b: Int)"))).otherwise(d(lit("var v"), n, lit(": Outer.Inner {\n  get\n  }")))
+    parsed = F.when(f == 1, F.concat(lit("extension Inner : P"), n)).when(f == 2, F.concat(lit("@objc func g"), n, lit("(a: Int,\n           b: Int)"))).when(f == 3, lit("var v: Inner {\n  1\n}"))
+    kind = F.when(f == 0, SWIFT + "function.method.instance").when(f == 1, SWIFT + "extension").when(f == 2, SWIFT + "function.free").otherwise(SWIFT + "var.instance")
+    k = F.col("p_size") % 5
+    attrs = F.when(k < 2, F.array(lit("@objc"))).when(k == 3, F.array(F.concat(lit("@available(iOS "), n, lit(", *)")))).when(k == 4, F.array(F.concat(lit('@available(*, deprecated, message: "'), "p_name", lit('")'))))
+    p = read(spark, sf_dir, "part").select("p_partkey", decls.assembled_declaration(annotated, parsed, attrs, F.array(lit("Outer"), lit("Inner")), kind).alias("d"))
+    return p.select("p_partkey", "d.declaration", "d.name_source", F.array_join("d.available", ",").alias("available"), "d.deprecated")

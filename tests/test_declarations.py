@@ -58,3 +58,25 @@ def test_both_languages(spark):
     o = spark.createDataFrame([(OBJC + "enum", "E", "struct E : RawRepresentable"), (OBJC + "enum", "F", "enum F"), (OBJC + "class", "G", None)], "kind string, name string, decl string")
     got = [r.s for r in o.select(decls.swift_of_objc(F.col("kind"), F.col("name"), F.col("decl")).alias("s")).collect()]
     assert [(x.kind, x.name) if x else None for x in got] == [(SWIFT + "struct", "E"), (SWIFT + "enum", "F"), None]
+
+
+def test_assembled_declarations(spark):
+    builtin = lambda a: f"<syntaxtype.attribute.builtin><syntaxtype.attribute.name>{a}</syntaxtype.attribute.name></syntaxtype.attribute.builtin> "
+    rows = [
+        ("<Declaration>" + builtin("@objc") + "func f(x: <Type>Outer&lt;T&gt;.Inner</Type>) -&gt; Int</Declaration>", "func f(x: Inner) -> Int", ["@objc(f:)", "@discardableResult"], ["Outer", "Inner"], "function.method.instance", True),
+        ("<Declaration>var x: Int {\n  get\n  }</Declaration>", "var x: Int {\n    1\n}", [], ["x"], "var.instance", False),
+        ("<Declaration>func g(a: Int, b: Int)</Declaration>", "@objc func g(a: Int,\n             b: Int)", ["@objc", "@available(iOS 13, *)", "@available(macOS, deprecated: 11, message: \"use h\")", "@available(*, unavailable)"], ["g"], "function.free", False),
+        ("<Declaration>class Foo</Declaration>", "extension Foo : P", ["@_spi(Private)"], ["Foo"], "extension", False),
+        (None, "func z()", [], ["z"], "function.free", False), ("<Declaration>mutating  mutating func m()</Declaration>", None, None, ["A.B", "m"], "function.method.instance", False),
+    ]
+    df = spark.createDataFrame([(k, *r[:4], SWIFT + r[4], r[5]) for k, r in enumerate(rows)], "k int, a string, p string, attrs array<string>, names array<string>, kind string, strip boolean")
+    out = {r.k: r.d for r in df.select("k", decls.assembled_declaration(F.col("a"), F.col("p"), F.col("attrs"), F.col("names"), F.col("kind"), F.col("strip")).alias("d")).collect()}
+    assert out[0].declaration == "@discardableResult\nfunc f(x: Inner) -> Int" and out[0].name_source == "compiler"
+    assert out[1].declaration == "var x: Int" and out[4] is None and out[5].declaration == "mutating func m()"
+    assert (out[2].declaration, out[2].name_source) == ("@objc\nfunc g(a: Int,\n       b: Int)", "parsed")
+    assert (out[2].available, out[2].deprecated, out[2].unavailable) == (["iOS 13+"], "macOS deprecated since 11: use h", "unavailable.")
+    assert out[3].declaration == "@_spi(Private)\nextension Foo : P" and out[3].is_spi and not out[2].is_spi
+    text = "é @objc @available(iOS 9, *) func f()"
+    src = spark.createDataFrame([([(4, 5), (3, 5), (9, 20), (9, 20), (None, 1), (30, 4)], text, "<d>@objc func f(x: <t>@escaping</t> A)</d>", "@available(*, deprecated, message: \"a (b) \\\"c\") func f()")], "r array<struct<offset:bigint,length:bigint>>, s string, a string, d string")
+    r = src.select(decls.source_attributes(F.col("r"), F.col("s")).alias("x"), decls.written_attributes(F.col("a"), F.col("d")).alias("y")).first()
+    assert r.x == ["@objc", "@available(iOS 9, *)"] and r.y == ["@objc", "@escaping", '@available(*, deprecated, message: "a (b) \\"c")']
