@@ -47,12 +47,6 @@ def merged_forest(defs: DataFrame, tables) -> DataFrame:
     return out if out is not None else defs.withColumns({"head_parent": F.lit(None).cast(defs.schema["path"].dataType), "copies": F.lit(0).cast("long"), "mismatches": F.lit(0).cast("long")})
 
 
-def reparent(children: DataFrame, merged: DataFrame, parent: str = "parent_path") -> DataFrame:
-    """AGG5: children of every copy become children of the head; ``copy_path`` keeps their order."""
-    m = merged.select(F.col("path").alias("__p"), F.col("head").alias("__h"))
-    return children.join(m, children[parent] == m["__p"], "left").withColumn("copy_path", F.col(parent)).withColumn(parent, F.coalesce("__h", parent)).drop("__p", "__h")
-
-
 def claim_extensions(types: DataFrame, extensions: DataFrame) -> DataFrame:
     """JN1: each extension with the type that claims its key: types inside other extensions first, then by path.
     Leftovers have a null claimant, and the first of a key is the head of the rest (leftover_head)."""

@@ -24,24 +24,11 @@ def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first_wins(df, keys, order, last=True)
 
 
-def group_ordered(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """AGG4: keys, head ordinal, count, and the values of each key in order. Not for keys with unbounded groups."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, value.alias("__v"))))
-    return df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("head"), F.count("*").alias("n"), F.transform(rows, lambda r: r["__v"]).alias(name))
-
-
 def consume_once(matches: DataFrame, item: list[str], order: list[str]) -> DataFrame:
     """Each item goes to its first claimant by ``order`` (JN1, JN6, GRP2)."""
     return first_wins(matches, item, order)
 
 
-def ordered_lookup(candidates: DataFrame, names: DataFrame, on: list[str], query: list[str], priority: str, target: str) -> DataFrame:
-    """JN10: of a query's candidates that name something, the one with the least priority. candidates holds
-    query, on and priority; names holds on and target. Queries without a hit are absent."""
-    hit = candidates.join(names, on)
-    return hit.groupBy(*query).agg(F.min_by(target, priority).alias(target), F.min(priority).alias(priority))
-
-
 def carry_forward(value: Column, partition: list[str], order: list[str]) -> Column:
     """WIN1: the latest value that is not null, this row's included."""
     return F.last(value, ignorenulls=True).over(W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from arborql.functions.text import slugged, url_path_encoded
 from arborql.model import ITEM_KIND_NAMES
 from arborql.operators.ordered import islands, neighbours, unique_names
+from arborql.operators.filters import toc_visible
 from arborql.operators.tree import with_ancestors
 
 
@@ -107,8 +108,7 @@ def with_globals(pages: DataFrame, values: dict[str, str]) -> DataFrame:
 
 def toc(items: DataFrame, language: str) -> DataFrame:
     """LNK13, FLT13: the visible rows of a language's contents: by show_in_toc and depth; groups only with a child."""
-    depth = F.size("path") - 1
-    shown = F.when(F.col("show_in_toc") == "atTopLevel", depth < 2).otherwise(F.col("show_in_toc") == "yes")
+    shown = toc_visible(F.col("show_in_toc"), F.size("path") - 1)
     rows = items.where((F.col("item_type") == "group") | (shown & (F.col("primary_language").eqNullSafe(F.lit(language)) | F.col("secondary_language").eqNullSafe(F.lit(language)) | F.col("primary_language").isNull())))
     ups = rows.where("item_type <> 'group'").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", F.lit(1), k))).alias("path")).distinct()
     return rows.join(ups, "path", "left_semi")
