@@ -1,19 +1,8 @@
-"""Tiles: all unordered pairs of n rows as block pairs, with the pairs themselves never written out.
-
-Rows get a tile number; each goes to every block pair that holds its tile. A block pair is one group, so it
-is computed in one task of bounded size, and only what it finds leaves it."""
+"""Components within a block of rows, in numpy."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def block_pairs(tile: Column, tiles: Column) -> Column:
-    """array<struct<i,j>> of the block pairs (i <= j) that a row of ``tile`` belongs to, of ``tiles`` tiles."""
-    return F.transform(F.sequence(F.lit(0), tiles.cast("int") - 1),
-                       lambda k: F.struct(F.least(tile.cast("int"), k).alias("i"), F.greatest(tile.cast("int"), k).alias("j")))
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
