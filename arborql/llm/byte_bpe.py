@@ -11,7 +11,8 @@ import base64
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -105,30 +106,47 @@ class Codec:
             cut = text.split(" ")
         return [cut[0], *[" " + x for x in cut[1:]]]
 
+    def matches(self, stretch: str) -> list[str]:
+        """The pre-tokens of a stretch; by the pattern that is known, letters after at most one space are one."""
+        if self.by_space and stretch[1:].isalpha() and (stretch[0] == " " or stretch[0].isalpha()):
+            return [stretch]
+        return self.words_of.findall(stretch)
+
+    def mapped_words(self, words: list[str]) -> list[str]:
+        """Words with a character for each byte, all in one pass: what stands between them is a byte that UTF-8 has not."""
+        if not words:
+            return []
+        whole = "\udcff".join(words).encode("utf-8", "surrogateescape").decode("latin-1")
+        return whole.translate(self.mapped | {0xFF: "\n"}).split("\n")
+
+    def packed_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of pre-tokens, by one call of the model."""
+        coded = self.model.encode(self.mapped_words(words), out_type=int, num_threads=1)
+        ends = np.cumsum([0, *map(len, coded)])
+        whole = np.fromiter(chain.from_iterable(coded), np.dtype("<i4"), ends[-1]).tobytes()
+        ends = (4 * ends).tolist()
+        return [whole[i:j] for i, j in zip(ends, ends[1:])]
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Each text's packed ids. The pre-tokens of stretches that are not kept go to the model in one call."""
         cut = [self.stretches(t) if t else [] for t in texts]
-        ids: dict[str, bytes] = {}
-        missing: list[str] = []
-        for w in {*chain.from_iterable(cut)}:
-            found = self.kept.get(w)
-            if found is None:
-                found = self.older.get(w)
-                if found is None:
-                    missing.append(w)
-                    continue
-                self.kept[w] = found
-            ids[w] = found
-        words = [self.words_of.findall(w) for w in missing]
-        each = [*{*chain.from_iterable(words)}]
-        coded = self.model.encode([w.encode().decode("latin-1").translate(self.mapped) for w in each], out_type=int, num_threads=1)
-        packed = {w: np.array(x, "<i4").tobytes() for w, x in zip(each, coded)}
-        new = {w: b"".join(map(packed.__getitem__, ws)) for w, ws in zip(missing, words)}
-        ids |= new
-        if len(self.kept) > KEPT // 2:
-            self.older, self.kept = self.kept, {}
-        self.kept |= {w: x for w, x in new.items() if len(w) <= KEPT_CHARS}
-        return [b"".join(map(ids.__getitem__, ws)) for ws in cut]
+        kept = self.kept
+        found = [list(map(kept.get, ws)) for ws in cut]
+        every = chain.from_iterable
+        fresh = {*compress(every(cut), map(is_, every(found), repeat(None)))}
+        missing = [*fresh.difference(self.older)]
+        kept |= {w: self.older[w] for w in fresh.intersection(self.older)}
+        words = list(map(self.matches, missing))
+        each = [*{*every(words)}]
+        packed = dict(zip(each, self.packed_ids(each)))
+        kept |= zip(missing, [b"".join(map(packed.__getitem__, ws)) for ws in words])
+        out = [b"".join(map(kept.__getitem__, ws) if None in got else got) for ws, got in zip(cut, found)]
+        for w in missing:
+            if len(w) > KEPT_CHARS:
+                del kept[w]
+        if len(kept) > KEPT // 2:
+            self.older, self.kept = kept, {}
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_batch([text])[0], "<i4").tolist()
@@ -197,7 +215,8 @@ def decode(df: DataFrame, vocab_path: str, pattern: str, ids_col: str = "ids", o
         sizes = pa.compute.binary_length(ids) if packed else pa.compute.list_value_length(ids)
         ends = np.concatenate([[0], np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
         if packed:
-            return np.frombuffer(b"".join(x or b"" for x in ids.to_pylist()), "<i4"), ends // 4
+            at = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset:ids.offset + len(ids) + 1] if len(ids) else [0]
+            return np.frombuffer((ids.buffers()[2] or b"")[at[0]:at[-1]], "<i4"), ends // 4
         return ids.flatten().to_numpy(zero_copy_only=False), ends
 
     def run(batches):
