@@ -430,89 +430,114 @@ XML_OPEN, XML_CLOSE = r"""(?s)^<([A-Za-z_:][\w:.-]*)((?:\s+[\w:.-]+\s*=\s*(?:"[^
 #: What inline elements become, and elements that become callouts.
 INLINE = {"codeVoice": "`", "emphasis": "*", "bold": "**"}
 CALLOUT_TAGS = ["Note", "Warning", "Important", "SeeAlso", "Remark", "Attention", "Bug", "Todo", "Complexity", "Since", "Version"]
-#: An open element: its name and attributes, its text as markdown and as it stands, its children as blocks with three
-#: separators, list items and lines of code below it, and a parameter's name and description.
-_FRAME = "struct<tag:string,attrs:string,md:string,raw:string,n:int,spaced:string,lined:string,parted:string,k:int,items:string,code:string,name:string,about:string>"
+_TOKEN = "struct<kind:string,tag:string,text:string>"
+#: Of an open element what few have: list items and lines of code below it, and a parameter's name and description.
+_REST = "struct<items:array<string>,code:array<string>,name:string,about:string>"
+#: An open element: its tag, its text as markdown and as it stands, its children as blocks, and the rest.
+_FRAME = f"struct<token:{_TOKEN},md:string,raw:string,blocks:array<string>,rest:{_REST}>"
 _DOC = "struct<abstract:string,discussion:string,returns:string,throws:string,localization_key:string,parameters:array<struct<name:string,description:string>>>"
+#: Elements whose children are looked at as blocks.
+BLOCKS_OF = ["Abstract", "Discussion", "ResultDiscussion", "ThrowsDiscussion", "Item", *CALLOUT_TAGS]
+
+
+def bound(x: Column, f) -> Column:
+    """f(x) with x evaluated once and not copied: lambdas share no common parts, each mention of x would be evaluated."""
+    return F.aggregate(F.array().cast("array<int>"), x, lambda acc, _: acc, f)
+
+
+def xml_token(t: Column) -> Column:
+    """A token as struct<kind, tag, text>: open, close, alone (both), text or data with its characters, note (a comment or an
+    instruction) or bad. A tag's text is the tag."""
+    make = lambda kind, tag, text: F.struct(F.lit(kind).alias("kind"), tag.alias("tag"), text.alias("text"))
+    nothing = F.lit("")
+
+    def plain(t: Column) -> Column:
+        for x, y in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            t = F.replace(t, F.lit(x), F.lit(y))
+        return t
+
+    odd = t.rlike(r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);)")
+    text = F.when(~F.contains(t, F.lit("&")), make("text", nothing, t)).when(odd, make("bad", nothing, t)).otherwise(make("text", nothing, plain(t)))
+    shut = bound(F.regexp_extract(t, XML_CLOSE, 1), lambda tag: F.when(tag == "", make("bad", nothing, t)).otherwise(make("close", tag, t)))
+    opens = bound(F.regexp_extract(t, XML_OPEN, 1), lambda tag: F.when(tag == "", make("bad", nothing, t)).when(t.endswith("/>"), make("alone", tag, t)).otherwise(make("open", tag, t)))
+    return (F.when(~t.startswith("<"), text).when(t.startswith("</"), shut).when(t.startswith("<!--") | t.startswith("<?"), make("note", nothing, t))
+            .when(t.startswith("<![CDATA["), make("data", nothing, F.substring(t, F.lit(10), F.length(t) - 12))).otherwise(opens))
 
 
 def xml_docs(xml: Column | str, brief: bool = False) -> Column:
     """PRJ22: an XML documentation comment as the parts that ``doc_comment`` gives; null if it is not well-formed. brief drops
     the discussion. Tokens are folded over a stack of open elements: one that closes becomes markdown and goes into the
-    element around it."""
+    element around it. A step evaluates each value once and builds anew only what it changes."""
     xml = F.col(xml) if isinstance(xml, str) else xml
-    names = [f.split(":")[0] for f in _FRAME[7:-1].split(",")]
     strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
-    lit, null = F.lit, F.lit(None).cast("string")
-    frame = lambda **f: F.struct(*[f[n].alias(n) for n in names])
-    with_ = lambda x, **f: frame(**{n: f.get(n, x[n]) for n in names})
-    top = lambda stack: F.element_at(stack, -1)
-    below = lambda stack: F.slice(stack, F.lit(1), F.size(stack) - 1)
-    parts = ["stack", "ok", "roots", "abstract", "discussion", "returns", "throws", "parameters"]
-    state = lambda acc, **f: F.struct(*[f.get(n, acc[n]).alias(n) for n in parts])
-
-    def plain(t: Column) -> Column:
-        """The characters of a text token."""
-        out = F.when(t.startswith("<![CDATA["), F.substring(t, F.lit(10), F.length(t) - 12))
-        text = t
-        for x, y in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-            text = F.replace(text, lit(x), lit(y))
-        return out.otherwise(text)
+    lit, null, strings = F.lit, F.lit(None).cast("string"), F.array().cast("array<string>")
+    struct = lambda **f: F.struct(*[c.alias(n) for n, c in f.items()])
+    changed = lambda x, names, **f: F.struct(*[f.get(n, x[n]).alias(n) for n in names])
+    frame = lambda x, **f: changed(x, ["token", "md", "raw", "blocks", "rest"], **f)
+    state = lambda acc, **f: changed(acc, ["stack", "ok", "roots", "said"], **f)
+    new = lambda t: struct(token=t, md=lit(""), raw=lit(""), blocks=strings, rest=struct(items=strings, code=strings, name=null, about=null))
+    upto = lambda stack, n: F.slice(stack, lit(1), n)
+    depth = lambda acc: F.size(acc["stack"])
 
     def opened(acc: Column, t: Column) -> Column:
-        new = frame(tag=F.regexp_extract(t, XML_OPEN, 1), attrs=F.regexp_extract(t, XML_OPEN, 2), md=lit(""), raw=lit(""), n=lit(0), spaced=lit(""), lined=lit(""), parted=lit(""), k=lit(0), items=lit(""), code=null, name=null, about=null)
-        return state(acc, stack=F.array_append(acc["stack"], new), ok=acc["ok"] & ((F.size(acc["stack"]) > 0) | (acc["roots"] == 0)), roots=acc["roots"] + F.when(F.size(acc["stack"]) == 0, 1).otherwise(0))
-
-    def said(acc: Column, t: Column) -> Column:
-        e, text = top(acc["stack"]), plain(t)
-        more = with_(e, md=F.concat(e["md"], text), raw=F.concat(e["raw"], text))
-        outside = F.size(acc["stack"]) == 0
-        fine = t.startswith("<![CDATA[") | ~t.rlike(r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);)")
-        inside = state(acc, stack=F.array_append(below(acc["stack"]), more), ok=acc["ok"] & fine)
-        return F.when(outside, state(acc, ok=acc["ok"] & (strip(t) == "") & ~t.startswith("<"))).otherwise(inside)
-
-    def closed(acc: Column, tag: Column) -> Column:
-        def pop(e: Column) -> Column:
-            rest = below(acc["stack"])
-            attr = lambda n: F.regexp_extract(e["attrs"], rf"""\s{n}\s*=\s*["']([^"']*)""", 1)
-            wrap = F.coalesce(F.try_element_at(F.create_map(*[lit(x) for k in INLINE.items() for x in k]), e["tag"]), lit(""))
-            inline = F.when(e["tag"] == "Link", F.concat(lit("["), e["md"], lit("]("), attr("href"), lit(")"))).otherwise(F.concat(wrap, e["md"], wrap))
-            block = (F.when(e["tag"] == "CodeListing", F.concat(lit("```"), attr("language"), lit("\n"), F.coalesce(e["code"], lit("")), lit("\n```")))
-                     .when(e["tag"].isin("List-Bullet", "List-Number"), e["items"]).when(e["tag"].isin(CALLOUT_TAGS), F.concat(lit("- "), e["tag"], lit(": "), e["spaced"])).otherwise(strip(inline)))
-            code = F.when(e["tag"] == "zCodeLineNumbered", e["raw"]).otherwise(e["code"])
-
-            def around(up: Column) -> Column:
-                """The element around with this one in it."""
-                joined = lambda c, sep: F.when(up["n"] == 0, block).otherwise(F.concat(up[c], lit(sep), block))
-                mark = F.when(up["tag"] == "List-Bullet", "- ").otherwise(F.concat((up["k"] + 1).cast("string"), lit(". ")))
-                item = F.concat(F.when(up["k"] > 0, F.concat(up["items"], lit("\n"))).otherwise(""), mark, e["lined"])
-                is_item, of = e["tag"] == "Item", up["tag"] == "Parameter"
-                return with_(up, md=F.concat(up["md"], inline), raw=F.concat(up["raw"], e["raw"]), n=up["n"] + 1, spaced=joined("spaced", " "), lined=joined("lined", "\n"), parted=joined("parted", "\n\n"),
-                             k=up["k"] + F.when(is_item, 1).otherwise(0), items=F.when(is_item, item).otherwise(up["items"]), code=F.when(code.isNull(), up["code"]).otherwise(F.concat_ws("\n", up["code"], code)),
-                             name=F.when(of & (e["tag"] == "Name"), F.coalesce(up["name"], e["raw"])).otherwise(up["name"]), about=F.when(of & (e["tag"] == "Discussion"), F.coalesce(up["about"], e["parted"])).otherwise(up["about"]))
-
-            first = lambda c, when: F.when(when & acc[c].isNull(), e["parted"]).otherwise(acc[c])
-            main = (e["tag"] == "Discussion") & (F.size(rest) == 2) & (F.try_element_at(rest, F.lit(2))["tag"] == "CommentParts")
-            param = F.array_append(acc["parameters"], F.struct(F.coalesce(e["name"], lit("")).alias("name"), F.coalesce(e["about"], lit("")).alias("description")))
-            return state(acc, stack=F.when(F.size(rest) > 0, F.array_append(below(rest), around(F.try_element_at(rest, F.lit(-1))))).otherwise(rest), ok=acc["ok"] & (e["tag"] == tag),
-                         abstract=first("abstract", e["tag"] == "Abstract"), discussion=first("discussion", main), returns=first("returns", e["tag"] == "ResultDiscussion"), throws=first("throws", e["tag"] == "ThrowsDiscussion"),
-                         parameters=F.when(e["tag"] == "Parameter", param).otherwise(acc["parameters"]))
-
-        empty = F.size(acc["stack"]) == 0
-        return F.when(empty, state(acc, ok=lit(False))).otherwise(F.transform(F.array(F.try_element_at(acc["stack"], F.lit(-1))), pop)[0])
+        return state(acc, stack=F.array_append(acc["stack"], new(t)), roots=acc["roots"] + (depth(acc) == 0).cast("int"))
+
+    def text(acc: Column, t: Column) -> Column:
+        more = lambda e: F.array_append(upto(acc["stack"], depth(acc) - 1), frame(e, md=F.concat(e["md"], t["text"]), raw=F.concat(e["raw"], t["text"])))
+        blank = (t["kind"] == "text") & (strip(t["text"]) == "")
+        return F.when(depth(acc) == 0, state(acc, ok=blank)).otherwise(state(acc, stack=bound(F.try_element_at(acc["stack"], lit(-1)), more)))
+
+    def around(up: Column, e: Column) -> Column:
+        """The element around with the one that closes in it."""
+        tag, up_tag, own, its = e["token"]["tag"], up["token"]["tag"], e["rest"], up["rest"]
+        attr = lambda n: F.regexp_extract(e["token"]["text"], rf"""\s{n}\s*=\s*["']([^"']*)""", 1)
+        inline = F.when(tag == "Link", F.concat(lit("["), e["md"], lit("]("), attr("href"), lit(")")))
+        for name, mark in INLINE.items():
+            inline = inline.when(tag == name, F.concat(lit(mark), e["md"], lit(mark)))
+        mark = F.when(up_tag == "List-Bullet", "- ").otherwise(F.concat((F.size(its["items"]) + 1).cast("string"), lit(". ")))
+        lines = tag == "zCodeLineNumbered"
+        of = up_tag == "Parameter"
+        rest = struct(items=F.when(tag == "Item", F.array_append(its["items"], F.concat(mark, F.array_join(e["blocks"], "\n")))).otherwise(its["items"]),
+                      code=F.concat(its["code"], F.when(lines, F.array(e["raw"])).otherwise(own["code"])),
+                      name=F.when(of & (tag == "Name"), F.coalesce(its["name"], e["raw"])).otherwise(its["name"]), about=F.when(of & (tag == "Discussion"), F.coalesce(its["about"], F.array_join(e["blocks"], "\n\n"))).otherwise(its["about"]))
+
+        def put(inline: Column) -> Column:
+            block = (F.when(tag == "CodeListing", F.concat(lit("```"), attr("language"), lit("\n"), F.array_join(own["code"], "\n"), lit("\n```")))
+                     .when(tag.isin("List-Bullet", "List-Number"), F.array_join(own["items"], "\n")).when(tag.isin(CALLOUT_TAGS), F.concat(lit("- "), tag, lit(": "), F.array_join(e["blocks"], " "))).otherwise(strip(inline)))
+            return frame(up, md=F.concat(up["md"], inline), raw=F.concat(up["raw"], e["raw"]), blocks=F.when(up_tag.isin(BLOCKS_OF), F.array_append(up["blocks"], block)).otherwise(up["blocks"]),
+                         rest=F.when(of | lines | (tag == "Item") | (F.size(own["code"]) > 0), rest).otherwise(its))
+
+        return bound(inline.otherwise(e["md"]), put)
+
+    def closed(acc: Column, e: Column, n: Column, tag: Column) -> Column:
+        """n: how many elements are around the one that closes."""
+        own, said = e["token"]["tag"], acc["said"]
+        first = lambda c, when: F.when(when & said[c].isNull(), F.array_join(e["blocks"], "\n\n")).otherwise(said[c])
+        main = (own == "Discussion") & (n == 2) & (F.try_element_at(acc["stack"], lit(2))["token"]["tag"] == "CommentParts")
+        param = struct(name=F.coalesce(e["rest"]["name"], lit("")), description=F.coalesce(e["rest"]["about"], lit("")))
+        more = struct(abstract=first("abstract", own == "Abstract"), discussion=first("discussion", main), returns=first("returns", own == "ResultDiscussion"), throws=first("throws", own == "ThrowsDiscussion"),
+                      parameters=F.when(own == "Parameter", F.array_append(said["parameters"], param)).otherwise(said["parameters"]))
+        out = bound(F.try_element_at(acc["stack"], n), lambda up: F.array_append(upto(acc["stack"], n - 1), around(up, e)))
+        return state(acc, stack=F.when(n > 0, out).otherwise(upto(acc["stack"], lit(0))), ok=own == tag, said=F.when(own.isin("Abstract", "Discussion", "ResultDiscussion", "ThrowsDiscussion", "Parameter"), more).otherwise(said))
 
     def step(acc: Column, t: Column) -> Column:
-        is_open, is_close = t.rlike(XML_OPEN), t.rlike(XML_CLOSE)
-        alone = F.transform(F.array(opened(acc, t)), lambda a: closed(a, F.regexp_extract(t, XML_OPEN, 1)))[0]
-        return (F.when(~acc["ok"], acc).when(is_open & (F.regexp_extract(t, XML_OPEN, 3) == "/"), alone).when(is_open, opened(acc, t)).when(is_close, closed(acc, F.regexp_extract(t, XML_CLOSE, 1)))
-                .when(t.startswith("<!--") | t.startswith("<?"), acc).when(t.startswith("<") & ~t.startswith("<![CDATA["), state(acc, ok=lit(False))).otherwise(said(acc, t)))
-
-    start = F.struct(F.array().cast(f"array<{_FRAME}>").alias("stack"), lit(True).alias("ok"), lit(0).alias("roots"), *[null.alias(c) for c in ("abstract", "discussion", "returns", "throws")],
-                     F.array().cast("array<struct<name:string,description:string>>").alias("parameters"))
-    none = lit(None).cast(_DOC)
-    done = lambda acc: F.when(acc["ok"] & (acc["roots"] == 1) & (F.size(acc["stack"]) == 0), F.struct(
-        F.coalesce(acc["abstract"], lit("")).alias("abstract"), (lit("") if brief else F.coalesce(acc["discussion"], lit(""))).alias("discussion"), acc["returns"].alias("returns"), acc["throws"].alias("throws"), null.alias("localization_key"), acc["parameters"].alias("parameters"))).otherwise(none)
-    return F.aggregate(F.regexp_extract_all(xml, F.lit(XML_TOKEN), F.lit(0)), start, step, done)
+        alone = t["kind"] == "alone"
+        own = struct(e=F.when(alone, new(t)).otherwise(F.try_element_at(acc["stack"], lit(-1))), n=depth(acc) - F.when(alone, 0).otherwise(1))
+        # an element alone that is outside is a root too
+        shut = bound(own, lambda x: closed(state(acc, roots=acc["roots"] + (alone & (depth(acc) == 0)).cast("int")), x["e"], x["n"], t["tag"]))
+        return (F.when(t["kind"] == "note", acc).when(t["kind"] == "open", opened(acc, t)).when(t["kind"].isin("text", "data"), text(acc, t))
+                .when((t["kind"] == "bad") | ~alone & (depth(acc) == 0), state(acc, ok=lit(False))).otherwise(shut))
+
+    none, parameters = lit(None).cast(_DOC), F.array().cast("array<struct<name:string,description:string>>")
+    start = struct(stack=F.array().cast(f"array<{_FRAME}>"), ok=lit(True), roots=lit(0), said=struct(abstract=null, discussion=null, returns=null, throws=null, parameters=parameters))
+
+    def done(acc: Column) -> Column:
+        said = acc["said"]
+        discussion = lit("") if brief else F.coalesce(said["discussion"], lit(""))
+        return F.when(acc["ok"] & (acc["roots"] == 1) & (depth(acc) == 0), struct(
+            abstract=F.coalesce(said["abstract"], lit("")), discussion=discussion, returns=said["returns"], throws=said["throws"], localization_key=null, parameters=said["parameters"])).otherwise(none)
+
+    return F.aggregate(F.regexp_extract_all(xml, F.lit(XML_TOKEN), F.lit(0)), start, lambda acc, t: F.when(~acc["ok"], acc).otherwise(bound(xml_token(t), lambda x: step(acc, x))), done)
 
 
 def escaped(s: Column, quotes: bool = True) -> Column:

@@ -34,6 +34,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all tasks by key. A table of some MB comes in one or a few splits; what costs much for each row would
+    run in as few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def first_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG4: the first document of each text. The text's hash pair is the key, so texts don't pass a shuffle."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))

@@ -10,7 +10,7 @@ from arborql.functions import maps
 from arborql.functions import text as X
 from arborql.model import OBJC
 from arborql.operators import decls, graph, group, links, ordered, pages, tree
-from arborql.plans.catalogue import query, read
+from arborql.plans.catalogue import query, read, spread
 from arborql.plans.wide import _NATIONS, by_region, files, nations, site
 from arborql.sources import readers
 from arborql.tables import Tables
@@ -29,7 +29,7 @@ def p20_doc_comments(spark, sf_dir):
     x = F.concat(F.lit("- parameter x: of "), "p_brand", F.lit("\n- Returns: "), "p_type", F.lit("\n- note: stays "), text("p_size"))
     more = F.concat(F.lit("\n- Parameter y: two\n  lines\n- throws: E"), text("p_size"))
     comment = F.when(F.col("p_size") > 25, x).otherwise(F.concat(first, x, more))
-    d = read(spark, sf_dir, "part").select("p_partkey", decls.doc_comment(comment).alias("d"))
+    d = spread(read(spark, sf_dir, "part"), "p_partkey").select("p_partkey", decls.doc_comment(comment).alias("d"))
     params = F.array_join(F.transform("d.parameters", lambda p: F.concat(p["name"], F.lit("="), p["description"])), ",")
     return d.select("p_partkey", "d.abstract", "d.discussion", "d.returns", "d.throws", params.alias("params"))
 
@@ -42,7 +42,7 @@ def p15_availability(spark, sf_dir):
     a = (F.when(k == 0, F.concat(F.lit("@available(iOS "), n, F.lit(", macOS 11, *)")))
          .when(k == 1, F.concat(F.lit("@available(iOS, introduced: "), n, F.lit(", deprecated: "), (F.col("p_size") + 1).cast("string"), F.lit(', message: "use '), "p_name", F.lit('")')))
          .when(k == 2, F.concat(F.lit('@available(*, deprecated, renamed: "'), "p_brand", F.lit('")'))).otherwise("@available(*, unavailable)"))
-    d = read(spark, sf_dir, "part").select("p_partkey", decls.availability(a).alias("d"))
+    d = spread(read(spark, sf_dir, "part"), "p_partkey").select("p_partkey", decls.availability(a).alias("d"))
     return d.select("p_partkey", F.array_join("d.available", "|").alias("available"), "d.deprecated", "d.unavailable")
 
 
@@ -53,7 +53,7 @@ def p16_name_pieces(spark, sf_dir):
     """PRJ16, ST14, OR7: declarations as pieces that are their name or not; the name alone sorts."""
     n = text("p_size")
     d = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("func m"), n, F.lit("(with a: Int) -> Void"))).otherwise(F.concat(F.lit("static var v"), n, F.lit(": Int")))
-    p = read(spark, sf_dir, "part").select("p_partkey", decls.pieces(d).alias("p"))
+    p = spread(read(spark, sf_dir, "part"), "p_partkey").select("p_partkey", decls.pieces(d).alias("p"))
     return p.select("p_partkey", X.sortable_name(F.col("p")).alias("sortable"), X.pieces_wrapped(F.col("p"), "<b>", "</b>").alias("wrapped"), X.pieces_flat(F.col("p")).alias("flat"))
 
 
@@ -66,7 +66,7 @@ def p22_xml_docs(spark, sf_dir):
         F.lit("<Function><Name>f</Name><CommentParts><Abstract>"), para(F.lit("Part <codeVoice>"), F.col("p_brand"), F.lit("</codeVoice>")), F.lit("</Abstract><Parameters><Parameter><Name>x</Name><Discussion>"),
         para(F.lit("of "), text("p_size")), F.lit("</Discussion></Parameter></Parameters><ResultDiscussion>"), para(F.col("p_type")), F.lit("</ResultDiscussion><Discussion>"),
         para(F.lit("<emphasis>"), F.col("p_name"), F.lit("</emphasis>")), F.lit("<Note><Para>two</Para></Note></Discussion></CommentParts></Function>"))
-    d = read(spark, sf_dir, "part").select("p_partkey", decls.xml_docs(F.when(F.col("p_size") == 13, "<Function>").otherwise(xml)).alias("d"))
+    d = spread(read(spark, sf_dir, "part"), "p_partkey").select("p_partkey", decls.xml_docs(F.when(F.col("p_size") == 13, "<Function>").otherwise(xml)).alias("d"))
     params = F.array_join(F.transform("d.parameters", lambda p: F.concat(p["name"], F.lit("="), p["description"])), ",")
     return d.select("p_partkey", "d.abstract", "d.discussion", "d.returns", params.alias("params"))
 

@@ -1,11 +1,15 @@
 """Objective-C declarations in columns: neat texts, name pieces, and both languages."""
 
+import os
 import re
 
+import pytest
 from pyspark.sql import functions as F
+from sqlcheck import SF_DIR
 
 from arborql.model import OBJC, SWIFT
 from arborql.operators import decls
+from arborql.plans.catalogue import QUERIES
 
 CASES = [
     ("method.instance", "setA:b:", "- (void)setA:(int)a b:(NSString *_Nonnull)b;", "- (void)[setA]:(int)a [b]:(NSString *)b"),
@@ -80,3 +84,26 @@ def test_assembled_declarations(spark):
     src = spark.createDataFrame([([(4, 5), (3, 5), (9, 20), (9, 20), (None, 1), (30, 4)], text, "<d>@objc func f(x: <t>@escaping</t> A)</d>", "@available(*, deprecated, message: \"a (b) \\\"c\") func f()")], "r array<struct<offset:bigint,length:bigint>>, s string, a string, d string")
     r = src.select(decls.source_attributes(F.col("r"), F.col("s")).alias("x"), decls.written_attributes(F.col("a"), F.col("d")).alias("y")).first()
     assert r.x == ["@objc", "@available(iOS 9, *)"] and r.y == ["@objc", "@escaping", '@available(*, deprecated, message: "a (b) \\"c")']
+
+
+def test_xml_tokens_are_read_once(spark):
+    """What the fold over XML tokens needs is evaluated once a token, not where it is mentioned."""
+    plan = spark.createDataFrame([("<a/>",)], "x string").select(decls.xml_docs("x").alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(decls.XML_OPEN[:24]) == plan.count(decls.XML_CLOSE[:20]) == 1
+
+
+def test_xml_blocks(spark):
+    """Lists in lists, code, callouts, elements alone, and texts outside of the root."""
+    item = lambda *x: "<Item>" + "".join(f"<Para>{i}</Para>" for i in x) + "</Item>"
+    lists = f"<List-Number>{item('a', 'b')}<Item><List-Bullet>{item('c')}{item('d')}</List-Bullet></Item></List-Number>"
+    code = "<CodeListing language='c'><zCodeLineNumbered>x <![CDATA[<]]> y</zCodeLineNumbered><zCodeLineNumbered/></CodeListing>"
+    xml = f"<?xml?><F><CommentParts><Abstract/><Discussion>{lists}{code}<Note><Para> n </Para><Para><Link href='u'><bold>l</bold></Link></Para></Note></Discussion></CommentParts></F>\n"
+    got = [r.d for r in spark.createDataFrame([(xml,), (xml + "t",), (xml + "<a/>",)], "x string").select(decls.xml_docs("x").alias("d")).collect()]
+    assert got[0].abstract == "" and got[0].discussion == "1. a\nb\n2. - c\n- d\n\n```c\nx < y\n\n```\n\n- Note: n [**l**](u)" and got[1:] == [None, None]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables")
+@pytest.mark.parametrize("name", ["p15_availability", "p16_name_pieces", "p20_doc_comments", "p22_xml_docs"])
+def test_declarations_are_spread(spark, name):
+    """A small table in one split is no single task."""
+    assert QUERIES[name](spark, SF_DIR).select(F.spark_partition_id().alias("p")).distinct().count() > 1
