@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from arborql.model import CALLOUTS, DOCC_CALLOUTS, KINDS, OBJC, SWIFT
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x evaluated once and not copied: lambdas and branches share no common parts, each
+    mention of x would be evaluated."""
+    return F.aggregate(F.array().cast("array<int>"), x, lambda acc, _: acc, f)
+
+
 def adjusted_kind(kind: Column, name: Column, declaration: Column, attributes: Column) -> Column:
     """PRJ2: kinds that the name or declaration makes more exact."""
     is_method = kind.startswith(SWIFT + "function.method")
@@ -186,66 +192,79 @@ def objc_neat(text: Column, kind: Column) -> Column:
     default property attributes, semicolons at the end."""
     is_ = lambda *k: kind.isin(*[OBJC + x for x in k])
     s = F.regexp_replace(F.regexp_replace(F.btrim(text, F.lit(" \t\n\r")), r"\s+__(?:deprecated|unavailable)", ""), r"\s+NS_SWIFT_NAME\(.*\)", "")
-    s = F.when(is_("category", "class", "protocol", "struct", "enum"), F.regexp_replace(s, r"(?s)\s*[{\n].*\z", "")).when(
-        is_("typedef") & s.rlike(r"^typedef\s+NS_\w*\(") & ~s.endswith(")"), F.concat(s, F.lit(")"))).otherwise(s)
-    attributes = F.filter(F.transform(F.split(F.regexp_extract(s, r"@property\s+\((.*?)\)", 1), ","), lambda x: F.trim(x)), lambda x: ~x.isin(DEFAULT_ATTRIBUTES) & (x != ""))
-    listed = F.when(F.size(attributes) > 0, F.concat(F.lit("@property ("), F.array_join(attributes, ", "), F.lit(")"))).otherwise(F.lit("@property"))
-    rest = F.regexp_replace(s, r"^(?s).*?@property\s+\(.*?\)", "")
-    s = F.when(is_("property", "property.class") & s.rlike(r"@property\s+\("), F.regexp_replace(F.concat(listed, rest), r"\s+", " ")).otherwise(s)
-    return F.regexp_replace(s, r"[;\s]*$", "")
+
+    def whole(s: Column) -> Column:
+        return F.when(is_("category", "class", "protocol", "struct", "enum"), F.regexp_replace(s, r"(?s)\s*[{\n].*\z", "")).when(
+            is_("typedef") & s.rlike(r"^typedef\s+NS_\w*\(") & ~s.endswith(")"), F.concat(s, F.lit(")"))).otherwise(s)
+
+    def listed(s: Column) -> Column:
+        attributes = F.filter(F.transform(F.split(F.regexp_extract(s, r"@property\s+\((.*?)\)", 1), ","), lambda x: F.trim(x)), lambda x: ~x.isin(DEFAULT_ATTRIBUTES) & (x != ""))
+        start = bound(attributes, lambda a: F.when(F.size(a) > 0, F.concat(F.lit("@property ("), F.array_join(a, ", "), F.lit(")"))).otherwise(F.lit("@property")))
+        made = F.regexp_replace(F.concat(start, F.regexp_replace(s, r"^(?s).*?@property\s+\(.*?\)", "")), r"\s+", " ")
+        return F.when(is_("property", "property.class") & s.rlike(r"@property\s+\("), made).otherwise(s)
+
+    return F.regexp_replace(bound(bound(s, whole), listed), r"[;\s]*$", "")
 
 
 def _parts(*parts: tuple[bool, Column]) -> Column:
     return F.array(*[F.struct(F.lit(name).alias("is_name"), text.alias("text")) for name, text in parts])
 
 
+#: A method's text before a word that a colon follows, and the word, or the rest and nothing.
+SELECTOR = r"(?U)((?:\W++|\w++(?![ \t\n\x0B\f\r]*:))*+)(\w++|\z)"
+
+
+def _method_pieces(decl: Column) -> Column:
+    """A method's pieces, null if nothing in it is a name. It is read from word to word before a colon; bracket depths are
+    running sums over what stands between them."""
+    piece = lambda is_name, text: F.struct(F.lit(is_name).alias("is_name"), text.alias("text"))
+    add = lambda out, text: F.when(text == "", out).otherwise(F.array_append(out, piece(False, text)))
+    none = F.array().cast("array<struct<is_name:boolean,text:string>>")
+    state = lambda d, text, out: F.struct(d.alias("d"), text.alias("text"), out.alias("out"))
+    step = lambda x: F.char_length(F.translate(x, ")]>}", "")) - F.char_length(F.translate(x, "([<{", ""))
+    part = lambda g: F.regexp_extract_all(decl, F.lit(SELECTOR), F.lit(g))
+    chunks = F.zip_with(part(1), part(2), lambda x, w: F.struct(x.alias("x"), w.alias("w"), step(x).alias("s")))
+
+    def fold(acc: Column, c: Column) -> Column:
+        d = acc["d"] + c["s"]
+        name = bound(F.concat(acc["text"], c["x"]), lambda text: F.array_append(add(acc["out"], text), piece(True, c["w"])))
+        return F.when((d == 0) & (c["w"] != ""), state(d, F.lit(""), name)).otherwise(state(d, F.concat(acc["text"], c["x"], c["w"]), acc["out"]))
+
+    def last(tail: Column) -> Column:
+        """No word has a colon: the last one is the name."""
+        word = F.regexp_extract(tail, r"(?U)^\w+", 0)
+        before, behind = F.left(decl, F.char_length(decl) - F.char_length(tail)), F.substring(tail, F.char_length(word) + 1, F.char_length(tail))
+        return F.when(tail != "", add(F.array_append(add(none, before), piece(True, word)), behind))
+
+    end = F.regexp_extract(decl, r"(?U)\w++[ \t\n\x0B\f\r]*\z", 0)
+    done = lambda acc: F.when(F.size(acc["out"]) > 0, add(acc["out"], acc["text"])).when(acc["d"] == 0, bound(end, last))
+    return F.aggregate(chunks, state(F.lit(0), F.lit(""), none), fold, done)
+
+
 def objc_pieces(neat: Column, name: Column, kind: Column) -> Column:
     """PRJ17: a neat declaration as array<struct<is_name, text>>. Types: their prefix and the name. Methods: each word before
-    a colon is a name, the last word where there is none, at bracket depth 0 of (), [], <> and {}: depths are running sums
-    over the declaration's tokens, so colons within blocks and generics name nothing. Variables: the type, without extern
-    and property attributes, and the name. Functions: what is around the name."""
+    a colon is a name, the last word where there is none, at bracket depth 0 of (), [], <> and {}, so colons within blocks
+    and generics name nothing. Variables: the type, without extern and property attributes, and the name. Functions: what
+    is around the name."""
     prefix = F.try_element_at(F.create_map(*[F.lit(x) for k in KINDS if k[3] is not None and k[0].startswith(OBJC) for x in (k[0], k[3])]), kind)
+    is_ = lambda *k: kind.isin(*[OBJC + x for x in k])
+
+    def read(flat: Column) -> Column:
+        decl = F.regexp_replace(F.regexp_replace(flat, r"(?i)\s+OBJC_DESIGNATED_INITIALIZER\b", ""), r"(?i)\s+SWIFT_.*\b", "")
+        method = F.coalesce(bound(decl, _method_pieces), _parts((True, flat)))
+        # variables and functions: around the last place of the name
+        behind = F.call_function("substring_index", flat, name, F.lit(-1))
+        before = F.left(flat, F.char_length(flat) - F.char_length(behind) - F.char_length(name))
+        kind_of = F.regexp_replace(F.regexp_replace(before, r"^(?:extern|@property\s*(?:\(.*?\))?)", ""), r"^\s+", "")
+        has = (name != "") & F.contains(flat, name)
+        return (F.when(is_("initializer", "method.class", "method.instance"), method)
+                .when(is_("constant", "property", "property.class", "field", "ivar") & has, _parts((False, kind_of), (True, name)))
+                .when(is_("function") & has, _parts((False, before), (True, name), (False, behind))).otherwise(_parts((True, flat))))
+
     flat = F.regexp_replace(neat, r"\s+", " ")
     for p in NULLABILITY:
         flat = F.regexp_replace(flat, p, "")
-    # methods
-    decl = F.regexp_replace(F.regexp_replace(flat, r"(?i)\s+OBJC_DESIGNATED_INITIALIZER\b", ""), r"(?i)\s+SWIFT_.*\b", "")
-    tokens = F.regexp_extract_all(decl, F.lit(r"(?U)\w+|\s+|[^\w\s]"), F.lit(0))
-    step = F.transform(tokens, lambda t: F.when(t.isin("(", "[", "<", "{"), 1).when(t.isin(")", "]", ">", "}"), -1).otherwise(0))
-    # array<struct<text, depth>>: the depth that each token stands at
-    start = F.struct(F.lit(0).alias("d"), F.array().cast("array<struct<text:string,depth:int>>").alias("out"))
-    summed = F.aggregate(F.arrays_zip(tokens.alias("t"), step.alias("s")), start, lambda acc, x: F.struct(
-        (acc["d"] + x["s"]).alias("d"), F.array_append(acc["out"], F.struct(x["t"].alias("text"), (acc["d"] + F.least(x["s"], F.lit(0))).alias("depth"))).alias("out")), lambda acc: acc["out"])
-    word = lambda t: t["text"].rlike(r"(?U)^\w+$") & (t["depth"] == 0)
-
-    def after(at: Column, i: Column) -> Column:
-        """The next token that is no space."""
-        return F.when(F.get(at, i + 1)["text"].rlike(r"^\s+$"), F.get(at, i + 2)["text"]).otherwise(F.get(at, i + 1)["text"])
-
-    def named(at: Column) -> Column:
-        marks = F.transform(at, lambda t, i: F.struct(t["text"].alias("text"), (word(t) & (after(at, i) == ":")).alias("is_name")))
-        last = F.transform(at, lambda t, i: F.struct(t["text"].alias("text"), (word(t) & after(at, i).isNull()).alias("is_name")))
-        marks = F.transform(F.when(F.exists(marks, lambda m: F.coalesce(m["is_name"], F.lit(False))), marks).otherwise(last), lambda m: F.struct(m["text"].alias("text"), F.coalesce(m["is_name"], F.lit(False)).alias("is_name")))
-        none = F.array().cast("array<struct<is_name:boolean,text:string>>")
-
-        def joined(acc: Column, m: Column) -> Column:
-            tail = F.element_at(acc, -1)
-            more = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(m["is_name"].alias("is_name"), F.concat(tail["text"], m["text"]).alias("text"))))
-            return F.when((F.size(acc) > 0) & ~m["is_name"] & ~F.coalesce(F.try_element_at(acc, F.lit(-1))["is_name"], F.lit(True)), more).otherwise(F.array_append(acc, F.struct(m["is_name"].alias("is_name"), m["text"].alias("text"))))
-
-        out = F.aggregate(marks, none, joined)
-        return F.when(F.exists(out, lambda x: x["is_name"]), out).otherwise(_parts((True, flat)))
-
-    method = F.transform(F.array(summed), named)[0]
-    # variables and functions: around the last place of the name
-    behind = F.call_function("substring_index", flat, name, F.lit(-1))
-    before = F.left(flat, F.char_length(flat) - F.char_length(behind) - F.char_length(name))
-    kind_of = F.regexp_replace(F.regexp_replace(before, r"^(?:extern|@property\s*(?:\(.*?\))?)", ""), r"^\s+", "")
-    is_ = lambda *k: kind.isin(*[OBJC + x for x in k])
-    has = (name != "") & F.contains(flat, name)
-    other = F.when(prefix.isNotNull(), _parts((False, F.concat(prefix, F.lit(" "))), (True, name))).when(is_("initializer", "method.class", "method.instance"), method)
-    other = other.when(is_("constant", "property", "property.class", "field", "ivar") & has, _parts((False, kind_of), (True, name)))
-    return F.when(name.isNull(), _parts((True, neat))).otherwise(other.when(is_("function") & has, _parts((False, before), (True, name), (False, behind))).otherwise(_parts((True, flat))))
+    return F.when(name.isNull(), _parts((True, neat))).when(prefix.isNotNull(), _parts((False, F.concat(prefix, F.lit(" "))), (True, name))).otherwise(bound(flat, read))
 
 
 def piece_text(p: Column) -> Column:
@@ -440,11 +459,6 @@ _DOC = "struct<abstract:string,discussion:string,returns:string,throws:string,lo
 BLOCKS_OF = ["Abstract", "Discussion", "ResultDiscussion", "ThrowsDiscussion", "Item", *CALLOUT_TAGS]
 
 
-def bound(x: Column, f) -> Column:
-    """f(x) with x evaluated once and not copied: lambdas share no common parts, each mention of x would be evaluated."""
-    return F.aggregate(F.array().cast("array<int>"), x, lambda acc, _: acc, f)
-
-
 def xml_token(t: Column) -> Column:
     """A token as struct<kind, tag, text>: open, close, alone (both), text or data with its characters, note (a comment or an
     instruction) or bad. A tag's text is the tag."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arborql.model import OBJC, SWIFT
 from arborql.operators import decls, links, ordered, prefixes, tree
-from arborql.plans.catalogue import _TREE, hierarchy, query, read
+from arborql.plans.catalogue import _TREE, hierarchy, query, read, spread
 from arborql.plans.wide import nations
 from arborql.sources import definitions, readers, remote, sinks, tree_files
 from arborql.tables import Tables, hadoop_path
@@ -177,7 +177,7 @@ ELSE '- (int)[' || a || ']:(struct {{int q : 3;}} *)s [and]:(int)i [' || b || ']
 CASE f WHEN 2 THEN '@property (copy) NSString *_Nonnull ' || a WHEN 3 THEN '@property void (^' || a || ')(NSString *, int)' WHEN 5 THEN '@interface ' || a || ' : NSObject' END AS neat FROM w""")
 def p17_objc_pieces(spark, sf_dir):
     """PRJ17: Objective-C declarations of seven forms, neat and in pieces."""
-    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.split("p_name", " ")[0].alias("a"), F.coalesce(F.get(F.split("p_name", " "), F.lit(1)), F.lit("x")).alias("b"), (F.col("p_partkey") % 7).alias("f"))
+    p = spread(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").select(F.col("p_partkey").alias("k"), F.split("p_name", " ")[0].alias("a"), F.coalesce(F.get(F.split("p_name", " "), F.lit(1)), F.lit("x")).alias("b"), (F.col("p_partkey") % 7).alias("f"))
     a, b, f = F.col("a"), F.col("b"), F.col("f")
     forms = [
         ("method.instance", F.concat(F.lit("- (void)"), a, F.lit(":(NSDictionary<NSString *, NSArray<id<P>> *> *)x\n    "), b, F.lit(":(nullable void (^)(NSString *s, int i))y;"))), ("method.class", F.concat(F.lit("+ (nonnull instancetype)"), a, F.lit(";"))),

@@ -92,6 +92,22 @@ def test_xml_tokens_are_read_once(spark):
     assert plan.count(decls.XML_OPEN[:24]) == plan.count(decls.XML_CLOSE[:20]) == 1
 
 
+def test_objc_texts_are_made_once(spark):
+    """A neat text and a text without notes are evaluated once a declaration, not where they are mentioned."""
+    df = spark.createDataFrame([("- x", "x", "k")], "d string, n string, k string")
+    plan = lambda c: df.select(c.alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(decls.objc_neat(F.col("d"), F.col("k"))).count("NS_SWIFT_NAME") == 1
+    assert plan(decls.objc_pieces(F.col("d"), F.col("n"), F.col("k"))).count("_?_Null_unspecified") == 1
+
+
+def test_long_method(spark):
+    """A declaration of many words, with colons within brackets, is read in one pass."""
+    n = 3000
+    text = "- (void)" + " ".join(f"a{i}:(void (^)(id b:c))d" for i in range(n))
+    p = spark.createDataFrame([(text,)], "d string").select(decls.objc_pieces(F.col("d"), F.lit("n"), F.lit(OBJC + "method.instance")).alias("p")).first().p
+    assert "".join(x.text for x in p) == text and [x.text for x in p if x.is_name] == [f"a{i}" for i in range(n)]
+
+
 def test_xml_blocks(spark):
     """Lists in lists, code, callouts, elements alone, and texts outside of the root."""
     item = lambda *x: "<Item>" + "".join(f"<Para>{i}</Para>" for i in x) + "</Item>"
@@ -103,7 +119,7 @@ def test_xml_blocks(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables")
-@pytest.mark.parametrize("name", ["p15_availability", "p16_name_pieces", "p20_doc_comments", "p22_xml_docs"])
+@pytest.mark.parametrize("name", ["p15_availability", "p16_name_pieces", "p17_objc_pieces", "p20_doc_comments", "p22_xml_docs"])
 def test_declarations_are_spread(spark, name):
     """A small table in one split is no single task."""
     assert QUERIES[name](spark, SF_DIR).select(F.spark_partition_id().alias("p")).distinct().count() > 1
